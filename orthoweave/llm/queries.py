@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .media import op1_media
 from .url_filter import op4_url_filters
+from .warc import op2_warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+QUERIES["op1_media"] = op1_media
+QUERIES["op2_warc"] = op2_warc
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
