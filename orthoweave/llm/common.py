@@ -45,17 +45,15 @@ def ascii_lower(text: Column) -> Column:
 def attach(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, spread: str) -> DataFrame:
     """Left join `rows` with `groups` (one row per key, `size` rows each) so that no key fills a task.
 
-    Groups above total/HOT_PARTS rows (fewer than HOT_PARTS of them) are broadcast; their rows get
-    keys of their own (from the unique column `spread`) in the shuffled join that serves all others.
-    `groups` should be a stored table: it is read twice. Key columns must be strings, never null.
+    Groups above total/HOT_PARTS rows (fewer than HOT_PARTS of them) are broadcast; their rows are spread
+    by a hash of the column `spread` in the shuffled join that serves all others.
+    `groups` should be a stored table: it is read twice. Key columns must not be null.
     """
     limit = total / HOT_PARTS
     values = [c for c in groups.columns if c not in key]
     g_hot = groups.filter(F.col(size) > limit).select(*key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
-    g_cold = groups.filter(F.col(size) <= limit).select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(f"_cold_{c}") for c in values])
+    g_cold = groups.filter(F.col(size) <= limit).select(*key, *[F.col(c).alias(f"_cold_{c}") for c in values], F.lit(0).cast("long").alias("_spread"))
     marked = rows.join(F.broadcast(g_hot), key, "left")
-    first = key[0]
-    marked = marked.withColumn("_k", F.when(F.col("_hot"), F.concat(F.lit("hot "), F.col(spread).cast("string"))).otherwise(F.col(first)))
-    cond = [F.col("_k") == F.col(f"_k_{first}"), *[F.col(k) == F.col(f"_k_{k}") for k in key[1:]]]
-    joined = marked.join(g_cold, cond, "left")
+    marked = marked.withColumn("_spread", F.when(F.col("_hot"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    joined = marked.join(g_cold, [*key, "_spread"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values])

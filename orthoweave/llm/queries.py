@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .media import op1_media
+from .pii import op7_pii
 from .quality import op10_quality
 from .url_filter import op4_url_filters
 from .warc import op2_warc
@@ -15,6 +16,7 @@ ORACLES: dict = {}
 
 QUERIES["op1_media"] = op1_media
 QUERIES["op2_warc"] = op2_warc
+QUERIES["op7_pii"] = op7_pii
 QUERIES["op10_quality"] = op10_quality
 
 
