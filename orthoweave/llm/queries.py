@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import op6_jaccard_join
 from .media import op1_media
 from .pii import op7_pii
 from .quality import op10_quality
@@ -16,6 +17,7 @@ ORACLES: dict = {}
 
 QUERIES["op1_media"] = op1_media
 QUERIES["op2_warc"] = op2_warc
+QUERIES["op6_jaccard_join"] = op6_jaccard_join
 QUERIES["op7_pii"] = op7_pii
 QUERIES["op10_quality"] = op10_quality
 
