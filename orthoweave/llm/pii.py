@@ -312,7 +312,8 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 def redact(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The same rows and columns, with every span of `text_col` replaced by its kind in angle brackets."""
     held = docs.sparkSession.sparkContext.broadcast(field)
-    at = docs.columns.index(text_col)
+    names = list(docs.columns)
+    at = names.index(text_col)
 
     def run(batches):
         for b in batches:
@@ -320,7 +321,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", threshold: flo
             out = []
             for text, (base, added) in zip(texts, all_spans(texts, held.value, threshold), strict=True):
                 out.append(text if not base and not added else replaced(text, base + added))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], list(docs.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names)
 
     return docs.mapInArrow(run, docs.schema)
 
