@@ -8,6 +8,7 @@ from .jaccard_join import op6_jaccard_join
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op9_line_dedup
 from .media import op1_media
+from .packing import op8_packing
 from .pii import op7_pii
 from .quality import op10_quality
 from .url_filter import op4_url_filters
@@ -21,6 +22,7 @@ QUERIES["op1_media"] = op1_media
 QUERIES["op2_warc"] = op2_warc
 QUERIES["op6_jaccard_join"] = op6_jaccard_join
 QUERIES["op7_pii"] = op7_pii
+QUERIES["op8_packing"] = op8_packing
 QUERIES["op9_line_dedup"] = op9_line_dedup
 ORACLES["op9_line_dedup"] = LINE_SQL
 QUERIES["op10_quality"] = op10_quality
