@@ -11,6 +11,7 @@ from .media import op1_media
 from .packing import op8_packing
 from .pii import op7_pii
 from .quality import op10_quality
+from .sampling import op5_gumbel_segmentation
 from .url_filter import op4_url_filters
 from .warc import op2_warc
 
@@ -20,6 +21,7 @@ ORACLES: dict = {}
 
 QUERIES["op1_media"] = op1_media
 QUERIES["op2_warc"] = op2_warc
+QUERIES["op5_gumbel_segmentation"] = op5_gumbel_segmentation
 QUERIES["op6_jaccard_join"] = op6_jaccard_join
 QUERIES["op7_pii"] = op7_pii
 QUERIES["op8_packing"] = op8_packing
