@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions and closed forms: vectors, identifiers, statistics."""

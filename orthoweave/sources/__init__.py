@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of the file formats."""

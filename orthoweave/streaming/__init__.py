@@ -1 +1 @@
-"""See the package README."""
+"""Incremental forms of the network scans."""
