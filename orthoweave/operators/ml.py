@@ -107,6 +107,7 @@ def one_vs_rest(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     class_type = test.schema["class"].dataType.simpleString()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns(["class", "id", "x"])
         if not right.num_rows:
             return right.select(["id", "class"]).append_column("score", pa.array([], pa.float64()))
         y = np.array(left.column("y").to_pylist(), float)
@@ -118,7 +119,8 @@ def one_vs_rest(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
             score = 1 / (1 + np.exp(-(xt @ w[:-1] + w[-1])))
         return right.select(["id", "class"]).append_column("score", pa.array(score))
 
-    return train.select("class", "y", "x").groupBy("class").cogroup(test.select("class", "id", "x").groupBy("class")).applyInArrow(run, f"id {id_type}, class {class_type}, score double")
+    renamed = test.select(F.col("class").alias("_class"), F.col("id").alias("_id"), F.col("x").alias("_x"))  # both sides may stem from one table
+    return train.select("class", "y", "x").groupBy("class").cogroup(renamed.groupBy("_class")).applyInArrow(run, f"id {id_type}, class {class_type}, score double")
 
 
 def clusters(points: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:

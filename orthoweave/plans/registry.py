@@ -2,5 +2,656 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import vectors as vec
+from ..operators import curves, graph, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
+from . import roles
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = roles.using(" ".join(sql.split()))
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    """Ratios are compared at six digits: the engines add doubles in different orders."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def texts(c: str):
+    """A sorted array as comma-joined text."""
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+# ---- networks -----------------------------------------------------------------------------------
+
+
+@query("SELECT a, b, w FROM edges")
+def edge_dedup_max(spark, sf):
+    return roles.edges(spark, sf)
+
+
+@query("SELECT a, b, CAST(trunc(w / (SELECT max(w) FROM edges) * 1000) AS INT) AS score FROM edges")
+def edge_int_score(spark, sf):
+    return graph.int_scores(roles.edges(spark, sf))
+
+
+@query("SELECT gene, count(*) AS degree, string_agg(CAST(nbr AS VARCHAR), ',' ORDER BY nbr) AS nbrs FROM nbrs GROUP BY gene")
+def neighbour_sets(spark, sf):
+    return graph.neighbour_sets(roles.edges(spark, sf)).select("gene", F.size("nbrs").cast("long").alias("degree"), texts("nbrs").alias("nbrs"))
+
+
+@query("""SELECT count(*) AS n_nodes, CAST(sum(d) // 2 AS BIGINT) AS n_edges, round((sum(d) // 2) / (count(*) * (count(*) - 1) / 2), 9) AS density,
+    round(2 * (sum(d) // 2) / count(*), 6) AS avg_degree FROM (SELECT gene, count(*) AS d FROM nbrs GROUP BY gene)""")
+def network_stats_distinct(spark, sf):
+    out = graph.stats_distinct(roles.edges(spark, sf))
+    return r6(out.withColumn("density", F.round("density", 9)), "avg_degree")
+
+
+@query("""SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, round(sum(d) / (count(*) * (count(*) - 1)), 9) AS density, round(sum(d) / count(*), 6) AS mean_degree
+    FROM (SELECT gene, count(*) AS d FROM (SELECT src AS gene FROM raw_edges UNION ALL SELECT dst FROM raw_edges) GROUP BY gene)""")
+def network_stats_raw(spark, sf):
+    out = graph.stats_raw(roles.raw_edges(spark, sf))
+    return r6(out.withColumn("density", F.round("density", 9)), "mean_degree")
+
+
+@query("SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS idx FROM (SELECT DISTINCT gene FROM nbrs)")
+def adjacency_index(spark, sf):
+    return graph.dense_index(graph.symmetric(roles.edges(spark, sf)))
+
+
+@query("""WITH n AS (SELECT gene, count(*) AS n FROM nbrs GROUP BY gene)
+    SELECT i, j, inter, round(inter / (x.n + y.n - inter), 6) AS jaccard FROM (SELECT a.gene AS i, b.gene AS j, count(*) AS inter FROM nbrs a JOIN nbrs b ON a.nbr = b.nbr WHERE a.gene < b.gene GROUP BY 1, 2)
+    JOIN n x ON x.gene = i JOIN n y ON y.gene = j""")
+def jaccard_self_join(spark, sf):
+    members = graph.symmetric(roles.edges(spark, sf)).select("gene", F.col("nbr").alias("el"))
+    return r6(graph.set_jaccard_self(members), "jaccard")
+
+
+@query("SELECT gene, count(*) AS n_ogs, string_agg(og, ',' ORDER BY og) AS ogs FROM og_nbrs GROUP BY gene")
+def og_neighbour_sets(spark, sf):
+    out = graph.og_neighbours(roles.edges(spark, sf), roles.part_og(spark, sf))
+    return out.groupBy("gene").agg(F.count(F.lit(1)).alias("n_ogs"), F.array_join(F.array_sort(F.collect_list("og")), ",").alias("ogs"))
+
+
+@query("SELECT count(*) AS n, round(min((w - lo) / (hi - lo)), 6) AS lo01, round(avg((w - lo) / (hi - lo)), 6) AS mean01, round(max((w - lo) / (hi - lo)), 6) AS hi01 FROM edges CROSS JOIN (SELECT min(w) AS lo, max(w) AS hi FROM edges)")
+def edge_scaled_weights(spark, sf):
+    e = graph.scaled_weights(roles.edges(spark, sf))
+    return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("w01"), 6).alias("lo01"), F.round(F.avg("w01"), 6).alias("mean01"), F.round(F.max("w01"), 6).alias("hi01"))
+
+
+_EGO = """WITH near AS (SELECT node FROM (SELECT b AS node, w FROM edges WHERE a = {c} UNION ALL SELECT a, w FROM edges WHERE b = {c}) GROUP BY node ORDER BY max(w) DESC, node LIMIT 15),
+    nodes AS (SELECT node FROM near UNION SELECT CAST({c} AS BIGINT))"""
+
+
+@query(_EGO.format(c=7) + " SELECT a, b, w FROM edges WHERE a IN (SELECT node FROM nodes) AND b IN (SELECT node FROM nodes)")
+def ego_network(spark, sf):
+    return graph.ego(roles.edges(spark, sf), 7, 15)
+
+
+@query("""WITH n1 AS (SELECT DISTINCT og FROM og_nbrs WHERE gene = 7), n2 AS (SELECT DISTINCT og FROM og_nbrs WHERE gene = 11)
+    SELECT og FROM n1 INTERSECT SELECT og FROM n2""")
+def shared_og_ego(spark, sf):
+    o = graph.og_neighbours(roles.edges(spark, sf), roles.part_og(spark, sf))
+    return o.filter("gene = 7").select("og").intersect(o.filter("gene = 11").select("og"))
+
+
+# ---- identifiers --------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, split_part(url, '.', 1) AS prefix FROM pages")
+def id_strip_first_dot(spark, sf):
+    return roles.table(spark, sf, "pages").select("page_id", ids.first_dot(F.col("url")).alias("prefix"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '\.[^.]*$', '') AS prefix FROM pages")
+def id_strip_last_dot(spark, sf):
+    return roles.table(spark, sf, "pages").select("page_id", ids.last_dot(F.col("url")).alias("prefix"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS row_no, 'P' || p_partkey || '.' || (p_size % 3) AS protein_id, p_brand AS og FROM part WHERE p_size % 4 <> 0),
+    valid AS (SELECT DISTINCT 'P' || l_partkey || '.' || (l_partkey % 3) AS id FROM lineitem),
+    exact AS (SELECT v.id, arg_max(t.og, t.row_no) AS og FROM valid v JOIN t ON t.protein_id = v.id GROUP BY v.id),
+    loose AS (SELECT v.id, arg_max(t.og, t.row_no) AS og FROM valid v JOIN t ON split_part(t.protein_id, '.', 1) = split_part(v.id, '.', 1) GROUP BY v.id)
+    SELECT * FROM exact WHERE (SELECT count(*) FROM exact) >= 0.5 * (SELECT count(*) FROM valid) UNION ALL SELECT * FROM loose WHERE (SELECT count(*) FROM exact) < 0.5 * (SELECT count(*) FROM valid)""")
+def og_coverage_two_tier(spark, sf):
+    part = roles.table(spark, sf, "part").filter("p_size % 4 <> 0")
+    t = part.select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("."), (F.col("p_size") % 3).cast("string")).alias("protein_id"), F.col("p_brand").alias("og"))
+    valid = roles.table(spark, sf, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("."), (F.col("l_partkey") % 3).cast("string")).alias("id"))
+    return orthologs.two_tier_orthogroups(valid, t)
+
+
+@query("SELECT c_custkey, c_name, 'Customer' AS genus FROM customer WHERE split_part(c_name, '#', 1) = 'Customer'")
+def id_prefix_before_hash(spark, sf):
+    return roles.table(spark, sf, "customer").select("c_custkey", "c_name", F.split_part("c_name", F.lit("#"), F.lit(1)).alias("genus")).filter("genus = 'Customer'")
+
+
+# ---- ortholog pairs -----------------------------------------------------------------------------
+
+
+def _two(spark, sf):
+    g = roles.genes(spark, sf)
+    return g.filter("species = 0"), g.filter("species = 1")
+
+
+_WEIGHTED = "SELECT a.og, a.idx AS ia, b.idx AS ib, 1.0 / (count(*) OVER (PARTITION BY a.og)) AS w FROM genes a JOIN genes b ON a.og = b.og WHERE a.species = 0 AND b.species = 1"
+
+
+@query(f"SELECT og, ia, ib, round(w, 9) AS w FROM ({_WEIGHTED})")
+def ortholog_pairs_weighted(spark, sf):
+    return orthologs.weighted_pairs(*_two(spark, sf)).withColumn("w", F.round("w", 9))
+
+
+def _slice_truth(spark, sf):
+    """(u, v, s): Jaccard of neighbour orthogroups for gene pairs of species 0 and 1."""
+    og = roles.slice_og(spark, sf)
+    sets = graph.og_neighbours(roles.slice_edges(spark, sf), og.select("gene", "og"))
+    a = og.filter("species = 0").select(F.col("gene").alias("idx"), "og")
+    b = og.filter("species = 1").select(F.col("gene").alias("idx"), "og")
+    return orthologs.jaccard_pairs(a, b, sets, sets).select(F.col("ia").alias("u"), F.col("ib").alias("v"), F.col("jaccard").alias("s"))
+
+
+@query("SELECT u, v, round(s, 6) AS s FROM slice_truth")
+def jaccard_pairs(spark, sf):
+    return r6(_slice_truth(spark, sf), "s")
+
+
+@query(f"""WITH w AS (SELECT a.gene AS ia, b.gene AS ib, 1.0 / count(*) OVER (PARTITION BY a.og) AS w FROM slice_og a JOIN slice_og b ON a.og = b.og WHERE a.species = 0 AND b.species = 1)
+    SELECT ia, ib, round(w * (1 + 5.0 * coalesce(s, 0)), 6) AS w FROM w LEFT JOIN slice_truth t ON t.u = ia AND t.v = ib""")
+def hybrid_pairs(spark, sf):
+    og = roles.slice_og(spark, sf)
+    a, b = (og.filter(f"species = {i}").select(F.col("gene").alias("idx"), "og") for i in (0, 1))
+    truth = _slice_truth(spark, sf).select(F.col("u").alias("ia"), F.col("v").alias("ib"), F.col("s").alias("jaccard"))
+    return r6(orthologs.hybrid_pairs(orthologs.weighted_pairs(a, b), truth), "w")
+
+
+# ---- species ------------------------------------------------------------------------------------
+
+
+def _present(spark, sf):
+    return species.presence(roles.species_rows(spark, sf))
+
+
+def _dist(spark, sf):
+    return species.jaccard_distances(_present(spark, sf), 5)
+
+
+def _density(spark, sf):
+    return species.density(species.og_counts(roles.species_rows(spark, sf)))
+
+
+@query("SELECT species, og FROM present")
+def presence_matrix(spark, sf):
+    return _present(spark, sf)
+
+
+@query("SELECT og, count(*) AS n_species FROM present GROUP BY og HAVING count(*) >= 5")
+def og_prevalence(spark, sf):
+    return species.prevalence(_present(spark, sf), 5)
+
+
+@query("SELECT sp_i, sp_j, round(dist, 6) AS dist FROM dist")
+def species_jaccard_distance(spark, sf):
+    return r6(_dist(spark, sf), "dist")
+
+
+@query("SELECT sp_i, sp_j, shared, CAST(pairs AS BIGINT) AS pairs FROM density")
+def ortholog_density(spark, sf):
+    return _density(spark, sf)
+
+
+@query("""WITH n AS (SELECT species, count(*) AS n_ogs FROM present GROUP BY 1), q AS (SELECT quantile_cont(n_ogs, 0.25) AS q1, quantile_cont(n_ogs, 0.75) AS q3 FROM n)
+    SELECT species, n_ogs, q3 + 1.5 * (q3 - q1) AS threshold, n_ogs <= q3 + 1.5 * (q3 - q1) AS kept FROM n CROSS JOIN q""")
+def iqr_outliers(spark, sf):
+    return species.without_outliers(_present(spark, sf))
+
+
+@query("SELECT d.sp_i, d.sp_j, round(dist, 6) AS dist FROM dist d JOIN density s ON d.sp_i = s.sp_i AND d.sp_j = s.sp_j WHERE d.sp_i < d.sp_j AND shared >= 5 ORDER BY d.dist DESC, d.sp_i, d.sp_j LIMIT 1")
+def farthest_seed_pair(spark, sf):
+    return r6(species.farthest_pair(_dist(spark, sf), _density(spark, sf), 5), "dist")
+
+
+SEEDS = [3, 8, 15, 21]
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 3), (1, 8), (2, 15), (3, 21)) t(ord, seed)), c AS (SELECT sp_i AS species, seed, dist, row_number() OVER (PARTITION BY sp_i ORDER BY dist, ord) AS r FROM dist d JOIN s ON d.sp_j = s.seed WHERE sp_i NOT IN (SELECT seed FROM s))
+    SELECT species, CAST(seed AS INT) AS seed, round(dist, 6) AS dist FROM c WHERE r = 1""")
+def nearest_seed(spark, sf):
+    return r6(species.nearest_seed(_dist(spark, sf), SEEDS), "dist")
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES (3), (8), (15), (21)) t(seed)),
+    i AS (SELECT d.dist, coalesce(x.shared, 0) AS shared FROM dist d LEFT JOIN density x ON d.sp_i = x.sp_i AND d.sp_j = x.sp_j WHERE d.sp_i IN (SELECT seed FROM s) AND d.sp_j IN (SELECT seed FROM s) AND d.sp_i < d.sp_j),
+    o AS (SELECT min(dist) AS dist FROM dist WHERE sp_i NOT IN (SELECT seed FROM s) AND sp_j IN (SELECT seed FROM s) GROUP BY sp_i),
+    c AS (SELECT max(CASE WHEN species IN (SELECT seed FROM s) THEN 1 ELSE 0 END) AS hit FROM present GROUP BY og)
+    SELECT round(seed_min_dist, 6) AS seed_min_dist, round(seed_mean_dist, 6) AS seed_mean_dist, seed_min_shared, seed_mean_shared, round(nonseed_max_dist, 6) AS nonseed_max_dist, round(nonseed_mean_dist, 6) AS nonseed_mean_dist, round(og_coverage, 6) AS og_coverage
+    FROM (SELECT min(dist) AS seed_min_dist, avg(dist) AS seed_mean_dist, CAST(min(shared) AS BIGINT) AS seed_min_shared, CAST(floor(avg(shared)) AS BIGINT) AS seed_mean_shared FROM i) CROSS JOIN (SELECT max(dist) AS nonseed_max_dist, avg(dist) AS nonseed_mean_dist FROM o) CROSS JOIN (SELECT avg(hit) AS og_coverage FROM c)""")
+def seed_set_metrics(spark, sf):
+    out = species.seed_metrics(_present(spark, sf), _dist(spark, sf), _density(spark, sf), SEEDS)
+    return r6(out, "seed_min_dist", "seed_mean_dist", "nonseed_max_dist", "nonseed_mean_dist", "og_coverage")
+
+
+@query()
+def greedy_seeds(spark, sf):
+    seeds = species.greedy_seeds(_dist(spark, sf), _density(spark, sf), 5, 5)
+    return spark.createDataFrame(list(enumerate(seeds)), "position int, species int")
+
+
+# ---- vectors ------------------------------------------------------------------------------------
+
+
+@query("SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_sum(v), 6) AS total FROM unit")
+def l2_normalise(spark, sf):
+    e = vector.normalised(roles.genes(spark, sf).select("id", "v"))
+    return e.select("id", F.round(vec.norm(F.col("v")), 6).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT species, round(min(n), 6) AS min_norm, round(median(n), 6) AS median_norm, round(max(n), 6) AS max_norm, round(avg(n), 6) AS mean_norm, round(stddev_pop(n), 6) AS std_norm FROM (SELECT species, sqrt(list_dot_product(v, v)) AS n FROM genes) GROUP BY species")
+def norm_diagnostics(spark, sf):
+    return r6(vector.norm_stats(roles.genes(spark, sf), "species"), "min_norm", "median_norm", "max_norm", "mean_norm", "std_norm")
+
+
+@query("SELECT a.id AS u, b.id AS v, round(list_dot_product(a.v, b.v), 6) AS cos FROM unit a JOIN unit b ON a.og = b.og AND a.idx = b.idx WHERE a.species = 0 AND b.species = 1")
+def pair_cosine(spark, sf):
+    a, b = _two(spark, sf)
+    pairs = a.select(F.col("id").alias("u"), "og", "idx").join(b.select(F.col("id").alias("v"), "og", "idx"), ["og", "idx"]).select("u", "v")
+    return r6(vector.pair_cosine(pairs, a, b), "cos")
+
+
+@query("SELECT a.idx AS id, CAST(len(a.v) + len(b.v) AS INT) AS dim, round(list_sum(a.v) + list_sum(b.v), 6) AS total FROM unit a JOIN unit b ON a.idx = b.idx WHERE a.species = 0 AND b.species = 1")
+def vector_concat(spark, sf):
+    a, b = (x.select(F.col("idx").alias("id"), "v") for x in _two(spark, sf))
+    return vector.concatenated(a, b).select("id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def _knn01(spark, sf, k=50):
+    return vector.knn(*_two(spark, sf), k)
+
+
+@query("SELECT q, CAST(rank AS INT) AS rank, nbr, round(sim, 6) AS sim FROM knn01 WHERE rank <= 10")
+def knn_topk(spark, sf):
+    return r6(_knn01(spark, sf, 10), "sim")
+
+
+@query("SELECT a.q AS src, a.nbr AS ref, round(2 * a.sim - ra - rb, 6) AS score FROM knn01 a JOIN (SELECT q, avg(sim) AS ra FROM knn01 WHERE rank <= 10 GROUP BY 1) x ON x.q = a.q JOIN (SELECT q, avg(sim) AS rb FROM knn10 GROUP BY 1) y ON y.q = a.nbr WHERE a.rank = 1")
+def csls_scores(spark, sf):
+    a, b = _two(spark, sf)
+    return r6(vector.csls(*vector.nearest_both(a, b, 10)), "score")
+
+
+@query("SELECT a.q AS src, a.nbr AS ref, round(a.sim, 6) AS sim FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1")
+def mutual_nn(spark, sf):
+    a, b = _two(spark, sf)
+    return r6(vector.mutual(*vector.nearest_both(a, b, 1)), "sim")
+
+
+@query("SELECT a.q AS src, a.nbr AS ref FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1 AND NOT EXISTS (SELECT 1 FROM genes x JOIN genes y ON x.og = y.og WHERE x.id = a.q AND y.id = a.nbr)")
+def new_anchor_antijoin(spark, sf):
+    a, b = _two(spark, sf)
+    anchors = a.select(F.col("id").alias("src"), "og").join(b.select(F.col("id").alias("ref"), "og"), "og").select("src", "ref")
+    return vector.mutual(*vector.nearest_both(a, b, 1)).select("src", "ref").join(anchors, ["src", "ref"], "left_anti")
+
+
+def _anchor_pairs(spark, sf):
+    a, b = _two(spark, sf)
+    n = orthologs.weighted_pairs(a, b)
+    ia, ib = a.select(F.col("idx").alias("ia"), F.col("id").alias("src")), b.select(F.col("idx").alias("ib"), F.col("id").alias("ref"))
+    return n.join(ia, "ia").join(ib, "ib").select("src", "ref", "w")
+
+
+_COV = "SELECT i, j, sum(w * x[i + 1] * y[j + 1]) AS m FROM (SELECT 1.0 / (count(*) OVER (PARTITION BY a.og)) AS w, a.v AS x, b.v AS y FROM genes a JOIN genes b ON a.og = b.og WHERE a.species = 0 AND b.species = 1) CROSS JOIN range(0, 8) t(i) CROSS JOIN range(0, 8) u(j) GROUP BY i, j"
+
+
+@query(f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(m, 6) AS m FROM ({_COV})")
+def cross_covariance(spark, sf):
+    a, b = _two(spark, sf)
+    cut = lambda d: d.withColumn("v", F.slice("v", 1, 8))  # noqa: E731 - eight dimensions of the 64
+    return r6(vector.moments(procrustes.anchors_of(_anchor_pairs(spark, sf), cut(a), cut(b)).select("x", "y", "w")), "m")
+
+
+@query("SELECT species, CAST(i AS INT) AS i, round(sum((og + 1) * v[i + 1]) / sum(og + 1), 6) AS mu FROM genes CROSS JOIN range(0, 64) t(i) GROUP BY species, i")
+def weighted_centroid(spark, sf):
+    return r6(vector.centroid(roles.genes(spark, sf), (F.col("og") + 1).cast("double"), "species"), "mu")
+
+
+@query("""WITH n AS (SELECT vec_id // 25 AS og, count(DISTINCT vec_id % 5) AS n_species, count(*) AS size FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 5) >= 2 AND count(*) <= 1000),
+    p AS (SELECT n.og, n_species, size, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM genes a JOIN genes b ON a.id // 25 = b.id // 25 AND a.id < b.id AND a.species <> b.species JOIN n ON n.og = a.id // 25)
+    SELECT og, n_species, size, count(*) AS n_pairs, round(avg(c), 6) AS mean_cos, round(median(c), 6) AS median_cos, round(min(c), 6) AS min_cos FROM p GROUP BY og, n_species, size""")
+def og_mean_cosine(spark, sf):
+    g = roles.genes(spark, sf).withColumn("og", F.floor(F.col("id") / 25))
+    return vector.group_cosines(g, 2, 1000)
+
+
+# ---- retrieval ----------------------------------------------------------------------------------
+
+
+@query("SELECT u, v, round(s, 6) AS s FROM ranked_truth WHERE place = 1")
+def best_partner(spark, sf):
+    return r6(retrieval.best_partner(_slice_truth(spark, sf)), "s")
+
+
+@query("SELECT u, v, round(s, 6) AS s, CAST(place AS INT) AS place FROM ranked_truth WHERE place <= 10")
+def topm_partners(spark, sf):
+    return r6(retrieval.top_partners(_slice_truth(spark, sf), 10), "s")
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM ranked_truth t LEFT JOIN knn01 k ON k.q = t.u AND k.nbr = t.v WHERE t.place = 1")
+def hits_mrr(spark, sf):
+    return r6(retrieval.hits_mrr(_slice_truth(spark, sf), _knn01(spark, sf), 50), "hits", "mrr")
+
+
+@query("SELECT count(*) AS n, round(avg(hit), 6) AS top_hits FROM (SELECT t.u, max(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM ranked_truth t LEFT JOIN knn01 k ON k.q = t.u AND k.nbr = t.v WHERE t.place <= 10 GROUP BY t.u)")
+def topm_hits(spark, sf):
+    return r6(retrieval.top_hits(_slice_truth(spark, sf), _knn01(spark, sf), 50, 10), "top_hits")
+
+
+@query("SELECT count(*) AS n, round(avg(hi - lo), 6) AS gap FROM (SELECT u, max(s) AS hi, min(s) AS lo FROM ranked_truth WHERE place <= 2 GROUP BY u HAVING count(*) = 2)")
+def jaccard_gap(spark, sf):
+    return r6(retrieval.partner_gap(_slice_truth(spark, sf)), "gap")
+
+
+@query("""WITH k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species = c.species AND q.id <> c.id WHERE q.species = 0) WHERE rank <= 20),
+    d AS (SELECT gene, count(*) AS deg FROM slice_nbrs GROUP BY gene), h AS (SELECT k.q, count(*) AS hits FROM k JOIN slice_nbrs n ON n.gene = k.q AND n.nbr = k.nbr GROUP BY k.q)
+    SELECT count(*) AS n_eval, round(avg(coalesce(hits, 0) / 20), 6) AS precision_at_k, round(avg(coalesce(hits, 0) / least(deg, 20)), 6) AS recall_at_k FROM (SELECT DISTINCT q FROM k) x JOIN d ON d.gene = x.q LEFT JOIN h ON h.q = x.q""")
+def within_precision_recall(spark, sf):
+    a, _ = _two(spark, sf)
+    near = vector.knn(a, a, 20, exclude_self=True)
+    return r6(retrieval.within(near, graph.symmetric(roles.slice_edges(spark, sf)), 20), "precision_at_k", "recall_at_k")
+
+
+@query("""WITH best AS (SELECT u, v, s FROM ranked_truth WHERE place = 1), a AS (SELECT u, row_number() OVER (ORDER BY u) AS i FROM best), b AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(u AS VARCHAR) || ':0')) AS i FROM best)
+    SELECT count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM a JOIN b ON a.i = b.i LEFT JOIN knn01 k ON k.q = a.u AND k.nbr = b.v""")
+def shuffle_baseline_md5(spark, sf):
+    dealt = retrieval.shuffled_best(_slice_truth(spark, sf), 0)
+    return r6(retrieval.hits_mrr(dealt, _knn01(spark, sf), 50), "hits", "mrr")
+
+
+# ---- alignment ----------------------------------------------------------------------------------
+
+
+def _report(spark, rot, **more):
+    import numpy as np
+
+    row = {"orthogonality_error": procrustes.orthogonality(rot), "det_sign": int(np.sign(np.linalg.det(rot.r))), "trace": float(np.trace(rot.r)), "scale": rot.scale, **more}
+    return spark.createDataFrame([row])
+
+
+@query()
+def procrustes_basic(spark, sf):
+    a, b = _two(spark, sf)
+    return _report(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), allow_reflection=True, vanilla=True))
+
+
+@query()
+def procrustes_weighted(spark, sf):
+    a, b = _two(spark, sf)
+    return _report(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), center=True, scale=True))
+
+
+@query()
+def procrustes_iterative(spark, sf):
+    a, b = _two(spark, sf)
+    rot, log = procrustes.refine(_anchor_pairs(spark, sf), a.select("id", "v"), b.select("id", "v"), threshold=0.2)
+    return _report(spark, rot, rounds=len(log), new_pairs=sum(x["new"] for x in log))
+
+
+@query()
+def two_stage_align(spark, sf):
+    g = roles.genes(spark, sf).select("species", "id", "idx", "og", "v")
+    one = g.select(F.col("species").alias("sp_src"), F.col("id").alias("src"), "og")
+    two = g.select(F.col("species").alias("sp_ref"), F.col("id").alias("ref"), "og")
+    pairs = one.join(two, "og").filter("(sp_src = 1 and sp_ref = 0) or (sp_src > 1 and sp_ref = sp_src % 2)").withColumn("w", F.lit(1.0))
+    groups = spark.createDataFrame([(2, 0), (3, 1), (4, 0)], "species int, seed int")
+    return procrustes.two_stage(g.drop("og"), pairs, 0, [0, 1], groups).select("species", "id", "idx", "status", F.size("v").alias("dim"))
+
+
+@query()
+def anchor_subsample(spark, sf):
+    a, b = _two(spark, sf)
+    pairs = _anchor_pairs(spark, sf).persist()
+    rows = []
+    for rate in (1.0, 0.5, 0.1):
+        rot = procrustes.fit(procrustes.anchors_of(procrustes.subsampled(pairs, rate, 0), a, b), allow_reflection=True)
+        rows.append((rate, procrustes.orthogonality(rot) < 1e-4))
+    return spark.createDataFrame(rows, "rate double, orthogonal boolean")
+
+
+# ---- statistics and curves ----------------------------------------------------------------------
+
+
+def _ranks(value: str, rel: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"rank() OVER ({part}ORDER BY {value}) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''}{value}) - 1) / 2.0"
+
+
+@query(f"SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT {_ranks('l_quantity', '')} AS rx, {_ranks('l_extendedprice', '')} AS ry FROM lineitem)")
+def spearman(spark, sf):
+    return r6(stats.spearman(roles.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"), "rho")
+
+
+@query(f"""WITH r AS (SELECT l_returnflag = 'R' AS f, {_ranks('l_extendedprice', '')} AS rk FROM lineitem), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM lineitem GROUP BY l_extendedprice))
+    SELECT CAST(count(*) FILTER (WHERE f) AS BIGINT) AS n1, count(*) FILTER (WHERE NOT f) AS n2, sum(rk) FILTER (WHERE f) - count(*) FILTER (WHERE f) * (count(*) FILTER (WHERE f) + 1) / 2 AS u, any_value(ties) AS ties FROM r CROSS JOIN t""")
+def mann_whitney_u(spark, sf):
+    return stats.mann_whitney(roles.table(spark, sf, "lineitem").withColumn("first", F.col("l_returnflag") == "R"), "l_extendedprice", "first")
+
+
+@query("""WITH d AS (SELECT l_quantity - l_linenumber * 7 AS d FROM lineitem WHERE l_quantity <> l_linenumber * 7), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d)
+    SELECT count(*) AS n, coalesce(sum(rk) FILTER (WHERE d > 0), 0.0) AS w_plus FROM r""")
+def wilcoxon_wplus(spark, sf):
+    li = roles.table(spark, sf, "lineitem").withColumn("other", F.col("l_linenumber") * 7.0)
+    return stats.wilcoxon(li, "l_quantity", "other")
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std_samp, round(stddev_pop(value), 6) AS std_pop, round(stddev_samp(value) / sqrt(count(value)), 6) AS se, round(median(value), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS largest FROM events GROUP BY event_type")
+def spread_summary(spark, sf):
+    return r6(stats.spread(roles.table(spark, sf, "events"), "value", "event_type"), "mean", "std_samp", "std_pop", "se", "median", "least", "largest")
+
+
+_CUM = "c AS (SELECT grp, score, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, sum(y) AS tp_at, sum(1 - y) AS fp_at FROM {rel} GROUP BY grp, score WINDOW w AS (PARTITION BY grp ORDER BY score DESC)), tot AS (SELECT grp, sum(y) AS p, sum(1 - y) AS n FROM {rel} GROUP BY grp)"
+
+
+@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(sum(fp_at * (2 * tp - tp_at) / 2.0) / (any_value(p) * any_value(n)), 6) AS auc FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
+def roc_auc(spark, sf):
+    return r6(curves.roc_auc(roles.labelled(spark, sf), "grp"), "auc")
+
+
+@query("""WITH c AS (SELECT score, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, sum(y) AS tp_at, sum(1 - y) AS fp_at FROM labelled GROUP BY score WINDOW w AS (ORDER BY score DESC)), t AS (SELECT sum(y) AS p, greatest(floor(sum(1 - y) * 0.2), 1) AS cap FROM labelled)
+    SELECT round(coalesce(sum(fp_at * (2 * tp - tp_at) / 2.0), 0) / (any_value(cap) * any_value(p)), 6) AS pauc, CAST(any_value(cap) AS BIGINT) AS fp_cap FROM c CROSS JOIN t WHERE fp <= cap""")
+def partial_auc(spark, sf):
+    return r6(curves.partial_auc(roles.labelled(spark, sf), 0.2), "pauc")
+
+
+@query("""WITH g AS (SELECT t / 1000 AS t FROM range(10, 1000) r(t)), s AS (SELECT t, sum(y) AS tp, count(*) AS pred FROM g JOIN labelled ON score + 1e-12 >= t GROUP BY t), f AS (SELECT t, 2.0 * tp / (pred + (SELECT sum(y) FROM labelled)) AS f1 FROM s)
+    SELECT round(max(f1), 6) AS fmax FROM f""")
+def fmax_micro(spark, sf):
+    return r6(curves.fmax_micro(roles.labelled(spark, sf)).select("fmax"), "fmax")
+
+
+@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(max(2.0 * tp / (tp + fp + p)), 6) AS fmax FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
+def fmax_term(spark, sf):
+    return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").select("grp", "fmax"), "fmax")
+
+
+@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(sum(tp_at / p * tp / (tp + fp)), 6) AS ap FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
+def average_precision(spark, sf):
+    return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").select("grp", "ap"), "ap")
+
+
+# ---- labels and classifiers ---------------------------------------------------------------------
+
+
+def _predicted(spark, sf):
+    lab = roles.labelled(spark, sf)
+    q = lab.select("id", F.lit("quality").alias("class"), F.col("y"), (F.col("score") > 0.2).cast("int").alias("yhat"))
+    return q.unionByName(lab.select("id", F.lit("toxic").alias("class"), F.col("y2").alias("y"), (F.col("id") % 7 == 0).cast("int").alias("yhat")))
+
+
+_PRED = "p AS (SELECT id, 'quality' AS class, y, CASE WHEN score > 0.2 THEN 1 ELSE 0 END AS yhat FROM labelled UNION ALL SELECT id, 'toxic', y2, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END FROM labelled)"
+_CLS = "k AS (SELECT class, sum(y * yhat) AS tp, sum((1 - y) * yhat) AS fp, sum(y * (1 - yhat)) AS fn, sum((1 - y) * (1 - yhat)) AS tn FROM p GROUP BY class)"
+
+
+@query(f"WITH {_PRED}, {_CLS} SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS f1_macro FROM k")
+def f1_micro_macro(spark, sf):
+    return r6(ml.label_metrics(_predicted(spark, sf)).select("f1_micro", "f1_macro"), "f1_micro", "f1_macro")
+
+
+@query(f"WITH {_PRED} SELECT round(avg(same), 6) AS accuracy FROM (SELECT id, min(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END) AS same FROM p GROUP BY id)")
+def subset_accuracy(spark, sf):
+    return r6(ml.label_metrics(_predicted(spark, sf)).select("accuracy"), "accuracy")
+
+
+@query(f"WITH {_PRED}, {_CLS} SELECT round(sum(tp) / (sum(tp) + sum(fp) + sum(fn)), 6) AS jaccard_micro FROM k")
+def jaccard_micro(spark, sf):
+    return r6(ml.label_metrics(_predicted(spark, sf)).select("jaccard_micro"), "jaccard_micro")
+
+
+@query(f"WITH {_PRED}, {_CLS} SELECT class, round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc FROM k WHERE tp + fn > 0")
+def mcc_per_class(spark, sf):
+    return r6(ml.mcc(_predicted(spark, sf)), "mcc")
+
+
+@query("SELECT id, grp, CAST((row_number() OVER (PARTITION BY grp ORDER BY md5(CAST(id AS VARCHAR) || 'fold'), id) - 1) % 5 AS INT) AS fold FROM labelled")
+def stratified_folds_md5(spark, sf):
+    return ml.stratified_folds(roles.labelled(spark, sf).select("id", "grp"), "id", "grp")
+
+
+@query("SELECT grp AS held_out, count(*) AS n_test, (SELECT count(*) FROM labelled) - count(*) AS n_train FROM labelled GROUP BY grp")
+def loso_split(spark, sf):
+    return ml.leave_one_out(roles.labelled(spark, sf), "grp")
+
+
+@query("SELECT user_id, CAST(max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS INT) AS click, CAST(max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS INT) AS \"view\", CAST(max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS INT) AS purchase FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id")
+def multi_hot(spark, sf):
+    return ml.multi_hot(roles.table(spark, sf, "events"), "user_id", "event_type", ["click", "view", "purchase"])
+
+
+@query("SELECT term, count(DISTINCT CASE WHEN NOT is_test THEN gene END) AS n_train, count(DISTINCT CASE WHEN is_test THEN gene END) AS n_test FROM annotated GROUP BY term HAVING count(DISTINCT CASE WHEN NOT is_test THEN gene END) >= 10 AND count(DISTINCT CASE WHEN is_test THEN gene END) >= 1")
+def evaluable_terms(spark, sf):
+    return ml.evaluable_terms(roles.annotated(spark, sf))
+
+
+@query("SELECT term, count(DISTINCT species) AS n_species FROM annotated GROUP BY term HAVING count(DISTINCT species) >= 2")
+def shared_terms(spark, sf):
+    return ml.shared_terms(roles.annotated(spark, sf))
+
+
+@query("""WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE user_id % 5 <> 0) SELECT event_id, round((value - m) / s, 6) AS value FROM events CROSS JOIN s""")
+def standard_scaler(spark, sf):
+    e = roles.table(spark, sf, "events").select("event_id", "user_id", "value")
+    return r6(ml.standardised(e, ["value"], F.col("user_id") % 5 != 0).select("event_id", "value"), "value")
+
+
+@query("SELECT k.q, o.og AS term, round(count(*) / 50, 6) AS score FROM knn01 k JOIN slice_og o ON o.gene = k.nbr GROUP BY k.q, o.og")
+def knn_term_transfer(spark, sf):
+    labels = roles.slice_og(spark, sf).select("gene", F.col("og").alias("term"))
+    return r6(ml.knn_transfer(_knn01(spark, sf), labels, 50), "score")
+
+
+@query("SELECT species, id FROM (SELECT species, id, row_number() OVER (PARTITION BY species ORDER BY md5(CAST(id AS VARCHAR) || 'sample'), id) AS r FROM genes) WHERE r <= 30")
+def species_subsample(spark, sf):
+    return ml.subsample(roles.genes(spark, sf).select("species", "id"), "species", "id", 30)
+
+
+@query()
+def ovr_logreg(spark, sf):
+    g = roles.genes(spark, sf).withColumn("x", vec.as_double("v"))
+    classes = spark.range(10).select(F.col("id").cast("int").alias("class"))
+    train = g.filter("species <> 0").join(F.broadcast(classes)).select("class", (F.col("og") == F.col("class")).cast("int").alias("y"), "x")
+    test = g.filter("species = 0").join(F.broadcast(classes)).select("class", "id", "x")
+    return ml.one_vs_rest(train, test)
+
+
+@query()
+def kmeans_clusters(spark, sf):
+    out = ml.clusters(roles.genes(spark, sf).select("id", F.col("v").alias("x")), 12)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def node2vec_walks(spark, sf):
+    small = roles.slice_edges(spark, sf).withColumn("w", F.lit(1.0))
+    return walks.biased_walks(small, walks=2, length=8).select("walk", texts("nodes").alias("nodes"))
+
+
+@query()
+def word2vec_embed(spark, sf):
+    small = roles.slice_edges(spark, sf).withColumn("w", F.lit(1.0))
+    return walks.skip_gram(walks.biased_walks(small, walks=2, length=8), dim=16, epochs=1).select("gene", F.size("v").alias("dim"))
+
+
+# ---- reports ------------------------------------------------------------------------------------
+
+
+@query("""SELECT l_linestatus AS task, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 6) AS "A_mean", round(stddev_samp(l_quantity) FILTER (WHERE l_returnflag = 'A') / sqrt(greatest(count(*) FILTER (WHERE l_returnflag = 'A'), 1)), 6) AS "A_se",
+    round(avg(l_quantity) FILTER (WHERE l_returnflag = 'N'), 6) AS "N_mean", round(stddev_samp(l_quantity) FILTER (WHERE l_returnflag = 'N') / sqrt(greatest(count(*) FILTER (WHERE l_returnflag = 'N'), 1)), 6) AS "N_se" FROM lineitem GROUP BY l_linestatus""")
+def method_pivot_se(spark, sf):
+    li = roles.table(spark, sf, "lineitem").withColumnRenamed("l_linestatus", "task")
+    return r6(report.pivot_mean(li, "task", "l_returnflag", "l_quantity", ["A", "N"]), "A_mean", "A_se", "N_mean", "N_se")
+
+
+@query("""WITH l AS (SELECT l_returnflag AS arm, 'l_quantity' AS metric, l_quantity AS value FROM lineitem UNION ALL SELECT l_returnflag, 'l_tax', l_tax FROM lineitem)
+    SELECT metric, round(avg(value) FILTER (WHERE arm = 'A'), 6) AS base_mean, round(stddev_samp(value) FILTER (WHERE arm = 'A'), 6) AS base_std, count(*) FILTER (WHERE arm = 'A') AS base_n, round(avg(value) FILTER (WHERE arm = 'R'), 6) AS full_mean, round(stddev_samp(value) FILTER (WHERE arm = 'R'), 6) AS full_std, count(*) FILTER (WHERE arm = 'R') AS full_n,
+    round(100 * (avg(value) FILTER (WHERE arm = 'R') - avg(value) FILTER (WHERE arm = 'A')) / avg(value) FILTER (WHERE arm = 'A'), 6) AS improvement_pct FROM l GROUP BY metric""")
+def ablation_table(spark, sf):
+    out = report.ablation(roles.table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], "l_returnflag", "A", "R")
+    return r6(out, "base_mean", "base_std", "full_mean", "full_std", "improvement_pct")
+
+
+@query("""SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, a.n_a, b.n_b FROM (SELECT l_partkey, count(*) AS n_a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN (SELECT l_partkey, count(*) AS n_b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON a.l_partkey = b.l_partkey""")
+def outer_merge_methods(spark, sf):
+    li = roles.table(spark, sf, "lineitem")
+    a, b = (li.filter(F.col("l_returnflag") == f).groupBy("l_partkey").agg(F.count(F.lit(1)).alias(n)) for f, n in (("A", "n_a"), ("R", "n_b")))
+    return report.merge_methods(a, b, ["l_partkey"])
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1")
+def dedup_keep_first(spark, sf):
+    return report.keep_first(roles.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1, 2")
+def comparison_summary(spark, sf):
+    out = report.comparison(roles.table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"])
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query("""WITH s AS (SELECT count(*) AS n, sum(d) / 2 AS e FROM (SELECT gene, count(*) AS d FROM nbrs GROUP BY gene)), c AS (SELECT 2 * e / (n * (n - 1)) AS v FROM s),
+    k AS (SELECT 'density' AS name, v > 0.001 AND v < 0.5 AS passed FROM c UNION ALL SELECT 'coverage', (SELECT avg(CASE WHEN p.gene IS NULL THEN 0.0 ELSE 1.0 END) FROM (SELECT DISTINCT gene FROM nbrs) x LEFT JOIN part_og p ON p.gene = x.gene) > 0.8)
+    SELECT count(*) AS n_checks, CAST(sum(CAST(passed AS INT)) AS BIGINT) AS n_passed, CAST(count(*) - sum(CAST(passed AS INT)) AS BIGINT) AS n_failed, CASE WHEN sum(CAST(passed AS INT)) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status FROM k""")
+def validation_report(spark, sf):
+    e = roles.edges(spark, sf)
+    density = graph.stats_distinct(e).select(F.lit("density").alias("name"), report.gate(F.col("density"), 0.001, 0.5).alias("passed"))
+    known = roles.part_og(spark, sf).select("gene", F.lit(1.0).alias("hit"))
+    nodes = graph.symmetric(e).select("gene").distinct().join(known, "gene", "left")
+    coverage = nodes.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("c")).select(F.lit("coverage").alias("name"), report.gate(F.col("c"), 0.8).alias("passed"))
+    return report.validation(density.unionByName(coverage))
+
+
+@query("SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 1")
+def figure_histogram(spark, sf):
+    return report.histogram(roles.table(spark, sf, "lineitem"), "l_quantity", 0.0, 50.0, 10)
+
+
+@query("SELECT l_returnflag, min(l_quantity) AS least, quantile_cont(l_quantity, 0.25) AS q1, median(l_quantity) AS median, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS largest FROM lineitem GROUP BY 1")
+def figure_boxes(spark, sf):
+    return report.quantiles(roles.table(spark, sf, "lineitem"), "l_quantity", "l_returnflag")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE (CASE WHEN a.n_nationkey IN (3, 8, 15, 21) THEN 1 ELSE 0 END) + (CASE WHEN b.n_nationkey IN (3, 8, 15, 21) THEN 1 ELSE 0 END) WHEN 2 THEN 'seed-seed' WHEN 1 THEN 'seed-nonseed' ELSE 'nonseed-nonseed' END AS pair_type FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def pair_types(spark, sf):
+    n = roles.table(spark, sf, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("a")), n.select(F.col("n_nationkey").alias("b"))
+    return a.join(b, F.col("a") < F.col("b")).withColumn("pair_type", report.pair_type(F.col("a"), F.col("b"), SEEDS))
