@@ -463,7 +463,7 @@ def spread_summary(spark, sf):
 _CUM = "c AS (SELECT grp, score, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, sum(y) AS tp_at, sum(1 - y) AS fp_at FROM {rel} GROUP BY grp, score WINDOW w AS (PARTITION BY grp ORDER BY score DESC)), tot AS (SELECT grp, sum(y) AS p, sum(1 - y) AS n FROM {rel} GROUP BY grp)"
 
 
-@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(sum(fp_at * (2 * tp - tp_at) / 2.0) / (any_value(p) * any_value(n)), 6) AS auc FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
+@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(sum(fp_at * (2 * tp - tp_at) / 2.0) / nullif(any_value(p) * any_value(n), 0), 6) AS auc FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
 def roc_auc(spark, sf):
     return r6(curves.roc_auc(roles.labelled(spark, sf), "grp"), "auc")
 
@@ -480,12 +480,12 @@ def fmax_micro(spark, sf):
     return r6(curves.fmax_micro(roles.labelled(spark, sf)).select("fmax"), "fmax")
 
 
-@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(max(2.0 * tp / (tp + fp + p)), 6) AS fmax FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
+@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, CASE WHEN any_value(p) > 0 AND any_value(n) > 0 THEN round(max(2.0 * tp / (tp + fp + p)), 6) ELSE 0.0 END AS fmax FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
 def fmax_term(spark, sf):
     return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").select("grp", "fmax"), "fmax")
 
 
-@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, round(sum(tp_at / p * tp / (tp + fp)), 6) AS ap FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
+@query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, CASE WHEN any_value(p) > 0 AND any_value(n) > 0 THEN round(sum(tp_at / p * tp / (tp + fp)), 6) ELSE 0.0 END AS ap FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
 def average_precision(spark, sf):
     return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").select("grp", "ap"), "ap")
 
