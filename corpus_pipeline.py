@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoweave.llm import jaccard_join, line_dedup, packing, pii, quality
-from orthoweave.llm.common import stash, table
+from orthoweave.llm.common import small, stash, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of near-duplicate links."""
     found = jaccard_join.near_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stash(found, "near-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(stash(found, "near-dropped")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every text with its bin."""
-    return packing.pack_documents(docs, carry_text=True)
+    return packing.pack_documents(docs, carry_text=True, stored=True)
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:

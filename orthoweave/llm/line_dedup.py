@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stash
+from .common import attach, discard, small, stash
 
 SEED = 42  # of Spark's xxhash64
 
@@ -42,10 +42,11 @@ def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = known.filter(F.col("seen") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).filter(F.col("sites") >= min_sites * (1 - error))
     known = stash(known.select("h1", "h2", "first_id", "seen", "sites"), "line-spread")
     near = known.filter(F.col("sites") <= min_sites * (1 + error)).select("h1", "h2")
-    few = near.limit(broadcast_lines + 1).count() <= broadcast_lines
-    exact = lines.join(F.broadcast(near) if few else near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.count(F.lit(1)).alias("_n")).groupBy("h1", "h2").agg(F.count("site").alias("exact"))
+    exact = lines.join(small(near, broadcast_lines), ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.count(F.lit(1)).alias("_n")).groupBy("h1", "h2").agg(F.count("site").alias("exact"))
     out = known.join(exact, ["h1", "h2"], "left").filter(F.coalesce("exact", "sites") >= min_sites)
-    return stash(out.select("h1", "h2", "first_id", "seen"), "spread-lines")
+    out = stash(out.select("h1", "h2", "first_id", "seen"), "spread-lines")
+    discard(known)
+    return out
 
 
 PLAN = "n_lines long, n_spread long, copy_like boolean, cleaned string"

@@ -72,14 +72,17 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: float =
 PACKED = "shard long, bin_id long, bin_length int, bin_offset int, {id} {kind}, piece int, start long, n_units int"
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = 8192, overhead: float = 32.0, square: float = 65536.0, carry_text: bool = False) -> DataFrame:
-    """One row per piece: shard, bin_id (unique), bin_length, bin_offset, id, piece, start, n_units, and its text if asked for."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = 8192, overhead: float = 32.0, square: float = 65536.0, carry_text: bool = False, stored: bool = False) -> DataFrame:
+    """One row per piece: shard, bin_id (unique), bin_length, bin_offset, id, piece, start, n_units, and its text if asked for.
+
+    Shards are dealt by row number, which repeats only over files: `stored` says that docs is read from files; else it is stored first."""
     top = max(lengths)
+    if not stored:
+        docs = stash(docs.select(id_col, text_col), "packing-input")
     rows = docs.select(F.col(id_col), *([F.col(text_col).alias("_text")] if carry_text else []), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_n"))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(top).cast("long"))).alias("start")
     pieces = rows.filter("_n > 0").select("*", piece).select(id_col, *([F.substring("_text", F.col("start").cast("int") + 1, F.lit(top)).alias("piece_text")] if carry_text else []), (F.col("start") / top).cast("int").alias("piece"), "start", F.least(F.col("_n") - F.col("start"), F.lit(top)).cast("int").alias("n_units"))
-    pieces = stash(pieces, "pieces")  # so that the row numbers below are those of stored files
-    n = pieces.count()
+    n = rows.agg(F.sum(F.ceil(F.col("_n") / top))).first()[0] or 0
     shards = max(1, -(-n // shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), id_col), F.lit(shards)))
     names = [f.split()[0] for f in PACKED.format(id=id_col, kind="x").split(", ")] + (["piece_text"] if carry_text else [])
@@ -104,4 +107,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op8_packing(spark, sf_dir):
     from .common import table
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), stored=True)
