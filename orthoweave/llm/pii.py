@@ -107,13 +107,14 @@ class Graph:
                 i = len(self.doc)
                 self.doc.append(k), self.start.append(m.start()), self.end.append(m.end())
                 feats.append(_features(tok))
-                if before >= 0:
+                beside = before >= 0
+                if beside:
                     chain.append((before, i))
                 before = i
                 digits = DIGITS.sub("", tok)
                 keys = {"t" + CORE.sub("", tok.lower())} | ({"d" + digits} if len(digits) >= 6 else set())
                 for last in {seen[key] for key in keys if key in seen}:
-                    if last != i - 1 or before < 0:
+                    if last != i - 1 or not beside:
                         skip.append((last, i))
                 for key in keys:
                     if len(key) > 3:
