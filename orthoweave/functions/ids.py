@@ -40,5 +40,6 @@ def short_name(c: Column, n: int = 3) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """12.3s, 4.5min or 1.2h."""
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(seconds < 3600, F.format_string("%.1fmin", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+    """12.3s, 4.5min or 1.2h; halves go to the even digit."""
+    one = lambda x, unit: F.format_string(f"%.1f{unit}", F.bround(x, 1))
+    return F.when(seconds < 60, one(seconds, "s")).when(seconds < 3600, one(seconds / 60, "min")).otherwise(one(seconds / 3600, "h"))

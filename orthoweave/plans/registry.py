@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, pvalues
 from ..functions import vectors as vec
-from ..operators import curves, graph, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
+from ..operators import curves, evaluation, graph, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
 from . import roles
 
 QUERIES: dict = {}
@@ -655,3 +655,119 @@ def pair_types(spark, sf):
     n = roles.table(spark, sf, "nation")
     a, b = n.select(F.col("n_nationkey").alias("a")), n.select(F.col("n_nationkey").alias("b"))
     return a.join(b, F.col("a") < F.col("b")).withColumn("pair_type", report.pair_type(F.col("a"), F.col("b"), SEEDS))
+
+
+# ---- composed evaluations and the remaining rules -----------------------------------------------
+
+
+def _species0(spark, sf):
+    return roles.genes(spark, sf).filter("species = 0")
+
+
+_PAIRS = """s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS score, CASE WHEN a.og = b.og THEN 1 ELSE 0 END AS y FROM unit a JOIN unit b ON a.id < b.id WHERE a.species = 0 AND b.species = 0),
+    c AS (SELECT score, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, sum(y) AS tp_at, sum(1 - y) AS fp_at FROM s GROUP BY score WINDOW w AS (ORDER BY score DESC))"""
+
+
+@query(f"WITH {_PAIRS} SELECT round(sum(fp_at * (2 * tp - tp_at) / 2.0) / ((SELECT sum(y) FROM s) * (SELECT sum(1 - y) FROM s)), 6) AS auc FROM c")
+def pathway_roc(spark, sf):
+    g = _species0(spark, sf)
+    return r6(curves.roc_auc(evaluation.scored_gene_pairs(g.select("id", "v"), g.select(F.col("id").alias("gene"), F.col("og").alias("term")))), "auc")
+
+
+@query("""WITH pos AS (SELECT list_dot_product(a.v, b.v) AS c FROM unit a JOIN unit b ON a.og = b.og WHERE a.species = 0 AND b.species = 1),
+    u AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM unit WHERE species = 0), w AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM unit WHERE species = 1),
+    neg AS (SELECT list_dot_product(u.v, w.v) AS c FROM u JOIN w ON u.r = w.r)
+    SELECT (SELECT count(*) FROM pos) AS n_pos, round((SELECT avg(c) FROM pos), 6) AS mean_pos, round((SELECT stddev_pop(c) FROM pos), 6) AS std_pos, (SELECT count(*) FROM neg) AS n_neg, round((SELECT avg(c) FROM neg), 6) AS mean_neg, round((SELECT stddev_pop(c) FROM neg), 6) AS std_neg, round((SELECT avg(c) FROM pos) - (SELECT avg(c) FROM neg), 6) AS effect""")
+def ortholog_similarity_contrast(spark, sf):
+    a, b = _two(spark, sf)
+    pos = a.select(F.col("id").alias("u"), "og").join(b.select(F.col("id").alias("v"), "og"), "og").select("u", "v")
+    out = evaluation.similarity_contrast(vector.pair_cosine(pos, a, b), vector.pair_cosine(evaluation.hashed_pairs(a, b), a, b))
+    return r6(out, "mean_pos", "std_pos", "mean_neg", "std_neg", "effect")
+
+
+@query("""WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_nationkey IN (3, 8, 15, 21) THEN 1 ELSE 0 END + CASE WHEN b.n_nationkey IN (3, 8, 15, 21) THEN 1 ELSE 0 END AS n, CASE WHEN a.n_nationkey IN (3, 8, 15, 21) THEN a.n_nationkey WHEN b.n_nationkey IN (3, 8, 15, 21) THEN b.n_nationkey END AS s FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n, CASE WHEN n = 1 THEN s END ORDER BY md5(CAST(a AS VARCHAR) || '_' || CAST(b AS VARCHAR)), a, b) AS r FROM p) SELECT a, b FROM r WHERE n = 2 OR (n = 1 AND r <= 5) OR (n = 0 AND r <= 10)""")
+def stratified_species_pairs(spark, sf):
+    n = roles.table(spark, sf, "nation")
+    return evaluation.stratified_pairs(n.select(F.col("n_nationkey").alias("a")).join(n.select(F.col("n_nationkey").alias("b")), F.col("a") < F.col("b")), SEEDS)
+
+
+@query("SELECT idx AS id, round(var_pop(c), 6) AS variance FROM (SELECT a.idx, list_dot_product(a.v, b.v) AS c FROM unit a JOIN unit b ON a.idx = b.idx AND a.species < b.species) GROUP BY idx")
+def embedding_stability(spark, sf):
+    runs = roles.genes(spark, sf).select(F.col("idx").alias("id"), F.col("species").alias("run"), "v")
+    return r6(vector.stability(runs), "variance")
+
+
+@query("""WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py, label FROM embeddings), b AS (SELECT min(px) - 0.01 AS x0, max(px) + 0.01 AS x1, min(py) - 0.01 AS y0, max(py) + 0.01 AS y1 FROM e WHERE label = 3 AND id % 7 = 0)
+    SELECT id FROM e CROSS JOIN b WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1""")
+def bounding_box(spark, sf):
+    e = roles.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"), "label")
+    return ml.within_box(e, e.filter("label = 3 and id % 7 = 0"), 0.01).select("id")
+
+
+@query("SELECT gene, term FROM (SELECT gene, term, count(*) OVER (PARTITION BY species, term) AS n FROM annotated) WHERE n >= 10")
+def frequent_term_rows(spark, sf):
+    return ml.frequent_terms(roles.annotated(spark, sf), 10, "species").select("gene", "term")
+
+
+@query("WITH " + _CUM.format(rel="labelled") + ", a AS (SELECT c.grp, CASE WHEN any_value(n) > 0 THEN sum(tp_at / p * tp / (tp + fp)) ELSE 0.0 END AS ap FROM c JOIN tot ON tot.grp = c.grp WHERE p > 0 GROUP BY c.grp) SELECT round(avg(ap), 6) AS macro_ap, count(*) AS n_terms FROM a")
+def macro_auprc(spark, sf):
+    return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").agg(F.avg("ap").alias("macro_ap"), F.count(F.lit(1)).alias("n_terms")), "macro_ap")
+
+
+@query("SELECT l_partkey, max(l_quantity) AS total, CASE WHEN max(l_quantity) * l_partkey < 60 THEN printf('%.1fs', max(l_quantity) * l_partkey) WHEN max(l_quantity) * l_partkey < 3600 THEN printf('%.1fmin', max(l_quantity) * l_partkey / 60) ELSE printf('%.1fh', max(l_quantity) * l_partkey / 3600) END AS took FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey")
+def duration_format(spark, sf):
+    t = roles.table(spark, sf, "lineitem").filter("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.max("l_quantity").alias("total"))
+    return t.withColumn("took", ids.duration(F.col("total") * F.col("l_partkey")))
+
+
+@query("""WITH near AS (SELECT sp_i AS species, arg_min(sp_j, dist * 1000000 + sp_j) AS seed FROM dist WHERE sp_j IN (3, 8, 15, 21) AND sp_i NOT IN (3, 8, 15, 21) GROUP BY sp_i), d AS (SELECT n_nationkey AS seed, r_name AS division FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT CAST(species AS INT) AS species, division FROM near JOIN d ON d.seed = near.seed UNION ALL SELECT seed, division FROM d WHERE seed IN (3, 8, 15, 21)""")
+def division_mapping(spark, sf):
+    d = roles.table(spark, sf, "nation").join(roles.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("seed"), F.col("r_name").alias("division"))
+    dist = _dist(spark, sf)
+    near = species.nearest_seed(dist, SEEDS).select("species", "seed")
+    return near.join(d, "seed").select("species", "division").unionByName(d.filter(F.col("seed").isin(SEEDS)).select(F.col("seed").alias("species"), "division"))
+
+
+@query("""WITH q AS (SELECT grp, avg(score) AS f1 FROM labelled GROUP BY grp), r AS (SELECT n_name AS pair, CASE WHEN n_nationkey % 6 = 0 THEN 'no ground truth' END AS error, n_nationkey / 25 AS spearman FROM nation)
+    SELECT round(avg(spearman) FILTER (WHERE error IS NULL), 6) AS avg_spearman, arg_max(pair, spearman) FILTER (WHERE error IS NULL) AS best_pair, arg_min(pair, spearman) FILTER (WHERE error IS NULL) AS worst_pair, CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS n_errors FROM r""")
+def run_summary(spark, sf):
+    n = roles.table(spark, sf, "nation")
+    r = n.select(F.col("n_name").alias("pair"), F.when(F.col("n_nationkey") % 6 == 0, "no ground truth").alias("error"), (F.col("n_nationkey") / 25).alias("spearman"))
+    return r6(report.run_summary(r, ["spearman"], "spearman"), "avg_spearman")
+
+
+@query("SELECT doc_id, label FROM (SELECT doc_id, 'quality' AS label, quality AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) WHERE value > 0")
+def unpivot_labels(spark, sf):
+    return ml.unpivoted(roles.table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", ["quality", "toxic"])
+
+
+@query("SELECT min(node) AS node FROM (SELECT n_name AS node, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation WHERE starts_with(n_name, (SELECT substr(n_name, 1, 1) FROM nation WHERE n_nationkey = 7))) WHERE r = 1")
+def prefix_resolution(spark, sf):
+    n = roles.table(spark, sf, "nation").select(F.col("n_nationkey").alias("line_no"), F.col("n_name").alias("node"))
+    return graph.first_with_prefix(n, n.filter("line_no = 7").first()["node"][:1])
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr, any_value(h.top_hits) AS top_hits, any_value(g.gap) AS gap, CAST(NULL AS VARCHAR) AS error FROM ranked_truth t LEFT JOIN knn01 k ON k.q = t.u AND k.nbr = t.v CROSS JOIN (SELECT round(avg(hit), 6) AS top_hits FROM (SELECT t.u, max(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM ranked_truth t LEFT JOIN knn01 k ON k.q = t.u AND k.nbr = t.v WHERE t.place <= 10 GROUP BY t.u)) h CROSS JOIN (SELECT round(avg(hi - lo), 6) AS gap FROM (SELECT u, max(s) AS hi, min(s) AS lo FROM ranked_truth WHERE place <= 2 GROUP BY u HAVING count(*) = 2)) g WHERE t.place = 1")
+def pair_evaluation_record(spark, sf):
+    return r6(retrieval.pair_record(_slice_truth(spark, sf), _knn01(spark, sf)), "hits", "mrr", "top_hits", "gap")
+
+
+@query()
+def principal_axes(spark, sf):
+    return evaluation.principal_axes(roles.genes(spark, sf).select("id", "v")).select("id", F.size("xy").alias("dim"))
+
+
+@query()
+def species_clustering(spark, sf):
+    merges = species.average_linkage(_dist(spark, sf))
+    return spark.createDataFrame([(i, len(a) + len(b), float(h)) for i, (a, b, h) in enumerate(merges)], "step int, size int, height double")
+
+
+@query()
+def significance_report(spark, sf):
+    """Statistics and one-sided p of the rank tests."""
+    m, w, s = mann_whitney_u(spark, sf).first(), wilcoxon_wplus(spark, sf).first(), spearman(spark, sf).first()
+    rows = [("mann_whitney", float(m["u"]), pvalues.mann_whitney_greater(m["u"], m["n1"], m["n2"], m["ties"])), ("wilcoxon", float(w["w_plus"]), pvalues.wilcoxon_greater(w["w_plus"], w["n"])), ("spearman", float(s["rho"]), pvalues.spearman_two_sided(s["rho"], s["n"]))]
+    return spark.createDataFrame(rows, "test string, statistic double, p double")
