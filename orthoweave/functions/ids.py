@@ -40,6 +40,6 @@ def short_name(c: Column, n: int = 3) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """12.3s, 4.5min or 1.2h; halves go to the even digit."""
-    one = lambda x, unit: F.format_string(f"%.1f{unit}", F.bround(x, 1))
+    """12.3s, 4.5min or 1.2h; a half that binary holds exactly (a quarter) goes to the even digit."""
+    one = lambda x, unit: F.format_string(f"%.1f{unit}", F.when(x * 4 % 1 == 0, F.bround(x, 1)).otherwise(x))
     return F.when(seconds < 60, one(seconds, "s")).when(seconds < 3600, one(seconds / 60, "min")).otherwise(one(seconds / 3600, "h"))

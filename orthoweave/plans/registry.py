@@ -715,10 +715,10 @@ def macro_auprc(spark, sf):
     return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").agg(F.avg("ap").alias("macro_ap"), F.count(F.lit(1)).alias("n_terms")), "macro_ap")
 
 
-@query("SELECT l_partkey, max(l_quantity) AS total, CASE WHEN max(l_quantity) * l_partkey < 60 THEN printf('%.1fs', max(l_quantity) * l_partkey) WHEN max(l_quantity) * l_partkey < 3600 THEN printf('%.1fmin', max(l_quantity) * l_partkey / 60) ELSE printf('%.1fh', max(l_quantity) * l_partkey / 3600) END AS took FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey")
+@query("SELECT l_partkey, max(l_quantity) AS total, CASE WHEN (max(l_quantity) * l_partkey + 0.0123) < 60 THEN printf('%.1fs', (max(l_quantity) * l_partkey + 0.0123)) WHEN (max(l_quantity) * l_partkey + 0.0123) < 3600 THEN printf('%.1fmin', (max(l_quantity) * l_partkey + 0.0123) / 60) ELSE printf('%.1fh', (max(l_quantity) * l_partkey + 0.0123) / 3600) END AS took FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey")
 def duration_format(spark, sf):
     t = roles.table(spark, sf, "lineitem").filter("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.max("l_quantity").alias("total"))
-    return t.withColumn("took", ids.duration(F.col("total") * F.col("l_partkey")))
+    return t.withColumn("took", ids.duration(F.col("total") * F.col("l_partkey") + 0.0123))
 
 
 @query("""WITH near AS (SELECT sp_i AS species, arg_min(sp_j, dist * 1000000 + sp_j) AS seed FROM dist WHERE sp_j IN (3, 8, 15, 21) AND sp_i NOT IN (3, 8, 15, 21) GROUP BY sp_i), d AS (SELECT n_nationkey AS seed, r_name AS division FROM nation JOIN region ON n_regionkey = r_regionkey)
