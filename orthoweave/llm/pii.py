@@ -7,8 +7,8 @@ same digits) share a skip potential, linking each occurrence to the next one, so
 clique. Loopy sum-product message passing runs over all documents of an Arrow batch as one graph in numpy. A token whose
 marginal for a kind reaches `threshold` and that overlaps no base span becomes a further span; base spans always stay.
 
-Weights are learned by pseudo-likelihood from the base spans of at most `max_train_docs` documents that hold candidates (the
-smallest by a hash of their text; a documented parameter).
+Weights are learned by pseudo-likelihood from the base spans of at most `max_train_docs` documents that hold candidates (chosen
+by a hash of their text; a documented parameter).
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; equal texts give equal spans; an
 empty table gives an empty result (and an untrained field, which adds nothing); other columns pass through `redact` unchanged.
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_share
+
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -262,8 +264,9 @@ def render(spans: list[Span]) -> str:
 def train_field(docs: DataFrame, text_col: str = "text", max_train_docs: int = 2000) -> Field:
     """A field learned from at most `max_train_docs` documents with candidate tokens."""
     text = F.col(text_col)
-    found = docs.filter(text.rlike("[0-9@]")).select(F.xxhash64(F.lit("pii"), text).alias("h"), text.alias("t"))
-    rows = found.orderBy("h").limit(max_train_docs).mapInArrow(_shorten, "h long, x binary")
+    found = docs.filter(text.rlike("[0-9@]")).select(text.alias("t"))
+    few = hashed_share(found, F.col("t"), max_train_docs).select(F.xxhash64("t").alias("h"), "t")
+    rows = few.mapInArrow(_shorten, "h long, x binary").dropDuplicates(["h"]).orderBy("h")
     parts = [np.frombuffer(r["x"], np.float64) for r in rows.collect()]
     return Field().fit(*_assembled(parts))
 

@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics are computed in Arrow batches on the executors. Training takes a bounded sample (`max_train_rows` labelled rows, the
-smallest by a hash of their id; a documented parameter), whose statistics, not texts, are collected; trees grow
+Statistics are computed in Arrow batches on the executors. Training takes a bounded sample (at most `max_train_rows` labelled rows,
+chosen by a hash of their id; a documented parameter), whose statistics, not texts, are collected; trees grow
 level by level on quantile-binned features with Newton leaf values. The forest is flattened into arrays (feature,
 threshold, left child, leaf value) of a perfect binary layout, so a batch is scored by `depth` rounds of numpy gathers
 over all trees. Only the text is an input of a score.
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_share
+
 NAMES = ["log_bytes", "log_words", "word_length", "unique_words", "top_word", "repeats", "upper", "digits", "punctuation", "spaces", "newlines", "bars", "high_bytes", "unique_lines", "line_length", "loud", "symbol_runs", "single_letters", "angle", "top_byte"]
 _PUNCT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -122,7 +124,7 @@ def with_held_out(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 20000, **options) -> Forest:
     """A forest from at most `max_train_rows` labelled rows that are not held out."""
     known = with_held_out(labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")), id_col).filter("not held_out")
-    chosen = known.orderBy(F.xxhash64(F.lit("sample"), id_col), id_col).limit(max_train_rows).select(id_col, "_y")
+    chosen = hashed_share(known, F.col(id_col), max_train_rows).select(id_col, "_y")
 
     def run(batches):
         for b in batches:
