@@ -74,7 +74,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total:
     return joined.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values])
 
 
-def hashed_share(rows: DataFrame, key: Column, n: int) -> DataFrame:
+def hashed_share(rows: DataFrame, key: list[str], n: int) -> DataFrame:
     """Up to about `n` of the rows, those whose key hashes lowest; no task sees more than its own rows. All rows if there are no more than n.
 
     The share is set a little low, so that `limit`, which is the bound, hardly ever cuts."""
@@ -82,4 +82,4 @@ def hashed_share(rows: DataFrame, key: Column, n: int) -> DataFrame:
     if total <= n:
         return rows
     cut = int(n / total * (1 - 3 / n**0.5) * 2**32)
-    return rows.filter(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(2**32)) < cut).limit(n)
+    return rows.filter(F.pmod(F.xxhash64(F.lit("share"), *key), F.lit(2**32)) < cut).limit(n)

@@ -8,7 +8,7 @@ clique. Loopy sum-product message passing runs over all documents of an Arrow ba
 marginal for a kind reaches `threshold` and that overlaps no base span becomes a further span; base spans always stay.
 
 Weights are learned by pseudo-likelihood from the base spans of at most `max_train_docs` documents that hold candidates (chosen
-by a hash of their text; a documented parameter).
+by a hash of id and text; a documented parameter).
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; equal texts give equal spans; an
 empty table gives an empty result (and an untrained field, which adds nothing); other columns pass through `redact` unchanged.
@@ -261,11 +261,11 @@ def render(spans: list[Span]) -> str:
 # ---- columns ------------------------------------------------------------------------------------
 
 
-def train_field(docs: DataFrame, text_col: str = "text", max_train_docs: int = 2000) -> Field:
+def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = 2000) -> Field:
     """A field learned from at most `max_train_docs` documents with candidate tokens."""
     text = F.col(text_col)
-    found = docs.filter(text.rlike("[0-9@]")).select(text.alias("t"))
-    few = hashed_share(found, F.col("t"), max_train_docs).select(F.xxhash64("t").alias("h"), "t")
+    found = docs.filter(text.rlike("[0-9@]")).select(F.col(id_col).alias("i"), text.alias("t"))
+    few = hashed_share(found, ["i", "t"], max_train_docs).select(F.xxhash64("t").alias("h"), "t")
     rows = few.mapInArrow(_shorten, "h long, x binary").dropDuplicates(["h"]).orderBy("h")
     parts = [np.frombuffer(r["x"], np.float64) for r in rows.collect()]
     return Field().fit(*_assembled(parts))

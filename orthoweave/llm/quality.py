@@ -124,7 +124,7 @@ def with_held_out(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 20000, **options) -> Forest:
     """A forest from at most `max_train_rows` labelled rows that are not held out."""
     known = with_held_out(labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")), id_col).filter("not held_out")
-    chosen = hashed_share(known, F.col(id_col), max_train_rows).select(id_col, "_y")
+    chosen = hashed_share(known, [id_col], max_train_rows).select(id_col, "_y")
 
     def run(batches):
         for b in batches:
