@@ -5,8 +5,9 @@ seen on, map-side first. Lines whose estimate is clearly at or above `min_sites`
 standard errors on either side) get exact distinct counts in a second, small aggregate; the others are not spread.
 
 Removal: a spread line stays in one document, the one with the smallest id (its first occurrence there), and is removed
-elsewhere. Two guards: lines under `min_chars` characters are never judged, and a document of which at least `copy_lines` distinct spread lines
-make up half or more is a copy of a document rather than a carrier of boilerplate; it is left whole for document dedup.
+elsewhere. Two guards: lines under `min_chars` characters are never judged, and a document that shares at least `copy_lines` distinct spread
+lines with one and the same first document is a copy of that document rather than a carrier of boilerplate; it is left whole for
+document dedup.
 
 Removal reads the spread lines as a broadcast hash set while there are at most `broadcast_lines` of them, and by a
 shuffled join of line hashes (hot lines broadcast) beyond.
@@ -18,6 +19,8 @@ columns are carried along by `clean`.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars
     return rows.select("id", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.concat(F.lit("2:"), "line")).alias("h2"))
 
 
-def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 10, lg_k: int = 8, broadcast_lines: int = 1_000_000) -> DataFrame:
+def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_chars: int = 10, lg_k: int = 8, broadcast_lines: int = 1_000_000) -> DataFrame:
     """h1, h2, first_id, seen (occurrences) of the lines that at least `min_sites` distinct sites have; a stored table."""
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     error = 3 * 1.04 / 2 ** (lg_k / 2)
@@ -69,7 +72,7 @@ def _clean_by_set(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str
 
     def one(doc, text):
         lines = (text or "").split("\n")
-        keys, chars = {}, 0
+        keys = {}
         for i, line in enumerate(lines):
             if len(line) >= min_chars:
                 raw = line.encode("utf-8", "surrogatepass")
@@ -78,8 +81,8 @@ def _clean_by_set(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str
                     key = (h1, signed(xxhash.xxh64_intdigest(b"2:" + raw, SEED)))
                     if key in held.value:
                         keys.setdefault(key, []).append(i)
-                        chars += len(line)
-        copy = len(keys) >= copy_lines and 2 * chars >= sum(map(len, lines))
+        origins = Counter(first for first in map(held.value.__getitem__, keys) if first != doc)
+        copy = max(origins.values(), default=0) >= copy_lines
         if not keys or copy:
             return len(lines), len(keys), copy, text
         gone = {i for key, places in keys.items() for i in (places[1:] if held.value[key] == doc else places)}
@@ -104,19 +107,20 @@ def _clean_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.concat(F.lit("2:"), text)).alias("t2"), text.alias("text")).distinct()
     lines = row.select("id", "t1", "t2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.length("line") >= min_chars)
-    lines = lines.select("id", "t1", "t2", "pos", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.concat(F.lit("2:"), "line")).alias("h2"))
+    lines = lines.select("id", "t1", "t2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.concat(F.lit("2:"), "line")).alias("h2"))
     lines = lines.withColumn("_place", F.xxhash64("id", "t1", "pos"))
     total = spread.agg(F.sum("seen")).first()[0] or 0
     hits = attach(lines, spread, ["h1", "h2"], "seen", total, "_place").filter("seen is not null")
-    per_line = hits.groupBy("id", "t1", "t2", "h1", "h2").agg(F.array_sort(F.collect_list("pos")).alias("places"), F.sum("n").alias("chars"), F.max(F.col("first_id").eqNullSafe(F.col("id"))).alias("mine"))
-    gone = F.when(F.col("mine"), F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places"))
-    found = per_line.groupBy("id", "t1", "t2").agg(F.count(F.lit(1)).alias("n_spread"), F.sum("chars").alias("chars"), F.flatten(F.collect_list(gone)).alias("gone"))
+    per_line = hits.groupBy("id", "t1", "t2", "h1", "h2", "first_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    mine = F.col("first_id").eqNullSafe(F.col("id"))
+    gone = F.when(mine, F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places"))
+    per_first = per_line.groupBy("id", "t1", "t2", "first_id").agg(F.count(F.lit(1)).alias("c"), F.flatten(F.collect_list(gone)).alias("gone"))
+    found = per_first.groupBy("id", "t1", "t2").agg(F.sum("c").alias("n_spread"), F.max(F.when(mine, 0).otherwise(F.col("c"))).alias("origin"), F.flatten(F.collect_list("gone")).alias("gone"))
     marked = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.concat(F.lit("2:"), text))})
     out = marked.join(found.withColumnRenamed("id", "_id"), marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
     parts = F.split(text, "\n", -1)
     n_spread = F.coalesce("n_spread", F.lit(0)).cast("long")
-    whole = F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    copy = (n_spread >= copy_lines) & (2 * F.coalesce("chars", F.lit(0)) >= whole)
+    copy = F.coalesce("origin", F.lit(0)) >= copy_lines
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
     return out.select(*docs.columns, F.size(parts).cast("long").alias("n_lines"), n_spread.alias("n_spread"), copy.alias("copy_like"), F.when((n_spread == 0) | copy, F.col(text_col)).otherwise(kept).alias("cleaned"))
 
@@ -131,18 +135,19 @@ def op9_line_dedup(spark, sf_dir):
 
 SQL = """
 WITH l AS (
-  SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
 ), s AS (
-  SELECT line, min(doc_id) AS first_id FROM l WHERE length(line) >= 10 GROUP BY line HAVING count(DISTINCT source) >= 10
+  SELECT line, min(doc_id) AS first_id FROM l WHERE length(line) >= 10 GROUP BY line HAVING count(DISTINCT source) >= 8
 ), m AS (
-  SELECT l.doc_id, l.line, l.pos, s.line IS NOT NULL AS spread,
+  SELECT l.doc_id, l.line, l.pos, s.first_id, s.line IS NOT NULL AS spread,
     s.line IS NOT NULL AND (l.doc_id <> s.first_id OR l.pos > min(l.pos) OVER (PARTITION BY l.doc_id, l.line)) AS gone
   FROM l LEFT JOIN s ON l.line = s.line
+), o AS (
+  SELECT doc_id, max(c) AS origin FROM (SELECT doc_id, first_id, count(DISTINCT line) AS c FROM m WHERE spread AND first_id <> doc_id GROUP BY 1, 2) GROUP BY 1
 ), d AS (
-  SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) FILTER (WHERE spread) AS n_spread,
-    count(DISTINCT line) FILTER (WHERE spread) >= 3 AND 2 * coalesce(sum(length(line)) FILTER (WHERE spread), 0) >= sum(length(line)) AS copy_like,
+  SELECT m.doc_id, count(*) AS n_lines, count(DISTINCT line) FILTER (WHERE spread) AS n_spread, coalesce(any_value(origin), 0) >= 3 AS copy_like,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept, string_agg(line, chr(10) ORDER BY pos) AS whole
-  FROM m GROUP BY doc_id
+  FROM m LEFT JOIN o ON o.doc_id = m.doc_id GROUP BY m.doc_id
 )
 SELECT doc_id, n_lines, n_spread, copy_like, length(CASE WHEN copy_like THEN whole ELSE kept END) AS clean_chars, sha256(CASE WHEN copy_like THEN whole ELSE kept END) AS clean_sha256 FROM d
 """
