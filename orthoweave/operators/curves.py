@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import sums_below
+
 
 def cumulative(df: DataFrame, *by: str) -> DataFrame:
-    """Per distinct score, falling: tp and fp so far, and the totals p and n. Only distinct scores are ordered."""
+    """Per distinct score: positives and negatives there (tp_at, fp_at) and from there up (tp, fp), and the totals p and n."""
     g = df.groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("tp_at"), F.sum(1 - F.col("y").cast("long")).alias("fp_at"))
-    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("score"))
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return g.select(*by, "score", F.sum("tp_at").over(run).alias("tp"), F.sum("fp_at").over(run).alias("fp"), F.sum("tp_at").over(whole).alias("p"), F.sum("fp_at").over(whole).alias("n"))
+    if by:
+        up, whole = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+        return g.select(*by, "score", "tp_at", "fp_at", F.sum("tp_at").over(up).alias("tp"), F.sum("fp_at").over(up).alias("fp"), F.sum("tp_at").over(whole).alias("p"), F.sum("fp_at").over(whole).alias("n"))
+    total = g.agg(F.sum("tp_at").alias("p"), F.sum("fp_at").alias("n"))  # one row
+    c = sums_below(g, "score", ["tp_at", "fp_at"]).join(F.broadcast(total))
+    return c.select("score", "tp_at", "fp_at", (F.col("p") - F.col("below_tp_at")).alias("tp"), (F.col("n") - F.col("below_fp_at")).alias("fp"), "p", "n")
+
+
+def _trapezoids():
+    return F.sum(F.col("fp_at") * (2 * F.col("tp") - F.col("tp_at")) / 2)
 
 
 def roc_auc(df: DataFrame, *by: str) -> DataFrame:
     """Area under the ROC curve by trapezoids; null without both classes."""
-    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("score"))
-    c = cumulative(df, *by).withColumns({"tp0": F.coalesce(F.lag("tp").over(order), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(order), F.lit(0))})
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2)
-    return c.groupBy(*by).agg((area / F.nullif(F.max("p") * F.max("n"), F.lit(0))).alias("auc"))
+    return cumulative(df, *by).groupBy(*by).agg((_trapezoids() / F.nullif(F.max("p") * F.max("n"), F.lit(0))).alias("auc"))
 
 
 def partial_auc(df: DataFrame, share: float = 0.001) -> DataFrame:
     """Area up to fp_cap = max(int(share n), 1) false positives, over fp_cap p."""
-    order = Window.partitionBy().orderBy(F.desc("score"))
-    c = cumulative(df).withColumns({"tp0": F.coalesce(F.lag("tp").over(order), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(order), F.lit(0)), "cap": F.greatest(F.floor(F.col("n") * share), F.lit(1))})
-    inside = c.filter(F.col("fp") <= F.col("cap"))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2)
-    return inside.agg((F.coalesce(area, F.lit(0.0)) / F.nullif(F.max("cap") * F.max("p"), F.lit(0))).alias("pauc"), F.max("cap").cast("long").alias("fp_cap"))
+    inside = cumulative(df).withColumn("cap", F.greatest(F.floor(F.col("n") * share), F.lit(1))).filter(F.col("fp") <= F.col("cap"))
+    return inside.agg((F.coalesce(_trapezoids(), F.lit(0.0)) / F.nullif(F.max("cap") * F.max("p"), F.lit(0))).alias("pauc"), F.max("cap").cast("long").alias("fp_cap"))
 
 
 def pr_summary(df: DataFrame, *by: str) -> DataFrame:
     """fmax over the distinct thresholds and average precision; both 0 for groups of one class."""
-    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("score"))
-    c = cumulative(df, *by).withColumn("tp0", F.coalesce(F.lag("tp").over(order), F.lit(0)))
     f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))
-    ap = F.sum((F.col("tp") - F.col("tp0")) / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    ap = F.sum(F.col("tp_at") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     both = (F.max("p") > 0) & (F.max("n") > 0)
-    return c.withColumn("f1", f1).filter("p > 0").groupBy(*by).agg(F.when(both, F.max("f1")).otherwise(0.0).alias("fmax"), F.when(both, ap).otherwise(0.0).alias("ap"))
+    return cumulative(df, *by).withColumn("f1", f1).filter("p > 0").groupBy(*by).agg(F.when(both, F.max("f1")).otherwise(0.0).alias("fmax"), F.when(both, ap).otherwise(0.0).alias("ap"))
 
 
 def fmax_micro(df: DataFrame, lo: int = 10, hi: int = 999, scale: int = 1000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from . import vector
+from .ordered import positions
 
 
 def scored_gene_pairs(emb: DataFrame, members: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def similarity_contrast(pos: DataFrame, neg: DataFrame) -> DataFrame:
 
 def hashed_pairs(a: DataFrame, b: DataFrame, salt: str = "neg") -> DataFrame:
     """One v for each u: both sides in the order of a hash, the longer one cut."""
-    rank = lambda d, c: d.select(F.col("id").alias(c), F.row_number().over(Window.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(salt))), "id")).alias("_r"))
+    key = F.concat_ws(":", F.md5(F.concat(F.col("id").cast("string"), F.lit(salt))), F.col("id").cast("string"))
+    rank = lambda d, c: positions(d.select(F.col("id").alias(c), key.alias("_h")), "_h", "_r").drop("_h")
     return rank(a, "u").join(rank(b, "v"), "_r").select("u", "v")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from .ordered import positions
 
 
 def dedup_max(raw: DataFrame) -> DataFrame:
@@ -55,22 +56,8 @@ def stats_raw(raw: DataFrame) -> DataFrame:
 
 
 def dense_index(nodes: DataFrame, column: str = "gene") -> DataFrame:
-    """(column, idx): 0-based position in sorted order, without sorting in one task.
-
-    Rows are range-partitioned and sorted; a partition's rows are numbered from the count of rows in those before it. The
-    offsets (one number a partition) are all that reaches the driver.
-    """
-    ordered = nodes.select(column).distinct().repartitionByRange(F.col(column)).sortWithinPartitions(column)
-    ordered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
-    counts = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("m")).collect()
-    offsets, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["_p"]):
-        offsets[row["_p"]] = total - row["m"]
-        total += row["n"]
-    if not offsets:
-        return ordered.select(column, F.lit(0).cast("long").alias("idx"))
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("_p"))
-    return ordered.select(column, (F.col("_m") + shift).alias("idx"))
+    """(column, idx): 0-based position in sorted order."""
+    return positions(nodes.select(column).distinct(), column).select(column, F.col("idx").cast("long").alias("idx"))
 
 
 def set_jaccard_self(members: DataFrame) -> DataFrame:

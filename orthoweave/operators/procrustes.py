@@ -29,8 +29,8 @@ class Rotation:
         return self.scale * (x - self.mu_src) @ self.r + self.mu_ref
 
 
-def _sums(anchors: DataFrame) -> dict:
-    """Sums over the anchors: n, w, extremes of w, weighted means and second moments; one row a partition is collected."""
+def _sums(anchors: DataFrame, merged: int = 16) -> dict:
+    """Sums over the anchors: n, w, extremes of w, weighted means and second moments."""
 
     def run(batches):
         acc = None
@@ -50,7 +50,22 @@ def _sums(anchors: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([p.ravel().tolist()], pa.list_(pa.float64())) for p in acc], ["head", "sx", "sy", "m", "xx"])
 
     schema = ", ".join(f"{c} array<double>" for c in ("head", "sx", "sy", "m", "xx"))
-    rows = anchors.select("x", "y", F.col("w").cast("double").alias("w")).mapInArrow(run, schema).collect()
+    def merge(batches):
+        acc = None
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                part = [np.array(x) for x in row]
+                if acc is None:
+                    acc = part
+                else:
+                    low, high = min(acc[0][2], part[0][2]), max(acc[0][3], part[0][3])
+                    acc = [p + q for p, q in zip(acc, part, strict=True)]
+                    acc[0][2:] = low, high
+        if acc is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([p.tolist()], pa.list_(pa.float64())) for p in acc], ["head", "sx", "sy", "m", "xx"])
+
+    # partial sums are merged on the cluster to at most `merged` rows
+    rows = anchors.select("x", "y", F.col("w").cast("double").alias("w")).mapInArrow(run, schema).repartition(merged).mapInArrow(merge, schema).collect()
     if not rows:
         return {"n": 0}
     heads = np.array([r["head"] for r in rows])
