@@ -125,11 +125,11 @@ def _flat_scan(data: bytes, stride: int, value: np.ndarray, n: int) -> np.ndarra
 
 def _general_scan(data: bytes, units: list[tuple[Huffman, Huffman, int]], mcus: int) -> list[list[int]]:
     """DC values of each unit's component in order; AC coefficients are decoded to find the next block."""
-    stream, at, end = int.from_bytes(data + b"\xff\xff\xff\xff", "big"), 0, len(data) * 8 + 32
+    data, at, end = data + b"\xff\xff\xff\xff", 0, len(data) * 8 + 32
     pred, out = {}, {}
 
     def peek(n: int) -> int:
-        return (stream >> (end - at - n)) & ((1 << n) - 1)
+        return (int.from_bytes(data[at >> 3 : (at >> 3) + 4], "big") >> (32 - (at & 7) - n)) & ((1 << n) - 1)
 
     for _ in range(mcus):
         for dc, ac, comp in units:

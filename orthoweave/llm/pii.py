@@ -17,6 +17,7 @@ empty table gives an empty result (and an untrained field, which adds nothing);
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +133,9 @@ class Graph:
         for i, k in enumerate(self.doc):
             by.setdefault(k, []).append(i)
         for k, tokens in by.items():
+            ends = [self.end[i] for i in tokens]
             for kind, s, e in spans[k]:
-                lo = int(np.searchsorted([self.end[i] for i in tokens], s, side="right"))
+                lo = bisect_right(ends, s)
                 for i in tokens[lo:]:
                     if self.start[i] >= e:
                         break
@@ -248,8 +250,6 @@ def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
 
 
 def _free(merged: tuple[list[int], list[int]], s: int, e: int) -> bool:
-    from bisect import bisect_right
-
     i = bisect_right(merged[1], s)
     return i >= len(merged[0]) or merged[0][i] >= e
 
