@@ -91,7 +91,7 @@ def emitted(x: int, chunks: int, num: int, den: int) -> tuple[int, int]:
 
 
 def schemes(x: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(tag, chunks) of the one or two schemes that a set of x takes part in."""
+    """(tag, chunks) of the one or two schemes that a set of x takes part in: 0 flat, 1 band, 2 edge; none is both flat and on an edge."""
     out = []
     if x * num < 64 * den:
         out.append((0, FLAT))
@@ -124,8 +124,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n: int) -> DataFrame:
-    """id, n_shingles, sid (hash of the set), keys (lowest bit: first or second scheme), need0 and need1: how many
-    keys of either scheme a link has in common (0: not in a second scheme)."""
+    """id, n_shingles, sid (hash of the set), keys (lowest bit: 1 for the band scheme, 0 for the flat or edge one), need0
+    and need1: how many keys of either scheme a link has in common (0: not in that scheme)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -148,11 +148,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n:
 
 
 def keys_of(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
-    """The keys that a set emits (lowest bit: first or second scheme), and how many of either scheme a link has in common."""
+    """The keys that a set emits (lowest bit: its scheme's, the same for all sets), and how many of either scheme a link has in common."""
     got, least = [], [0, 0]
-    for i, (tag, chunks) in enumerate(schemes(len(s), num, den) if len(s) else []):
-        limit, least[i] = emitted(len(s), chunks, num, den)
-        got.append(sketch_keys(s, tag, chunks, limit) & np.uint64(2**64 - 2) | np.uint64(i))
+    for tag, chunks in schemes(len(s), num, den) if len(s) else []:
+        limit, least[tag & 1] = emitted(len(s), chunks, num, den)
+        got.append(sketch_keys(s, tag, chunks, limit) & np.uint64(2**64 - 2) | np.uint64(tag & 1))
     return np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64), least
 
 
@@ -170,7 +170,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, unique: bool, id_col: str,
                     s = shingles(text, words, n)
                     if set_id(s) == sid:  # else another text under the same id
                         sids.append(sid), keys.append(keys_of(s, num, den)[0]), sets.append(s.tobytes())
-                        bits.append([parity_bits(s, tag, chunks) for tag, chunks in schemes(len(s), num, den)] + [None])
+                        own = {tag & 1: parity_bits(s, tag, chunks) for tag, chunks in schemes(len(s), num, den)}
+                        bits.append([own.get(0), own.get(1)])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(keys, longs), pa.array(sets, pa.binary()), *[pa.array([x[i] for x in bits], longs) for i in (0, 1)]], ["sid", "keys", "set", "sketch0", "sketch1"])
 
@@ -238,7 +239,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = sk.filter("n_shingles > 0").groupBy("sid").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n_shingles", "need0", "need1")], F.max(F.size(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 0))).alias("k0"), F.max(F.size("keys")).alias("k"))
     alive = sizes.join(lone, "sid", "left").withColumns({"k1": F.col("k") - F.col("k0"), "lone0": F.coalesce("lone0", F.lit(0)), "lone1": F.coalesce("lone1", F.lit(0))})
     # how many of its shared keys, rarest first, a set needs in order to meet each of its partners on one
-    alive = alive.withColumns({"use0": F.col("k0") - F.col("lone0") - F.col("need0") + 1, "use1": F.when(F.col("need1") > 0, F.col("k1") - F.col("lone1") - F.col("need1") + 1).otherwise(0)})
+    alive = alive.withColumns({"use0": F.when(F.col("need0") > 0, F.col("k0") - F.col("lone0") - F.col("need0") + 1).otherwise(0), "use1": F.when(F.col("need1") > 0, F.col("k1") - F.col("lone1") - F.col("need1") + 1).otherwise(0)})
     sids = stash(alive.select("sid", "first_id", "copies", F.col("n_shingles").alias("n"), "use0", "use1"), "set-ids")
     named_rows = stash(sk.select(id_col, "n_shingles", "sid"), "document-sets")
     discard(lone, sk)

@@ -310,6 +310,19 @@ def test_near_components(spark, seed):
     assert got == near_by_brute_force(texts)
 
 
+def test_near_components_around_eighty_shingles(spark):
+    rng = random.Random(3)
+    texts = []
+    for x in range(70, 96):
+        for y in rng.sample(range(70, 96), 6):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(max(x, y) + 4)]
+            texts += [" ".join(base[: x + 4]), " ".join(base[: y + 4])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.near_components(docs(spark, texts)))}
+    want = near_by_brute_force(texts)
+    assert sum(root != i and (want[i][0] < 80) != (want[root][0] < 80) for i, (_, root) in want.items()) > 40
+    assert got == want
+
+
 def test_near_components_of_nothing(spark):
     assert jaccard_join.near_components(docs(spark, ODD).limit(0)).count() == 0
     twice = docs(spark, ["a b c d e f", "z"]).select("text", "source", F.lit(5).cast("long").alias("doc_id"))
