@@ -5,28 +5,29 @@ seen on, map-side first. Lines whose estimate is clearly at or above `min_sites`
 standard errors on either side) get exact distinct counts in a second, small aggregate; the others are not spread.
 
 Removal: a spread line stays in one document, the one with the smallest id (its first occurrence there), and is removed
-elsewhere. Two guards: lines under `min_chars` characters are never judged, and a document that shares at least `copy_lines` distinct spread
-lines with one and the same first document is a copy of that document rather than a carrier of boilerplate; it is left whole for
-document dedup.
+elsewhere. Two guards: lines under `min_chars` characters are never judged, and a near copy of a first document is left whole for
+document dedup. A near copy shares at least `copy_lines` distinct spread lines with one first document, and the two texts' exact Jaccard
+similarity over shingles of `n` words is num/den or more; documents that merely carry the same block of lines lose it.
 
 Removal reads the spread lines as a broadcast hash set while there are at most `broadcast_lines` of them, and by a
 shuffled join of line hashes (hot lines broadcast) beyond.
 
 Defined results: a null text counts as empty and has one empty line; a null site is no site; a null id sorts before all others,
-so a line stays with it; of documents with the same id each keeps its first occurrence; an empty table gives an empty result; other
+so a line stays with it; of documents with the same id each keeps its first occurrence, and the text that hashes lowest stands for them
+when near copies are told; an empty table gives an empty result; other
 columns are carried along by `clean`.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, discard, small, stash
+from .jaccard_join import _Words, shingles
 
 SEED = 42  # of Spark's xxhash64
 
@@ -55,22 +56,76 @@ def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 PLAN = "n_lines long, n_spread long, copy_like boolean, cleaned string"
 
 
-def clean(docs: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, copy_lines: int = 3, broadcast_lines: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, copy_lines: int = 3, broadcast_lines: int = 1_000_000, num: int = 80, den: int = 100, n: int = 5) -> DataFrame:
     """All columns of `docs`, and n_lines, n_spread (distinct spread lines), copy_like, cleaned (the text that stays)."""
-    if spread.limit(broadcast_lines + 1).count() <= broadcast_lines:
-        return _clean_by_set(docs, spread, id_col, text_col, min_chars, copy_lines)
-    return _clean_by_join(docs, spread, id_col, text_col, min_chars, copy_lines)
+    few = spread.limit(broadcast_lines + 1).count() <= broadcast_lines
+    copies = near_copies(docs, spread, few, id_col, text_col, min_chars, copy_lines, num, den, n)
+    marked = docs.withColumns(_row_key(id_col, text_col)).join(small(copies), ["_k", "_t1", "_t2"], "left").select(*docs.columns, F.coalesce("_copy", F.lit(False)).alias("_copy"))
+    return (_clean_by_set if few else _clean_by_join)(marked, spread, id_col, text_col, min_chars)
+
+
+def _row_key(id_col: str, text_col: str) -> dict:
+    """Columns that tell rows by id and text; never null."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return {"_k": F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.concat(F.lit("2:"), text))}
+
+
+def near_copies(docs: DataFrame, spread: DataFrame, few: bool, id_col: str, text_col: str, min_chars: int, copy_lines: int, num: int, den: int, n: int) -> DataFrame:
+    """_k, _t1, _t2, _copy (true) of the documents that are near copies of a first document; a stored table. few: spread lines can be broadcast."""
+    row = ["_k", "_t1", "_t2"]
+    line = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line")
+    lines = docs.withColumns(_row_key(id_col, text_col)).select(*row, line).filter(F.length("line") >= min_chars)
+    lines = lines.select(*row, F.xxhash64("line").alias("h1"), F.xxhash64(F.concat(F.lit("2:"), "line")).alias("h2"))
+    named = spread.select("h1", "h2", "seen", _row_key("first_id", "first_id")["_k"].alias("_first"))
+    if few:
+        hits = lines.join(F.broadcast(named), ["h1", "h2"])
+    else:
+        total = spread.agg(F.sum("seen")).first()[0] or 0
+        hits = attach(lines.withColumn("_place", F.xxhash64(*row)), named, ["h1", "h2"], "seen", total, "_place").filter("seen is not null")
+    shared = hits.groupBy(*row, "h1", "h2", "_first").agg(F.lit(1)).groupBy(*row, "_first").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= copy_lines)
+    shared = stash(shared.drop("c"), "line-origins")
+    wanted = stash(shared.select(*row).distinct(), "line-origin-rows")
+    texts = docs.withColumns(_row_key(id_col, text_col)).join(small(wanted), row).select(*row, F.col(text_col).alias("text"))
+
+    def run(batches):
+        words = _Words()
+        for b in batches:
+            with np.errstate(over="ignore"):
+                sets = [shingles(x, words, n).tobytes() for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], [*row, "_set"])
+
+    sets = stash(texts.mapInArrow(run, "_k string, _t1 long, _t2 long, _set binary").dropDuplicates(row), "line-origin-sets")
+    pairs = shared.filter("_first <> _k").join(sets, row)
+    uses = shared.filter("_first <> _k").groupBy("_first").agg(F.count(F.lit(1)).alias("uses"))
+    firsts = shared.filter("_first = _k").join(sets, row).groupBy("_first").agg(F.min_by("_set", F.struct("_t1", "_t2")).alias("_other"))
+    firsts = stash(firsts.join(uses, "_first").select("_first", "uses", "_other"), "line-firsts")
+    total = firsts.agg(F.sum("uses")).first()[0] or 0
+    pairs = attach(pairs, firsts, ["_first"], "uses", total, "_t1").filter("_other is not null")
+
+    def linked(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(3), b.column(4), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(u, v, assume_unique=True)) if den * min(len(u), len(v)) >= num * max(len(u), len(v)) else 0
+                ok.append(den * common >= num * (len(u) + len(v) - common))
+            yield b.select(row).filter(pa.array(ok, pa.bool_()))
+
+    found = pairs.select(*row, "_set", "_other").mapInArrow(linked, "_k string, _t1 long, _t2 long")
+    out = stash(found.distinct().withColumn("_copy", F.lit(True)), "line-copies")
+    discard(shared, wanted, sets, firsts)
+    return out
 
 
-def _clean_by_set(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str, min_chars: int, copy_lines: int) -> DataFrame:
+def _clean_by_set(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast({(r["h1"], r["h2"]): r["first_id"] for r in spread.toLocalIterator()})
-    names = list(docs.columns)
+    names = [c for c in docs.columns if c != "_copy"]
     at, id_at = names.index(text_col), names.index(id_col)
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
-    def one(doc, text):
+    def one(doc, text, copy):
         lines = (text or "").split("\n")
         keys = {}
         for i, line in enumerate(lines):
@@ -81,8 +136,6 @@ def _clean_by_set(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str
                     key = (h1, signed(xxhash.xxh64_intdigest(b"2:" + raw, SEED)))
                     if key in held.value:
                         keys.setdefault(key, []).append(i)
-        origins = Counter(first for first in map(held.value.__getitem__, keys) if first != doc)
-        copy = max(origins.values(), default=0) >= copy_lines
         if not keys or copy:
             return len(lines), len(keys), copy, text
         gone = {i for key, places in keys.items() for i in (places[1:] if held.value[key] == doc else places)}
@@ -93,16 +146,16 @@ def _clean_by_set(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str
     def run(batches):
         firsts.update(k[0] for k in held.value)
         for b in batches:
-            rows = [one(d, t) for d, t in zip(b.column(id_at).to_pylist(), b.column(at).to_pylist(), strict=True)]
+            rows = [one(*x) for x in zip(b.column(id_at).to_pylist(), b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [*names, "n_lines", "n_spread", "copy_like", "cleaned"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [*names, "n_lines", "n_spread", "copy_like", "cleaned"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {PLAN}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_copy")
+    return docs.select(*names, "_copy").mapInArrow(run, f"{fields}, {PLAN}")
 
 
-def _clean_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str, min_chars: int, copy_lines: int) -> DataFrame:
+def _clean_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """The same for any number of spread lines: line hashes are joined, and the verdicts return to the rows by id and text hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.concat(F.lit("2:"), text)).alias("t2"), text.alias("text")).distinct()
@@ -115,14 +168,14 @@ def _clean_by_join(docs: DataFrame, spread: DataFrame, id_col: str, text_col: st
     mine = F.col("first_id").eqNullSafe(F.col("id"))
     gone = F.when(mine, F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places"))
     per_first = per_line.groupBy("id", "t1", "t2", "first_id").agg(F.count(F.lit(1)).alias("c"), F.flatten(F.collect_list(gone)).alias("gone"))
-    found = per_first.groupBy("id", "t1", "t2").agg(F.sum("c").alias("n_spread"), F.max(F.when(mine, 0).otherwise(F.col("c"))).alias("origin"), F.flatten(F.collect_list("gone")).alias("gone"))
+    found = per_first.groupBy("id", "t1", "t2").agg(F.sum("c").alias("n_spread"), F.flatten(F.collect_list("gone")).alias("gone"))
     marked = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.concat(F.lit("2:"), text))})
     out = marked.join(found.withColumnRenamed("id", "_id"), marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
     parts = F.split(text, "\n", -1)
     n_spread = F.coalesce("n_spread", F.lit(0)).cast("long")
-    copy = F.coalesce("origin", F.lit(0)) >= copy_lines
+    copy = F.col("_copy")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return out.select(*docs.columns, F.size(parts).cast("long").alias("n_lines"), n_spread.alias("n_spread"), copy.alias("copy_like"), F.when((n_spread == 0) | copy, F.col(text_col)).otherwise(kept).alias("cleaned"))
+    return out.select(*[c for c in docs.columns if c != "_copy"], F.size(parts).cast("long").alias("n_lines"), n_spread.alias("n_spread"), copy.alias("copy_like"), F.when((n_spread == 0) | copy, F.col(text_col)).otherwise(kept).alias("cleaned"))
 
 
 def op9_line_dedup(spark, sf_dir):

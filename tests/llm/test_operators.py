@@ -438,6 +438,24 @@ def test_line_removal_both_ways(spark):
     assert line_dedup.clean(df.limit(0), line_dedup.spread_lines(df.limit(0))).count() == 0
 
 
+def test_blocks_of_lines_go_but_near_copies_stay_whole(spark):
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    block = [f"boilerplate line number {i} of this block" for i in range(5)]
+    body = [own(30) for _ in range(6)]
+    carriers = ["\n".join([own(60), *block, own(60)]) for _ in range(20)]
+    copies = ["\n".join([*body, f"edit {i}"]) for i in range(20)]
+    texts = [x for pair in zip(carriers, copies, strict=True) for x in pair]
+    df = docs(spark, texts)
+    spread = line_dedup.spread_lines(df, min_sites=6)
+    for limit in (1_000_000, 0):
+        got = {r["doc_id"]: r for r in rows(line_dedup.clean(df, spread, broadcast_lines=limit))}
+        for i, t in enumerate(texts):
+            gone = i % 2 == 0 and i > 0
+            assert got[i]["cleaned"] == ("\n".join(x for x in t.split("\n") if x not in block) if gone else t), i
+            assert got[i]["copy_like"] == (i % 2 == 1 and i > 1)
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     data = [(i, f"line of {n} sites", f"s{i % n}") for n in range(1, 40) for i in range(45)]
     df = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(data)], "doc_id long, text string, source string")
