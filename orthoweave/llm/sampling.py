@@ -475,7 +475,7 @@ def shared_lattices(model_path: str, alpha: float) -> Lattices:
 
 
 def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 1.0, model_path: str = MODEL, with_ids: bool = True) -> DataFrame:
-    """One row per row and sample: key, rank, n_pieces, logp, perturbed, inclusion, ids_crc32, decoded (of rank 0: whether it gives the
+    """One row per row and sample: key, rank, n_pieces, logp, perturbed, inclusion, ids_crc32, decoded (whether the sample gives the
     text back), ids."""
     kind = docs.schema[key_col].dataType.simpleString()
 
@@ -487,15 +487,16 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
                 texts = all_texts[lo:hi]
                 with np.errstate(over="ignore"):
                     got = sample(lat, seeds[lo:hi].view(np.uint64), texts, k)
-                back = decoded(lat.model, [found[0][3] for found in got])
+                back = iter(decoded(lat.model, [x[3] for found in got for x in found]))
                 rows = []
                 for i, (text, found) in enumerate(zip(texts, got, strict=True)):
                     for rank, (lp, gv, inc, ids) in enumerate(found):
-                        rows.append((lo + i, rank, len(ids), lp, gv, inc, zlib.crc32(ids.astype("<i4").tobytes()), back[i] == text if rank == 0 else None, ids))
+                        rows.append((lo + i, rank, len(ids), lp, gv, inc, zlib.crc32(ids.astype("<i4").tobytes()), next(back) == text, ids))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
                 arrays = [all_keys.take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:8], (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)]]
                 if with_ids:
-                    arrays.append(pa.array([x.tolist() for x in cols[8]], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *map(len, cols[8])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(cols[8]).astype(np.int32) if cols[8] else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays(arrays, [key_col, "rank", "n_pieces", "logp", "perturbed", "inclusion", "ids_crc32", "decoded", *(["ids"] if with_ids else [])])
 
     rows = docs.select(F.col(key_col), F.xxhash64(F.lit("segmentation"), F.coalesce(F.col(key_col), F.lit(0))).alias("_seed"), F.col(text_col).alias("_text"))
@@ -505,4 +506,4 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
 def op5_gumbel_segmentation(spark, sf_dir):
     from .common import table
 
-    return sample_segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+    return sample_segmentations(table(spark, sf_dir, "documents"))

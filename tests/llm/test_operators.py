@@ -261,6 +261,15 @@ def test_segmentations_repeat_and_decode(spark):
     assert sampling.sample_segmentations(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_query_decodes_every_sample_and_gives_its_ids(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in rows(spark.read.parquet(f"{SF}/documents.parquet"))}
+    m, got = sampling.Model(), rows(sampling.op5_gumbel_segmentation(spark, SF))
+    assert {r["rank"] for r in got} == {0, 1, 2, 3}
+    for r in got:
+        assert r["decoded"] == (sampling.decode(m, r["ids"]) == texts[r["doc_id"]]) and r["decoded"] is not None
+        assert len(r["ids"]) == r["n_pieces"] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<i4").tobytes())
+
+
 # ---- 6 near duplicates --------------------------------------------------------------------------
 
 
