@@ -21,19 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset and in local mode, as in tests) an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="orthoweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
@@ -52,6 +54,18 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or the first of name_1, name_2, ... that is no column of `df` (in any case)."""
+    held = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(held) + 2))) if x.lower() not in held)
+
+
+def refuse_clash(df: DataFrame, names: list[str]) -> None:
+    """ValueError if `df` has columns of these names, which an operator adds beside the columns it carries along."""
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns {sorted(clash)} are added here; give them other names or another prefix")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the fast built-in, which is the same there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

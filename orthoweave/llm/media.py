@@ -2,17 +2,20 @@
 
 `encode_bytes` stores a byte payload losslessly as grey baseline JPEGs: one 8x8 block of flat colour per byte, so the
 DC coefficient (quantiser 8) is the byte and the DC-only thumbnail is the payload again. The DC Huffman table gives size
-s a code of 9-s bits, so that code and magnitude always take 9 bits, and the AC table holds end-of-block alone (1 bit):
-any decoder reads it, and ours sees from the tables that blocks have one width and decodes a scan in a few numpy
-calls. Frames are 576 blocks wide and at most 8191 high (JPEG's limit of 65535 pixels); longer payloads continue in
-further frames of the same value.
+s a code of 9-s bits, so that blocks keep their places within bytes and repeated text stays repeated for the column's zstd
+compression; the AC table holds end-of-block alone. Frames are 576 blocks wide and at most 8191 high (JPEG's limit of 65535
+pixels), with a restart marker after each row of blocks; longer payloads continue in further frames of the same value.
 
-`thumbnail` reads any baseline (SOF0) Huffman JPEG: markers, quantisation and Huffman tables, restart intervals,
-subsampled components, interleaved scans. It reconstructs the luminance DC plane and keeps one sample a block.
+`thumbnails_of` reads any baseline (SOF0) Huffman JPEGs: markers, quantisation and Huffman tables, restart intervals,
+subsampled components, interleaved scans. It walks the Huffman codes of all restart intervals of all images that share their tables in
+lockstep: each is a lane with a bit position of its own, and a numpy step decodes one block of every lane (a 16-bit window gives the
+DC difference and, where it fits, the end of the block; lanes with AC coefficients step through these by code). It reconstructs
+the luminance DC plane and keeps one sample a block.
 
 Defined results: a null text is an empty one, whose payload is the 576 bytes of padding; equal texts give equal media and
-features; very long texts give several frames; an empty table gives an empty result; other columns are ignored. Bytes
-that are no baseline JPEG raise ValueError in `thumbnail`, and null media gives null columns in `thumbnails`.
+features; very long texts give several frames; null and repeated ids are rows like others; an empty table gives an empty
+result; other columns are ignored. Bytes that are no whole baseline JPEG raise ValueError, and null media gives null columns in
+`thumbnails`.
 """
 
 from __future__ import annotations
@@ -61,13 +64,15 @@ def _tables() -> bytes:
 
 
 def _frame(samples: np.ndarray) -> bytes:
-    """One grey baseline JPEG of WIDE x rows flat blocks."""
+    """One grey baseline JPEG of WIDE x rows flat blocks, a restart interval for each row."""
     rows = len(samples) // WIDE
-    diffs = np.diff(samples.astype(np.int16), prepend=np.int16(128))
+    diffs = np.diff(samples.reshape(rows, WIDE).astype(np.int16), prepend=np.int16(128))
     v = _codes()[diffs + 255].reshape(-1, 4)
     word = (v[:, 0] << np.uint64(30)) | (v[:, 1] << np.uint64(20)) | (v[:, 2] << np.uint64(10)) | v[:, 3]
-    scan = word.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().replace(b"\xff", b"\xff\0")
-    head = _segment(SOF0, struct.pack(">BHHBBBB", 8, rows * 8, WIDE * 8, 1, 1, 0x11, 0))
+    bits = word.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+    step = WIDE * 10 // 8
+    scan = b"".join(x for i in range(rows) for x in (bits[i * step : (i + 1) * step].replace(b"\xff", b"\xff\0"), bytes((0xFF, 0xD0 + i % 8))))[:-2]
+    head = _segment(DRI, struct.pack(">H", WIDE)) + _segment(SOF0, struct.pack(">BHHBBBB", 8, rows * 8, WIDE * 8, 1, 1, 0x11, 0))
     start = _segment(SOS, bytes([1, 1, 0, 0, 63, 0]))
     return b"\xff\xd8" + _tables() + head + start + scan + b"\xff\xd9"
 
@@ -94,71 +99,105 @@ class Huffman:
                 self.length[lo : lo + (1 << (16 - n))], self.symbol[lo : lo + (1 << (16 - n))] = n, symbols[at]
                 code, at = code + 1, at + 1
             code <<= 1
-        self.symbols, self.code_lengths = symbols[:at], [n for n, c in enumerate(counts, 1) for _ in range(c)]
+
+
+Table = tuple[bytes, bytes]
 
 
 @lru_cache(64)
-def _huffman(counts: bytes, symbols: bytes) -> Huffman:
-    return Huffman(counts, symbols)
+def _huffman(table: Table) -> Huffman:
+    return Huffman(*table)
 
 
 @lru_cache(64)
-def _flat(dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]):
-    """(bits a block, DC difference by 16-bit window) if all blocks have one width of at most 16 bits, else None."""
-    d, a = _huffman(*dc), _huffman(*ac)
-    widths = {n + s for n, s in zip(d.code_lengths, d.symbols, strict=True)}
-    if len(widths) != 1 or a.symbols != b"\0" or (stride := widths.pop() + a.code_lengths[0]) > 16:
-        return None
-    size, n = d.symbol.astype(np.int64), d.length.astype(np.int64)
-    bits = (np.arange(65536) >> (16 - n - size)) & ((1 << size) - 1)
-    value = np.where((size > 0) & (bits < (1 << np.maximum(size - 1, 0))), bits - (1 << size) + 1, bits)
-    return stride, value.astype(np.int16)
-
-
-def _flat_scan(data: bytes, stride: int, value: np.ndarray, n: int) -> np.ndarray:
-    raw = np.frombuffer(data + b"\xff\xff\xff", np.uint8)
-    bit = np.arange(n, dtype=np.int64) * stride
-    at, off = bit >> 3, (bit & 7).astype(np.uint32)
-    window = (raw[at].astype(np.uint32) << 16) | (raw[at + 1].astype(np.uint32) << 8) | raw[at + 2]
-    return np.cumsum(value[(window >> (8 - off)) & 0xFFFF], dtype=np.int64)
-
-
-def _general_scan(data: bytes, units: list[tuple[Huffman, Huffman, int]], mcus: int) -> list[list[int]]:
-    """DC values of each unit's component in order; AC coefficients are decoded to find the next block."""
-    data, at, end = data + b"\xff\xff\xff\xff", 0, len(data) * 8 + 32
-    pred, out = {}, {}
-
-    def peek(n: int) -> int:
-        return (int.from_bytes(data[at >> 3 : (at >> 3) + 4], "big") >> (32 - (at & 7) - n)) & ((1 << n) - 1)
-
-    for _ in range(mcus):
-        for dc, ac, comp in units:
-            w = peek(16)
-            if not (n := int(dc.length[w])):
-                raise ValueError("bad DC code")
-            size, at = int(dc.symbol[w]), at + n
-            bits = peek(size) if size else 0
-            at += size
-            pred[comp] = pred.get(comp, 0) + (bits if not size or bits >> (size - 1) else bits - (1 << size) + 1)
-            out.setdefault(comp, []).append(pred[comp])
-            k = 1
-            while k < 64:
-                w = peek(16)
-                if not (n := int(ac.length[w])):
-                    raise ValueError("bad AC code")
-                at += n
-                run, size = divmod(int(ac.symbol[w]), 16)
-                if not size and run < 15:
-                    break
-                k, at = k + run + 1, at + size
-            if at > end - 16:
-                raise ValueError("scan ends early")
-    return [out[c] for c in sorted(out)]
-
-
-def _frame_thumbnail(b: bytes, at: int) -> tuple[np.ndarray, int, int, int]:
-    """(luminance DC samples [block rows, block columns], width, height, offset behind the frame)."""
-    quant, tables, frame, restart, dc_plane = {}, {}, None, 0, None
+def _blocks(dc: Table, ac: Table) -> tuple[np.ndarray, np.ndarray]:
+    """By 16-bit window: the bits of a whole block without AC coefficients (0: it has some, or does not fit), and its DC difference."""
+    d, a = _huffman(dc), _huffman(ac)
+    n, size, window = d.length.astype(np.int64), d.symbol.astype(np.int64), np.arange(65536)
+    fits = (n > 0) & (size < 16) & (n + size < 16)
+    used = np.where(fits, n + size, 0)
+    behind = (window << used) & 0xFFFF
+    length = a.length[behind].astype(np.int64)
+    fits &= (length > 0) & (a.symbol[behind] == 0) & (used + length <= 16)
+    bits = (window >> (16 - used)) & ((1 << np.where(fits, size, 0)) - 1)
+    return np.where(fits, used + length, 0), np.where(fits, _signed(bits, size), 0)
+
+
+def _signed(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The value of `size` magnitude bits."""
+    return np.where((size > 0) & (bits < (1 << np.maximum(size - 1, 0))), bits - (1 << np.minimum(size, 32)) + 1, bits)
+
+
+def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 16 bits from each bit position."""
+    return (words.take(at >> 3, mode="clip") >> (16 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+
+
+def _coded_blocks(words: np.ndarray, at: np.ndarray, dc: Table, ac: Table) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the blocks at these positions, code by code, and their DC differences."""
+    d, a = _huffman(dc), _huffman(ac)
+    w = _window(words, at)
+    n, size = d.length[w].astype(np.int64), d.symbol[w].astype(np.int64)
+    if not n.all() or (size > 11).any():
+        raise ValueError("bad DC code")
+    diff = _signed(_window(words, at + n).astype(np.int64) >> (16 - size), size)
+    end, k, live = at + n + size, np.ones(len(at), np.int64), np.arange(len(at))
+    while len(live):
+        w = _window(words, end[live])
+        n, symbol = a.length[w].astype(np.int64), a.symbol[w].astype(np.int64)
+        if not n.all():
+            raise ValueError("bad AC code")
+        run, size = symbol >> 4, symbol & 15
+        end[live] += n + size
+        k[live] = np.where((size == 0) & (run < 15), 64, k[live] + run + 1)
+        live = live[k[live] < 64]
+    return end - at, diff
+
+
+def _walk(pieces: list[bytes], counts: list[int], units: tuple) -> list[np.ndarray]:
+    """DC values of the kept component's blocks in each piece of entropy-coded data; units: (DC table, AC table, component, kept) of an MCU."""
+    order = sorted(range(len(pieces)), key=lambda i: -counts[i])
+    raw = np.frombuffer(b"".join(pieces[i] + b"\xff\xff\xff\xff" for i in order) + b"\xff\xff\xff\xff", np.uint8).astype(np.uint32)
+    words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    sizes = np.array([len(pieces[i]) for i in order], np.int64)
+    at = 8 * (np.cumsum(sizes + 4) - sizes - 4)
+    limit = at + 8 * sizes
+    n = np.array([counts[i] for i in order], np.int64)
+    most, kept = int(n[0]), sum(u[3] for u in units)
+    out = np.zeros((len(order), most * kept), np.int32)
+    pred = {u[2]: np.zeros(len(order), np.int64) for u in units}
+    lanes = np.searchsorted(-n, -np.arange(most), side="left").tolist()  # that have more blocks
+    for m, live in enumerate(lanes):
+        j = m * kept
+        for dc, ac, comp, keep in units:
+            bits_of, diff_of = _blocks(dc, ac)
+            here = at[:live]
+            w = _window(words, here)
+            bits, diff = bits_of.take(w), diff_of.take(w)
+            if not bits.all():
+                slow = np.flatnonzero(bits == 0)
+                bits[slow], diff[slow] = _coded_blocks(words, here[slow], dc, ac)
+            here += bits
+            value = pred[comp][:live]
+            value += diff
+            if keep:
+                out[:live, j] = value
+                j += 1
+    if (at > limit).any():
+        raise ValueError("scan ends early")
+    done = dict(zip(order, range(len(order)), strict=True))
+    return [out[done[i], : counts[i] * kept] for i in range(len(pieces))]
+
+
+class _Frame:
+    """What a frame's thumbnail needs: size, quantiser, and the pieces of its luminance scan with their block grid."""
+
+    __slots__ = ("counts", "grid", "high", "pieces", "quant", "units", "wide")
+
+
+def _parsed(b: bytes, at: int) -> tuple[_Frame, int]:
+    """The frame that begins at an offset, and the offset behind it."""
+    quant, tables, frame, restart, scan = {}, {}, None, 0, None
     if b[at : at + 2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     at += 2
@@ -201,18 +240,19 @@ def _frame_thumbnail(b: bytes, at: int) -> tuple[np.ndarray, int, int, int]:
                     stop += 2
                     continue
                 break
-            plane = _scan(b[at:stop], body, frame, tables, restart)
-            if plane is not None:
-                dc_plane = plane
+            scan = _scan(b[at:stop], body, frame, tables, restart) or scan
             at = stop
-    if frame is None or dc_plane is None:
+    if frame is None or scan is None:
         raise ValueError("no luminance scan")
     high, wide, parts = frame
-    q = quant[next(iter(parts.values()))[2]]
-    return np.clip(np.floor(dc_plane * q / 8 + 128.5), 0, 255).astype(np.uint8), wide, high, at
+    out = _Frame()
+    out.high, out.wide, out.quant = high, wide, quant[next(iter(parts.values()))[2]]
+    out.pieces, out.counts, out.units, out.grid = scan
+    return out, at
 
 
-def _scan(data: bytes, head: bytes, frame, tables, restart: int) -> np.ndarray | None:
+def _scan(data: bytes, head: bytes, frame, tables, restart: int):
+    """(pieces, their MCUs, units, block grid) of a scan that holds luminance, else None."""
     high, wide, parts = frame
     first = next(iter(parts))
     chosen = [(head[1 + 2 * i], head[2 + 2 * i] >> 4, head[2 + 2 * i] & 15) for i in range(head[0])]
@@ -220,43 +260,61 @@ def _scan(data: bytes, head: bytes, frame, tables, restart: int) -> np.ndarray |
         return None
     hmax, vmax = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
     h, v, _ = parts[first]
+    cols, rows = -(-(-(-wide * h // hmax)) // 8), -(-(-(-high * v // vmax)) // 8)
     if len(chosen) == 1:  # one component: blocks in raster order, without padding to whole MCUs
-        cols, rows, bh, bv = -(-(-(-wide * h // hmax)) // 8), -(-(-(-high * v // vmax)) // 8), 1, 1
-        mcu_cols, mcu_rows = cols, rows
+        mcu_cols, mcu_rows, bh, bv = cols, rows, 1, 1
     else:
         mcu_cols, mcu_rows, bh, bv = -(-wide // (8 * hmax)), -(-high // (8 * vmax)), h, v
-        cols, rows = -(-(-(-wide * h // hmax)) // 8), -(-(-(-high * v // vmax)) // 8)
     n = mcu_cols * mcu_rows
     pieces = re.split(rb"\xff[\xd0-\xd7]", data) if restart else [data]
-    dc, done = [], 0
-    for piece in pieces:
-        m = min(restart or n, n - done)
-        piece = piece.replace(b"\xff\0", b"\xff")
-        if len(chosen) == 1 and (flat := _flat(tables[0, chosen[0][1]], tables[1, chosen[0][2]])):
-            if len(piece) * 8 < m * flat[0]:
-                raise ValueError("scan ends early")
-            dc.append(_flat_scan(piece, *flat, m))
-        else:
-            units = [(_huffman(*tables[0, d]), _huffman(*tables[1, a]), c) for c, d, a in chosen for _ in range((parts[c][0] * parts[c][1]) if len(chosen) > 1 else 1)]
-            got = _general_scan(piece, units, m)
-            dc.append(np.array(got[sorted({c for c, _, _ in chosen}).index(first)], np.int64))
-        done += m
-    if done < n:
+    counts = [min(restart or n, n - i * restart) for i in range(len(pieces))]
+    if not n or min(counts) <= 0 or sum(counts) < n:
         raise ValueError("scan ends early")
-    flat_dc = np.concatenate(dc)
-    return flat_dc.reshape(mcu_rows, mcu_cols, bv, bh).transpose(0, 2, 1, 3).reshape(mcu_rows * bv, mcu_cols * bh)[:rows, :cols]
+    units = tuple((tables[0, d], tables[1, a], c, c == first) for c, d, a in chosen for _ in range(parts[c][0] * parts[c][1] if len(chosen) > 1 else 1))
+    return [p.replace(b"\xff\0", b"\xff") for p in pieces], counts, units, (mcu_rows, mcu_cols, bv, bh, rows, cols)
+
+
+def thumbnails_of(media: list[bytes], together: int = 4 << 20) -> list[tuple[list[np.ndarray], int, int]]:
+    """(DC-only luminance planes of the frames, width, total height) of each value; `together` bytes of scans are walked at a time."""
+    found: list[list[_Frame]] = []
+    for b in media:
+        frames, at = [], 0
+        try:
+            while at < len(b):
+                frame, at = _parsed(b, at)
+                frames.append(frame)
+        except (TypeError, KeyError, IndexError, struct.error) as e:
+            raise ValueError("broken JPEG") from e
+        if not frames:
+            raise ValueError("no JPEG")
+        found.append(frames)
+    lanes: dict[tuple, list[tuple[_Frame, int]]] = {}
+    for frames in found:
+        for f in frames:
+            lanes.setdefault(f.units, []).extend((f, i) for i in range(len(f.pieces)))
+    dc: dict[int, list[np.ndarray]] = {}
+    for units, every in lanes.items():
+        lo = size = 0
+        for hi, (f, i) in enumerate(every, 1):
+            size += len(f.pieces[i])
+            if size >= together or hi == len(every):
+                part = every[lo:hi]
+                for (g, _), values in zip(part, _walk([g.pieces[j] for g, j in part], [g.counts[j] for g, j in part], units), strict=True):
+                    dc.setdefault(id(g), []).append(values)
+                lo, size = hi, 0
+    out = []
+    for frames in found:
+        planes = []
+        for f in frames:
+            mcu_rows, mcu_cols, bv, bh, rows, cols = f.grid
+            plane = np.concatenate(dc[id(f)]).reshape(mcu_rows, mcu_cols, bv, bh).transpose(0, 2, 1, 3).reshape(mcu_rows * bv, mcu_cols * bh)[:rows, :cols]
+            planes.append(np.clip((plane * f.quant + 1028) >> 3, 0, 255).astype(np.uint8))
+        out.append((planes, max(f.wide for f in frames), sum(f.high for f in frames)))
+    return out
 
 
 def thumbnail(media: bytes) -> tuple[list[np.ndarray], int, int]:
-    """(DC-only luminance planes of the frames, width, total height)."""
-    planes, at, width, height = [], 0, 0, 0
-    while at < len(media):
-        plane, w, h, at = _frame_thumbnail(media, at)
-        planes.append(plane)
-        width, height = max(width, w), height + h
-    if not planes:
-        raise ValueError("no JPEG")
-    return planes, width, height
+    return thumbnails_of([media])[0]
 
 
 def average_hash(planes: list[np.ndarray]) -> str:
@@ -290,10 +348,7 @@ def thumbnails(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     """Dimensions and hashes of each media value's DC-only thumbnail, and what its samples hold as a payload."""
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
-    def one(media):
-        if media is None:
-            return (None,) * len(names)
-        planes, width, height = thumbnail(media)
+    def one(media, planes, width, height):
         payload = b"".join(p.tobytes() for p in planes)
         return width, height, len(planes), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(payload.rstrip(b"\xff")), len(media), hashlib.sha256(media).hexdigest(), average_hash(planes)
 
@@ -301,7 +356,16 @@ def thumbnails(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     def run(batches):
         for x in batches:
-            rows = [one(m.as_py()) for m in x.column(1)]
+            media = x.column(1).to_pylist()
+            rows, at = [(None,) * len(names)] * len(media), []
+            size = 0
+            for i, m in enumerate(media):
+                at += [i] if m is not None else []
+                size += len(m or b"")
+                if size >= 16 << 20 or i == len(media) - 1:
+                    for j, got in zip(at, thumbnails_of([media[j] for j in at]), strict=True):
+                        rows[j] = one(media[j], *got)
+                    at, size = [], 0
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([x.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [id_col, *names])
 
@@ -310,6 +374,6 @@ def thumbnails(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def op1_media(spark, sf_dir):
-    from .common import table
+    from .common import stash, table
 
-    return thumbnails(encode_media(table(spark, sf_dir, "documents")))
+    return thumbnails(stash(encode_media(table(spark, sf_dir, "documents")), "media", compression="zstd"))

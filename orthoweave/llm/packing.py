@@ -1,15 +1,16 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 A document is cut into pieces of at most the largest length (units are the text's code points; every unit goes into
-exactly one piece). Pieces are dealt at random over shards of about `shard_pieces`; a shard is packed by best-fit decreasing: a piece
+exactly one piece). Pieces are dealt by hash over shards of about `shard_pieces`; a shard is packed by best-fit decreasing: a piece
 goes into the open bin, of whatever length, that it leaves the least room in, or else opens a bin. Which length to open is
 chosen for cost: the lengths are optimised jointly, as each policy "open the smallest permitted length that holds the piece and is
 at least m", for every permitted m, and a policy that opens the length of least cost a unit that the pieces still to come can
 fill, are all packed, every bin is then downsized to the smallest permitted length of its contents, and the plan
 of least total cost is kept. A sequence of length n costs `overhead` + n + n*n/`square` (attention grows with the square).
 
-Defined results: null and empty texts have no units and so no piece; repeated ids are packed as documents of their own; a table
-without units gives an empty result; other columns are ignored. Offsets are in code points.
+Defined results: null and empty texts have no units and so no piece; repeated ids are packed as documents of their own, and of
+rows with one id and text each has a number, so that a packing depends on the rows alone and not on their files or order; null ids
+are ids like others; a table without units gives an empty result; other columns are ignored. Offsets are in code points.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small, stash
 
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
 
@@ -72,23 +73,39 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: float =
 PACKED = "shard long, bin_id long, bin_length int, bin_offset int, {id} {kind}, piece int, start long, n_units int"
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = 8192, overhead: float = 32.0, square: float = 65536.0, carry_text: bool = False, stored: bool = False) -> DataFrame:
-    """One row per piece: shard, bin_id (unique), bin_length, bin_offset, id, piece, start, n_units, and its text if asked for.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (_id, _h, _n, perhaps _text) with _copy: 0, 1, ... among rows that agree in everything. No rows gather in a task: copies are
+    counted map-side and made again from their count."""
+    twice = stash(rows.groupBy("_id", "_h").count().filter("count > 1").select("_id", "_h"), "packing-copies")
+    if not twice.take(1):
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    # hash rows never hold nulls
+    twice = small(twice.withColumns({"_twice": F.lit(True), "_key": F.xxhash64("_id", F.col("_id").isNull(), "_h")}).select("_key", "_twice").distinct())
+    marked = rows.withColumn("_key", F.xxhash64("_id", F.col("_id").isNull(), "_h")).join(twice, "_key", "left").drop("_key")
+    alone = marked.filter("_twice is null").drop("_twice").withColumn("_copy", F.lit(0).cast("long"))
+    again = marked.filter("_twice").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_c"))
+    return alone.unionByName(again.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("_copy")))
 
-    Shards are dealt by row number, which repeats only over files: `stored` says that docs is read from files; else it is stored first."""
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = 8192, overhead: float = 32.0, square: float = 65536.0, carry_text: bool = False) -> DataFrame:
+    """One row per piece: shard, bin_id (unique), bin_length, bin_offset, id, piece, start, n_units, and its text if asked for."""
     top = max(lengths)
-    if not stored:
-        docs = stash(docs.select(id_col, text_col), "packing-input")
-    rows = docs.select(F.col(id_col), *([F.col(text_col).alias("_text")] if carry_text else []), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_n"))
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(top).cast("long"))).alias("start")
-    pieces = rows.filter("_n > 0").select("*", piece).select(id_col, *([F.substring("_text", F.col("start").cast("int") + 1, F.lit(top)).alias("piece_text")] if carry_text else []), (F.col("start") / top).cast("int").alias("piece"), "start", F.least(F.col("_n") - F.col("start"), F.lit(top)).cast("int").alias("n_units"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.length(text).cast("long").alias("_n"), *([text.alias("_text")] if carry_text else [])).filter("_n > 0")
     n = rows.agg(F.sum(F.ceil(F.col("_n") / top))).first()[0] or 0
     shards = max(1, -(-n // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), id_col), F.lit(shards)))
-    names = [f.split()[0] for f in PACKED.format(id=id_col, kind="x").split(", ")] + (["piece_text"] if carry_text else [])
+    rows = _numbered(rows)
+    if carry_text:  # cut in one pass over the text
+        parts = F.when(F.col("_n") <= top, F.array("_text")).otherwise(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{top}}}"), F.lit(0)))
+        pieces = rows.select("_id", "_h", "_copy", "_n", F.posexplode(parts).alias("piece", "piece_text"))
+    else:
+        pieces = rows.select("_id", "_h", "_copy", "_n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / top).cast("int") - 1)).alias("piece"))
+    pieces = pieces.withColumn("start", F.col("piece").cast("long") * top).withColumn("n_units", F.least(F.col("_n") - F.col("start"), F.lit(top)).cast("int")).drop("_n")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("_id", "_h", "_copy", "piece"), F.lit(shards)))
+    names = ["shard", "bin_id", "bin_length", "bin_offset", "_id", "piece", "start", "n_units"] + (["piece_text"] if carry_text else [])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(id_col, "ascending"), ("start", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("_id", "_h", "_copy", "piece")])
         sizes = table.column("n_units").to_pylist()
         bins, final = pack(sizes, lengths, overhead, square)
         at, offsets = [0] * len(final), []
@@ -100,11 +117,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out.select(names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = PACKED.format(id=f"`{id_col}`", kind=kind) + (", piece_text string" if carry_text else "")
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, schema)
+    schema = PACKED.format(id="_id", kind=kind) + (", piece_text string" if carry_text else "")
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def op8_packing(spark, sf_dir):
     from .common import table
 
-    return pack_documents(table(spark, sf_dir, "documents"), stored=True)
+    return pack_documents(table(spark, sf_dir, "documents"))

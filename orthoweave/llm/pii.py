@@ -3,12 +3,14 @@
 Base spans are the leftmost non-overlapping matches of the four patterns, found in time linear in the text. The field labels the
 candidate tokens of a document (white-space tokens with a digit or an @) as email, ip, card, phone or other. Tokens that stand
 side by side share a chain potential; distant tokens of equal or similar content (same characters without punctuation and case, or
-same digits) share a skip potential, linking each occurrence to the next one, so a token repeated k times has k-1 links and no
-clique. Loopy sum-product message passing runs over all documents of an Arrow batch as one graph in numpy. A token whose
+same digits) share a skip potential, linking each occurrence to the one before it and to the first one, so a token repeated k times
+has fewer than 2k links, all of them two steps apart at most. Loopy sum-product message passing runs over all documents of an Arrow
+batch as one graph in numpy; each document stops by its own change, so that its result does not depend on its neighbours. A token whose
 marginal for a kind reaches `threshold` and that overlaps no base span becomes a further span; base spans always stay.
 
-Weights are learned by pseudo-likelihood from the base spans of at most `max_train_docs` documents that hold candidates (chosen
-by a hash of id and text; a documented parameter).
+Weights are learned by pseudo-likelihood, which is a sum over tokens given the labels of their neighbours: whole documents are
+labelled by their base spans, and of all their tokens at most `max_train_tokens` are used, chosen by a hash of text and place, from at most
+`max_train_docs` documents that hold candidates, chosen by a hash of id and text (both documented parameters).
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; equal texts give equal spans; an
 empty table gives an empty result (and an untrained field, which adds nothing); other columns pass through `redact` unchanged.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share
+from .common import discard, hashed_share, stash
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -101,6 +103,7 @@ class Graph:
             if not text or not ANY.search(text):
                 continue
             seen: dict[str, int] = {}
+            firsts: dict[str, int] = {}
             before = -1
             for m in TOKEN.finditer(text):
                 tok = m[0]
@@ -116,12 +119,13 @@ class Graph:
                 before = i
                 digits = DIGITS.sub("", tok)
                 keys = {"t" + CORE.sub("", tok.lower())} | ({"d" + digits} if len(digits) >= 6 else set())
-                for last in {seen[key] for key in keys if key in seen}:
+                for last in sorted({at[key] for key in keys for at in (seen, firsts) if key in at}):
                     if last != i - 1 or not beside:
                         skip.append((last, i))
                 for key in keys:
                     if len(key) > 3:
                         seen[key] = i
+                        firsts.setdefault(key, i)
         self.x = np.array(feats, float).reshape(-1, N_FEATURES)
         self.edges = np.array(chain + skip, np.int64).reshape(-1, 2)
         self.kind = np.array([0] * len(chain) + [1] * len(skip), np.int64)
@@ -151,15 +155,18 @@ class Field:
         self.node, self.pair, self.trained = np.zeros((N_FEATURES, 5)), np.zeros((2, 5, 5)), False
 
     def marginals(self, g: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product beliefs of the tokens."""
-        phi = g.x @ self.node
+        """Loopy sum-product beliefs of the tokens. Sums run in one order for a document, whatever stands beside it."""
+        phi = np.zeros((len(g.x), 5))
+        for j in range(N_FEATURES):
+            phi += g.x[:, j : j + 1] * self.node[j]
         if len(g.edges):
             src = np.concatenate([g.edges[:, 0], g.edges[:, 1]])
             dst = np.concatenate([g.edges[:, 1], g.edges[:, 0]])
             m, back = len(g.edges), np.arange(2 * len(g.edges))
             back = np.concatenate([back[m:], back[:m]])
             psi = np.concatenate([self.pair[g.kind], self.pair[g.kind].transpose(0, 2, 1)])
-            msg = np.zeros((2 * m, 5))
+            msg, doc = np.zeros((2 * m, 5)), np.array(g.doc, np.int64)[dst]
+            live = np.ones(2 * m, bool)
             for _ in range(rounds):
                 total = phi.copy()
                 for c in range(5):
@@ -168,30 +175,28 @@ class Field:
                 top = out.max(1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
                 new -= new.max(1, keepdims=True)
-                if np.abs(new - msg).max() < 1e-4:
+                change = np.zeros(int(doc.max()) + 1)
+                np.maximum.at(change, doc, np.abs(new - msg).max(1))
+                live &= change[doc] >= 1e-4
+                if not live.any():
                     break
-                msg = damping * msg + (1 - damping) * new
+                msg = np.where(live[:, None], damping * msg + (1 - damping) * new, msg)
             for c in range(5):
                 phi[:, c] += np.bincount(dst, msg[:, c], len(phi))
         p = np.exp(phi - phi.max(1, keepdims=True)) if len(phi) else phi
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, g: Graph, y: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> Field:
-        """Pseudo-likelihood: each token given the labels of its neighbours."""
+    def fit(self, x: np.ndarray, y: np.ndarray, near: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> Field:
+        """Pseudo-likelihood of tokens (features x, labels y) given `near`, the labels of their neighbours counted [link, token, label]."""
         if not len(y):
             return self
         onehot = np.eye(5)[y]
-        near = np.zeros((2, len(y), 5))
-        for kind in (0, 1):
-            e = g.edges[g.kind == kind]
-            np.add.at(near[kind], e[:, 0], onehot[e[:, 1]])
-            np.add.at(near[kind], e[:, 1], onehot[e[:, 0]])
         vn, vp = np.zeros_like(self.node), np.zeros_like(self.pair)
         for _ in range(steps):
-            s = g.x @ self.node + near[0] @ self.pair[0] + near[1] @ self.pair[1]
+            s = x @ self.node + near[0] @ self.pair[0] + near[1] @ self.pair[1]
             p = np.exp(s - s.max(1, keepdims=True))
             r = onehot - p / p.sum(1, keepdims=True)
-            vn = 0.9 * vn + rate * (g.x.T @ r / len(y) - l2 * self.node)
+            vn = 0.9 * vn + rate * (x.T @ r / len(y) - l2 * self.node)
             gp = np.stack([near[k].T @ r / len(y) for k in (0, 1)])
             vp = 0.9 * vp + rate * ((gp + gp.transpose(0, 2, 1)) / 2 - l2 * self.pair)
             self.node, self.pair = self.node + vn, self.pair + vp
@@ -261,41 +266,43 @@ def render(spans: list[Span]) -> str:
 # ---- columns ------------------------------------------------------------------------------------
 
 
-def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = 2000) -> Field:
-    """A field learned from at most `max_train_docs` documents with candidate tokens."""
-    text = F.col(text_col)
-    found = docs.filter(text.rlike("[0-9@]")).select(F.col(id_col).alias("i"), text.alias("t"))
-    few = hashed_share(found, ["i", "t"], max_train_docs).select(F.xxhash64("t").alias("h"), "t")
-    rows = few.mapInArrow(_shorten, "h long, x binary").dropDuplicates(["h"]).orderBy("h")
-    parts = [np.frombuffer(r["x"], np.float64) for r in rows.collect()]
-    return Field().fit(*_assembled(parts))
+def neighbours(g: Graph, y: np.ndarray) -> np.ndarray:
+    """How many neighbours of each label a token has, by link: [link, token, label]."""
+    onehot = np.eye(5)[y]
+    near = np.zeros((2, len(y), 5))
+    for kind in (0, 1):
+        e = g.edges[g.kind == kind]
+        np.add.at(near[kind], e[:, 0], onehot[e[:, 1]])
+        np.add.at(near[kind], e[:, 1], onehot[e[:, 0]])
+    return near
 
 
-def _shorten(batches):
-    """Of each sampled document, its graph and silver labels (no text) as one flat array, at most a few thousand tokens."""
+def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = 2000, max_train_tokens: int = 60_000) -> Field:
+    """A field learned from at most `max_train_tokens` tokens of at most `max_train_docs` documents with candidate tokens."""
+    text = F.col(text_col)
+    found = docs.filter(text.rlike("[0-9@]")).select(F.col(id_col).alias("i"), text.alias("t"))
+    few = hashed_share(found, ["i", "t"], max_train_docs).select(F.xxhash64("t").alias("h"), "t").dropDuplicates(["h"])
+    tokens = stash(few.mapInArrow(_tokens_of, "h long, at long, x array<float>"), "pii-tokens")
+    rows = hashed_share(tokens, ["h", "at"], max_train_tokens).toPandas().sort_values(["h", "at"], kind="stable")
+    discard(tokens)
+    if rows.empty:
+        return Field()
+    flat = np.array(rows["x"].tolist(), np.float64)
+    near = flat[:, 1 + N_FEATURES :].reshape(-1, 2, 5).transpose(1, 0, 2)
+    return Field().fit(flat[:, 1 : 1 + N_FEATURES], flat[:, 0].astype(np.int64), near)
+
+
+def _tokens_of(batches):
+    """Of each sampled document, every token's label, features and neighbours' labels (no text)."""
     for b in batches:
-        out = []
-        for t in b.column("t").to_pylist():
+        for h, t in zip(b.column("h").to_pylist(), b.column("t").to_pylist(), strict=True):
             g = Graph([t])
             y = g.labels([base_spans(t)])
-            n = min(len(y), 2000)
-            e = (g.edges < n).all(1) if len(g.edges) else np.zeros(0, bool)
-            head = np.array([n, e.sum()], float)
-            out.append(np.concatenate([head, y[:n], g.x[:n].ravel(), g.edges[e].ravel(), g.kind[e]]).astype(np.float64).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(out, pa.binary())], ["h", "x"])
-
-
-def _assembled(parts: list[np.ndarray]) -> tuple[Graph, np.ndarray]:
-    g, ys, xs, es, ks, at = Graph([]), [], [], [], [], 0
-    for p in parts:
-        n, m = int(p[0]), int(p[1])
-        f = 2 + n + n * N_FEATURES
-        ys.append(p[2 : 2 + n]), xs.append(p[2 + n : f].reshape(n, N_FEATURES))
-        es.append(p[f : f + 2 * m].reshape(m, 2) + at), ks.append(p[f + 2 * m :])
-        at += n
-    if ys:
-        g.x, g.edges, g.kind = np.concatenate(xs), np.concatenate(es).astype(np.int64), np.concatenate(ks).astype(np.int64)
-    return g, (np.concatenate(ys) if ys else np.zeros(0)).astype(np.int64)
+            flat = np.concatenate([y[:, None], g.x, neighbours(g, y).transpose(1, 0, 2).reshape(len(y), 10)], 1).astype(np.float32)
+            for lo in range(0, len(y), 20_000):
+                part = flat[lo : lo + 20_000]
+                x = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), part.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), h)), pa.array(np.arange(lo, lo + len(part))), x], ["h", "at", "x"])
 
 
 def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -8,8 +8,9 @@ over all trees. Only the text is an input of a score.
 
 Defined results: null and empty texts have statistics of zero and get a score like any other; rows with a null id are
 scored and never used for training; null labels are no labels; of repeated labels of one id the larger counts;
-without labels, or with one class only, the score is the share of label 1 (0.5 without labels); an empty table gives an
-empty result; other columns are ignored.
+of rows that repeat an id all train, within the bound; without labels, or with one class only, the score is the share of
+label 1 (0.5 without labels); an empty table gives an empty result; other columns are ignored, or carried along as `keep`, which
+may not hold the name of the score's own column (`score_col`, a ValueError).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share
+from .common import hashed_share, refuse_clash, unused
 
 NAMES = ["log_bytes", "log_words", "word_length", "unique_words", "top_word", "repeats", "upper", "digits", "punctuation", "spaces", "newlines", "bars", "high_bytes", "unique_lines", "line_length", "loud", "symbol_runs", "single_letters", "angle", "top_byte"]
 _PUNCT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
@@ -131,27 +132,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = pa.array([statistics(t) for t in b.column("_t").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("_y"), b.column("_h"), x], ["y", "h", "x"])
 
-    # the sample's size is bounded by max_train_rows, and so is its broadcast
-    sample = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(chosen), id_col).select("_y", F.xxhash64(id_col, "_t").alias("_h"), "_t")
+    # at most max_train_rows ids are broadcast; where ids repeat in docs, a share of their rows keeps the bound
+    text = F.col(text_col).alias("_t")
+    joined = docs.select(F.col(id_col).alias("_i"), text).join(F.broadcast(chosen.withColumnRenamed(id_col, "_i")), "_i").select("_y", F.xxhash64("_i", "_t").alias("_h"), "_t")
+    sample = hashed_share(joined, ["_h"], max_train_rows)
     got = sample.mapInArrow(run, "y int, h long, x array<double>").toPandas().sort_values(["h", "y"], kind="stable")
     if got.empty:
         return fit_forest(np.zeros((0, len(NAMES))), np.zeros(0), **options)
     return fit_forest(np.array(got["x"].tolist()), got["y"].to_numpy(float), **options)
 
 
-def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: the id), and score; every whole text is read."""
+def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """The columns `keep` (default: the id), and the score; every whole text is read."""
     held = docs.sparkSession.sparkContext.broadcast(forest)  # a few kB whatever the corpus
     keep = keep or [id_col]
+    kept = docs.select(*keep)
+    refuse_clash(kept, [score_col])
+    text = unused(kept, "_text")
 
     def run(batches):
         for b in batches:
-            texts = b.column("_t").to_pylist()
+            texts = b.column(text).to_pylist()
             s = held.value.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("_t")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, f"{schema}, `{score_col}` double")
 
 
 def op10_quality(spark, sf_dir):

@@ -1,22 +1,25 @@
 """URL rules through Bloom filter cascades: exact membership without joining pages to rules.
 
 A rule is (action, host, path). It fits its host and all subdomains when the url's path starts with its
-path; of the rules that fit, the longest (host and path) decides, and a url that none fits is allowed.
+path; of the rules that fit, the longest (host and path together; of equally long ones that with the longer host) decides,
+and a url that none fits is allowed.
 
-Every url yields its candidate keys: each suffix of its host, with each path prefix whose length some
-rule has. The distinct keys of the corpus are the key universe. Level 1 of a cascade is a Bloom filter of
+Every url yields its candidate keys: each suffix of its host that has as many labels as some rule, with each path prefix as long as some
+rule's of so many labels. The distinct keys of the corpus are the key universe. Level 1 of a cascade is a Bloom filter of
 the listed keys; level 2 holds the universe's keys that level 1 passes wrongly; level 3 the listed keys that
 level 2 passes; and so on until a level passes nothing wrongly. The level at which a key first fails then tells,
 exactly for every key of the universe, whether it is listed. A second cascade, whose universe is the
-rule list itself, tells blocking from allowing rules. Lookups probe broadcast bit arrays; their size follows the
-rule list, and above `max_filter_bytes` the same rules are applied by a shuffled join instead.
+rule list itself, tells blocking from allowing rules. The first level's rate is chosen by the two sides' sizes, so that all levels
+together follow the rule list (times the logarithm of the universe). Lookups probe broadcast bit arrays. A rule list whose
+arrays would exceed `max_filter_bytes` is cut into shards by key hash: each shard has cascades of its own, and the rows pass them one
+after another, keeping the best rule so far. The result is the same, row for row, whatever the number of shards.
 
 Keys are reduced to 128 bits (two seeded 64-bit hashes). Should the cascade not empty within `max_levels`, a
-listed and an unlisted key share all 128 bits, and the shuffled join is used as well.
+listed and an unlisted key share all 128 bits, and an error is raised.
 
-Defined results: a null url, or one without ://, has empty host and path, fits no rule and is allowed; an empty
-rule list allows all; repeated rules count once (if they contradict, block wins); an empty table gives an empty
-result; other columns of the input are ignored.
+Defined results: one row for each row; a null url, or one without ://, has empty host and path, fits no rule and is allowed; null and
+repeated ids are rows like others; an empty rule list allows all; repeated rules count once (if they contradict, block wins); an
+empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stash, table
+from .common import LOWER, UPPER, discard, stash, table
 
 #: (action, host, path) of the registered query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -48,7 +51,7 @@ class BloomLevel:
     def __init__(self, level: int, n: int, rate: float):
         bits = max(64, int(np.ceil(-max(n, 1) * np.log(rate) / np.log(2) ** 2)))
         self.m, self.k, self.level = bits, max(1, round(bits / max(n, 1) * np.log(2))), level
-        self.k = min(self.k, 16)
+        self.k = min(self.k, 60)
         self.bits = np.zeros(bits // 8 + 1, np.uint8)
 
     def _at(self, a: np.ndarray, b: np.ndarray):
@@ -86,13 +89,11 @@ def url_parts(url):
     return F.translate(host, UPPER, LOWER), path
 
 
-def candidate_keys(host, path, lengths: list[int]):
-    """All rule keys that could fit a url: host suffix, tab, path prefix."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    prefixes = F.filter(prefixes, lambda p: p.isNotNull())
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\t"), p))))
+def candidate_keys(host, path, shapes: list[tuple[int, int]]):
+    """The rule keys that could fit a url: host suffix, tab, path prefix, for the (labels, path length) that rules have."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    keys = [F.when((labels >= k) & (F.length(path) >= n), F.concat(F.substring_index(host, ".", -k), F.lit("\t"), F.substring(path, 1, n))) for k, n in shapes]
+    return F.filter(F.array(*keys), lambda x: x.isNotNull())
 
 
 def _hash_frame(df: DataFrame, key: str) -> DataFrame:
@@ -124,18 +125,28 @@ def _grown(keys: DataFrame, level: int, n: int, rate: float, blocks: int = 64) -
     return out
 
 
-def build_cascade(listed_keys: DataFrame, universe: DataFrame, max_levels: int = 24, max_bytes: int = 64 << 20, rate: float = 0.01) -> list[BloomLevel] | None:
-    """Cascade over hashed keys (columns a, b, distinct). None: it would exceed `max_bytes` or not empty."""
-    others = universe.join(listed_keys, ["a", "b"], "left_anti")
+def filter_bytes(n: int, others: int, rate: float) -> float:
+    """About how many bytes the levels of a cascade take."""
+    return max(n, 1) * 1.44 / 8 * (np.log2(1 / first_rate(n, others, rate)) + 2 * np.log2(1 / rate))
+
+
+def first_rate(n: int, others: int, rate: float) -> float:
+    """The first level's rate: it passes about half as many keys wrongly as are listed."""
+    return min(rate, max(n, 1) / (2 * max(others, 1)))
+
+
+def build_cascade(listed_keys: DataFrame, universe: DataFrame, max_levels: int = 40, rate: float = 0.01) -> list[BloomLevel]:
+    """Cascade over hashed keys (columns a, b, distinct; stored tables)."""
+    others = stash(universe.join(listed_keys, ["a", "b"], "left_anti"), "cascade")
     levels: list[BloomLevel] = []
-    sides = [listed_keys, others]
+    sides, done = [listed_keys, others], [others]
+    first = first_rate(listed_keys.count(), others.count(), rate)
     for k in range(max_levels):
         n = sides[k % 2].count()
         if not n:
+            discard(*done)
             return levels
-        if n * 1.44 * np.log2(1 / rate) / 8 > max_bytes:
-            return None
-        level = _grown(sides[k % 2], k, n, rate)
+        level = _grown(sides[k % 2], k, n, rate if k else first)
         levels.append(level)
         held = universe.sparkSession.sparkContext.broadcast(level)
 
@@ -145,7 +156,11 @@ def build_cascade(listed_keys: DataFrame, universe: DataFrame, max_levels: int =
                 yield x.filter(pa.array(ok))
 
         sides[(k + 1) % 2] = stash(sides[(k + 1) % 2].mapInArrow(passing, "a long, b long"), "cascade")
-    return None
+        done.append(sides[(k + 1) % 2])
+    raise ValueError("a listed and an unlisted key share all 128 bits")
+
+
+JUDGED = "host string, path string, rule string, verdict string, rule_host int"
 
 
 def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
@@ -153,49 +168,58 @@ def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "action string, host string, path string") if rules else spark.createDataFrame([], "action string, host string, path string")
-    rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), F.lit("\t"), "path").alias("key"), "action", F.length("path").alias("n"))
-    lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())  # distinct path lengths, not rules
+    low = F.translate("host", UPPER, LOWER)
+    rules = rules.select(F.concat(low, F.lit("\t"), "path").alias("key"), "action", (F.length(low) - F.length(F.replace(low, F.lit("."), F.lit(""))) + 1).alias("k"), F.length("path").alias("n"))
+    shapes = sorted((r["k"], r["n"]) for r in rules.select("k", "n").distinct().collect())  # the shapes of rules, not rules
+    kind = pages.schema[id_col].dataType.simpleString()
     host, path = url_parts(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
+    urls = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
+    keys = candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>")
     one = rules.groupBy("key").agg(F.max(F.col("action") == "block").alias("blocks"))
-    universe = _hash_frame(keyed.select(F.explode("keys").alias("key")).distinct(), "key")
-    universe = stash(universe, "url-universe")
+    universe = stash(_hash_frame(urls.select(F.explode(keys).alias("key")).distinct(), "key"), "url-universe")
     in_list = stash(_hash_frame(one, "key"), "url-listed")
-    member = build_cascade(in_list, universe, max_bytes=max_filter_bytes)
-    blocks = None if member is None else build_cascade(stash(_hash_frame(one.filter("blocks"), "key"), "url-block"), in_list, max_bytes=max_filter_bytes)
-    if member is None or blocks is None:
-        return _by_join(keyed, one, id_col)
-    held = spark.sparkContext.broadcast((member, blocks))
-    with_hashes = keyed.select(id_col, "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(F.lit(1), k)).alias("a"), F.transform("keys", lambda k: F.xxhash64(F.lit(2), k)).alias("b"))
-
-    def judge(batches):
+    in_block = stash(_hash_frame(one.filter("blocks"), "key"), "url-block")
+    n, others = in_list.count(), universe.count()
+    shards = max(1, int(np.ceil(2 * filter_bytes(n, others, 0.01) / max(max_filter_bytes, 1)))) if n else 1
+    rows = urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(0).alias("rule_host"))
+    passed = None
+    for i in range(shards):
+        part = [stash(d.filter(F.pmod("a", F.lit(shards)) == i), "url-shard") if shards > 1 else d for d in (in_list, universe, in_block)]
+        cascades = build_cascade(part[0], part[1]), build_cascade(part[2], part[0])
+        rows = _judged(rows, keys, spark.sparkContext.broadcast(cascades), kind, i, shards)
+        if shards > 1:
+            discard(*part)
+            rows = stash(rows, "url-judged")
+            if passed is not None:
+                discard(passed)
+            passed = rows
+    return rows.select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict")
+
+
+def _judged(rows: DataFrame, keys, held, kind: str, shard: int, shards: int) -> DataFrame:
+    """The rows with the best of the rules in `held`, the cascades of one shard, and of what they came with."""
+    hashed = rows.withColumn("keys", keys).withColumns({"a": F.transform("keys", lambda k: F.xxhash64(F.lit(1), k)), "b": F.transform("keys", lambda k: F.xxhash64(F.lit(2), k))})
+    names = ["_id", "host", "path", "rule", "verdict", "rule_host"]
+
+    def run(batches):
         inside, blocking = held.value
         for x in batches:
             lists = x.column("keys")
             counts = np.diff(lists.offsets.to_numpy())
             a = x.column("a").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             b = x.column("b").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row, hit = np.repeat(np.arange(len(counts)), counts), listed(inside, a, b)
-            at = np.flatnonzero(hit)
-            keys = lists.flatten().take(pa.array(at)).to_pylist()
+            mine = np.flatnonzero(a.view(np.int64) % shards == shard)  # a cascade is exact for its own universe only
+            at = mine[listed(inside, a[mine], b[mine])]
+            found = lists.flatten().take(pa.array(at)).to_pylist()
             stop = listed(blocking, a[at], b[at])
-            rule, verdict = [None] * len(counts), ["allow"] * len(counts)
-            for r, key, no in zip(row[at].tolist(), keys, stop.tolist(), strict=True):
-                if rule[r] is None or len(key) > len(rule[r]) + 1:
-                    rule[r], verdict[r] = key.replace("\t", "", 1), "block" if no else "allow"
-            yield pa.RecordBatch.from_arrays([x.column(id_col), x.column("host"), x.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [id_col, "host", "path", "rule", "verdict"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return with_hashes.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
-
-
-def _by_join(keyed: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """The way beyond the filter's bound: a shuffled join of the keys with the rule list."""
-    exploded = keyed.select(F.col(id_col), "host", "path", F.explode_outer("keys").alias("key")).join(rules, "key", "left")
-    best = F.max(F.when(F.col("blocks").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key"), F.col("blocks"))))
-    out = exploded.groupBy(id_col, "host", "path").agg(best.alias("r"))
-    return out.select(id_col, "host", "path", F.replace(F.col("r.key"), F.lit("\t"), F.lit("")).alias("rule"), F.when(F.col("r.blocks"), "block").otherwise("allow").alias("verdict"))
+            rule, verdict, width = (x.column(c).to_pylist() for c in names[3:])
+            for r, key, no in zip(np.repeat(np.arange(len(counts)), counts)[at].tolist(), found, stop.tolist(), strict=True):
+                wide = key.index("\t")
+                if rule[r] is None or (len(key) - 1, wide) > (len(rule[r]), width[r]):
+                    rule[r], verdict[r], width[r] = key.replace("\t", "", 1), "block" if no else "allow", wide
+            yield pa.RecordBatch.from_arrays([*[x.column(c) for c in names[:3]], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(width, pa.int32())], names)
+
+    return hashed.mapInArrow(run, f"_id {kind}, {JUDGED}")
 
 
 def op4_url_filters(spark, sf_dir):

@@ -163,7 +163,7 @@ def test_exact_dedup(spark):
 
 # ---- 4 url filters ------------------------------------------------------------------------------
 
-URLS = [None, "", "no scheme", "http://net", "http://net/", "HTTP://A.Net/x?y", "http://example.net/en/a", "http://a.example.net/en", "http://x.org/fr/", "http://org?/fr/", "https://example.com/de/#f", "http://notexample.com/de/", "a://b://c.net/d", "http://a..net/", "http://ünet/", "http://NET/\nq"]
+URLS = [None, "", "no scheme", "http://net", "http://net/", "HTTP://A.Net/x?y", "http://example.net/en/a", "http://a.example.net/en", "http://x.org/fr/", "http://org?/fr/", "https://example.com/de/#f", "http://notexample.com/de/", "a://b://c.net/d", "http://a..net/", "http://ünet/", "http://NET/\nq", "http://a.b.c/xx", "http://c/xx", "http:///x", "http://" + "l." * 60_000 + "net/", "http://b.c/" + "p" * 300_000]
 
 
 def by_rules(url, rules):
@@ -171,9 +171,9 @@ def by_rules(url, rules):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = host.translate(str.maketrans(common.UPPER, common.LOWER))
-    fit = [(len(h) + len(p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=(0, None, "allow"))
-    return host, path, best[1], best[2]
+    fit = [(len(h) + len(p), len(h), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
 
 
 def many_rules(n):
@@ -181,7 +181,10 @@ def many_rules(n):
     return [(rng.choice(["block", "allow"]), f"h{i}.example", f"/{i % 3}/") for i in range(n)]
 
 
-@pytest.mark.parametrize(("rules", "limit"), [(url_filter.RULES, 64 << 20), (url_filter.RULES, 0), ([], 64 << 20), (many_rules(400), 64 << 20)])
+TIES = [("block", "b.c", "/"), ("allow", "c", "/xx"), ("allow", "net", "/"), ("block", "net", "/"), ("block", "NET", "/q"), ("allow", "", "/")]
+
+
+@pytest.mark.parametrize(("rules", "limit"), [(url_filter.RULES, 64 << 20), (url_filter.RULES, 8), ([], 64 << 20), (many_rules(400), 64 << 20), (many_rules(400), 900), (TIES, 64 << 20), (TIES, 8)])
 def test_url_rules(spark, rules, limit):
     urls = URLS + [f"http://w.h{i}.example/{i % 4}/p" for i in range(0, 800, 2)]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(2)
@@ -189,6 +192,14 @@ def test_url_rules(spark, rules, limit):
     assert got == {i: by_rules(u, rules) for i, u in enumerate(urls)}
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 8])
+def test_url_rules_give_a_row_for_each_row(spark, limit):
+    pages = spark.createDataFrame([(2, "http://b.c/xx?1"), (2, "http://b.c/xx?2"), (2, "http://b.c/xx?2"), (None, "http://x"), (None, None)], "page_id long, url string")
+    got = rows(url_filter.apply_rules(pages, TIES, max_filter_bytes=limit))
+    assert sorted((r["page_id"] or 0, r["rule"] or "", r["verdict"]) for r in got) == [(0, "", "allow"), (0, "", "allow")] + [(2, "b.c/", "block")] * 3
+    assert url_filter.apply_rules(pages.limit(0), TIES, max_filter_bytes=limit).count() == 0
+
+
 def test_cascade_is_exact_over_its_universe():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**63, (2, 20_000)).astype(np.uint64)
@@ -216,7 +227,7 @@ def every_segmentation(m, text):
             out[tuple(ids)] = lp
             return
         lone = True
-        for n in range(1, min(sampling.WIDTH, len(s) - i) + 1):
+        for n in range(1, min(m.width, len(s) - i) + 1):
             if s[i : i + n] in m.by_piece:
                 piece, w = m.by_piece[s[i : i + n]]
                 go(i + n, [*ids, piece], lp + w)
