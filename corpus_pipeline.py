@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs; all but the last keep the columns of `documents`.
+
+Defined results of every stage: null and empty texts are documents like others (quality scores them; the line and personal data stages
+leave them as they are; they link with nothing, so the near-duplicate stage keeps them; they have no piece, so packing returns no
+row); null and repeated ids are rows of their own: decisions return to rows by id and text, never by id alone, and of rows that agree in
+both the near-duplicate stage keeps one; whole texts of any length are read; an empty table gives an empty result; further columns are
+carried along, whatever their names, up to packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -10,26 +16,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoweave.llm import jaccard_join, line_dedup, packing, pii, quality
-from orthoweave.llm.common import small, stash, table
+from orthoweave.llm.common import discard, small, stash, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the boosted trees, trained on the labelled ones that are not held out, score at 0.5 or more."""
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, forest, keep=docs.columns).filter("score >= 0.5").select(*docs.columns)
+    score = unused(docs, "score")
+    return quality.score(docs, forest, keep=docs.columns, score_col=score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many sites share, but for their first occurrence; documents left without text go."""
-    cleaned = line_dedup.clean(docs, line_dedup.spread_lines(docs))
-    kept = cleaned.filter((F.trim("cleaned") != "") | F.col("cleaned").eqNullSafe(F.col("text")))
-    return _with_text(kept, docs, "cleaned")
+    prefix = "line_"
+    while any(unused(docs, prefix + c) != prefix + c for c in line_dedup.ADDED):
+        prefix += "_"
+    cleaned = line_dedup.clean(docs, line_dedup.spread_lines(docs), prefix=prefix)
+    text = F.col(prefix + "cleaned")
+    kept = cleaned.filter((F.trim(text) != "") | text.eqNullSafe(F.col("text")))
+    return _with_text(kept, docs, prefix + "cleaned")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of near-duplicate links."""
-    found = jaccard_join.near_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(stash(found, "near-dropped")), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id (and text hash), of each component of near-duplicate links."""
+    row = unused(docs, "row")
+    keyed = docs.withColumn(row, F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")))
+    found = stash(jaccard_join.near_components(keyed, id_col=row).select(F.col(row).alias("_row"), F.col("component_id").eqNullSafe(F.col(row)).alias("_stays"), (F.col("n_shingles") > 0).alias("_any")), "near-rows")
+    gone = small(stash(found.filter("not _stays").select("_row").distinct(), "near-dropped"))
+    kept = keyed.join(gone, F.col(row) == F.col("_row"), "left_anti")
+    # rows that agree in id and text are copies of each other
+    twice = stash(found.filter("_stays and _any").groupBy("_row").count().filter("count > 1").select("_row"), "near-repeated")
+    if twice.take(1):
+        again = kept.join(small(twice), F.col(row) == F.col("_row"), "left_semi").groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("_whole")).select("_whole.*")
+        kept = kept.join(small(twice), F.col(row) == F.col("_row"), "left_anti").select(*docs.columns).unionByName(again)
+    discard(found)
+    return kept.select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +60,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every text with its bin."""
-    return packing.pack_documents(docs, carry_text=True, stored=True)
+    return packing.pack_documents(docs, carry_text=True)
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
