@@ -123,28 +123,156 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+class Combiner:
+    """Values of sets on their way to a count of those that no other set has. A flush gives a row for each bucket of values: the sets
+    seen, and for each distinct value 48 bits of it and which of these sets has it (SEVERAL: more than one), so a value that many
+    sets share crosses the network once a flush. Values that agree in 48 bits count as one, which only ever keeps more sets alive."""
+
+    SEVERAL, LOW = 65535, np.uint64(2**48 - 1)
+    SCHEMA = "bucket int, sids binary, owner binary, vals binary"
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.sids, self.values, self.n = {}, [], 0
+
+    def add(self, sid: int, values: np.ndarray) -> None:
+        if sid not in self.sids:  # a copy adds nothing
+            self.sids[sid] = len(self.sids)
+            self.values.append(values.view(np.uint64))
+            self.n += len(values)
+
+    def full(self) -> bool:
+        return self.n > 1_500_000 or len(self.sids) >= self.SEVERAL
+
+    def flush(self) -> list[list]:
+        """Columns of SCHEMA."""
+        out = [[], [], [], []]
+        if self.n:
+            sids = np.fromiter(self.sids, np.int64, len(self.sids))
+            v = np.concatenate(self.values) & self.LOW
+            owner = np.repeat(np.arange(len(sids)), [len(x) for x in self.values])
+            order = np.argsort(v)
+            v, owner = v[order], owner[order]
+            starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            several = np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts)
+            v, owner = v[starts], np.where(several, -1, owner[starts])
+            bucket = ((v >> np.uint64(16)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)  # rises with the value
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            low, high = v.astype("<u4"), (v >> np.uint64(32)).astype("<u2")
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(v)], strict=True):
+                seen, at = np.unique(owner[lo:hi], return_inverse=True)
+                if seen[0] < 0:
+                    seen, at = seen[1:], np.where(at == 0, self.SEVERAL, at - 1)
+                out[0].append(int(bucket[lo]))
+                out[1].append(sids[seen].tobytes()), out[2].append(at.astype("<u2").tobytes()), out[3].append(low[lo:hi].tobytes() + high[lo:hi].tobytes())
+        self.clear()
+        return out
+
+
+def _single(held: list[tuple]) -> dict[str, np.ndarray]:
+    """Of a bucket's rows (sids, owner, vals): each set with how many even and odd values only it has."""
+    vals, owners, several = [], [], []
+    for sids, owner, raw in held:
+        ids, at = np.frombuffer(sids, np.int64), np.frombuffer(owner, "<u2")
+        n = len(at)
+        vals.append(np.frombuffer(raw[4 * n :], "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(raw[: 4 * n], "<u4").astype(np.uint64))
+        several.append(at == Combiner.SEVERAL)
+        owners.append(ids[np.where(several[-1], 0, at)] if len(ids) else np.zeros(n, np.int64))
+    v, sid, many = np.concatenate(vals), np.concatenate(owners), np.concatenate(several)
+    order = np.argsort(v)
+    v, sid, many = v[order], sid[order], many[order]
+    starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    lo, hi = np.minimum.reduceat(sid, starts), np.maximum.reduceat(sid, starts)
+    alone = (lo == hi) & ~np.logical_or.reduceat(many, starts)
+    odd = (v[starts][alone] & np.uint64(1)).astype(np.int64)
+    ids, at = np.unique(lo[alone], return_inverse=True)
+    return {"sid": ids, "lone0": np.bincount(at, 1 - odd, len(ids)).astype(np.int64), "lone1": np.bincount(at, odd, len(ids)).astype(np.int64)}
+
+
+def lone_values(packed: DataFrame, carried: str = "") -> DataFrame:
+    """sid, lone0, lone1 (values, by their lowest bit, that no other set has; several rows a set) of rows of Combiner.SCHEMA; rows that
+    have no vals bring their `carried` columns instead. A task holds one bucket at a time."""
+    names = [c.split()[0].strip("`") for c in carried.split(", ")] if carried else []
+
+    def run(batches):
+        held, bucket = [], None
+        for b in batches:
+            found = []
+            for x, *row in zip(*[b.column(c).to_pylist() for c in ("bucket", "sids", "owner", "vals")], strict=True):
+                if row[2] is not None:
+                    if x != bucket and held:
+                        found.append(_single(held))
+                        held = []
+                    bucket = x
+                    held.append(row)
+            if found:
+                yield _partial(found, b.schema, names)
+            if names:
+                docs = b.filter(b.column("vals").is_null()) if b.column("vals").null_count else b.slice(0, 0)
+                lone = pa.nulls(docs.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in names], lone, lone], [*names, "lone0", "lone1"])
+        if held:
+            yield _partial([_single(held)], b.schema, names)
+
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, (carried or "sid long") + ", lone0 long, lone1 long")
+
+
+def _partial(found: list[dict], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    columns = {k: pa.array(np.concatenate([f[k] for f in found])) for k in ("sid", "lone0", "lone1")}
+    n = len(columns["sid"])
+    wanted = [*(names or ["sid"]), "lone0", "lone1"]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, schema.field(c).type) for c in wanted], wanted)
+
+
+def buckets_of(df: DataFrame) -> int:
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n: int) -> DataFrame:
-    """id, n_shingles, sid (hash of the set), keys (lowest bit: 1 for the band scheme, 0 for the flat or edge one), need0
-    and need1: how many keys of either scheme a link has in common (0: not in that scheme)."""
+    """A row for each document: _id, n_shingles, sid (hash of the set), need0 and need1 (how many keys of either scheme a link has in
+    common; 0: not in that scheme), k0 and k1 (keys emitted), and rows with sid, lone0, lone1 alone, which add up to the keys of a set that
+    no other set has."""
     kind = docs.schema[id_col].dataType.simpleString()
+    buckets = buckets_of(docs)
+    carried = f"_id {kind}, n_shingles long, sid long, need0 int, need1 int, k0 int, k1 int"
+    names = [c.split()[0] for c in carried.split(", ")]
 
     def run(batches):
-        words = _Words()
+        words, keys = _Words(), Combiner(buckets)
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+
+        def packed(rows, ids):
+            m = len(rows[0])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]], *[pa.nulls(m, t) for t in (ids.type, *types)]], [*PACKED, *names])
+
         for b in batches:
-            sizes, ids, keys, need = [], [], [], ([], [])
+            rows = []
             with np.errstate(over="ignore"):
                 for text in b.column(1).to_pylist():
                     s = shingles(text, words, n)
                     x = len(s)
-                    sizes.append(x), ids.append(set_id(s) if x else 0)
+                    sid = set_id(s) if x else 0
                     own, least = keys_of(s, num, den)
-                    keys.append(own)
-                    need[0].append(least[0]), need[1].append(least[1])
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat), *[pa.array(x, pa.int32()) for x in need]], [id_col, "n_shingles", "sid", "keys", "need0", "need1"])
+                    if x:
+                        keys.add(sid, own)
+                    k1 = int((own & 1).sum())
+                    rows.append((sid % buckets, x, sid, *least, len(own) - k1, k1))
+                    if keys.full():
+                        yield packed(keys.flush(), b.column(0))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            none = pa.nulls(len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), none, none, none, b.column(0), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], [*PACKED, *names])
+        if keys.n:
+            yield packed(keys.flush(), b.column(0))
+
+    return lone_values(docs.select(id_col, text_col).mapInArrow(run, f"{Combiner.SCHEMA}, {carried}"), carried)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, sid long, keys array<long>, need0 int, need1 int")
+
+PACKED = ["bucket", "sids", "owner", "vals"]
 
 
 def keys_of(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
@@ -159,7 +287,8 @@ def keys_of(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
 def shingle_sets(docs: DataFrame, wanted: DataFrame, unique: bool, id_col: str, text_col: str, num: int, den: int, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """sid, keys, set (bytes of the sorted hashes), sketch0 and sketch1 (parity bits for its schemes) of the documents in `wanted`
     (id, sid); unique: no id occurs twice in docs."""
-    rows = docs.select(id_col, text_col).join(small(wanted, broadcast_rows), id_col).select("sid", text_col)
+    wanted = small(wanted.select(F.col(id_col).alias("_wanted"), "sid"), broadcast_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_wanted"))).select("sid", "_text")
 
     def run(batches):
         words = _Words()
@@ -181,26 +310,38 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, unique: bool, id_col: str,
 
 def parity_bits(s: np.ndarray, tag: int, chunks: int) -> np.ndarray:
     """A set's dense bit sketch for a scheme, as 64-bit words."""
-    m = 256 if chunks == FLAT else 1 << (5 * chunks - 1).bit_length()  # two bits a shingle of the scheme's largest set
+    m = 256 if chunks == FLAT else 1 << (5 * chunks // 2 - 1).bit_length()  # a bit or more a shingle of the scheme's largest set
     odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """sid, token for every shingle of the sets."""
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """sid, own: how many shingles of each set no other of the sets has (no row: none)."""
+    buckets = buckets_of(sets)
 
     def run(batches):
+        values = Combiner(buckets)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                views = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("sid").to_numpy(zero_copy_only=False), [len(v) for v in views])), pa.array(np.concatenate(views))], ["sid", "token"])
+            for sid, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                values.add(sid, np.frombuffer(raw.as_buffer(), np.uint64))
+                if values.full():
+                    yield batch(values)
+        if values.n:
+            yield batch(values)
+
+    def batch(values):
+        rows = values.flush()
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], PACKED)
 
-    return sets.mapInArrow(run, "sid long, token long")
+    lone = lone_values(sets.select("sid", "set").mapInArrow(run, Combiner.SCHEMA))
+    return lone.groupBy("sid").agg(F.sum(F.col("lone0") + F.col("lone1")).alias("own"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets link."""
+    """Of the pairs (a, b; a stored table), those whose sets link. Pairs that share one set may lie in a skewed partition, which adaptive
+    execution splits."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = sets.select("sid", "set").join(small(wanted), "sid", "left_semi")
     left = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -232,31 +373,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id: the smallest id reachable over links of similarity num/den or more."""
     sk = stash(sketches(docs, id_col, text_col, num, den, n), "sketches")
     # keys of one set only find no partner; their number decides which sets may have any
-    keyed = sk.select("sid", F.explode("keys").alias("key"))
-    lone = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo = hi")
-    lone = lone.groupBy(F.col("lo").alias("sid"), F.col("key").bitwiseAND(F.lit(1)).alias("second")).agg(F.count(F.lit(1)).alias("lone"))
-    lone = stash(lone.groupBy("sid").agg(F.sum(F.when(F.col("second") == 0, F.col("lone"))).alias("lone0"), F.sum(F.when(F.col("second") == 1, F.col("lone"))).alias("lone1")), "lone-keys")
-    sizes = sk.filter("n_shingles > 0").groupBy("sid").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n_shingles", "need0", "need1")], F.max(F.size(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 0))).alias("k0"), F.max(F.size("keys")).alias("k"))
-    alive = sizes.join(lone, "sid", "left").withColumns({"k1": F.col("k") - F.col("k0"), "lone0": F.coalesce("lone0", F.lit(0)), "lone1": F.coalesce("lone1", F.lit(0))})
+    alive = sk.groupBy("sid").agg(F.min("_id").alias("first_id"), F.count("n_shingles").alias("copies"), *[F.max(c).alias(c) for c in ("n_shingles", "need0", "need1", "k0", "k1")], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lone0", "lone1")]).filter("n_shingles > 0")
     # how many of its shared keys, rarest first, a set needs in order to meet each of its partners on one
-    alive = alive.withColumns({"use0": F.when(F.col("need0") > 0, F.col("k0") - F.col("lone0") - F.col("need0") + 1).otherwise(0), "use1": F.when(F.col("need1") > 0, F.col("k1") - F.col("lone1") - F.col("need1") + 1).otherwise(0)})
-    sids = stash(alive.select("sid", "first_id", "copies", F.col("n_shingles").alias("n"), "use0", "use1"), "set-ids")
-    named_rows = stash(sk.select(id_col, "n_shingles", "sid"), "document-sets")
-    discard(lone, sk)
+    use = [F.when(F.col(f"need{i}") > 0, F.col(f"k{i}") - F.col(f"lone{i}") - F.col(f"need{i}") + 1).otherwise(0).alias(f"use{i}") for i in (0, 1)]
+    sids = stash(alive.select("sid", "first_id", "copies", F.col("n_shingles").alias("n"), *use), "set-ids")
+    named_rows = stash(sk.filter("n_shingles is not null").select(F.col("_id").alias(id_col), "n_shingles", "sid"), "document-sets")
+    discard(sk)
     living = stash(sids.filter("use0 > 0 or use1 > 0").drop("copies"), "living")
 
     # shingles that only one of the living sets has bound what it can share
     unique = not named_rows.groupBy(id_col).count().filter("count > 1").take(1)
     sets = stash(shingle_sets(docs, living.select(F.col("first_id").alias(id_col), "sid"), unique, id_col, text_col, num, den, n), "shingle-sets")
-    own = _tokens(sets).groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo = hi").groupBy(F.col("lo").alias("sid")).agg(F.count(F.lit(1)).alias("own"))
     all_living = living
-    living = living.join(own, "sid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    living = living.join(own_shingles(sets), "sid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     living = living.withColumn("top", F.floor((F.col("n") - F.col("own")) * (num + den) / num) - F.col("n"))  # its largest possible partner
     first, living = all_living, stash(living.filter(F.col("top") * den >= F.col("n") * num), "still-living")
     discard(first)
 
     # buckets of the living sets
-    rows = sets.select("sid", "keys").join(living, "sid").select("sid", "n", "top", "use0", "use1", F.explode("keys").alias("key"))
+    rows = sets.select("sid", "keys").join(small(living.select("sid", "n", "top", "use0", "use1")), "sid").select("sid", "n", "top", "use0", "use1", F.explode("keys").alias("key"))
     rows = rows.withColumn("use", F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("use0")).otherwise(F.col("use1"))).filter("use > 0").drop("use0", "use1")
     rows = stash(rows, "bucket-rows")
     buckets = stash(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
@@ -275,9 +410,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (F.least(x, y) * den >= F.greatest(x, y) * num) & (F.col(top_x) >= F.col(y)) & (F.col(top_y) >= F.col(x))
 
     star = attach(shared.drop("size"), centers, ["key"], "size", total, "sid").filter("sid <> c_sid").filter(fits("n", "top", "c_n", "c_top"))
-    star = star.groupBy("sid").agg(F.max(F.struct("c_weight", "c_sid")).alias("c")).select(F.col("sid").alias("a"), F.col("c.c_sid").alias("b"))
+    star = stash(star.groupBy("sid").agg(F.max(F.struct("c_weight", "c_sid")).alias("c")).select(F.col("sid").alias("a"), F.col("c.c_sid").alias("b")), "star")
     links = stash(verified(star, sets, num, den), "star-links")
-    discard(centers)
+    discard(centers, star)
     rare = shared.filter("rare").select("key", "sid", "n", "top")
 
     # each set of a bucket with several components against members drawn by a hash
@@ -286,8 +421,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drawn = stash(open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "sid").alias("h"), F.col("sid"), F.col("n"), F.col("top"), F.col("root"))).alias("d")).select("key", F.col("d.sid").alias("b"), F.col("d.n").alias("nb"), F.col("d.top").alias("top_b"), F.col("d.root").alias("rb")), "drawn")
         tries = open_rows.join(drawn, "key").filter(F.col("root") != F.col("rb")).filter(fits("n", "top", "nb", "top_b")).select(F.col("sid").alias("a"), "b").distinct()
         tries = tries.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).filter(F.col("_r") <= draws).select("a", "b")
+        tries = stash(tries, "tries")
         more = stash(links.unionByName(verified(tries, sets, num, den)), "drawn-links")
-        discard(open_rows, drawn, links)
+        discard(open_rows, drawn, tries, links)
         links = more
 
     # all pairs of a bucket that still lie in different components
