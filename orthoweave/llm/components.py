@@ -1,4 +1,9 @@
-"""Connected components of a link table, as DataFrame rounds of min-label contraction."""
+"""Connected components of a link table, as DataFrame rounds of min-label contraction.
+
+Defined results: links with a null end and links of a node to itself are left out; repeated and reversed links count once; an
+empty table gives an empty result. The links of a hub lie in one partition of the joins that relabel them, which adaptive execution
+splits (a skewed inner join); their least label is combined map-side.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ lookup by digest, with hot groups broadcast (`common.attach`).
 
 Defined results: a null text counts as empty, so null and empty texts are copies of each other; ties
 on the id cannot change the result (the largest id is kept; repeated ids stay separate rows, all of them
-kept if they carry the keeper's id); an empty table gives an empty result; other columns are ignored, and
+kept if they carry the keeper's id); a null id is smaller than all others, `kept` is null for its row, and keep_id is null where all
+copies have null ids; an empty table gives an empty result; other columns are ignored, and
 only `id_col` and `text_col` are read.
 """
 

@@ -12,8 +12,9 @@ its end to finish the last one. A record's start lies in exactly one range, so e
 Both go through pyarrow.fs, so the shared folder may be any store that pyarrow opens.
 
 Defined results: null html is an empty payload; a null url is written as an empty target; a null id stays null (such a record
-is a response of its own group if no id is smaller); repeated ids are records of their own; an empty table gives an
-empty manifest and an empty result; further columns of the input are ignored.
+is always a response, and none refers to it); repeated ids are records of their own, and all those with the smallest id of their
+payload are responses; payloads of any length are read in steps; an empty table gives an empty manifest and an empty result; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def records_in(read_at, size: int, start: int, end: int, step: int = 1 << 20):
     """(offset, length, fields) of the records whose gzip member starts in [start, end). read_at(offset, n) -> bytes."""
-    base, buf = start, read_at(start, min(step, size - start))
+    base, buf = start, bytearray(read_at(start, min(step, size - start)))  # grows in place
     at = start
     while at < end:
         hit = buf.find(MAGIC, at - base)
