@@ -145,7 +145,7 @@ class Combiner:
             self.n += len(values)
 
     def full(self) -> bool:
-        return self.n > 1_500_000 or len(self.sids) >= self.SEVERAL
+        return self.n > 600_000 or len(self.sids) >= self.SEVERAL
 
     def flush(self) -> list[list]:
         """Columns of SCHEMA."""
@@ -172,7 +172,7 @@ class Combiner:
         return out
 
 
-def _single(held: list[tuple]) -> dict[str, np.ndarray]:
+def _single(held: list[tuple]) -> Counts:
     """Of a bucket's rows (sids, owner, vals): each set with how many even and odd values only it has."""
     vals, owners, several = [], [], []
     for sids, owner, raw in held:
@@ -189,7 +189,7 @@ def _single(held: list[tuple]) -> dict[str, np.ndarray]:
     alone = (lo == hi) & ~np.logical_or.reduceat(many, starts)
     odd = (v[starts][alone] & np.uint64(1)).astype(np.int64)
     ids, at = np.unique(lo[alone], return_inverse=True)
-    return {"sid": ids, "lone0": np.bincount(at, 1 - odd, len(ids)).astype(np.int64), "lone1": np.bincount(at, odd, len(ids)).astype(np.int64)}
+    return ids, np.bincount(at, 1 - odd, len(ids)).astype(np.int64), np.bincount(at, odd, len(ids)).astype(np.int64)
 
 
 def lone_values(packed: DataFrame, carried: str = "") -> DataFrame:
@@ -198,34 +198,48 @@ def lone_values(packed: DataFrame, carried: str = "") -> DataFrame:
     names = [c.split()[0].strip("`") for c in carried.split(", ")] if carried else []
 
     def run(batches):
-        held, bucket = [], None
+        held, bucket, found, n, schema = [], None, [], 0, None
         for b in batches:
-            found = []
+            schema = b.schema
             for x, *row in zip(*[b.column(c).to_pylist() for c in ("bucket", "sids", "owner", "vals")], strict=True):
                 if row[2] is not None:
                     if x != bucket and held:
                         found.append(_single(held))
+                        n += len(found[-1][0])
                         held = []
                     bucket = x
                     held.append(row)
-            if found:
-                yield _partial(found, b.schema, names)
+            if n > 1_000_000:  # a set has values in many buckets
+                found = [_added(found)]
+                n = len(found[0][0])
+                if n > 500_000:
+                    yield _partial(found[0], schema, names)
+                    found, n = [], 0
             if names:
                 docs = b.filter(b.column("vals").is_null()) if b.column("vals").null_count else b.slice(0, 0)
                 lone = pa.nulls(docs.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in names], lone, lone], [*names, "lone0", "lone1"])
         if held:
-            yield _partial([_single(held)], b.schema, names)
+            found.append(_single(held))
+        if found:
+            yield _partial(_added(found), schema, names)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, (carried or "sid long") + ", lone0 long, lone1 long")
 
 
-def _partial(found: list[dict], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
-    columns = {k: pa.array(np.concatenate([f[k] for f in found])) for k in ("sid", "lone0", "lone1")}
-    n = len(columns["sid"])
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # sid, lone0, lone1
+
+
+def _added(found: list[Counts]) -> Counts:
+    ids, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return ids, *(np.bincount(at, np.concatenate([f[i] for f in found]), len(ids)).astype(np.int64) for i in (1, 2))
+
+
+def _partial(found: Counts, schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    columns = {k: pa.array(x) for k, x in zip(("sid", "lone0", "lone1"), found, strict=True)}
     wanted = [*(names or ["sid"]), "lone0", "lone1"]
-    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, schema.field(c).type) for c in wanted], wanted)
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(found[0]), schema.field(c).type) for c in wanted], wanted)
 
 
 def buckets_of(df: DataFrame) -> int:
@@ -242,7 +256,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n:
     names = [c.split()[0] for c in carried.split(", ")]
 
     def run(batches):
-        words, keys = _Words(), Combiner(buckets)
+        words, keys, seen = _Words(), Combiner(buckets), 0
         types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
 
         def packed(rows, ids):
@@ -260,7 +274,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n:
                     if x:
                         keys.add(sid, own)
                     k1 = int((own & 1).sum())
-                    rows.append((sid % buckets, x, sid, *least, len(own) - k1, k1))
+                    seen += 1
+                    rows.append((seen % buckets, x, sid, *least, len(own) - k1, k1))
                     if keys.full():
                         yield packed(keys.flush(), b.column(0))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
@@ -457,3 +472,21 @@ def op6_jaccard_join(spark, sf_dir):
     from .common import table
 
     return near_components(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i : hash(array_to_string(w[i:i+4], ' '))))) AS s FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.c >= 80 * (x.n + y.n - o.c)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) e ON e.a = r.b
+)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import SQL as JACCARD_SQL
 from .jaccard_join import op6_jaccard_join
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op9_line_dedup
@@ -23,6 +24,7 @@ QUERIES["op1_media"] = op1_media
 QUERIES["op2_warc"] = op2_warc
 QUERIES["op5_gumbel_segmentation"] = op5_gumbel_segmentation
 QUERIES["op6_jaccard_join"] = op6_jaccard_join
+ORACLES["op6_jaccard_join"] = JACCARD_SQL
 QUERIES["op7_pii"] = op7_pii
 QUERIES["op8_packing"] = op8_packing
 QUERIES["op9_line_dedup"] = op9_line_dedup
