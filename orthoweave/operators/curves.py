@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .ordered import sums_below
 
 
-def cumulative(df: DataFrame, *by: str) -> DataFrame:
-    """Per distinct score: positives and negatives there (tp_at, fp_at) and from there up (tp, fp), and the totals p and n."""
-    g = df.groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("tp_at"), F.sum(1 - F.col("y").cast("long")).alias("fp_at"))
+def cumulative(df: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """Per distinct score: positives and negatives there (tp_at, fp_at) and from there up (tp, fp), and the totals p and n. With
+    `weight` a row counts that often."""
+    y, times = F.col("y").cast("long"), F.lit(1) if weight is None else F.col(weight)
+    g = df.groupBy(*by, "score").agg(F.sum(y * times).alias("tp_at"), F.sum((1 - y) * times).alias("fp_at"))
     if by:
         up, whole = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
         return g.select(*by, "score", "tp_at", "fp_at", F.sum("tp_at").over(up).alias("tp"), F.sum("fp_at").over(up).alias("fp"), F.sum("tp_at").over(whole).alias("p"), F.sum("fp_at").over(whole).alias("n"))
@@ -23,9 +25,9 @@ def _trapezoids():
     return F.sum(F.col("fp_at") * (2 * F.col("tp") - F.col("tp_at")) / 2)
 
 
-def roc_auc(df: DataFrame, *by: str) -> DataFrame:
+def roc_auc(df: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """Area under the ROC curve by trapezoids; null without both classes."""
-    return cumulative(df, *by).groupBy(*by).agg((_trapezoids() / F.nullif(F.max("p") * F.max("n"), F.lit(0))).alias("auc"))
+    return cumulative(df, *by, weight=weight).groupBy(*by).agg((_trapezoids() / F.nullif(F.max("p") * F.max("n"), F.lit(0))).alias("auc"))
 
 
 def partial_auc(df: DataFrame, share: float = 0.001) -> DataFrame:

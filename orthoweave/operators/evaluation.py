@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from . import vector
+from ..sources.shared import stored
+from . import procrustes
 from .ordered import positions
 
 
-def scored_gene_pairs(emb: DataFrame, members: DataFrame) -> DataFrame:
-    """(i, j, score, y) of all pairs i < j of embedded genes with a pathway: cosine, and whether they share one. members are (gene, term)."""
+def gene_pair_counts(emb: DataFrame, members: DataFrame, digits: int = 9, block_bytes: int = 64 << 20) -> DataFrame:
+    """(score, y, n): how many pairs i < j of embedded genes with a pathway have a cosine (to `digits` digits), by whether they share a
+    pathway; members are (gene, term). Genes are multiplied block by block, each block of at most `block_bytes` broadcast in its turn, and
+    tasks count scores before anything is shuffled: at four digits that is at most 40,002 rows a task."""
     known = members.select("gene", "term").distinct()
-    e = vector.normalised(emb.join(known.select(F.col("gene").alias("id")).distinct(), "id", "left_semi"))
-    a, b = e.select(F.col("id").alias("i"), F.col("v").alias("x")), e.select(F.col("id").alias("j"), F.col("v").alias("y_"))
-    pairs = a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(vec.dot(F.col("x"), F.col("y_")), 9).alias("score"))
-    both = known.select(F.col("gene").alias("i"), "term").join(known.select(F.col("gene").alias("j"), "term"), "term").filter("i < j").select("i", "j").distinct()
-    return pairs.join(both.withColumn("y", F.lit(1)), ["i", "j"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    terms = known.groupBy(F.col("gene").alias("id")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    e = stored(emb.join(terms, "id").select(F.col("id").cast("long").alias("id"), "v", F.col("terms").cast("array<string>").alias("terms")), "pathway-genes")
+    size = e.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * (size["d"] or 1) * 8 // block_bytes))
+    out = None
+    for i in range(blocks):
+        block = e.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
+        held = e.sparkSession.sparkContext.broadcast((block.column("id").to_numpy(), procrustes.unit(procrustes.vectors(block.column("v"))), block.column("terms").to_pylist()))
+
+        def run(batches, held=held):
+            ids, x, terms = held.value
+            by: dict[str, list[int]] = {}
+            for j, t in enumerate(terms):
+                for term in t:
+                    by.setdefault(term, []).append(j)
+            for b in batches:
+                mine, y, own = b.column("id").to_numpy(), procrustes.unit(procrustes.vectors(b.column("v"))), b.column("terms").to_pylist()
+                for lo in range(0, len(mine), 256):
+                    score = np.round(y[lo : lo + 256] @ x.T, digits) + 0.0
+                    same = np.zeros(score.shape, bool)
+                    for r, t in enumerate(own[lo : lo + 256]):
+                        for term in t:
+                            same[r, by.get(term, [])] = True
+                    use = mine[lo : lo + 256, None] < ids[None, :]
+                    for label in (0, 1):
+                        s, n = np.unique(score[use & (same == bool(label))], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), label, np.int32)), pa.array(n, pa.int64())], ["score", "y", "n"])
+
+        part = e.mapInArrow(run, "score double, y int, n long").groupBy("score", "y").agg(F.sum("n").alias("n"))
+        if blocks > 1:
+            part = stored(part, "pathway-counts")
+            held.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("score", "y").agg(F.sum("n").alias("n"))
 
 
 def similarity_contrast(pos: DataFrame, neg: DataFrame) -> DataFrame:
@@ -28,6 +62,17 @@ def similarity_contrast(pos: DataFrame, neg: DataFrame) -> DataFrame:
     return side(pos, "pos").crossJoin(side(neg, "neg")).withColumn("effect", F.col("mean_pos") - F.col("mean_neg"))  # single rows
 
 
+def contrast_tests(pos: DataFrame, neg: DataFrame) -> DataFrame:
+    """n and w_plus of the signed ranks of positive less negative cosine by u (one pair each), and u of positives against negatives."""
+    from . import stats
+
+    p, q = (d.select("u", F.round("cos", 9).alias("cos")) for d in (pos, neg))
+    both = p.join(q.withColumnRenamed("cos", "other"), "u").select(F.round(F.col("cos") - F.col("other"), 9).alias("d"), F.lit(0.0).alias("zero"))
+    ranks = stats.wilcoxon(both, "d", "zero")
+    u = stats.mann_whitney(p.select("cos", F.lit(True).alias("first")).unionByName(q.select("cos", F.lit(False).alias("first"))), "cos", "first")
+    return ranks.crossJoin(u.select("u"))  # single rows
+
+
 def hashed_pairs(a: DataFrame, b: DataFrame, salt: str = "neg") -> DataFrame:
     """One v for each u: both sides in the order of a hash, the longer one cut."""
     key = F.concat_ws(":", F.md5(F.concat(F.col("id").cast("string"), F.lit(salt))), F.col("id").cast("string"))

@@ -61,11 +61,17 @@ def dense_index(nodes: DataFrame, column: str = "gene") -> DataFrame:
 
 
 def set_jaccard_self(members: DataFrame) -> DataFrame:
-    """All i < j that share an element of (gene, el): inter and jaccard. Candidates come from the elements."""
+    """All i < j that share an element of (gene, el): inter and jaccard. Candidates come from the elements; the left side of each is dealt
+    over as many parts as an average element has members in it, so that the pairs of a hub are made in many tasks."""
     size = members.groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
     m = members.join(size, "gene")
-    left, right = m.select("el", F.col("gene").alias("i"), F.col("n").alias("ni")), m.select("el", F.col("gene").alias("j"), F.col("n").alias("nj"))
-    pairs = left.join(right, "el").filter("i < j").groupBy("i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("inter"))
+    spread = members.groupBy("el").agg(F.count(F.lit(1)).alias("_d"))
+    mean = spread.agg(F.greatest(F.ceil(F.avg("_d") * 4), F.lit(64)).alias("_mean"))  # one row
+    parts = spread.join(F.broadcast(mean)).select("el", F.ceil(F.col("_d") / F.col("_mean")).cast("int").alias("_parts"))
+    m = m.join(parts, "el")
+    left = m.select("el", F.pmod(F.xxhash64("gene"), F.col("_parts")).cast("int").alias("_part"), F.col("gene").alias("i"), F.col("n").alias("ni"))
+    right = m.select("el", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("gene").alias("j"), F.col("n").alias("nj"))
+    pairs = left.join(right, ["el", "_part"]).filter("i < j").groupBy("i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("inter"))
     return pairs.select("i", "j", "inter", (F.col("inter") / (F.col("ni") + F.col("nj") - F.col("inter"))).alias("jaccard"))
 
 

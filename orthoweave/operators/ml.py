@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .procrustes import vectors
+
 #: The ten compartments of the location task.
 COMPARTMENTS = ["Cytoplasm", "Nucleus", "Extracellular", "Cell membrane", "Mitochondrion", "Plastid", "Endoplasmic reticulum", "Lysosome/Vacuole", "Golgi apparatus", "Peroxisome"]
 
@@ -17,6 +19,69 @@ def multi_hot(df: DataFrame, key: str, label: str, classes: list) -> DataFrame:
     return known.groupBy(key).agg(*[F.max((F.col(label) == c).cast("int")).alias(str(c)) for c in classes])
 
 
+def known_compartments(df: DataFrame, label: str = "label") -> DataFrame:
+    """The rows whose label is one of the task's compartments."""
+    return df.filter(F.col(label).isin(COMPARTMENTS))
+
+
+def available(*tables: DataFrame) -> DataFrame:
+    """(gene, n_tables): genes that any of the tables (gene, ...) has, and in how many of them."""
+    genes = None
+    for t in tables:
+        g = t.select("gene").distinct()
+        genes = g if genes is None else genes.unionByName(g)
+    return genes.groupBy("gene").agg(F.count(F.lit(1)).alias("n_tables"))
+
+
+def fold_scores(data: DataFrame, fold: str, c: float = 1.0) -> DataFrame:
+    """(fold, class, id, y, score): for each value of `fold`, classifiers trained on the other folds score it. data is (id, class, y, x) with the
+    fold; a class of a fold is one task."""
+    names = data.select(fold).distinct().collect()  # a few folds
+    out = None
+    for r in names:
+        held = r[fold]
+        train, test = data.filter(F.col(fold) != held), data.filter(F.col(fold) == held)
+        scored = one_vs_rest(train, test, c).join(test.select("id", "class", "y"), ["id", "class"]).withColumn("fold", F.lit(held))
+        out = scored if out is None else out.unionByName(scored)
+    return out.select("fold", "class", "id", "y", "score")
+
+
+def cross_validated(data: DataFrame, fold: str, c: float = 1.0, cut: float = 0.5) -> DataFrame:
+    """(fold, n_test, f1_micro, f1_macro, jaccard_micro, accuracy) of `fold_scores` at a cut: homology partitions, or a species left out each."""
+    scored = fold_scores(data, fold, c).withColumn("yhat", (F.col("score") >= cut).cast("int"))
+    out = None
+    for r in scored.select("fold").distinct().collect():
+        part = scored.filter(F.col("fold") == r["fold"])
+        row = label_metrics(part).crossJoin(part.agg(F.countDistinct("id").alias("n_test"))).withColumn("fold", F.lit(r["fold"]))  # single rows
+        out = row if out is None else out.unionByName(row)
+    return out.select("fold", "n_test", "f1_micro", "f1_macro", "jaccard_micro", "accuracy")
+
+
+def term_transfer(data: DataFrame, group: str = "species", least_train: int = 10, least_test: int = 1, c: float = 1.0) -> DataFrame:
+    """(held_out, n_terms, fmax, macro_ap): for each group left out, the terms with enough positives on both sides are scored there by
+    classifiers on the other groups. data is (group, id, class, y, x)."""
+    from . import curves
+
+    out = None
+    for r in data.select(group).distinct().collect():  # a few groups
+        held = F.col(group) == r[group]
+        found = evaluable_terms(data.filter("y = 1").select(F.col("id").alias("gene"), F.col("class").alias("term"), held.alias("is_test")), least_train, least_test)
+        use = data.join(F.broadcast(found.select(F.col("term").alias("class"))), "class", "left_semi")  # a row a term
+        scored = one_vs_rest(use.filter(~held), use.filter(held), c).join(use.filter(held).select("id", "class", "y"), ["id", "class"])
+        per = curves.pr_summary(scored, "class").agg(F.count(F.lit(1)).alias("n_terms"), F.avg("ap").alias("macro_ap"))
+        row = curves.fmax_micro(scored).select("fmax").crossJoin(per).withColumn("held_out", F.lit(r[group]))  # single rows
+        out = row if out is None else out.unionByName(row)
+    return out.select("held_out", "n_terms", "fmax", "macro_ap")
+
+
+def dominant_cluster(assigned: DataFrame, label: str) -> DataFrame:
+    """(label, cluster, n, share): the cluster that holds most rows of a label; ties to the smaller cluster."""
+    n = assigned.groupBy(label, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    total = assigned.groupBy(label).agg(F.count(F.lit(1)).alias("_t"))
+    best = n.groupBy(label).agg(F.max(F.struct(F.col("n"), (-F.col("cluster")).alias("c"))).alias("_b"))
+    return best.join(total, label).select(label, (-F.col("_b.c")).alias("cluster"), F.col("_b.n").alias("n"), (F.col("_b.n") / F.col("_t")).alias("share"))
+
+
 def unpivoted(df: DataFrame, key: str, classes: list[str]) -> DataFrame:
     """(key, label) of the classes with a positive value; rows without any drop out."""
     return df.unpivot([key], classes, "label", "value").filter("value > 0").select(key, "label")
@@ -110,12 +175,12 @@ def one_vs_rest(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
         right = right.rename_columns(["class", "id", "x"])
         if not right.num_rows:
             return right.select(["id", "class"]).append_column("score", pa.array([], pa.float64()))
-        y = np.array(left.column("y").to_pylist(), float)
-        xt = np.array(right.column("x").to_pylist(), float)
+        y = left.column("y").to_numpy().astype(float)
+        xt = vectors(right.column("x"))
         if not len(y) or y.min() == y.max():
             score = np.full(len(xt), y[0] if len(y) else 0.0)
         else:
-            w = fit_logistic(np.array(left.column("x").to_pylist(), float), y, c)
+            w = fit_logistic(vectors(left.column("x")), y, c)
             score = 1 / (1 + np.exp(-(xt @ w[:-1] + w[-1])))
         return right.select(["id", "class"]).append_column("score", pa.array(score))
 

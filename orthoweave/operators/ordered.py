@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def sums_below(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """df (one row a value of `column`) with below_{v}: the sum of v over the rows of smaller `column`, for each v in values."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id()).persist()  # fixes the partition numbers
+    ranged = df.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+    ranged = stored(ranged, "ordered")  # fixes the partition numbers, also when executors are lost
     totals = sorted(ranged.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values]).collect(), key=lambda r: r["_p"])
     rows, run = [], dict.fromkeys(values, 0)
     for r in totals:

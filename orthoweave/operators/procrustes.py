@@ -1,19 +1,23 @@
-"""Procrustes alignment: d by d sums are made by the cluster, the SVD of one small matrix on the driver.
+"""Procrustes alignment: d by d sums are made by the cluster, the SVD of one small matrix a group on the driver.
 
-Anchors are (x, y, w): source vector, reference vector, weight.
+Anchors are (x, y, w): source vector, reference vector, weight. Sums may be kept by group (a species each), so that any number of
+species is fitted in one pass; all fits go through `solve`, with the same options.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.shared import dropped, stored
 from . import vector
+from .ordered import positions
 
 
 @dataclass
@@ -29,62 +33,82 @@ class Rotation:
         return self.scale * (x - self.mu_src) @ self.r + self.mu_ref
 
 
-def _sums(anchors: DataFrame, merged: int = 16) -> dict:
-    """Sums over the anchors: n, w, extremes of w, weighted means and second moments."""
+@dataclass
+class Sums:
+    """Sums over anchors: their number, weight, weighted vectors, cross products and source norms."""
+
+    n: int
+    w: float
+    sx: np.ndarray
+    sy: np.ndarray
+    m: np.ndarray
+    xx: float
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Sums:
+        return cls(len(w), float(w.sum()), w @ x, w @ y, (x * w[:, None]).T @ y, float((w * (x * x).sum(1)).sum()))
+
+    def __add__(self, o: Sums) -> Sums:
+        return Sums(self.n + o.n, self.w + o.w, self.sx + o.sx, self.sy + o.sy, self.m + o.m, self.xx + o.xx)
+
+
+def vectors(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """A list column of equally long vectors as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def sums_by(anchors: DataFrame, by: str, merged: int = 16) -> dict:
+    """Sums for each value of `by`. A task keeps one sum a group, and partial sums of a group are merged on the cluster."""
+    kind = anchors.schema[by].dataType.simpleString()
+    schema = f"g {kind}, n long, w double, xx double, sx array<double>, sy array<double>, m array<double>"
+
+    def emit(acc: dict, g_type):
+        if acc:
+            s = list(acc.values())
+            cols = [pa.array(list(acc), g_type), pa.array([x.n for x in s], pa.int64()), pa.array([x.w for x in s]), pa.array([x.xx for x in s])]
+            cols += [pa.array([getattr(x, c).ravel().tolist() for x in s], pa.list_(pa.float64())) for c in ("sx", "sy", "m")]
+            yield pa.RecordBatch.from_arrays(cols, ["g", "n", "w", "xx", "sx", "sy", "m"])
+
+    def add(acc: dict, g, part: Sums) -> None:
+        acc[g] = acc[g] + part if g in acc else part
 
     def run(batches):
-        acc = None
+        acc, kind = {}, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) for c in ("x", "y"))
-            w = b.column("w").to_numpy(zero_copy_only=False).astype(float)
-            part = [np.array([len(w), w.sum(), w.min(), w.max()]), w @ x, w @ y, (x * w[:, None]).T @ y, np.array([(w * (x * x).sum(1)).sum()])]
-            if acc is None:
-                acc = part
-            else:
-                low, high = min(acc[0][2], part[0][2]), max(acc[0][3], part[0][3])
-                acc = [p + q for p, q in zip(acc, part, strict=True)]
-                acc[0][2:] = low, high
-        if acc is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([p.ravel().tolist()], pa.list_(pa.float64())) for p in acc], ["head", "sx", "sy", "m", "xx"])
-
-    schema = ", ".join(f"{c} array<double>" for c in ("head", "sx", "sy", "m", "xx"))
+            kind = b.schema.field("g").type
+            if b.num_rows:
+                groups = b.column("g").dictionary_encode()
+                x, y, w = vectors(b.column("x")), vectors(b.column("y")), b.column("w").to_numpy(zero_copy_only=False).astype(float)
+                codes = groups.indices.to_numpy()
+                for i, g in enumerate(groups.dictionary.to_pylist()):
+                    at = codes == i
+                    add(acc, g, Sums.of(x[at], y[at], w[at]))
+        yield from emit(acc, kind)
+
     def merge(batches):
-        acc = None
+        acc, kind = {}, None
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                part = [np.array(x) for x in row]
-                if acc is None:
-                    acc = part
-                else:
-                    low, high = min(acc[0][2], part[0][2]), max(acc[0][3], part[0][3])
-                    acc = [p + q for p, q in zip(acc, part, strict=True)]
-                    acc[0][2:] = low, high
-        if acc is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([p.tolist()], pa.list_(pa.float64())) for p in acc], ["head", "sx", "sy", "m", "xx"])
-
-    # partial sums are merged on the cluster to at most `merged` rows
-    rows = anchors.select("x", "y", F.col("w").cast("double").alias("w")).mapInArrow(run, schema).repartition(merged).mapInArrow(merge, schema).collect()
-    if not rows:
-        return {"n": 0}
-    heads = np.array([r["head"] for r in rows])
-    total = {c: np.sum([r[c] for r in rows], 0) for c in ("sx", "sy", "m", "xx")}
-    return {"n": int(heads[:, 0].sum()), "w": heads[:, 1].sum(), "low": heads[:, 2].min(), "high": heads[:, 3].max()} | total
-
-
-def fit(anchors: DataFrame, allow_reflection: bool = False, center: bool = False, scale: bool = False, vanilla: bool = False) -> Rotation:
+            kind = b.schema.field("g").type
+            for g, n, w, xx, sx, sy, m in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                add(acc, g, Sums(n, w, np.array(sx), np.array(sy), np.array(m).reshape(len(sx), len(sy)), xx))
+        yield from emit(acc, kind)
+
+    rows = anchors.select(F.col(by).alias("g"), "x", "y", F.col("w").cast("double").alias("w")).mapInArrow(run, schema).repartition(merged, "g").mapInArrow(merge, schema).collect()
+    return {r["g"]: Sums(r["n"], r["w"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["m"]).reshape(len(r["sx"]), len(r["sy"])), r["xx"]) for r in rows}
+
+
+def solve(s: Sums | None, allow_reflection: bool = False, center: bool = False, scale: bool = False) -> Rotation:
     """The rotation that minimises the weighted squared distance; the determinant is made +1 unless reflections are allowed."""
-    s = _sums(anchors.withColumn("w", F.lit(1.0)) if vanilla else anchors)
-    if s["n"] < 2:
+    if s is None or s.n < 2:
         raise ValueError("fewer than 2 anchor pairs")
-    d, e = len(s["sx"]), len(s["sy"])
-    m, mx, my = s["m"].reshape(d, e) / s["w"], s["sx"] / s["w"], s["sy"] / s["w"]
-    var = s["xx"][0] / s["w"]
+    m, mx, my, var = s.m / s.w, s.sx / s.w, s.sy / s.w, s.xx / s.w
     if center:
         m, var = m - np.outer(mx, my), var - mx @ mx
     else:
-        mx, my = np.zeros(d), np.zeros(e)
+        mx, my = np.zeros(len(mx)), np.zeros(len(my))
     u, sigma, vt = np.linalg.svd(m)
     flip = np.ones(len(sigma))
     if not allow_reflection and np.linalg.det(u @ vt) < 0:
@@ -93,16 +117,62 @@ def fit(anchors: DataFrame, allow_reflection: bool = False, center: bool = False
     return Rotation(r.astype(np.float32).astype(float), mx, my, float((sigma * flip).sum() / var) if scale and var > 0 else 1.0)
 
 
+def _weighted(anchors: DataFrame, vanilla: bool) -> DataFrame:
+    return anchors.withColumn("w", F.lit(1.0)) if vanilla else anchors
+
+
+def fit(anchors: DataFrame, vanilla: bool = False, **options) -> Rotation:
+    """The map of one set of anchors; vanilla: without their weights."""
+    return solve(sums_by(_weighted(anchors, vanilla).withColumn("_all", F.lit(0)), "_all").get(0), **options)
+
+
+def fit_each(anchors: DataFrame, by: str, vanilla: bool = False, **options) -> tuple[dict, dict]:
+    """(maps, reasons why there is none) by group, all groups in one pass."""
+    maps, failed = {}, {}
+    for g, s in sums_by(_weighted(anchors, vanilla), by).items():
+        try:
+            maps[g] = solve(s, **options)
+        except ValueError as e:
+            failed[g] = str(e)
+    return maps, failed
+
+
+def legacy_fit(source: DataFrame, reference: DataFrame, pairs: DataFrame, **options) -> Rotation:
+    """Alignment of the rows of two factor tables (id, v) that pairs (src, ref) put side by side, unweighted, reflections allowed."""
+    return fit(anchors_of(pairs.withColumn("w", F.lit(1.0)), source, reference), **{"allow_reflection": True} | options)
+
+
+def _listed(y: np.ndarray) -> pa.ListArray:
+    y = y.astype(np.float32)
+    return pa.ListArray.from_arrays(np.arange(0, y.size + 1, max(1, y.shape[1]), dtype=np.int32)[: len(y) + 1], pa.array(y.ravel()))
+
+
 def transform(emb: DataFrame, rot: Rotation) -> DataFrame:
     """The table with `v` mapped, in Arrow batches; a rotation is d by d, whatever the table."""
-    held = emb.sparkSession.sparkContext.broadcast(rot)
-    names, at = list(emb.columns), emb.columns.index("v")
+    return transform_each(emb.withColumn("_all", F.lit(0)), "_all", {0: rot}).drop("_all")
+
+
+def transform_each(emb: DataFrame, by: str, maps: dict) -> DataFrame:
+    """The table with `v` mapped by the map of its group, null where the group has none. Broadcasts one small matrix a group."""
+    held = emb.sparkSession.sparkContext.broadcast(maps)
+    names = list(emb.columns)
+    at, by_at = names.index("v"), names.index(by)
 
     def run(batches):
         for b in batches:
-            x = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            y = held.value.apply(x) if b.num_rows else x
-            out = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1] or 1, dtype=np.int32)[: b.num_rows + 1], pa.array(y.ravel().astype(np.float32)))
+            if not b.num_rows:
+                continue
+            groups = b.column(by_at).dictionary_encode()
+            codes = groups.indices.to_numpy(zero_copy_only=False)
+            x = vectors(b.column(at))
+            y, known = np.zeros(x.shape), np.zeros(len(x), bool)
+            for i, g in enumerate(groups.dictionary.to_pylist()):
+                if g in held.value:
+                    rows = codes == i
+                    y[rows], known[rows] = held.value[g].apply(x[rows]), True
+            out = _listed(y)
+            if not known.all():
+                out = out.take(pa.array(np.where(known, np.arange(len(x)), -1), mask=~known))
             yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(b.columns)], names)
 
     schema = ", ".join(f"`{c}` {'array<float>' if c == 'v' else t}" for c, t in emb.dtypes)
@@ -115,92 +185,252 @@ def anchors_of(pairs: DataFrame, src: DataFrame, ref: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "ref").select("src", "ref", "x", "y", "w")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage reliably: a table in the session's checkpoint folder, or a cached frame where there is none (as in tests)."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/refine-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+# ---- refinement ---------------------------------------------------------------------------------
+
+Near = tuple[np.ndarray, np.ndarray, np.ndarray]  # nearest, its similarity, mean of the top similarities
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
+
 
+def nearest(q: np.ndarray, c: np.ndarray, k: int, block: int = 1024) -> Near:
+    """Of unit vectors in order of their ids: each query's nearest in c, by similarity rounded to 9 digits, ties to the smaller id."""
+    parts = []
+    for lo in range(0, len(q), block):
+        a, nbr, sim = vector.best_of(np.arange(len(q[lo : lo + block])), np.arange(len(c)), q[lo : lo + block] @ c.T, k)
+        rows = len(q[lo : lo + block])
+        nbr, sim = nbr.reshape(rows, -1), sim.reshape(rows, -1)
+        parts.append((nbr[:, 0], sim[:, 0], sim.mean(1)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-def refine(pairs: DataFrame, src: DataFrame, ref: DataFrame, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, **fit_options) -> tuple[Rotation, list[dict]]:
+
+def _rounds(x: np.ndarray, y: np.ndarray, base: Sums, known: np.ndarray, both: Callable, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, vanilla: bool = False, **options) -> tuple[Rotation, list[dict]]:
+    """The rounds of `refine` over two matrices in order of ids; `known` holds sorted codes i * len(y) + j of the anchors, and both(a, b, k)
+    gives the neighbours of a in b and of b in a."""
+    rot, log, ref = solve(base, **options), [], unit(y)
+    mean = base.w / base.n
+    for i in range(rounds):
+        moved = unit(rot.apply(x).astype(np.float32).astype(float))
+        (nbr, sim, ra), (back, _, rb) = both(moved, ref, k if csls else 1)
+        at = np.flatnonzero(back[nbr] == np.arange(len(x)))
+        score = 2 * sim[at] - ra[at] - rb[nbr[at]] if csls else sim[at]
+        at = at[score >= threshold]
+        at = at[~np.isin(at * len(y) + nbr[at], known, assume_unique=False)]
+        if not len(at):
+            log.append({"round": i + 1, "new": 0, "moved": 0.0})
+            break
+        nxt = solve(base + Sums.of(x[at], y[nbr[at]], np.full(len(at), 1.0 if vanilla else mean * new_weight)), **options)
+        step = float(np.linalg.norm(nxt.r - rot.r))
+        rot = nxt
+        log.append({"round": i + 1, "new": len(at), "moved": step})
+        if step < tol:
+            break
+    return rot, log
+
+
+def refine(pairs: DataFrame, src: DataFrame, ref: DataFrame, held_bytes: int = 64 << 20, held_pairs: int = 2_000_000, **options) -> tuple[Rotation, list[dict]]:
     """Iterative refinement: mutual nearest neighbours above the threshold join the original anchors, and the map is fitted again.
 
     Neighbours are chosen by cosine; CSLS only scores them. New pairs weigh `new_weight` times the mean anchor weight. Ends when
-    no pair is new or the rotation moves by less than `tol`. Returns the map and a log of rounds.
+    no pair is new or the rotation moves by less than `tol`. Returns the map and a log of rounds. While both tables have at
+    most `held_bytes` and the anchors at most `held_pairs` rows, the driver holds them, and a round is one job that searches blocks of
+    both sides against broadcast matrices; beyond, neighbours and new pairs are tables. Both ways give the same map.
     """
+    vanilla = options.get("vanilla", False)
     pairs = pairs.select("src", "ref", F.col("w").cast("double").alias("w"))
-    rot = fit(anchors_of(pairs, src, ref), **fit_options)
-    mean = pairs.agg(F.avg("w")).first()[0]
-    log = []
+    a, b = (d.select(F.col("id").cast("long").alias("id"), "v") for d in (src, ref))
+    anchors = stored(anchors_of(_weighted(pairs, vanilla), a, b).withColumn("all", F.lit(0)), "refine-anchors")
+    try:
+        base = sums_by(anchors, "all").get(0)
+        sizes = [d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first() for d in (a, b)]
+        if base is not None and all(s["n"] * (s["d"] or 0) * 8 <= held_bytes for s in sizes) and base.n <= held_pairs:
+            return _held(anchors, a, b, base, **options)
+        return _tables(anchors, a, b, base, **options)
+    finally:
+        dropped(anchors)
+
+
+def _held(anchors: DataFrame, a: DataFrame, b: DataFrame, base: Sums, **options) -> tuple[Rotation, list[dict]]:
+    spark = a.sparkSession
+    (ia, x), (ib, y) = (_in_order(d.toArrow()) for d in (a, b))
+    known = anchors.select(F.col("src").cast("long").alias("src"), F.col("ref").cast("long").alias("ref")).toArrow()
+    known = np.unique(np.searchsorted(ia, known.column("src").to_numpy()) * len(ib) + np.searchsorted(ib, known.column("ref").to_numpy()))
+    cores = spark.sparkContext.defaultParallelism
+
+    def both(p: np.ndarray, q: np.ndarray, k: int) -> tuple[Near, Near]:
+        held = spark.sparkContext.broadcast((p, q))
+        step = max(256, -(-(len(p) + len(q)) // max(1, cores)))
+        jobs = [(side, lo) for side, m in ((0, p), (1, q)) for lo in range(0, len(m), step)]
+
+        def run(batches):
+            for t in batches:
+                for i in t.column(0).to_pylist():
+                    side, lo = jobs[i]
+                    mine, other = held.value[side], held.value[1 - side]
+                    nbr, sim, mean = nearest(mine[lo : lo + step], other, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nbr), side)), pa.array(np.arange(lo, lo + len(nbr))), pa.array(nbr), pa.array(sim), pa.array(mean)], ["side", "q", "nbr", "sim", "mean"])
+
+        got = spark.range(0, len(jobs), 1, min(len(jobs), max(1, cores))).mapInArrow(run, "side long, q long, nbr long, sim double, mean double").toArrow()
+        held.destroy()
+        cols = [got.column(c).to_numpy() for c in ("side", "q", "nbr", "sim", "mean")]
+        out = []
+        for side in (0, 1):
+            at = np.flatnonzero(cols[0] == side)
+            at = at[np.argsort(cols[1][at])]
+            out.append(tuple(c[at] for c in cols[2:]))
+        return out[0], out[1]
+
+    return _rounds(x, y, base, known, both, **options)
+
+
+def _in_order(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids, v = t.column("id").to_numpy(), vectors(t.column("v"))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], v[order]
+
+
+def _tables(anchors: DataFrame, a: DataFrame, b: DataFrame, base: Sums | None, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, vanilla: bool = False, **options) -> tuple[Rotation, list[dict]]:
+    rot, log = solve(base, **options), []
+    weight = 1.0 if vanilla else base.w / base.n * new_weight
     for i in range(rounds):
-        moved = _kept(transform(src, rot))
-        ab, ba = vector.nearest_both(moved.select("id", "v"), ref.select("id", "v"), k if csls else 1)
+        moved = stored(transform(a, rot), "refine-moved")
+        ab, ba = (stored(d, "refine-near") for d in vector.nearest_both(moved, b, k if csls else 1))
         scores = vector.csls(ab, ba) if csls else ab.filter("rank = 1").select(F.col("q").alias("src"), F.col("nbr").alias("ref"), F.col("sim").alias("score"))
         found = vector.mutual(ab, ba).join(scores, ["src", "ref"]).filter(F.col("score") >= threshold).select("src", "ref")
-        new = _kept(found.join(pairs.select("src", "ref"), ["src", "ref"], "left_anti").withColumn("w", F.lit(mean * new_weight)))
-        n = new.count()
-        if not n:
+        new = stored(anchors_of(found.join(anchors.select("src", "ref"), ["src", "ref"], "left_anti").withColumn("w", F.lit(weight)), a, b).withColumn("all", F.lit(0)), "refine-new")
+        more = sums_by(new, "all").get(0)
+        dropped(moved, ab, ba, new)
+        if more is None:
             log.append({"round": i + 1, "new": 0, "moved": 0.0})
             break
-        nxt = fit(anchors_of(pairs.unionByName(new), src, ref), **fit_options)
+        nxt = solve(base + more, **options)
         step = float(np.linalg.norm(nxt.r - rot.r))
         rot = nxt
-        log.append({"round": i + 1, "new": n, "moved": step})
+        log.append({"round": i + 1, "new": more.n, "moved": step})
         if step < tol:
             break
     return rot, log
 
 
-def two_stage(emb: DataFrame, pairs: DataFrame, reference, seeds: list, groups: DataFrame, **options) -> DataFrame:
+# ---- all species --------------------------------------------------------------------------------
+
+
+def two_stage(emb: DataFrame, pairs: DataFrame, reference, seeds: list, groups: DataFrame, refinement: dict | None = None, local_genes: int = 200_000, **options) -> DataFrame:
     """(species, id, idx, v, status): the reference as it is, seeds aligned to it, the others to their nearest aligned seed.
 
-    emb is (species, id, idx, v); pairs (sp_src, sp_ref, src, ref, w); groups (species, seed). Seeds fail loudly; another species
-    that cannot be fitted keeps no vectors and says why. Species of the second stage are fitted in one grouped pass.
+    emb is (species, id, idx, v); pairs (sp_src, sp_ref, src, ref, w); groups (species, seed). `options` (vanilla, center, scale,
+    allow_reflection) and `refinement` (the options of `refine`; None: no refinement) hold for seeds and all other species alike. Seeds
+    fail loudly; another species that cannot be fitted keeps no vectors and says why. Without refinement all species of the second
+    stage are fitted from grouped sums in one pass. With it each of them is a task of its own while it and its seed have at most
+    `local_genes` genes; larger ones are refined one after another on the whole cluster, with the same result.
     """
     own = lambda s: emb.filter(F.col("species") == s)
-    out = own(reference).withColumn("status", F.lit("reference"))
+    vec_type = emb.withColumn("v", F.col("v").cast("array<float>"))
+    out = vec_type.filter(F.col("species") == reference).withColumn("status", F.lit("reference"))
     for s in seeds:
         if s != reference:
             p = pairs.filter((F.col("sp_src") == s) & (F.col("sp_ref") == reference)).select("src", "ref", "w")
-            rot = fit(anchors_of(p, own(s), own(reference)), **options)
-            out = out.unionByName(transform(own(s), rot).withColumn("status", F.lit("seed")))
-    aligned = _kept(out.withColumn("v", F.col("v").cast("array<float>")))
-    rest = emb.join(groups, "species")
+            rot = fit(anchors_of(p, own(s), own(reference)), **options) if refinement is None else refine(p, own(s), own(reference), **options, **refinement)[0]
+            out = out.unionByName(transform(vec_type.filter(F.col("species") == s), rot).withColumn("status", F.lit("seed")))
+    aligned = stored(out.select("species", "id", "idx", "v", "status"), "aligned-seeds")
     p = pairs.join(groups.select(F.col("species").alias("sp_src"), F.col("seed").alias("sp_ref")), ["sp_src", "sp_ref"])
     a = p.join(emb.select(F.col("species").alias("sp_src"), F.col("id").alias("src"), F.col("v").alias("x")), ["sp_src", "src"])
-    a = a.join(aligned.select(F.col("species").alias("sp_ref"), F.col("id").alias("ref"), F.col("v").alias("y")), ["sp_ref", "ref"]).select(F.col("sp_src").alias("species"), "x", "y", "w")
-
-    sid, iid, xid = (emb.schema[c].dataType.simpleString() for c in ("species", "id", "idx"))
-
-    def per_species(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        n = left.num_rows
-        if not n:
-            return left.select(["species", "id", "idx", "v"]).append_column("status", pa.array([], pa.string()))
-        status, v = "aligned", left.column("v").combine_chunks()
-        if right.num_rows < 2:
-            status, v = "fewer than 2 anchor pairs", pa.nulls(n, v.type)
-        else:
-            x, y = (np.array(right.column(c).to_pylist(), float) for c in ("x", "y"))
-            w = np.array(right.column("w").to_pylist(), float)
-            u, _, vt = np.linalg.svd((x * (w / w.sum())[:, None]).T @ y)
-            flip = np.ones(len(u))
-            if not options.get("allow_reflection") and np.linalg.det(u @ vt) < 0:
-                flip[-1] = -1
-            z = (np.array(v.to_pylist(), float) @ ((u * flip) @ vt)).astype(np.float32)
-            v = pa.array(z.tolist(), pa.list_(pa.float32()))
-        return left.select(["species", "id", "idx"]).append_column("v", v).append_column("status", pa.array([status] * n))
-
-    stage2 = rest.select("species", "id", "idx", F.col("v").cast("array<float>").alias("v")).groupBy("species").cogroup(a.groupBy("species")).applyInArrow(per_species, f"species {sid}, id {iid}, idx {xid}, v array<float>, status string")
-    return aligned.select("species", "id", "idx", "v", "status").unionByName(stage2)
+    a = a.join(aligned.select(F.col("species").alias("sp_ref"), F.col("id").alias("ref"), F.col("v").alias("y")), ["sp_ref", "ref"]).select(F.col("sp_src").alias("species"), "src", "ref", "x", "y", "w")
+    rest = vec_type.join(groups.select("species"), "species", "left_semi")
+    if refinement is None:
+        maps, failed = fit_each(a, "species", **options)
+    else:
+        maps, failed = _refined_each(emb, aligned, groups, a, refinement, local_genes, options)
+    moved = transform_each(rest.select("species", "id", "idx", "v"), "species", maps)
+    why = F.create_map(*[F.lit(x) for kv in failed.items() for x in kv])[F.col("species")] if failed else F.lit(None).cast("string")
+    status = F.when(F.col("v").isNotNull(), "aligned").otherwise(F.coalesce(why, F.lit("fewer than 2 anchor pairs")))
+    return aligned.unionByName(moved.withColumn("status", status))
+
+
+def _refined_each(emb: DataFrame, aligned: DataFrame, groups: DataFrame, anchors: DataFrame, refinement: dict, local_genes: int, options: dict) -> tuple[dict, dict]:
+    """(maps, reasons) of the species in `groups` (species, seed), refined against their aligned seeds."""
+    own = emb.join(groups, "species").select("species", F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("w"), F.col("v").cast("array<float>").alias("v"))
+    seed = aligned.withColumnRenamed("species", "seed").join(groups, "seed").select("species", F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("w"), "v")
+    links = anchors.select("species", F.lit(2).alias("kind"), F.col("src").cast("long").alias("id"), F.col("ref").cast("long").alias("other"), F.col("w").cast("double").alias("w"), F.lit(None).cast("array<float>").alias("v"))
+    sizes = own.unionByName(seed).groupBy("species").agg(F.max(F.col("kind")).alias("_k"), F.sum((F.col("kind") == 0).cast("long")).alias("mine"), F.sum((F.col("kind") == 1).cast("long")).alias("theirs")).collect()  # a row a species
+    large = [r["species"] for r in sizes if max(r["mine"], r["theirs"]) > local_genes]
+    kind = emb.schema["species"].dataType
+    local = [c for c in (own, seed, links)]
+    if large:
+        local = [c.filter(~F.col("species").isin(large)) for c in local]
+
+    def one(t: pa.Table) -> pa.Table:
+        kinds = t.column("kind").to_numpy()
+        x, y, pairs = (t.filter(pa.array(kinds == i)) for i in range(3))
+        flat, why = None, None
+        try:
+            if pairs.num_rows < 2:
+                raise ValueError("fewer than 2 anchor pairs")
+            (ia, a), (ib, b) = _in_order(x), _in_order(y)
+            i, j = np.searchsorted(ia, pairs.column("id").to_numpy()), np.searchsorted(ib, pairs.column("other").to_numpy())
+            w = np.ones(len(i)) if options.get("vanilla") else pairs.column("w").to_numpy()
+            rot, _ = _rounds(a, b, Sums.of(a[i], b[j], w), np.unique(i * len(ib) + j), lambda p, q, k: (nearest(p, q, k), nearest(q, p, k)), **options, **refinement)
+            flat = np.concatenate([[len(rot.mu_src), len(rot.mu_ref), rot.scale], rot.mu_src, rot.mu_ref, rot.r.ravel()]).tolist()
+        except ValueError as e:
+            why = str(e)
+        return pa.table({"species": t.column("species").slice(0, 1), "map": pa.array([flat], pa.list_(pa.float64())), "why": pa.array([why], pa.string())})
+
+    schema = T.StructType([T.StructField("species", kind), T.StructField("map", T.ArrayType(T.DoubleType())), T.StructField("why", T.StringType())])
+    rows = local[0].unionByName(local[1]).unionByName(local[2]).groupBy("species").applyInArrow(one, schema).collect()
+    maps, failed = {}, {}
+    for r in rows:
+        if r["map"] is None:
+            failed[r["species"]] = r["why"]
+            continue
+        f = np.array(r["map"])
+        d, e = int(f[0]), int(f[1])
+        maps[r["species"]] = Rotation(f[3 + d + e :].reshape(d, e), f[3 : 3 + d], f[3 + d : 3 + d + e], float(f[2]))
+    for s in large:
+        seed_of = groups.filter(F.col("species") == s).first()["seed"]
+        try:
+            maps[s] = refine(anchors.filter(F.col("species") == s).select("src", "ref", "w"), emb.filter(F.col("species") == s), aligned.filter(F.col("species") == seed_of), **options, **refinement)[0]
+        except ValueError as e:
+            failed[s] = str(e)
+    return maps, failed
 
 
 def subsampled(pairs: DataFrame, rate: float, replicate: int) -> DataFrame:
-    """max(2, round(rate n)) of the pairs, the smallest by a stable hash of pair and replicate."""
+    """max(2, round(rate n)) of the pairs, the smallest by a stable hash of pair and replicate, numbered by range partition."""
     n = max(2, round(rate * pairs.count()))
-    return pairs.orderBy(F.md5(F.concat_ws(":", F.col("src").cast("string"), F.col("ref").cast("string"), F.lit(replicate))), "src", "ref").limit(n)
+    key = F.concat_ws(":", F.md5(F.concat_ws(":", F.col("src").cast("string"), F.col("ref").cast("string"), F.lit(replicate))), F.col("src").cast("string"), F.col("ref").cast("string"))
+    return positions(pairs.withColumn("_h", key), "_h", "_place").filter(F.col("_place") < n).select(*pairs.columns)
+
+
+def anchor_robustness(pairs: DataFrame, src: DataFrame, ref: DataFrame, truth: DataFrame, rates: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25, 0.1), replicates: int = 5, **options) -> DataFrame:
+    """(rate, replicate, n_anchors, rho): for subsamples of the anchors, the Spearman correlation of truth (u, v, s; u in ref, v in src)
+    with the cosine after alignment. All subsamples are fitted in one pass and scored in another."""
+    from . import stats
+
+    chosen = None
+    for rate in rates:
+        for rep in range(replicates):
+            part = subsampled(pairs.select("src", "ref", "w"), rate, rep).withColumn("trial", F.lit(f"{rate}:{rep}"))
+            chosen = part if chosen is None else chosen.unionByName(part)
+    a, b = src.select(F.col("id").alias("src"), F.col("v").alias("x")), ref.select(F.col("id").alias("ref"), F.col("v").alias("y"))
+    anchors = stored(chosen.join(a, "src").join(b, "ref").select("trial", "x", "y", "w"), "trial-anchors")
+    maps, _ = fit_each(anchors, "trial", **options)
+    n = anchors.groupBy("trial").agg(F.count(F.lit(1)).alias("n_anchors"))
+    held = src.sparkSession.sparkContext.broadcast(maps)
+    both = truth.join(a.withColumnRenamed("src", "v"), "v").join(b.withColumnRenamed("ref", "u"), "u").select("s", "x", "y")
+
+    def run(batches):
+        for t in batches:
+            x, y = vectors(t.column("x")), unit(vectors(t.column("y")))
+            for trial, rot in held.value.items():
+                if t.num_rows:
+                    cos = np.round((unit(rot.apply(x)) * y).sum(1), 9)
+                    yield pa.RecordBatch.from_arrays([pa.array([trial] * len(cos)), t.column("s"), pa.array(cos)], ["trial", "s", "cos"])
+
+    scored = both.mapInArrow(run, "trial string, s double, cos double")
+    rho = stats.spearman_by(scored, "s", "cos", "trial")
+    split = F.split("trial", ":")
+    return rho.join(n, "trial").select(split[0].cast("double").alias("rate"), split[1].cast("int").alias("replicate"), "n_anchors", "rho")
 
 
 def orthogonality(rot: Rotation) -> float:

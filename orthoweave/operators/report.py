@@ -74,3 +74,8 @@ def run_summary(df: DataFrame, metrics: list[str], best_by: str) -> DataFrame:
     good = F.col("error").isNull()
     of = lambda c: F.when(good, F.col(c))
     return df.agg(*[F.avg(of(m)).alias(f"avg_{m}") for m in metrics], F.max_by("pair", of(best_by)).alias("best_pair"), F.min_by("pair", of(best_by)).alias("worst_pair"), F.sum((~good).cast("long")).alias("n_errors"))
+
+
+def grid_argmax(grid: DataFrame, parameters: list[str], value: str) -> DataFrame:
+    """The row of a parameter grid with the largest value; ties to the smallest parameters."""
+    return grid.orderBy(F.desc(value), *parameters).limit(1).select(*parameters, value)

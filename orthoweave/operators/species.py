@@ -77,6 +77,14 @@ def greedy_seeds(dist: DataFrame, shared: DataFrame, k: int, least: int) -> list
     return seeds
 
 
+def checked_seeds(present: DataFrame, seeds: list) -> list:
+    """The given seeds, if all of them are species of the table; else a ValueError that names the others."""
+    known = {r["species"] for r in present.filter(F.col("species").isin(seeds)).select("species").distinct().collect()}  # at most the seeds
+    if unknown := [s for s in seeds if s not in known]:
+        raise ValueError(f"unknown seeds {unknown}")
+    return seeds
+
+
 def nearest_seed(dist: DataFrame, seeds: list) -> DataFrame:
     """(species, seed, dist) for the others; the seed that is listed first wins ties."""
     order = dist.sparkSession.createDataFrame(list(enumerate(seeds)), f"ord int, sp_j {dist.schema['sp_j'].dataType.simpleString()}")
@@ -111,7 +119,7 @@ def average_linkage(dist: DataFrame) -> list[tuple]:
     merges = []
     while len(groups) > 1:
         mean = lambda x, y: sum(d[i, j] for i in x for j in y) / (len(x) * len(y))
-        h, i, j = min((mean(x, y), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        h, i, j = min((round(mean(x, y), 9), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
         merges.append((groups[i], groups[j], h))
         groups = [g for n, g in enumerate(groups) if n not in (i, j)] + [groups[i] + groups[j]]
     return merges

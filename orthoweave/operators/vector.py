@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
+from ..sources.shared import stored
 
 KNN = "q long, rank int, nbr long, sim double"
 
@@ -45,7 +46,7 @@ def _matrix(ids: pa.Array, v: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return ids.to_numpy(zero_copy_only=False), x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
 
 
-def _top(q: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int):
+def best_of(q: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int):
     """Rows (q, nbr, sim) of the k best of each row, by sim and then id."""
     sim = np.round(sim, 9)
     k = min(k, sim.shape[1])
@@ -82,7 +83,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fals
                 q, x = _matrix(b.column(0), b.column(1))
                 for lo in range(0, len(q), 1024):
                     if len(cids):
-                        a, nb, s = _top(q[lo : lo + 1024], cids, x[lo : lo + 1024] @ cm.T, kk)
+                        a, nb, s = best_of(q[lo : lo + 1024], cids, x[lo : lo + 1024] @ cm.T, kk)
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(nb), pa.array(s)], ["q", "nbr", "sim"])
 
         best = queries.select(F.col("id").cast("long"), "v").mapInArrow(run, "q long, nbr long, sim double")
@@ -94,7 +95,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fals
         def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
             q, x = _matrix(left.column("id").combine_chunks(), left.column("v").combine_chunks())
             c, y = _matrix(right.column("id").combine_chunks(), right.column("v").combine_chunks())
-            parts = [_top(q[lo : lo + 1024], c, x[lo : lo + 1024] @ y.T, kk) for lo in range(0, len(q), 1024) if len(c)]
+            parts = [best_of(q[lo : lo + 1024], c, x[lo : lo + 1024] @ y.T, kk) for lo in range(0, len(q), 1024) if len(c)]
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, float))]
             return pa.table({"q": cols[0], "nbr": cols[1], "sim": cols[2]})
 
@@ -128,9 +129,54 @@ def mutual(ab: DataFrame, ba: DataFrame) -> DataFrame:
 
 
 def moments(pairs: DataFrame, *by: str) -> DataFrame:
-    """(i, j, m): entries of the weighted cross-covariance sum of pairs (x, y, w)."""
-    xs = pairs.select(*by, "w", "y", F.posexplode(vec.as_double("x")).alias("i", "xi"))
-    return xs.select(*by, "w", "i", "xi", F.posexplode(vec.as_double("y")).alias("j", "yj")).groupBy(*by, "i", "j").agg(F.sum(F.col("w") * F.col("xi") * F.col("yj")).alias("m"))
+    """(i, j, m): entries of the weighted cross-covariance sum of pairs (x, y, w), summed as matrices in each task."""
+    from .procrustes import vectors
+
+    dims = pairs.select(F.max(F.size("x")).alias("d"), F.max(F.size("y")).alias("e")).first()
+    d, e = dims["d"] or 0, dims["e"] or 0
+
+    def run(batches):
+        acc: dict[tuple, np.ndarray] = {}
+        types = []
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            if b.num_rows:
+                x, y, w = vectors(b.column("x")), vectors(b.column("y")), b.column("w").to_numpy(zero_copy_only=False).astype(float)
+                keys = list(zip(*[b.column(c).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
+                places: dict[tuple, list[int]] = {}
+                for i, key in enumerate(keys):
+                    places.setdefault(key, []).append(i)
+                for key, at in places.items():
+                    part = (x[at] * w[at, None]).T @ y[at]
+                    acc[key] = acc[key] + part if key in acc else part
+        for key, m in acc.items():
+            n = d * e
+            yield pa.RecordBatch.from_arrays([*[pa.array([k] * n, t) for k, t in zip(key, types, strict=True)], pa.array(np.repeat(np.arange(d), e), pa.int32()), pa.array(np.tile(np.arange(e), d), pa.int32()), pa.array(m.ravel())], [*by, "i", "j", "m"])
+
+    kinds = "".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}, " for c in by)
+    return pairs.select(*by, "x", "y", "w").mapInArrow(run, f"{kinds}i int, j int, m double").groupBy(*by, "i", "j").agg(F.sum("m").alias("m"))
+
+
+def norm_change(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
+    """Norm statistics after a map, their ratios to those before (null where those are 0)."""
+    a, b = norm_stats(before, *by), norm_stats(after, *by)
+    names = ["min_norm", "median_norm", "max_norm", "mean_norm", "std_norm"]
+    both = b.join(a.select(*by, *[F.col(c).alias(f"_{c}") for c in names]), list(by)) if by else b.crossJoin(a.select(*[F.col(c).alias(f"_{c}") for c in names]))  # single rows
+    return both.select(*by, *names, *[(F.col(c) / F.nullif(F.col(f"_{c}"), F.lit(0.0))).alias(c.replace("_norm", "_ratio")) for c in names])
+
+
+def knn_by(emb: DataFrame, k: int, group: str = "species", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(g_q, g_c, q, rank, nbr, sim): for every row of (group, id, v) its exact neighbours in each other group."""
+    parts = None
+    for r in emb.select(group).distinct().orderBy(group).collect():  # a few groups, not rows
+        g = r[group]
+        corpus, queries = emb.filter(F.col(group) == g), emb.filter(F.col(group) != g)
+        near = stored(knn(queries, corpus, k, broadcast_bytes=broadcast_bytes), "near").withColumn("g_c", F.lit(g))
+        parts = near if parts is None else parts.unionByName(near)
+    if parts is None:
+        raise ValueError("no groups")
+    own = emb.select(F.col("id").cast("long").alias("q"), F.col(group).alias("g_q"))
+    return parts.join(own, "q").select("g_q", "g_c", "q", "rank", "nbr", "sim")
 
 
 def centroid(emb: DataFrame, weight: Column | None = None, *by: str) -> DataFrame:

@@ -7,38 +7,38 @@ trains by hierarchical softmax, not negative sampling; compare neighbourhoods, n
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 
-def _kept(df: DataFrame) -> DataFrame:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/walks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float = 1.0, q: float = 0.7, seed: int = 42, cut: int = 8) -> DataFrame:
+    """(walk, nodes): `walks` walks from every node of (a, b, w); return bias 1/p, 1 to a common neighbour, else 1/q.
 
-def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float = 1.0, q: float = 0.7, seed: int = 42) -> DataFrame:
-    """(walk, nodes): `walks` walks from every node of (a, b, w); return bias 1/p, 1 to a common neighbour, else 1/q."""
-    adj = _kept(edges.select(F.col("a").alias("cur"), F.col("b").alias("nxt"), "w").unionByName(edges.select(F.col("b").alias("cur"), F.col("a").alias("nxt"), "w")))
+    A walker carries at most `cut` nodes through the joins: what it has walked is stored every `cut` steps and put together at the end."""
+    adj = stored(edges.select(F.col("a").alias("cur"), F.col("b").alias("nxt"), "w").unionByName(edges.select(F.col("b").alias("cur"), F.col("a").alias("nxt"), "w")), "walk-edges")
+    kind = adj.schema["cur"].dataType
     start = adj.select("cur").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    front = start.select(F.xxhash64("cur", "walk").alias("walk"), "cur", F.lit(None).cast(adj.schema["cur"].dataType).alias("prev"), F.array("cur").alias("nodes"))
-    near = adj.select(F.col("cur").alias("prev"), F.col("nxt"), F.lit(True).alias("common"))
+    front = start.select(F.xxhash64("cur", "walk").alias("walk"), "cur", F.lit(None).cast(kind).alias("prev"), F.array("cur").alias("tail"))
+    near = adj.select(F.col("cur").alias("prev"), F.col("nxt"), F.lit(True).alias("common")).distinct()
+    done = None
     for step in range(1, length):
-        options = front.join(adj, "cur")
-        options = options.join(near, ["prev", "nxt"], "left")
+        options = front.join(adj, "cur").join(near, ["prev", "nxt"], "left")
         bias = F.when(F.col("prev").isNull(), 1.0).when(F.col("nxt") == F.col("prev"), 1.0 / p).when(F.col("common"), 1.0).otherwise(1.0 / q)
         u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walk", "nxt"), F.lit(2**52)) + 0.5) / float(2**52)
         race = -F.log(u) / (F.col("w") * bias)
-        front = options.groupBy("walk", "cur").agg(F.min_by("nxt", race).alias("nxt"), F.first("nodes").alias("nodes"))
-        front = front.select("walk", F.col("nxt").alias("cur"), F.col("cur").alias("prev"), F.concat("nodes", F.array("nxt")).alias("nodes"))
-        if step % 8 == 0:
-            front = _kept(front)
-    return front.select("walk", "nodes")
+        front = options.groupBy("walk", "cur").agg(F.min_by("nxt", race).alias("nxt"), F.first("tail").alias("tail"))
+        front = front.select("walk", F.col("nxt").alias("cur"), F.col("cur").alias("prev"), F.concat("tail", F.array("nxt")).alias("tail"))
+        if step % cut == 0 or step == length - 1:
+            front = stored(front, "walk-front")
+            part = front.select("walk", F.lit(step).alias("step"), "tail")
+            done = part if done is None else done.unionByName(part)
+            front = front.withColumn("tail", F.array().cast(front.schema["tail"].dataType))
+    if done is None:
+        done = front.select("walk", F.lit(0).alias("step"), "tail")
+    parts = done.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "tail"))).alias("parts"))
+    return parts.select("walk", F.flatten(F.transform("parts", lambda x: x["tail"])).alias("nodes"))
 
 
 def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 10, seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, pvalues
 from ..functions import vectors as vec
 from ..operators import curves, evaluation, graph, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
+from ..sources.shared import stored
 from . import roles
 
 QUERIES: dict = {}
@@ -73,12 +74,11 @@ def adjacency_index(spark, sf):
     return graph.dense_index(graph.symmetric(roles.edges(spark, sf)))
 
 
-@query("""WITH n AS (SELECT gene, count(*) AS n FROM nbrs GROUP BY gene)
-    SELECT i, j, inter, round(inter / (x.n + y.n - inter), 6) AS jaccard FROM (SELECT a.gene AS i, b.gene AS j, count(*) AS inter FROM nbrs a JOIN nbrs b ON a.nbr = b.nbr WHERE a.gene < b.gene GROUP BY 1, 2)
+@query("""WITH n AS (SELECT gene, count(*) AS n FROM order_parts GROUP BY gene)
+    SELECT i, j, inter, round(inter / (x.n + y.n - inter), 6) AS jaccard FROM (SELECT a.gene AS i, b.gene AS j, count(*) AS inter FROM order_parts a JOIN order_parts b ON a.el = b.el WHERE a.gene < b.gene GROUP BY 1, 2)
     JOIN n x ON x.gene = i JOIN n y ON y.gene = j""")
 def jaccard_self_join(spark, sf):
-    members = graph.symmetric(roles.edges(spark, sf)).select("gene", F.col("nbr").alias("el"))
-    return r6(graph.set_jaccard_self(members), "jaccard")
+    return r6(graph.set_jaccard_self(roles.order_parts(spark, sf)), "jaccard")
 
 
 @query("SELECT gene, count(*) AS n_ogs, string_agg(og, ',' ORDER BY og) AS ogs FROM og_nbrs GROUP BY gene")
@@ -122,13 +122,13 @@ def id_strip_last_dot(spark, sf):
     return roles.table(spark, sf, "pages").select("page_id", ids.last_dot(F.col("url")).alias("prefix"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS row_no, 'P' || p_partkey || '.' || (p_size % 3) AS protein_id, p_brand AS og FROM part WHERE p_size % 4 <> 0),
+@query("""WITH t AS (SELECT p_partkey AS row_no, 'P' || p_partkey || '.' || (p_size % 3) AS protein_id, p_brand AS og FROM part),
     valid AS (SELECT DISTINCT 'P' || l_partkey || '.' || (l_partkey % 3) AS id FROM lineitem),
     exact AS (SELECT v.id, arg_max(t.og, t.row_no) AS og FROM valid v JOIN t ON t.protein_id = v.id GROUP BY v.id),
     loose AS (SELECT v.id, arg_max(t.og, t.row_no) AS og FROM valid v JOIN t ON split_part(t.protein_id, '.', 1) = split_part(v.id, '.', 1) GROUP BY v.id)
     SELECT * FROM exact WHERE (SELECT count(*) FROM exact) >= 0.5 * (SELECT count(*) FROM valid) UNION ALL SELECT * FROM loose WHERE (SELECT count(*) FROM exact) < 0.5 * (SELECT count(*) FROM valid)""")
 def og_coverage_two_tier(spark, sf):
-    part = roles.table(spark, sf, "part").filter("p_size % 4 <> 0")
+    part = roles.table(spark, sf, "part")
     t = part.select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("."), (F.col("p_size") % 3).cast("string")).alias("protein_id"), F.col("p_brand").alias("og"))
     valid = roles.table(spark, sf, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("."), (F.col("l_partkey") % 3).cast("string")).alias("id"))
     return orthologs.two_tier_orthogroups(valid, t)
@@ -143,11 +143,11 @@ def id_prefix_before_hash(spark, sf):
 
 
 def _two(spark, sf):
-    g = roles.genes(spark, sf)
+    g = roles.two_species(spark, sf)
     return g.filter("species = 0"), g.filter("species = 1")
 
 
-_WEIGHTED = "SELECT a.og, a.idx AS ia, b.idx AS ib, 1.0 / (count(*) OVER (PARTITION BY a.og)) AS w FROM genes a JOIN genes b ON a.og = b.og WHERE a.species = 0 AND b.species = 1"
+_WEIGHTED = "SELECT a.og, a.idx AS ia, b.idx AS ib, 1.0 / (count(*) OVER (PARTITION BY a.og)) AS w FROM genes2 a JOIN genes2 b ON a.og = b.og WHERE a.species = 0 AND b.species = 1"
 
 
 @query(f"SELECT og, ia, ib, round(w, 9) AS w FROM ({_WEIGHTED})")
@@ -244,7 +244,13 @@ def seed_set_metrics(spark, sf):
     return r6(out, "seed_min_dist", "seed_mean_dist", "nonseed_max_dist", "nonseed_mean_dist", "og_coverage")
 
 
-@query()
+@query("""WITH RECURSIVE ok AS (SELECT sp_i, sp_j FROM density WHERE shared >= 5),
+    two AS (SELECT d.sp_i, d.sp_j FROM dist d JOIN ok ON ok.sp_i = d.sp_i AND ok.sp_j = d.sp_j WHERE d.sp_i < d.sp_j ORDER BY d.dist DESC, d.sp_i, d.sp_j LIMIT 1),
+    g AS (SELECT 2 AS k, [sp_i, sp_j] AS seeds FROM two UNION ALL
+      SELECT k + 1, list_append(seeds, best) FROM (SELECT k, seeds, arg_max(sp_i, least * 1000000 - sp_i) AS best FROM
+        (SELECT g.k, g.seeds, d.sp_i, min(round(d.dist, 9)) AS least, bool_or(ok.sp_i IS NOT NULL) AS linked FROM g JOIN dist d ON list_contains(g.seeds, d.sp_j) AND NOT list_contains(g.seeds, d.sp_i) LEFT JOIN ok ON ok.sp_i = d.sp_i AND ok.sp_j = d.sp_j WHERE g.k < 5 GROUP BY g.k, g.seeds, d.sp_i)
+        WHERE linked GROUP BY k, seeds))
+    SELECT CAST(i AS INT) AS position, CAST(seeds[i + 1] AS INT) AS species FROM (SELECT seeds FROM g ORDER BY k DESC LIMIT 1) CROSS JOIN range(0, 5) t(i) WHERE i < len(seeds)""")
 def greedy_seeds(spark, sf):
     seeds = species.greedy_seeds(_dist(spark, sf), _density(spark, sf), 5, 5)
     return spark.createDataFrame(list(enumerate(seeds)), "position int, species int")
@@ -264,14 +270,14 @@ def norm_diagnostics(spark, sf):
     return r6(vector.norm_stats(roles.genes(spark, sf), "species"), "min_norm", "median_norm", "max_norm", "mean_norm", "std_norm")
 
 
-@query("SELECT a.id AS u, b.id AS v, round(list_dot_product(a.v, b.v), 6) AS cos FROM unit a JOIN unit b ON a.og = b.og AND a.idx = b.idx WHERE a.species = 0 AND b.species = 1")
+@query("SELECT a.id AS u, b.id AS v, round(list_dot_product(a.v, b.v), 6) AS cos FROM unit2 a JOIN unit2 b ON a.og = b.og AND a.idx = b.idx WHERE a.species = 0 AND b.species = 1")
 def pair_cosine(spark, sf):
     a, b = _two(spark, sf)
     pairs = a.select(F.col("id").alias("u"), "og", "idx").join(b.select(F.col("id").alias("v"), "og", "idx"), ["og", "idx"]).select("u", "v")
     return r6(vector.pair_cosine(pairs, a, b), "cos")
 
 
-@query("SELECT a.idx AS id, CAST(len(a.v) + len(b.v) AS INT) AS dim, round(list_sum(a.v) + list_sum(b.v), 6) AS total FROM unit a JOIN unit b ON a.idx = b.idx WHERE a.species = 0 AND b.species = 1")
+@query("SELECT a.idx AS id, CAST(len(a.v) + len(b.v) AS INT) AS dim, round(list_sum(a.v) + list_sum(b.v), 6) AS total FROM unit2 a JOIN unit2 b ON a.idx = b.idx WHERE a.species = 0 AND b.species = 1")
 def vector_concat(spark, sf):
     a, b = (x.select(F.col("idx").alias("id"), "v") for x in _two(spark, sf))
     return vector.concatenated(a, b).select("id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
@@ -298,7 +304,7 @@ def mutual_nn(spark, sf):
     return r6(vector.mutual(*vector.nearest_both(a, b, 1)), "sim")
 
 
-@query("SELECT a.q AS src, a.nbr AS ref FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1 AND NOT EXISTS (SELECT 1 FROM genes x JOIN genes y ON x.og = y.og WHERE x.id = a.q AND y.id = a.nbr)")
+@query("SELECT a.q AS src, a.nbr AS ref FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1 AND NOT EXISTS (SELECT 1 FROM genes2 x JOIN genes2 y ON x.og = y.og WHERE x.id = a.q AND y.id = a.nbr)")
 def new_anchor_antijoin(spark, sf):
     a, b = _two(spark, sf)
     anchors = a.select(F.col("id").alias("src"), "og").join(b.select(F.col("id").alias("ref"), "og"), "og").select("src", "ref")
@@ -312,14 +318,14 @@ def _anchor_pairs(spark, sf):
     return n.join(ia, "ia").join(ib, "ib").select("src", "ref", "w")
 
 
-_COV = "SELECT i, j, sum(w * x[i + 1] * y[j + 1]) AS m FROM (SELECT 1.0 / (count(*) OVER (PARTITION BY a.og)) AS w, a.v AS x, b.v AS y FROM genes a JOIN genes b ON a.og = b.og WHERE a.species = 0 AND b.species = 1) CROSS JOIN range(0, 8) t(i) CROSS JOIN range(0, 8) u(j) GROUP BY i, j"
+#: Anchors are all pairs of an orthogroup, weighing 1 / their number each, so that the sums over pairs are products of sums over genes.
+_GROUPS = "x AS (SELECT og, i, sum(v[i + 1]) AS s FROM genes2 CROSS JOIN range(0, 64) t(i) WHERE species = 0 GROUP BY og, i), y AS (SELECT og, i AS j, sum(v[i + 1]) AS s FROM genes2 CROSS JOIN range(0, 64) t(i) WHERE species = 1 GROUP BY og, i), n AS (SELECT a.og, a.n * b.n AS n, a.n AS na, b.n AS nb FROM (SELECT og, count(*) AS n FROM genes2 WHERE species = 0 GROUP BY og) a JOIN (SELECT og, count(*) AS n FROM genes2 WHERE species = 1 GROUP BY og) b ON a.og = b.og)"
 
 
-@query(f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(m, 6) AS m FROM ({_COV})")
+@query(f"WITH {_GROUPS} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(x.s * y.s / n.n), 6) AS m FROM x JOIN y ON x.og = y.og JOIN n ON n.og = x.og GROUP BY i, j")
 def cross_covariance(spark, sf):
     a, b = _two(spark, sf)
-    cut = lambda d: d.withColumn("v", F.slice("v", 1, 8))  # noqa: E731 - eight dimensions of the 64
-    return r6(vector.moments(procrustes.anchors_of(_anchor_pairs(spark, sf), cut(a), cut(b)).select("x", "y", "w")), "m")
+    return r6(vector.moments(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b).select("x", "y", "w")), "m")
 
 
 @query("SELECT species, CAST(i AS INT) AS i, round(sum((og + 1) * v[i + 1]) / sum(og + 1), 6) AS mu FROM genes CROSS JOIN range(0, 64) t(i) GROUP BY species, i")
@@ -327,12 +333,21 @@ def weighted_centroid(spark, sf):
     return r6(vector.centroid(roles.genes(spark, sf), (F.col("og") + 1).cast("double"), "species"), "mu")
 
 
-@query("""WITH n AS (SELECT vec_id // 25 AS og, count(DISTINCT vec_id % 5) AS n_species, count(*) AS size FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 5) >= 2 AND count(*) <= 1000),
-    p AS (SELECT n.og, n_species, size, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM genes a JOIN genes b ON a.id // 25 = b.id // 25 AND a.id < b.id AND a.species <> b.species JOIN n ON n.og = a.id // 25)
+@query("""WITH n AS (SELECT og, count(DISTINCT species) AS n_species, count(*) AS size FROM genes GROUP BY 1 HAVING count(DISTINCT species) >= 2 AND count(*) <= 10000),
+    p AS (SELECT n.og, n_species, size, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM genes a JOIN genes b ON a.og = b.og AND a.id < b.id AND a.species <> b.species JOIN n ON n.og = a.og)
     SELECT og, n_species, size, count(*) AS n_pairs, round(avg(c), 6) AS mean_cos, round(median(c), 6) AS median_cos, round(min(c), 6) AS min_cos FROM p GROUP BY og, n_species, size""")
 def og_mean_cosine(spark, sf):
-    g = roles.genes(spark, sf).withColumn("og", F.floor(F.col("id") / 25))
-    return vector.group_cosines(g, 2, 1000)
+    return vector.group_cosines(roles.genes(spark, sf), 2, 10_000)
+
+
+@query("""WITH s AS (SELECT species, min(n) AS a, median(n) AS b, max(n) AS c, avg(n) AS d, stddev_pop(n) AS e FROM (SELECT species, sqrt(list_dot_product(v, v)) * (1 + idx % 4) AS n FROM genes) GROUP BY species),
+    t AS (SELECT species, min(n) AS a, median(n) AS b, max(n) AS c, avg(n) AS d, stddev_pop(n) AS e FROM (SELECT species, sqrt(list_dot_product(v, v)) * (1 + id % 3) AS n FROM genes) GROUP BY species)
+    SELECT t.species, round(t.a, 6) AS min_norm, round(t.b, 6) AS median_norm, round(t.c, 6) AS max_norm, round(t.d, 6) AS mean_norm, round(t.e, 6) AS std_norm, round(t.a / s.a, 6) AS min_ratio, round(t.b / s.b, 6) AS median_ratio, round(t.c / s.c, 6) AS max_ratio, round(t.d / s.d, 6) AS mean_ratio, round(t.e / s.e, 6) AS std_ratio FROM s JOIN t ON s.species = t.species""")
+def norm_change(spark, sf):
+    g = roles.genes(spark, sf)
+    before, after = (g.withColumn("_n", n).withColumn("v", F.transform(vec.as_double("v"), lambda x: x * F.col("_n"))) for n in (1 + F.col("idx") % 4, 1 + F.col("id") % 3))
+    out = vector.norm_change(before, after, "species")
+    return r6(out, *[c for c in out.columns if c != "species"])
 
 
 # ---- retrieval ----------------------------------------------------------------------------------
@@ -363,15 +378,83 @@ def jaccard_gap(spark, sf):
     return r6(retrieval.partner_gap(_slice_truth(spark, sf)), "gap")
 
 
-@query("""WITH k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species = c.species AND q.id <> c.id WHERE q.species = 0) WHERE rank <= 20),
+@query("""WITH k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit2 q JOIN unit2 c ON q.species = c.species AND q.id <> c.id) WHERE rank <= 20),
     d AS (SELECT gene, count(*) AS deg FROM slice_nbrs GROUP BY gene), h AS (SELECT k.q, count(*) AS hits FROM k JOIN slice_nbrs n ON n.gene = k.q AND n.nbr = k.nbr GROUP BY k.q)
     SELECT count(*) AS n_eval, round(avg(coalesce(hits, 0) / 20), 6) AS precision_at_k, round(avg(coalesce(hits, 0) / least(deg, 20)), 6) AS recall_at_k FROM (SELECT DISTINCT q FROM k) x JOIN d ON d.gene = x.q LEFT JOIN h ON h.q = x.q""")
 def within_precision_recall(spark, sf):
-    a, _ = _two(spark, sf)
-    near = vector.knn(a, a, 20, exclude_self=True)
+    near = _within_near(_two(spark, sf))
     return r6(retrieval.within(near, graph.symmetric(roles.slice_edges(spark, sf)), 20), "precision_at_k", "recall_at_k")
 
 
+def _within_near(both):
+    """The 20 nearest of each gene in its own species."""
+    a, b = (stored(vector.knn(x, x, 20, exclude_self=True), "within-near") for x in both)
+    return a.unionByName(b)
+
+
+@query("""WITH a AS (SELECT species, id, row_number() OVER (PARTITION BY species ORDER BY id) AS i FROM unit2), b AS (SELECT species, v, row_number() OVER (PARTITION BY species ORDER BY md5(CAST(id AS VARCHAR) || ':0') || ':' || id) AS i FROM unit2),
+    s AS (SELECT a.species, a.id, b.v FROM a JOIN b ON a.species = b.species AND a.i = b.i),
+    k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM s q JOIN s c ON q.species = c.species AND q.id <> c.id) WHERE rank <= 20),
+    d AS (SELECT gene, count(*) AS deg FROM slice_nbrs GROUP BY gene), h AS (SELECT k.q, count(*) AS hits FROM k JOIN slice_nbrs n ON n.gene = k.q AND n.nbr = k.nbr GROUP BY k.q)
+    SELECT count(*) AS n_eval, round(avg(coalesce(hits, 0) / 20), 6) AS precision_at_k, round(avg(coalesce(hits, 0) / least(deg, 20)), 6) AS recall_at_k FROM (SELECT DISTINCT q FROM k) x JOIN d ON d.gene = x.q LEFT JOIN h ON h.q = x.q""")
+def within_shuffle(spark, sf):
+    near = _within_near([retrieval.shuffled_vectors(x, 0) for x in _two(spark, sf)])
+    return r6(retrieval.within(near, graph.symmetric(roles.slice_edges(spark, sf)), 20), "precision_at_k", "recall_at_k")
+
+
+@query("""WITH c AS (SELECT t.u, t.v, t.s, round(list_dot_product(a.v, b.v), 9) AS c FROM slice_truth t JOIN unit2 a ON a.id = t.u JOIN unit2 b ON b.id = t.v),
+    l AS (SELECT u, v, s, row_number() OVER (ORDER BY u, v) AS i FROM c), r AS (SELECT v, row_number() OVER (ORDER BY md5(u || '_' || v || ':0') || ':' || u || '_' || v) AS i FROM c),
+    z AS (SELECT l.s, round(list_dot_product(a.v, b.v), 9) AS c FROM l JOIN r ON l.i = r.i JOIN unit2 a ON a.id = l.u JOIN unit2 b ON b.id = r.v),
+    x AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS p, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS q FROM c),
+    w AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS p, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS q FROM z)
+    SELECT (SELECT count(*) FROM c) AS n, round((SELECT corr(p, q) FROM x), 6) AS rho, round((SELECT corr(p, q) FROM w), 6) AS rho_shuffled""")
+def cosine_jaccard_spearman(spark, sf):
+    return r6(retrieval.jaccard_spearman(_slice_truth(spark, sf), *_two(spark, sf)), "rho", "rho_shuffled")
+
+
+def _species_truth(spark, sf):
+    """(sp_a, sp_b, u, v, s): set Jaccard of neighbour orthogroups for gene pairs of one orthogroup in all pairs of the five species."""
+    genes = roles.slice_og(spark, sf).select("gene", "og").withColumn("species", (F.col("gene") % 5).cast("int"))
+    sets = graph.og_neighbours(roles.slice_edges(spark, sf), genes.select("gene", "og"))
+    a, b = genes.select(F.col("species").alias("sp_a"), F.col("gene").alias("u"), "og"), genes.select(F.col("species").alias("sp_b"), F.col("gene").alias("v"), "og")
+    pairs = a.join(b, "og").filter("sp_a < sp_b").select("sp_a", "sp_b", "u", "v")
+    found = graph.set_jaccard_pairs(pairs.select("u", "v"), sets.withColumnRenamed("og", "el"), sets.withColumnRenamed("og", "el"))
+    return pairs.join(found, ["u", "v"]).select("sp_a", "sp_b", "u", "v", F.col("jaccard").alias("s"))
+
+
+@query("""WITH g AS (SELECT CAST(gene % 5 AS INT) AS sp, gene, og FROM slice_og), z AS (SELECT gene, count(*) AS n FROM slice_sets GROUP BY 1),
+    t AS (SELECT a.sp AS sp_a, b.sp AS sp_b, a.gene AS u, b.gene AS v, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM g a JOIN g b ON a.og = b.og AND a.sp < b.sp JOIN slice_sets l ON l.gene = a.gene JOIN slice_sets r ON r.gene = b.gene AND r.og = l.og JOIN z x ON x.gene = a.gene JOIN z y ON y.gene = b.gene GROUP BY 1, 2, 3, 4),
+    best AS (SELECT sp_a, sp_b, u, v FROM (SELECT *, row_number() OVER (PARTITION BY sp_a, sp_b, u ORDER BY s DESC, v) AS r FROM t) WHERE r = 1),
+    k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 20)
+    SELECT sp_a, sp_b, count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM best LEFT JOIN k ON k.q = best.u AND k.nbr = best.v GROUP BY 1, 2""")
+def all_pairs_evaluation(spark, sf):
+    near = vector.knn_by(roles.genes(spark, sf).select("species", "id", "v"), 20)
+    return r6(retrieval.evaluated_pairs(_species_truth(spark, sf), near, 20), "hits", "mrr")
+
+
+@query("SELECT g_q, g_c, q, CAST(rank AS INT) AS rank, nbr, round(sim, 6) AS sim FROM (SELECT q.species AS g_q, c.species AS g_c, q.id AS q, c.id AS nbr, round(list_dot_product(q.v, c.v), 9) AS sim, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 5")
+def knn_all_species(spark, sf):
+    return r6(vector.knn_by(roles.genes(spark, sf).select("species", "id", "v"), 5), "sim")
+
+
+@query("SELECT u, v, round(s, 6) AS s FROM slice_truth ORDER BY round(s, 9) DESC, u, v LIMIT 100")
+def top_pairs(spark, sf):
+    """The hundred pairs with the largest set Jaccard: the limit is the feature."""
+    return r6(retrieval.global_top(_slice_truth(spark, sf).withColumn("s", F.round("s", 9)), "s", ["u", "v"], 100), "s")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, round(o_totalprice, 4) AS o_totalprice FROM (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS o_totalprice FROM orders GROUP BY 1, 2) ORDER BY o_totalprice DESC, o_orderstatus, o_orderpriority LIMIT 1")
+def grid_best(spark, sf):
+    grid = report.comparison(roles.table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"])
+    return report.grid_argmax(grid, ["o_orderstatus", "o_orderpriority"], "o_totalprice").withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query("SELECT gene, count(*) AS n_tables FROM (SELECT DISTINCT 1 AS t, l_partkey AS gene FROM lineitem UNION ALL SELECT DISTINCT 2, p_partkey FROM part UNION ALL SELECT DISTINCT 3, vec_id FROM embeddings) GROUP BY gene")
+def available_genes(spark, sf):
+    t = lambda n, c: roles.table(spark, sf, n).select(F.col(c).alias("gene"))
+    return ml.available(t("lineitem", "l_partkey"), t("part", "p_partkey"), t("embeddings", "vec_id"))
+
+
 @query("""WITH best AS (SELECT u, v, s FROM ranked_truth WHERE place = 1), a AS (SELECT u, row_number() OVER (ORDER BY u) AS i FROM best), b AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(u AS VARCHAR) || ':0')) AS i FROM best)
     SELECT count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM a JOIN b ON a.i = b.i LEFT JOIN knn01 k ON k.q = a.u AND k.nbr = b.v""")
 def shuffle_baseline_md5(spark, sf):
@@ -382,51 +465,93 @@ def shuffle_baseline_md5(spark, sf):
 # ---- alignment ----------------------------------------------------------------------------------
 
 
-def _report(spark, rot, **more):
-    import numpy as np
+def _entries(spark, rot):
+    """(i, j, r) of a map, at three digits: entries are single precision."""
+    rows = [(i, j, round(float(x), 3) + 0.0) for i, row in enumerate(rot.r) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "i int, j int, r double")
 
-    row = {"orthogonality_error": procrustes.orthogonality(rot), "det_sign": int(np.sign(np.linalg.det(rot.r))), "trace": float(np.trace(rot.r)), "scale": rot.scale, **more}
-    return spark.createDataFrame([row])
 
+#: The orthogonal polar factor of a matrix, which is the least-squares map with reflections allowed, by Newton-Schulz steps.
+_POLAR = """(WITH RECURSIVE p AS (SELECT 0 AS k, key, list_transform(m, lambda r: list_transform(r, lambda x: x / f)) AS x FROM (SELECT key, list(row ORDER BY i) AS m, sqrt(sum(list_dot_product(row, row))) AS f FROM (SELECT key, i, list(m ORDER BY j) AS row FROM {m} GROUP BY key, i) GROUP BY key)
+    UNION ALL SELECT k + 1, key, list_transform(x, lambda r: list_transform(range(1, len(r) + 1), lambda j: 1.5 * r[j] - 0.5 * list_dot_product(r, g[j])))
+    FROM (SELECT k, key, x, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) AS g FROM (SELECT k, key, x, list_transform(range(1, len(x[1]) + 1), lambda j: list_transform(x, lambda r: r[j])) AS c FROM p WHERE k < 60))) SELECT key, x FROM p WHERE k = 60)"""
+_ENTRY = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(x[i + 1][j + 1], 3) + 0.0 AS r FROM {p} CROSS JOIN range(0, 64) t(i) CROSS JOIN range(0, 64) u(j)"
 
-@query()
+
+@query(f"WITH {_GROUPS}, m AS (SELECT 0 AS key, i, j, sum(x.s * y.s) AS m FROM x JOIN y ON x.og = y.og GROUP BY i, j) " + _ENTRY.format(p=_POLAR.format(m="m")))
 def procrustes_basic(spark, sf):
     a, b = _two(spark, sf)
-    return _report(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), allow_reflection=True, vanilla=True))
+    return _entries(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), allow_reflection=True, vanilla=True))
 
 
-@query()
+_CENTRED = _GROUPS + """, w AS (SELECT count(*) AS w FROM n), mx AS (SELECT i, sum(x.s * n.nb / n.n) / any_value(w) AS mu FROM x JOIN n ON n.og = x.og CROSS JOIN w GROUP BY i), my AS (SELECT j, sum(y.s * n.na / n.n) / any_value(w) AS mu FROM y JOIN n ON n.og = y.og CROSS JOIN w GROUP BY j),
+    m AS (SELECT 0 AS key, c.i, c.j, c.m / w - mx.mu * my.mu AS m FROM (SELECT i, j, sum(x.s * y.s / n.n) AS m FROM x JOIN y ON x.og = y.og JOIN n ON n.og = x.og GROUP BY i, j) c JOIN mx ON mx.i = c.i JOIN my ON my.j = c.j CROSS JOIN w)"""
+
+
+@query(f"WITH {_CENTRED} " + _ENTRY.format(p=_POLAR.format(m="m")))
 def procrustes_weighted(spark, sf):
     a, b = _two(spark, sf)
-    return _report(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), center=True, scale=True))
+    return _entries(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), center=True, allow_reflection=True))
+
+
+@query(f"""WITH {_CENTRED}, r AS ({_ENTRY.format(p=_POLAR.format(m="m")).replace(", 3) + 0.0 AS r", ", 15) AS r")}),
+    v AS (SELECT sum(q * n.nb / n.n) / any_value(w) AS xx FROM (SELECT og, sum(list_dot_product(v, v)) AS q FROM genes2 WHERE species = 0 GROUP BY og) s JOIN n ON n.og = s.og CROSS JOIN w)
+    SELECT round(sum(r.r * m.m) / (any_value(xx) - (SELECT sum(mu * mu) FROM mx)), 4) AS scale FROM r JOIN m ON m.i = r.i AND m.j = r.j CROSS JOIN v""")
+def procrustes_scale(spark, sf):
+    a, b = _two(spark, sf)
+    rot = procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), center=True, scale=True, allow_reflection=True)
+    return spark.createDataFrame([(round(rot.scale, 4),)], "scale double")
 
 
 @query()
 def procrustes_iterative(spark, sf):
+    """Entries of the refined map; tests hold it against a plain loop over all similarities."""
     a, b = _two(spark, sf)
-    rot, log = procrustes.refine(_anchor_pairs(spark, sf), a.select("id", "v"), b.select("id", "v"), threshold=0.2)
-    return _report(spark, rot, rounds=len(log), new_pairs=sum(x["new"] for x in log))
+    rot, _ = procrustes.refine(_anchor_pairs(spark, sf), a.select("id", "v"), b.select("id", "v"), threshold=0.2)
+    return _entries(spark, rot)
 
 
-@query()
-def two_stage_align(spark, sf):
-    g = roles.genes(spark, sf).select("species", "id", "idx", "og", "v")
+def _stages(spark, sf):
+    g = roles.genes(spark, sf).select("species", "id", "idx", (F.col("idx") % 100).alias("og"), "v")
     one = g.select(F.col("species").alias("sp_src"), F.col("id").alias("src"), "og")
     two = g.select(F.col("species").alias("sp_ref"), F.col("id").alias("ref"), "og")
     pairs = one.join(two, "og").filter("(sp_src = 1 and sp_ref = 0) or (sp_src > 1 and sp_ref = sp_src % 2)").withColumn("w", F.lit(1.0))
-    groups = spark.createDataFrame([(2, 0), (3, 1), (4, 0)], "species int, seed int")
-    return procrustes.two_stage(g.drop("og"), pairs, 0, [0, 1], groups).select("species", "id", "idx", "status", F.size("v").alias("dim"))
+    return g.drop("og"), pairs, spark.createDataFrame([(2, 0), (3, 1), (4, 0)], "species int, seed int")
+
+
+def _coordinates(out):
+    return out.select("species", "id", "status", F.posexplode(F.transform("v", lambda x: F.round(x.cast("double"), 2) + 0.0)).alias("dim", "x"))
+
+
+def _moment(src: str, ref: str, which: str) -> str:
+    """Cross products of all pairs of an orthogroup between species, from sums over genes: (key, i, j, m)."""
+    return f"(SELECT a.species AS key, a.i, b.i AS j, sum(a.s * b.s) AS m FROM (SELECT species, idx % 100 AS og, i, sum(v[i + 1]) AS s FROM {src} CROSS JOIN range(0, 64) t(i) GROUP BY 1, 2, 3) a JOIN (SELECT species, idx % 100 AS og, i, sum(v[i + 1]) AS s FROM {ref} CROSS JOIN range(0, 64) t(i) GROUP BY 1, 2, 3) b ON a.og = b.og AND {which} GROUP BY 1, 2, 3)"
+
+
+_MOVED = "SELECT g.species, g.id, g.idx, list_transform(range(1, 65), lambda j: CAST(CAST(list_dot_product(g.v, list_transform(p.x, lambda r: r[j])) AS FLOAT) AS DOUBLE)) AS v FROM genes g JOIN {p} p ON p.key = g.species"
+
+
+@query(f"""WITH seed AS ({_MOVED.format(p=_POLAR.format(m=_moment("genes", "genes", "a.species = 1 AND b.species = 0")))}), aligned AS (SELECT species, id, idx, v FROM genes WHERE species = 0 UNION ALL SELECT species, id, idx, v FROM seed),
+    rest AS ({_MOVED.format(p=_POLAR.format(m=_moment("genes", "aligned", "a.species > 1 AND b.species = a.species % 2")))})
+    SELECT species, id, status, CAST(i AS INT) AS dim, round(v[i + 1], 2) + 0.0 AS x FROM (SELECT species, id, v, CASE WHEN species = 0 THEN 'reference' ELSE 'seed' END AS status FROM aligned UNION ALL SELECT species, id, v, 'aligned' FROM rest) CROSS JOIN range(0, 64) t(i)""")
+def two_stage_align(spark, sf):
+    emb, pairs, groups = _stages(spark, sf)
+    return _coordinates(procrustes.two_stage(emb, pairs, 0, [0, 1], groups, allow_reflection=True))
+
+
+@query()
+def two_stage_refined(spark, sf):
+    """All species with refinement, centre and scale, seeds and others alike; tests recover planted maps."""
+    emb, pairs, groups = _stages(spark, sf)
+    return _coordinates(procrustes.two_stage(emb, pairs, 0, [0, 1], groups, refinement={"threshold": 0.2}, center=True, scale=True))
 
 
 @query()
-def anchor_subsample(spark, sf):
+def anchor_robustness(spark, sf):
+    """Five shares of the anchors, five replicates each: Spearman of set Jaccard with the cosine after alignment."""
     a, b = _two(spark, sf)
-    pairs = _anchor_pairs(spark, sf).persist()
-    rows = []
-    for rate in (1.0, 0.5, 0.1):
-        rot = procrustes.fit(procrustes.anchors_of(procrustes.subsampled(pairs, rate, 0), a, b), allow_reflection=True)
-        rows.append((rate, procrustes.orthogonality(rot) < 1e-4))
-    return spark.createDataFrame(rows, "rate double, orthogonal boolean")
+    truth = _slice_truth(spark, sf).select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
+    return r6(procrustes.anchor_robustness(_anchor_pairs(spark, sf), a.select("id", "v"), b.select("id", "v"), truth), "rho")
 
 
 # ---- statistics and curves ----------------------------------------------------------------------
@@ -576,20 +701,19 @@ def ovr_logreg(spark, sf):
 
 @query()
 def kmeans_clusters(spark, sf):
-    out = ml.clusters(roles.genes(spark, sf).select("id", F.col("v").alias("x")), 12)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return ml.clusters(roles.genes(spark, sf).select("id", F.col("v").alias("x")), 12).select("id", "cluster")
 
 
 @query()
 def node2vec_walks(spark, sf):
     small = roles.slice_edges(spark, sf).withColumn("w", F.lit(1.0))
-    return walks.biased_walks(small, walks=2, length=8).select("walk", texts("nodes").alias("nodes"))
+    return walks.biased_walks(small, walks=4, length=16).select("walk", texts("nodes").alias("nodes"))
 
 
 @query()
 def word2vec_embed(spark, sf):
     small = roles.slice_edges(spark, sf).withColumn("w", F.lit(1.0))
-    return walks.skip_gram(walks.biased_walks(small, walks=2, length=8), dim=16, epochs=1).select("gene", F.size("v").alias("dim"))
+    return walks.skip_gram(walks.biased_walks(small, walks=4, length=16), dim=16, epochs=1).select("gene", F.size("v").alias("dim"))
 
 
 # ---- reports ------------------------------------------------------------------------------------
@@ -660,22 +784,19 @@ def pair_types(spark, sf):
 # ---- composed evaluations and the remaining rules -----------------------------------------------
 
 
-def _species0(spark, sf):
-    return roles.genes(spark, sf).filter("species = 0")
-
-
-_PAIRS = """s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS score, CASE WHEN a.og = b.og THEN 1 ELSE 0 END AS y FROM unit a JOIN unit b ON a.id < b.id WHERE a.species = 0 AND b.species = 0),
+_PAIRS = """s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS score, CASE WHEN a.og = b.og THEN 1 ELSE 0 END AS y FROM unit a JOIN unit b ON a.id < b.id),
     c AS (SELECT score, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, sum(y) AS tp_at, sum(1 - y) AS fp_at FROM s GROUP BY score WINDOW w AS (ORDER BY score DESC))"""
 
 
 @query(f"WITH {_PAIRS} SELECT round(sum(fp_at * (2 * tp - tp_at) / 2.0) / ((SELECT sum(y) FROM s) * (SELECT sum(1 - y) FROM s)), 6) AS auc FROM c")
 def pathway_roc(spark, sf):
-    g = _species0(spark, sf)
-    return r6(curves.roc_auc(evaluation.scored_gene_pairs(g.select("id", "v"), g.select(F.col("id").alias("gene"), F.col("og").alias("term")))), "auc")
+    g = roles.genes(spark, sf)
+    counts = evaluation.gene_pair_counts(g.select("id", "v"), g.select(F.col("id").alias("gene"), F.col("og").alias("term")))
+    return r6(curves.roc_auc(counts, weight="n"), "auc")
 
 
-@query("""WITH pos AS (SELECT list_dot_product(a.v, b.v) AS c FROM unit a JOIN unit b ON a.og = b.og WHERE a.species = 0 AND b.species = 1),
-    u AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM unit WHERE species = 0), w AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM unit WHERE species = 1),
+@query("""WITH pos AS (SELECT list_dot_product(a.v, b.v) AS c FROM unit2 a JOIN unit2 b ON a.og = b.og WHERE a.species = 0 AND b.species = 1),
+    u AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM unit2 WHERE species = 0), w AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM unit2 WHERE species = 1),
     neg AS (SELECT list_dot_product(u.v, w.v) AS c FROM u JOIN w ON u.r = w.r)
     SELECT (SELECT count(*) FROM pos) AS n_pos, round((SELECT avg(c) FROM pos), 6) AS mean_pos, round((SELECT stddev_pop(c) FROM pos), 6) AS std_pos, (SELECT count(*) FROM neg) AS n_neg, round((SELECT avg(c) FROM neg), 6) AS mean_neg, round((SELECT stddev_pop(c) FROM neg), 6) AS std_neg, round((SELECT avg(c) FROM pos) - (SELECT avg(c) FROM neg), 6) AS effect""")
 def ortholog_similarity_contrast(spark, sf):
@@ -685,6 +806,47 @@ def ortholog_similarity_contrast(spark, sf):
     return r6(out, "mean_pos", "std_pos", "mean_neg", "std_neg", "effect")
 
 
+@query("""WITH u AS (SELECT id, og, idx, v FROM unit2 WHERE species = 0), w AS (SELECT id, og, idx, v FROM unit2 WHERE species = 1),
+    p AS (SELECT 1 AS y, round(list_dot_product(u.v, w.v), 9) AS c, u.id AS u FROM u JOIN w ON u.idx = w.idx UNION ALL SELECT 0, round(list_dot_product(x.v, z.v), 9), x.id FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM u) x JOIN (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'neg'), id) AS r FROM w) z ON x.r = z.r),
+    d AS (SELECT round(a.c - b.c, 9) AS d FROM p a JOIN p b ON a.u = b.u WHERE a.y = 1 AND b.y = 0), e AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d WHERE d <> 0),
+    m AS (SELECT y, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rk FROM p)
+    SELECT (SELECT count(*) FROM e) AS n, (SELECT coalesce(sum(rk) FILTER (WHERE d > 0), 0.0) FROM e) AS w_plus, (SELECT sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2 FROM m) AS u""")
+def ortholog_contrast_tests(spark, sf):
+    a, b = _two(spark, sf)
+    pos = a.select(F.col("id").alias("u"), "idx").join(b.select(F.col("id").alias("v"), "idx"), "idx").select("u", "v")
+    return evaluation.contrast_tests(vector.pair_cosine(pos, a, b), vector.pair_cosine(evaluation.hashed_pairs(a, b), a, b))
+
+
+@query()
+def partition_cross_validation(spark, sf):
+    """Classifiers on whole partitions left out in turn."""
+    return r6(ml.cross_validated(_classes(spark, sf).withColumn("fold", F.col("id") % 4), "fold", cut=0.1), "f1_micro", "f1_macro", "jaccard_micro", "accuracy")
+
+
+@query()
+def species_cross_validation(spark, sf):
+    """Classifiers on one species left out in turn."""
+    return r6(ml.cross_validated(_classes(spark, sf), "species", cut=0.1), "f1_micro", "f1_macro", "jaccard_micro", "accuracy")
+
+
+@query()
+def term_transfer(spark, sf):
+    """Terms of a left-out species from classifiers on the others: Fmax over the terms that can be judged."""
+    return r6(ml.term_transfer(_classes(spark, sf)), "fmax", "macro_ap")
+
+
+def _classes(spark, sf):
+    g = roles.genes(spark, sf).withColumn("x", vec.as_double("v"))
+    classes = spark.range(10).select(F.col("id").cast("int").alias("class"))
+    return g.join(F.broadcast(classes)).select("species", "id", "class", (F.col("og") == F.col("class")).cast("int").alias("y"), "x")
+
+
+@query()
+def dominant_clusters(spark, sf):
+    out = ml.clusters(roles.genes(spark, sf).select("id", "og", F.col("v").alias("x")), 12)
+    return r6(ml.dominant_cluster(out, "og"), "share")
+
+
 @query("""WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_nationkey IN (3, 8, 15, 21) THEN 1 ELSE 0 END + CASE WHEN b.n_nationkey IN (3, 8, 15, 21) THEN 1 ELSE 0 END AS n, CASE WHEN a.n_nationkey IN (3, 8, 15, 21) THEN a.n_nationkey WHEN b.n_nationkey IN (3, 8, 15, 21) THEN b.n_nationkey END AS s FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
     r AS (SELECT *, row_number() OVER (PARTITION BY n, CASE WHEN n = 1 THEN s END ORDER BY md5(CAST(a AS VARCHAR) || '_' || CAST(b AS VARCHAR)), a, b) AS r FROM p) SELECT a, b FROM r WHERE n = 2 OR (n = 1 AND r <= 5) OR (n = 0 AND r <= 10)""")
 def stratified_species_pairs(spark, sf):
@@ -698,11 +860,11 @@ def embedding_stability(spark, sf):
     return r6(vector.stability(runs), "variance")
 
 
-@query("""WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py, label FROM embeddings), b AS (SELECT min(px) - 0.01 AS x0, max(px) + 0.01 AS x1, min(py) - 0.01 AS y0, max(py) + 0.01 AS y1 FROM e WHERE label = 3 AND id % 7 = 0)
+@query("""WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py, label FROM embeddings), b AS (SELECT min(px) - 0.01 AS x0, max(px) + 0.01 AS x1, min(py) - 0.01 AS y0, max(py) + 0.01 AS y1 FROM e WHERE label = 3)
     SELECT id FROM e CROSS JOIN b WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1""")
 def bounding_box(spark, sf):
     e = roles.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"), "label")
-    return ml.within_box(e, e.filter("label = 3 and id % 7 = 0"), 0.01).select("id")
+    return ml.within_box(e, e.filter("label = 3"), 0.01).select("id")
 
 
 @query("SELECT gene, term FROM (SELECT gene, term, count(*) OVER (PARTITION BY species, term) AS n FROM annotated) WHERE n >= 10")
@@ -715,9 +877,9 @@ def macro_auprc(spark, sf):
     return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").agg(F.avg("ap").alias("macro_ap"), F.count(F.lit(1)).alias("n_terms")), "macro_ap")
 
 
-@query("SELECT l_partkey, max(l_quantity) AS total, CASE WHEN (max(l_quantity) * l_partkey + 0.0123) < 60 THEN printf('%.1fs', (max(l_quantity) * l_partkey + 0.0123)) WHEN (max(l_quantity) * l_partkey + 0.0123) < 3600 THEN printf('%.1fmin', (max(l_quantity) * l_partkey + 0.0123) / 60) ELSE printf('%.1fh', (max(l_quantity) * l_partkey + 0.0123) / 3600) END AS took FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey")
+@query("SELECT l_partkey, max(l_quantity) AS total, CASE WHEN (max(l_quantity) * l_partkey + 0.0123) < 60 THEN printf('%.1fs', (max(l_quantity) * l_partkey + 0.0123)) WHEN (max(l_quantity) * l_partkey + 0.0123) < 3600 THEN printf('%.1fmin', (max(l_quantity) * l_partkey + 0.0123) / 60) ELSE printf('%.1fh', (max(l_quantity) * l_partkey + 0.0123) / 3600) END AS took FROM lineitem GROUP BY l_partkey")
 def duration_format(spark, sf):
-    t = roles.table(spark, sf, "lineitem").filter("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.max("l_quantity").alias("total"))
+    t = roles.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity").alias("total"))
     return t.withColumn("took", ids.duration(F.col("total") * F.col("l_partkey") + 0.0123))
 
 
@@ -756,13 +918,21 @@ def pair_evaluation_record(spark, sf):
 
 @query()
 def principal_axes(spark, sf):
-    return evaluation.principal_axes(roles.genes(spark, sf).select("id", "v")).select("id", F.size("xy").alias("dim"))
+    return evaluation.principal_axes(roles.genes(spark, sf).select("id", "v")).select("id", F.round(F.col("xy")[0], 4).alias("x"), F.round(F.col("xy")[1], 4).alias("y"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT 0 AS step, list([sp] ORDER BY sp) AS groups, CAST(0 AS BIGINT) AS size, CAST(0 AS DOUBLE) AS h FROM (SELECT DISTINCT sp_i AS sp FROM dist) UNION ALL
+      SELECT step + 1, list_append(list_filter(groups, lambda x, k: k <> i AND k <> j), list_concat(groups[i], groups[j])), len(groups[i]) + len(groups[j]), h FROM (SELECT step, groups, arg_min(i, k) AS i, arg_min(j, k) AS j, min(h) AS h FROM (
+        SELECT step, groups, i, j, avg(dist) AS h, round(avg(dist), 9) * 1000000000 * 1000000 + i * 1000 + j AS k FROM (SELECT step, groups, unnest(range(1, len(groups) + 1)) AS i FROM g WHERE len(groups) > 1) JOIN range(1, 1000) t(j) ON j > i AND j <= len(groups) JOIN dist ON list_contains(groups[i], sp_i) AND list_contains(groups[j], sp_j) GROUP BY step, groups, i, j) GROUP BY step, groups))
+    SELECT CAST(step - 1 AS INT) AS step, CAST(size AS INT) AS size, round(h, 6) AS height FROM g WHERE step > 0""")
 def species_clustering(spark, sf):
     merges = species.average_linkage(_dist(spark, sf))
-    return spark.createDataFrame([(i, len(a) + len(b), float(h)) for i, (a, b, h) in enumerate(merges)], "step int, size int, height double")
+    return r6(spark.createDataFrame([(i, len(a) + len(b), float(h)) for i, (a, b, h) in enumerate(merges)], "step int, size int, height double"), "height")
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN l_tax < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share, round(median(l_tax), 6) AS median_p FROM lineitem")
+def significance_summary(spark, sf):
+    return r6(stats.significance(roles.table(spark, sf, "lineitem"), "l_tax"), "share", "median_p")
 
 
 @query()
@@ -771,3 +941,6 @@ def significance_report(spark, sf):
     m, w, s = mann_whitney_u(spark, sf).first(), wilcoxon_wplus(spark, sf).first(), spearman(spark, sf).first()
     rows = [("mann_whitney", float(m["u"]), pvalues.mann_whitney_greater(m["u"], m["n1"], m["n2"], m["ties"])), ("wilcoxon", float(w["w_plus"]), pvalues.wilcoxon_greater(w["w_plus"], w["n"])), ("spearman", float(s["rho"]), pvalues.spearman_two_sided(s["rho"], s["n"]))]
     return spark.createDataFrame(rows, "test string, statistic double, p double")
+
+
+from . import storage  # noqa: E402, F401 - adds its queries

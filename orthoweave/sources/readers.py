@@ -13,7 +13,8 @@ NETWORK_SUFFIX, OG_SUFFIX = "_Top50EdgesPerGene_ProteinID.tsv", "_transcripts_to
 
 
 def _species(suffix: str):
-    return F.regexp_replace(F.col("_metadata.file_name"), f"{suffix.replace('.', '[.]')}(\\.gz)?$", "")
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # Spark gives it encoded
+    return F.regexp_replace(name, f"{suffix.replace('.', '[.]')}(\\.gz)?$", "")
 
 
 def raw_network(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +73,34 @@ def pair_table(spark: SparkSession, path: str, a: str, b: str) -> DataFrame:
     return spark.read.parquet(path).filter((F.col("sp_a") == min(a, b)) & (F.col("sp_b") == max(a, b)))
 
 
+def resolved_pairs(spark: SparkSession, folder: str, a: str, b: str) -> DataFrame:
+    """Anchors of two species from text files named by their sorted codes: in `seeds`, else in `non_seeds` under either species."""
+    name = "_".join(sorted((a, b)))
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for path in (f"{folder}/seeds/{name}.tsv", f"{folder}/non_seeds/{a}/{name}.tsv", f"{folder}/non_seeds/{b}/{name}.tsv"):
+        if jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(path)):
+            return anchor_pairs(spark, path)
+    raise FileNotFoundError(f"no pairs of {a} and {b} in {folder}")
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first of several paths that exists: experimental annotations, else all."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        if jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(path)):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+#: Columns of the annotation files, as the readers type them.
+ANNOTATIONS = {"go": "gene string, go_id string, aspect string, evidence string, species string", "location": "gene string, label string, partition int, species string", "terms": "gene string, term string"}
+
+
+def typed_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """An annotation file with a header, under the schema of its kind."""
+    return spark.read.csv(path, sep="\t", header=True, schema=ANNOTATIONS[kind])
+
+
 def annotations(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     rows = spark.read.csv(path, sep="\t", header=True)
     return rows.select(*columns) if columns else rows

@@ -54,3 +54,25 @@ def report(df: DataFrame, path: str) -> None:
 def missing(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The work list without what is stored already."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def text_file(lines: DataFrame, path: str) -> None:
+    """One file of the given name with the lines of a small table (value string), as tools that read by name expect; `.gz` packs it."""
+    spark = lines.sparkSession
+    folder = f"{path}.parts"
+    lines.select("value").coalesce(1).write.mode("overwrite").text(folder, compression="gzip" if path.endswith(".gz") else "none")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(jvm.Path(folder)) if s.getPath().getName().startswith("part-"))
+    fs.delete(jvm.Path(path), False)
+    fs.rename(part, jvm.Path(path))
+    fs.delete(jvm.Path(folder), True)
+
+
+def markdown(df: DataFrame, digits: int = 4) -> DataFrame:
+    """(value): the lines of a Markdown table of a small frame, fractions with `digits` digits, missing values empty."""
+    cells = [F.when(F.col(f"`{f.name}`").isNull(), "").otherwise(F.format_string(f"%.{digits}f", f"`{f.name}`") if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`").cast("string")) for f in df.schema.fields]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    spark = df.sparkSession
+    head = spark.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "at int, value string")
+    return head.unionByName(df.select(F.lit(2).alias("at"), row.alias("value"))).orderBy("at", "value").select("value")
