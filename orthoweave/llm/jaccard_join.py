@@ -57,7 +57,7 @@ class _Words(dict):
     """Word to 64-bit hash, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -119,6 +119,13 @@ def sketch_keys(s: np.ndarray, tag: int, chunks: int, limit: int) -> np.ndarray:
     return mix(parity ^ mix(at * _POS[5] + np.uint64(tag * 1_000_003 + chunks)))
 
 
+def texts_of(column: pa.Array, step: int = 256):
+    """The texts of a column, a few at a time in Python."""
+    for lo in range(0, len(column), step):
+        yield from column.slice(lo, step).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -145,7 +152,7 @@ class Combiner:
             self.n += len(values)
 
     def full(self) -> bool:
-        return self.n > 600_000 or len(self.sids) >= self.SEVERAL
+        return self.n > 400_000 or len(self.sids) >= self.SEVERAL
 
     def flush(self) -> list[list]:
         """Columns of SCHEMA."""
@@ -192,16 +199,20 @@ def _single(held: list[tuple]) -> Counts:
     return ids, np.bincount(at, 1 - odd, len(ids)).astype(np.int64), np.bincount(at, odd, len(ids)).astype(np.int64)
 
 
-def lone_values(packed: DataFrame, carried: str = "") -> DataFrame:
-    """sid, lone0, lone1 (values, by their lowest bit, that no other set has; several rows a set) of rows of Combiner.SCHEMA; rows that
-    have no vals bring their `carried` columns instead. A task holds one bucket at a time."""
+COUNTED = ["bucket", "sids", "lone0", "lone1"]
+
+
+def lone_values(packed: DataFrame, buckets: int, carried: str = "") -> DataFrame:
+    """How many values, by their lowest bit, no other set has, of rows of Combiner.SCHEMA: rows of COUNTED, in which a task has packed its
+    sums by bucket of the set (for `lone_sums`). Rows that have no vals bring their `carried` columns instead. A task holds one bucket of
+    values at a time."""
     names = [c.split()[0].strip("`") for c in carried.split(", ")] if carried else []
 
     def run(batches):
         held, bucket, found, n, schema = [], None, [], 0, None
         for b in batches:
             schema = b.schema
-            for x, *row in zip(*[b.column(c).to_pylist() for c in ("bucket", "sids", "owner", "vals")], strict=True):
+            for x, *row in zip(*[b.column(c).to_pylist() for c in PACKED], strict=True):
                 if row[2] is not None:
                     if x != bucket and held:
                         found.append(_single(held))
@@ -213,19 +224,19 @@ def lone_values(packed: DataFrame, carried: str = "") -> DataFrame:
                 found = [_added(found)]
                 n = len(found[0][0])
                 if n > 500_000:
-                    yield _partial(found[0], schema, names)
+                    yield _counted(found[0], buckets, schema, names)
                     found, n = [], 0
             if names:
                 docs = b.filter(b.column("vals").is_null()) if b.column("vals").null_count else b.slice(0, 0)
-                lone = pa.nulls(docs.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in names], lone, lone], [*names, "lone0", "lone1"])
+                none = [pa.nulls(docs.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in names], *none], [*names, *COUNTED])
         if held:
             found.append(_single(held))
         if found:
-            yield _partial(_added(found), schema, names)
+            yield _counted(_added(found), buckets, schema, names)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, (carried or "sid long") + ", lone0 long, lone1 long")
+    return dealt.mapInArrow(run, (carried + ", " if carried else "") + "bucket int, sids binary, lone0 binary, lone1 binary")
 
 
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # sid, lone0, lone1
@@ -236,10 +247,37 @@ def _added(found: list[Counts]) -> Counts:
     return ids, *(np.bincount(at, np.concatenate([f[i] for f in found]), len(ids)).astype(np.int64) for i in (1, 2))
 
 
-def _partial(found: Counts, schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
-    columns = {k: pa.array(x) for k, x in zip(("sid", "lone0", "lone1"), found, strict=True)}
-    wanted = [*(names or ["sid"]), "lone0", "lone1"]
-    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(found[0]), schema.field(c).type) for c in wanted], wanted)
+def _counted(found: Counts, buckets: int, schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    at = found[0] % buckets
+    order = np.argsort(at, kind="stable")
+    at, (sid, zero, one) = at[order], (x[order] for x in found)
+    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist() if len(at) else []
+    spans = list(zip(cuts, [*cuts[1:], len(at)], strict=True))
+    columns = [pa.array([int(at[lo]) for lo, _ in spans], pa.int32()), *[pa.array([x[lo:hi].astype(t).tobytes() for lo, hi in spans], pa.binary()) for x, t in ((sid, "<i8"), (zero, "<u4"), (one, "<u4"))]]
+    return pa.RecordBatch.from_arrays([*[pa.nulls(len(spans), schema.field(c).type) for c in names], *columns], [*names, *COUNTED])
+
+
+def lone_sums(counted: DataFrame) -> DataFrame:
+    """sid, lone0, lone1, one row a set, of rows of COUNTED."""
+
+    def run(batches):
+        held, bucket = [], None
+
+        def out():
+            ids, zero, one = _added(held)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(zero), pa.array(one)], ["sid", "lone0", "lone1"])
+
+        for b in batches:
+            for x, *row in zip(*[b.column(c).to_pylist() for c in COUNTED], strict=True):
+                if x != bucket and held:
+                    yield out()
+                    held = []
+                bucket = x
+                held.append(tuple(np.frombuffer(v, t) for v, t in zip(row, ("<i8", "<u4", "<u4"), strict=True)))
+        if held:
+            yield out()
+
+    return counted.select(*COUNTED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sid long, lone0 long, lone1 long")
 
 
 def buckets_of(df: DataFrame) -> int:
@@ -248,8 +286,8 @@ def buckets_of(df: DataFrame) -> int:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n: int) -> DataFrame:
     """A row for each document: _id, n_shingles, sid (hash of the set), need0 and need1 (how many keys of either scheme a link has in
-    common; 0: not in that scheme), k0 and k1 (keys emitted), and rows with sid, lone0, lone1 alone, which add up to the keys of a set that
-    no other set has."""
+    common; 0: not in that scheme), k0 and k1 (keys emitted), and rows of COUNTED alone, which add up to the keys of a set that no
+    other set has."""
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = buckets_of(docs)
     carried = f"_id {kind}, n_shingles long, sid long, need0 int, need1 int, k0 int, k1 int"
@@ -266,7 +304,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n:
         for b in batches:
             rows = []
             with np.errstate(over="ignore"):
-                for text in b.column(1).to_pylist():
+                for text in texts_of(b.column(1)):
                     s = shingles(text, words, n)
                     x = len(s)
                     sid = set_id(s) if x else 0
@@ -284,7 +322,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n:
         if keys.n:
             yield packed(keys.flush(), b.column(0))
 
-    return lone_values(docs.select(id_col, text_col).mapInArrow(run, f"{Combiner.SCHEMA}, {carried}"), carried)
+    return lone_values(docs.select(id_col, text_col).mapInArrow(run, f"{Combiner.SCHEMA}, {carried}"), buckets, carried)
 
 
 PACKED = ["bucket", "sids", "owner", "vals"]
@@ -310,7 +348,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, unique: bool, id_col: str,
         for b in batches:
             sids, keys, sets, bits = [], [], [], []
             with np.errstate(over="ignore"):
-                for sid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for sid, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                     s = shingles(text, words, n)
                     if set_id(s) == sid:  # else another text under the same id
                         sids.append(sid), keys.append(keys_of(s, num, den)[0]), sets.append(s.tobytes())
@@ -348,8 +386,8 @@ def own_shingles(sets: DataFrame) -> DataFrame:
         rows = values.flush()
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], PACKED)
 
-    lone = lone_values(sets.select("sid", "set").mapInArrow(run, Combiner.SCHEMA))
-    return lone.groupBy("sid").agg(F.sum(F.col("lone0") + F.col("lone1")).alias("own"))
+    lone = lone_sums(lone_values(sets.select("sid", "set").mapInArrow(run, Combiner.SCHEMA), buckets))
+    return lone.select("sid", (F.col("lone0") + F.col("lone1")).alias("own"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -388,7 +426,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id: the smallest id reachable over links of similarity num/den or more."""
     sk = stash(sketches(docs, id_col, text_col, num, den, n), "sketches")
     # keys of one set only find no partner; their number decides which sets may have any
-    alive = sk.groupBy("sid").agg(F.min("_id").alias("first_id"), F.count("n_shingles").alias("copies"), *[F.max(c).alias(c) for c in ("n_shingles", "need0", "need1", "k0", "k1")], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lone0", "lone1")]).filter("n_shingles > 0")
+    lone = lone_sums(sk.filter("n_shingles is null"))
+    alive = sk.filter("n_shingles > 0").groupBy("sid").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n_shingles", "need0", "need1", "k0", "k1")])
+    alive = alive.join(lone, "sid", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lone0", "lone1")})
     # how many of its shared keys, rarest first, a set needs in order to meet each of its partners on one
     use = [F.when(F.col(f"need{i}") > 0, F.col(f"k{i}") - F.col(f"lone{i}") - F.col(f"need{i}") + 1).otherwise(0).alias(f"use{i}") for i in (0, 1)]
     sids = stash(alive.select("sid", "first_id", "copies", F.col("n_shingles").alias("n"), *use), "set-ids")

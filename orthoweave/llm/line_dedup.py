@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import attach, discard, refuse_clash, small, stash
-from .jaccard_join import _Words, shingles
+from .jaccard_join import _Words, shingles, texts_of
 
 SEED = 42  # of Spark's xxhash64
 
@@ -95,7 +95,7 @@ def near_copies(docs: DataFrame, spread: DataFrame, few: bool, id_col: str, text
         words = _Words()
         for b in batches:
             with np.errstate(over="ignore"):
-                sets = [shingles(x, words, n).tobytes() for x in b.column(3).to_pylist()]
+                sets = [shingles(x, words, n).tobytes() for x in texts_of(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], [*row, "_set"])
 
     sets = stash(texts.mapInArrow(run, "_k string, _t1 long, _t2 long, _set binary").dropDuplicates(row), "line-origin-sets")
