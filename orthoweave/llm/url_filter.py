@@ -12,7 +12,8 @@ exactly for every key of the universe, whether it is listed. A second cascade, w
 rule list itself, tells blocking from allowing rules. The first level's rate is chosen by the two sides' sizes, so that all levels
 together follow the rule list (times the logarithm of the universe). Lookups probe broadcast bit arrays. A rule list whose
 arrays would exceed `max_filter_bytes` is cut into shards by key hash: each shard has cascades of its own, and the rows pass them one
-after another, keeping the best rule so far. The result is the same, row for row, whatever the number of shards.
+after another, keeping the best rule so far; so do rules of more than `max_shapes` shapes (labels and path length), a group of shapes at a
+time. The result is the same, row for row, whatever the number of shards and groups.
 
 Keys are reduced to 128 bits (two seeded 64-bit hashes). Should the cascade not empty within `max_levels`, a
 listed and an unlisted key share all 128 bits, and an error is raised.
@@ -163,7 +164,7 @@ def build_cascade(listed_keys: DataFrame, universe: DataFrame, max_levels: int =
 JUDGED = "host string, path string, rule string, verdict string, rule_host int"
 
 
-def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
+def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20, max_shapes: int = 64) -> DataFrame:
     """id, host, path, rule (host and path, or null), verdict (allow or block)."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -174,25 +175,29 @@ def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     kind = pages.schema[id_col].dataType.simpleString()
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>")
-    one = rules.groupBy("key").agg(F.max(F.col("action") == "block").alias("blocks"))
-    universe = stash(_hash_frame(urls.select(F.explode(keys).alias("key")).distinct(), "key"), "url-universe")
-    in_list = stash(_hash_frame(one, "key"), "url-listed")
-    in_block = stash(_hash_frame(one.filter("blocks"), "key"), "url-block")
-    n, others = in_list.count(), universe.count()
-    shards = max(1, int(np.ceil(2 * filter_bytes(n, others, 0.01) / max(max_filter_bytes, 1)))) if n else 1
     rows = urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(0).alias("rule_host"))
+    groups = [shapes[i : i + max_shapes] for i in range(0, len(shapes), max_shapes)]
     passed = None
-    for i in range(shards):
-        part = [stash(d.filter(F.pmod("a", F.lit(shards)) == i), "url-shard") if shards > 1 else d for d in (in_list, universe, in_block)]
-        cascades = build_cascade(part[0], part[1]), build_cascade(part[2], part[0])
-        rows = _judged(rows, keys, spark.sparkContext.broadcast(cascades), kind, i, shards)
-        if shards > 1:
-            discard(*part)
-            rows = stash(rows, "url-judged")
-            if passed is not None:
-                discard(passed)
-            passed = rows
+    for group in groups:
+        keys = candidate_keys(F.col("host"), F.col("path"), group)
+        mine = rules if len(groups) == 1 else rules.filter(F.struct("k", "n").isin([F.struct(F.lit(k), F.lit(n)) for k, n in group]))
+        one = mine.groupBy("key").agg(F.max(F.col("action") == "block").alias("blocks"))
+        universe = stash(_hash_frame(urls.select(F.explode(keys).alias("key")).distinct(), "key"), "url-universe")
+        in_list = stash(_hash_frame(one, "key"), "url-listed")
+        in_block = stash(_hash_frame(one.filter("blocks"), "key"), "url-block")
+        shards = max(1, int(np.ceil(2 * filter_bytes(in_list.count(), universe.count(), 0.01) / max(max_filter_bytes, 1))))
+        for i in range(shards):
+            part = [stash(d.filter(F.pmod("a", F.lit(shards)) == i), "url-shard") if shards > 1 else d for d in (in_list, universe, in_block)]
+            cascades = build_cascade(part[0], part[1]), build_cascade(part[2], part[0])
+            rows = _judged(rows, keys, spark.sparkContext.broadcast(cascades), kind, i, shards)
+            if shards > 1:
+                discard(*part)
+            if shards > 1 or len(groups) > 1:
+                rows = stash(rows, "url-judged")
+                if passed is not None:
+                    discard(passed)
+                passed = rows
+        discard(universe, in_list, in_block)
     return rows.select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict")
 
 
