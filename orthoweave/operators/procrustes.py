@@ -194,11 +194,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
 
 
-def nearest(q: np.ndarray, c: np.ndarray, k: int, block: int = 1024) -> Near:
+def nearest(q: np.ndarray, c: np.ndarray, k: int) -> Near:
     """Of unit vectors in order of their ids: each query's nearest in c, by similarity rounded to 9 digits, ties to the smaller id."""
-    parts = []
+    parts, block = [], vector.rows_at_once(len(c))
     for lo in range(0, len(q), block):
-        a, nbr, sim = vector.best_of(np.arange(len(q[lo : lo + block])), np.arange(len(c)), q[lo : lo + block] @ c.T, k)
+        _, nbr, sim = vector.best_of(np.arange(len(q[lo : lo + block])), np.arange(len(c)), q[lo : lo + block] @ c.T, k)
         rows = len(q[lo : lo + block])
         nbr, sim = nbr.reshape(rows, -1), sim.reshape(rows, -1)
         parts.append((nbr[:, 0], sim[:, 0], sim.mean(1)))
@@ -396,10 +396,14 @@ def _refined_each(emb: DataFrame, aligned: DataFrame, groups: DataFrame, anchors
 
 
 def subsampled(pairs: DataFrame, rate: float, replicate: int) -> DataFrame:
-    """max(2, round(rate n)) of the pairs, the smallest by a stable hash of pair and replicate, numbered by range partition."""
-    n = max(2, round(rate * pairs.count()))
+    """max(2, round(rate n)) of the pairs, the smallest by a stable hash of pair and replicate."""
+    return _placed(pairs, replicate).filter(F.col("_place") < max(2, round(rate * pairs.count()))).select(*pairs.columns)
+
+
+def _placed(pairs: DataFrame, replicate: int) -> DataFrame:
+    """The pairs with their place by the hash, numbered by range partition."""
     key = F.concat_ws(":", F.md5(F.concat_ws(":", F.col("src").cast("string"), F.col("ref").cast("string"), F.lit(replicate))), F.col("src").cast("string"), F.col("ref").cast("string"))
-    return positions(pairs.withColumn("_h", key), "_h", "_place").filter(F.col("_place") < n).select(*pairs.columns)
+    return positions(pairs.withColumn("_h", key), "_h", "_place").select(*pairs.columns, "_place")
 
 
 def anchor_robustness(pairs: DataFrame, src: DataFrame, ref: DataFrame, truth: DataFrame, rates: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25, 0.1), replicates: int = 5, **options) -> DataFrame:
@@ -407,11 +411,11 @@ def anchor_robustness(pairs: DataFrame, src: DataFrame, ref: DataFrame, truth: D
     with the cosine after alignment. All subsamples are fitted in one pass and scored in another."""
     from . import stats
 
-    chosen = None
-    for rate in rates:
-        for rep in range(replicates):
-            part = subsampled(pairs.select("src", "ref", "w"), rate, rep).withColumn("trial", F.lit(f"{rate}:{rep}"))
-            chosen = part if chosen is None else chosen.unionByName(part)
+    total, chosen = pairs.count(), None
+    for rep in range(replicates):  # a smaller share is the beginning of a larger one
+        trials = F.filter(F.array(*[F.when(F.col("_place") < max(2, round(rate * total)), F.lit(f"{rate}:{rep}")) for rate in rates]), lambda t: t.isNotNull())
+        part = _placed(pairs.select("src", "ref", "w"), rep).select("src", "ref", "w", F.explode(trials).alias("trial"))
+        chosen = part if chosen is None else chosen.unionByName(part)
     a, b = src.select(F.col("id").alias("src"), F.col("v").alias("x")), ref.select(F.col("id").alias("ref"), F.col("v").alias("y"))
     anchors = stored(chosen.join(a, "src").join(b, "ref").select("trial", "x", "y", "w"), "trial-anchors")
     maps, _ = fit_each(anchors, "trial", **options)

@@ -46,6 +46,11 @@ def _matrix(ids: pa.Array, v: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return ids.to_numpy(zero_copy_only=False), x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
 
 
+def rows_at_once(n: int) -> int:
+    """Rows of a similarity matrix with n columns that make about four million numbers."""
+    return max(1, min(1024, 4_000_000 // max(1, n)))
+
+
 def best_of(q: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int):
     """Rows (q, nbr, sim) of the k best of each row, by sim and then id."""
     sim = np.round(sim, 9)
@@ -62,11 +67,11 @@ def best_of(q: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int):
     return q[rows[keep]], ids[cols[keep]], sim[rows[keep], cols[keep]]
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, broadcast_bytes: int = 64 << 20, block: int = 4096) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, broadcast_bytes: int = 64 << 20, block: int | None = None) -> DataFrame:
     """(q, rank, nbr, sim): exact cosine neighbours of the queries in the corpus, k being clamped to its size.
 
-    A corpus of up to `broadcast_bytes` is broadcast; a larger one is cut into blocks of `block` vectors, every query block
-    meets every corpus block, and the best of each are merged.
+    A corpus of up to `broadcast_bytes` is broadcast; a larger one is cut into blocks of that size (or of `block` vectors), every
+    slice of as many queries meets every corpus block, and the best of each are merged. Similarities are made for a few million pairs at a time.
     """
     spark = queries.sparkSession
     size = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -81,13 +86,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fals
             cids, cm = ref.value
             for b in batches:
                 q, x = _matrix(b.column(0), b.column(1))
-                for lo in range(0, len(q), 1024):
+                step = rows_at_once(len(cids))
+                for lo in range(0, len(q), step):
                     if len(cids):
-                        a, nb, s = best_of(q[lo : lo + 1024], cids, x[lo : lo + 1024] @ cm.T, kk)
+                        a, nb, s = best_of(q[lo : lo + step], cids, x[lo : lo + step] @ cm.T, kk)
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(nb), pa.array(s)], ["q", "nbr", "sim"])
 
         best = queries.select(F.col("id").cast("long"), "v").mapInArrow(run, "q long, nbr long, sim double")
     else:
+        block = block or max(1024, broadcast_bytes // (8 * max(1, d)))
         blocks = max(1, -(-n // block))
         tagged = corpus.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("is_q"), F.col("id").cast("long").alias("id"), "v")
         asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("is_q"), F.col("id").cast("long").alias("id"), "v")
@@ -95,12 +102,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fals
         def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
             q, x = _matrix(left.column("id").combine_chunks(), left.column("v").combine_chunks())
             c, y = _matrix(right.column("id").combine_chunks(), right.column("v").combine_chunks())
-            parts = [best_of(q[lo : lo + 1024], c, x[lo : lo + 1024] @ y.T, kk) for lo in range(0, len(q), 1024) if len(c)]
+            step = rows_at_once(len(c))
+            parts = [best_of(q[lo : lo + step], c, x[lo : lo + step] @ y.T, kk) for lo in range(0, len(q), step) if len(c)]
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, float))]
             return pa.table({"q": cols[0], "nbr": cols[1], "sim": cols[2]})
 
         # query slices keep the groups small: a group is one slice of queries with one corpus block
-        slices = max(1, -(-queries.count() // (16 * block)))
+        slices = max(1, -(-queries.count() // block))
         sliced = asked.withColumn("slice", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(slices)))
         spread = tagged.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
         best = sliced.groupBy("slice", "block").cogroup(spread.groupBy("slice", "block")).applyInArrow(meet, "q long, nbr long, sim double")

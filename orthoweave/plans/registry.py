@@ -292,10 +292,10 @@ def knn_topk(spark, sf):
     return r6(_knn01(spark, sf, 10), "sim")
 
 
-@query("SELECT a.q AS src, a.nbr AS ref, round(2 * a.sim - ra - rb, 6) AS score FROM knn01 a JOIN (SELECT q, avg(sim) AS ra FROM knn01 WHERE rank <= 10 GROUP BY 1) x ON x.q = a.q JOIN (SELECT q, avg(sim) AS rb FROM knn10 GROUP BY 1) y ON y.q = a.nbr WHERE a.rank = 1")
+@query("SELECT a.q AS src, a.nbr AS ref, round(round(2 * a.sim - ra - rb, 9), 6) AS score FROM knn01 a JOIN (SELECT q, avg(sim) AS ra FROM knn01 WHERE rank <= 10 GROUP BY 1) x ON x.q = a.q JOIN (SELECT q, avg(sim) AS rb FROM knn10 GROUP BY 1) y ON y.q = a.nbr WHERE a.rank = 1")
 def csls_scores(spark, sf):
     a, b = _two(spark, sf)
-    return r6(vector.csls(*vector.nearest_both(a, b, 10)), "score")
+    return r6(vector.csls(*vector.nearest_both(a, b, 10)).withColumn("score", F.round("score", 9)), "score")
 
 
 @query("SELECT a.q AS src, a.nbr AS ref, round(a.sim, 6) AS sim FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1")

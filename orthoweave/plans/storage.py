@@ -108,12 +108,20 @@ def sink_pair_table(spark, sf):
     return readers.pair_table(spark, at, "b", "a").select("ia", "ib")
 
 
-@query("SELECT id AS gene, CAST(og AS VARCHAR) AS label, CAST(idx AS INT) AS partition, CAST(species AS VARCHAR) AS species FROM genes")
+@query("SELECT CAST(id AS VARCHAR) AS gene, CAST(idx AS INT) AS \"Partition\", CASE WHEN og = 3 THEN 1 ELSE 0 END AS \"Nucleus\", 0 AS \"Plastid\" FROM genes")
 def scan_annotations(spark, sf):
     at = _folder(spark, "annotations")
-    g = roles.genes(spark, sf).select(F.col("id").alias("gene"), F.col("og").alias("label"), F.col("idx").alias("partition"), "species")
+    g = roles.genes(spark, sf).select(F.col("id").alias("gene_id"), F.col("idx").alias("Partition"), F.when(F.col("og") == 3, 1).alias("Nucleus"), "species")
     g.write.csv(at, sep="\t", header=True)
-    return readers.typed_annotations(spark, at, "location").withColumn("gene", F.col("gene").cast("long"))
+    return readers.typed_annotations(spark, at, "partitions", "gene_id", ["Nucleus", "Plastid"])
+
+
+@query("SELECT CAST(id AS VARCHAR) AS gene, 'GO:' || og AS go_term, CASE WHEN species = 0 THEN 'MF' ELSE 'BP' END AS aspect FROM genes")
+def scan_go_annotations(spark, sf):
+    at = _folder(spark, "annotations")
+    g = roles.genes(spark, sf).select(F.col("id").alias("gene_id"), F.concat(F.lit("GO:"), F.col("og").cast("string")).alias("go_term"), F.when(F.col("species") == 0, "MF").otherwise("BP").alias("aspect"))
+    g.write.csv(f"{at}/all", sep="\t", header=True)
+    return readers.typed_annotations(spark, readers.first_existing(spark, f"{at}/experimental", f"{at}/all"), "go", "gene_id")
 
 
 @query("SELECT id AS gene, species, CASE WHEN species < 2 THEN 'experimental' ELSE 'all' END AS evidence FROM genes")

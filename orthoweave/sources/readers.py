@@ -92,13 +92,15 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
-#: Columns of the annotation files, as the readers type them.
-ANNOTATIONS = {"go": "gene string, go_id string, aspect string, evidence string, species string", "location": "gene string, label string, partition int, species string", "terms": "gene string, term string"}
+#: Columns of the annotation files beside the gene's, and their types. Partition files also have a 0/1 column a compartment.
+ANNOTATIONS = {"location": {"compartment": "string"}, "partitions": {"Partition": "int"}, "go": {"go_term": "string", "aspect": "string"}, "accessions": {"go_id": "string"}}
 
 
-def typed_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """An annotation file with a header, under the schema of its kind."""
-    return spark.read.csv(path, sep="\t", header=True, schema=ANNOTATIONS[kind])
+def typed_annotations(spark: SparkSession, path: str, kind: str, gene: str, classes: list[str] = ()) -> DataFrame:
+    """(gene, ...) of an annotation file with a header: the columns of its kind, typed, and 0/1 columns `classes` (0 where missing)."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    flags = [F.coalesce(F.col(f"`{c}`").cast("int"), F.lit(0)).alias(c) if c in rows.columns else F.lit(0).alias(c) for c in classes]
+    return rows.select(F.col(gene).alias("gene"), *[F.col(c).cast(t).alias(c) for c, t in ANNOTATIONS[kind].items()], *flags)
 
 
 def annotations(spark: SparkSession, path: str, *columns: str) -> DataFrame:
