@@ -207,6 +207,7 @@ def lone_values(packed: DataFrame, buckets: int, carried: str = "") -> DataFrame
     sums by bucket of the set (for `lone_sums`). Rows that have no vals bring their `carried` columns instead. A task holds one bucket of
     values at a time."""
     names = [c.split()[0].strip("`") for c in carried.split(", ")] if carried else []
+    buckets = max(1, buckets * 3 // 8)  # of sets: every task has a row for each
 
     def run(batches):
         held, bucket, found, n, schema = [], None, [], 0, None
