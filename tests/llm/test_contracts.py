@@ -246,6 +246,16 @@ def test_images_without_a_needed_segment_raise(cut):
         media.thumbnail(good[:at] + good[at + 2 + size :])
 
 
+def test_values_that_one_set_alone_has(spark):
+    rng = random.Random(12)
+    sets = {k: sorted(rng.sample(range(2000), rng.randint(1, 120))) for k in range(150)}
+    seen = collections.Counter(v for s in sets.values() for v in s)
+    rows_ = [(k - 75, np.array(s, np.uint64).tobytes()) for k, s in sets.items()] + [(0 - 75, np.array(sets[0], np.uint64).tobytes())]  # a set comes twice
+    got = {r["sid"]: r["own"] for r in rows(jaccard_join.own_shingles(spark.createDataFrame(rows_, "sid long, set binary").repartition(5)))}
+    want = {k - 75: sum(seen[v] == 1 for v in s) for k, s in sets.items()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 # ---- odd rows -----------------------------------------------------------------------------------
 
 
