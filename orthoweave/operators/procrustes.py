@@ -397,13 +397,17 @@ def _refined_each(emb: DataFrame, aligned: DataFrame, groups: DataFrame, anchors
 
 def subsampled(pairs: DataFrame, rate: float, replicate: int) -> DataFrame:
     """max(2, round(rate n)) of the pairs, the smallest by a stable hash of pair and replicate."""
-    return _placed(pairs, replicate).filter(F.col("_place") < max(2, round(rate * pairs.count()))).select(*pairs.columns)
+    n = pairs.count()
+    return _placed(pairs, [replicate], n).filter(F.col("_place") < max(2, round(rate * n))).select(*pairs.columns)
 
 
-def _placed(pairs: DataFrame, replicate: int) -> DataFrame:
-    """The pairs with their place by the hash, numbered by range partition."""
-    key = F.concat_ws(":", F.md5(F.concat_ws(":", F.col("src").cast("string"), F.col("ref").cast("string"), F.lit(replicate))), F.col("src").cast("string"), F.col("ref").cast("string"))
-    return positions(pairs.withColumn("_h", key), "_h", "_place").select(*pairs.columns, "_place")
+def _placed(pairs: DataFrame, replicates: list[int], n: int) -> DataFrame:
+    """The n pairs once for each replicate (column _rep), with their place by the replicate's hash: numbered together, by range partition."""
+    ends = [F.col(c).cast("string") for c in ("src", "ref")]
+    each = pairs.withColumn("_rep", F.explode(F.array(*[F.lit(r) for r in sorted(replicates)])))
+    key = F.concat_ws(":", F.lpad(F.col("_rep").cast("string"), 9, "0"), F.md5(F.concat_ws(":", *ends, F.col("_rep").cast("string"))), *ends)
+    before = F.array_position(F.array(*[F.lit(r) for r in sorted(replicates)]), F.col("_rep")) - 1
+    return positions(each.withColumn("_h", key), "_h", "_at").select(*pairs.columns, "_rep", (F.col("_at") - before * n).alias("_place"))
 
 
 def anchor_robustness(pairs: DataFrame, src: DataFrame, ref: DataFrame, truth: DataFrame, rates: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25, 0.1), replicates: int = 5, **options) -> DataFrame:
@@ -411,11 +415,10 @@ def anchor_robustness(pairs: DataFrame, src: DataFrame, ref: DataFrame, truth: D
     with the cosine after alignment. All subsamples are fitted in one pass and scored in another."""
     from . import stats
 
-    total, chosen = pairs.count(), None
-    for rep in range(replicates):  # a smaller share is the beginning of a larger one
-        trials = F.filter(F.array(*[F.when(F.col("_place") < max(2, round(rate * total)), F.lit(f"{rate}:{rep}")) for rate in rates]), lambda t: t.isNotNull())
-        part = _placed(pairs.select("src", "ref", "w"), rep).select("src", "ref", "w", F.explode(trials).alias("trial"))
-        chosen = part if chosen is None else chosen.unionByName(part)
+    total = pairs.count()
+    placed = _placed(pairs.select("src", "ref", "w"), list(range(replicates)), total)
+    shares = [F.when(F.col("_place") < max(2, round(rate * total)), F.concat(F.lit(f"{rate}:"), F.col("_rep").cast("string"))) for rate in rates]
+    chosen = placed.select("src", "ref", "w", F.explode(F.filter(F.array(*shares), lambda t: t.isNotNull())).alias("trial"))  # a smaller share is the beginning of a larger one
     a, b = src.select(F.col("id").alias("src"), F.col("v").alias("x")), ref.select(F.col("id").alias("ref"), F.col("v").alias("y"))
     anchors = stored(chosen.join(a, "src").join(b, "ref").select("trial", "x", "y", "w"), "trial-anchors")
     maps, _ = fit_each(anchors, "trial", **options)
