@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,31 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of an Arrow batch of texts; Spark's 10,000 would hold tens of MB of text several times over in each task.
+ARROW_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_ROWS, unless it has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def trimmed(run):
+    """The function of a mapInArrow, which gives freed memory back to the system when its task ends: Python workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, or the first of name_1, name_2, ... that is no column of `df` (in any case)."""
     held = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, discard, small, stash
+from .common import attach, discard, small, stash, text_batches, trimmed
 from .components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -237,7 +237,7 @@ def lone_values(packed: DataFrame, buckets: int, carried: str = "") -> DataFrame
             yield _counted(_added(found), buckets, schema, names)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, (carried + ", " if carried else "") + "bucket int, sids binary, lone0 binary, lone1 binary")
+    return dealt.mapInArrow(trimmed(run), (carried + ", " if carried else "") + "bucket int, sids binary, lone0 binary, lone1 binary")
 
 
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # sid, lone0, lone1
@@ -278,7 +278,7 @@ def lone_sums(counted: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return counted.select(*COUNTED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sid long, lone0 long, lone1 long")
+    return counted.select(*COUNTED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "sid long, lone0 long, lone1 long")
 
 
 def buckets_of(df: DataFrame) -> int:
@@ -323,7 +323,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, n:
         if keys.n:
             yield packed(keys.flush(), b.column(0))
 
-    return lone_values(docs.select(id_col, text_col).mapInArrow(run, f"{Combiner.SCHEMA}, {carried}"), buckets, carried)
+    return lone_values(docs.select(id_col, text_col).mapInArrow(trimmed(run), f"{Combiner.SCHEMA}, {carried}"), buckets, carried)
 
 
 PACKED = ["bucket", "sids", "owner", "vals"]
@@ -358,7 +358,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, unique: bool, id_col: str,
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(keys, longs), pa.array(sets, pa.binary()), *[pa.array([x[i] for x in bits], longs) for i in (0, 1)]], ["sid", "keys", "set", "sketch0", "sketch1"])
 
-    out = rows.mapInArrow(run, "sid long, keys array<long>, set binary, sketch0 array<long>, sketch1 array<long>")
+    out = rows.mapInArrow(trimmed(run), "sid long, keys array<long>, set binary, sketch0 array<long>, sketch1 array<long>")
     return out if unique else out.dropDuplicates(["sid"])
 
 
@@ -387,7 +387,7 @@ def own_shingles(sets: DataFrame) -> DataFrame:
         rows = values.flush()
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], PACKED)
 
-    lone = lone_sums(lone_values(sets.select("sid", "set").mapInArrow(run, Combiner.SCHEMA), buckets))
+    lone = lone_sums(lone_values(sets.select("sid", "set").mapInArrow(trimmed(run), Combiner.SCHEMA), buckets))
     return lone.select("sid", (F.col("lone0") + F.col("lone1")).alias("own"))
 
 
@@ -411,7 +411,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 ok.append(den * common >= num * (len(u) + len(v) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -425,6 +425,7 @@ def _open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, n: int = 5, draws: int = 8, turns: int = 1) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable over links of similarity num/den or more."""
+    text_batches(docs.sparkSession)
     sk = stash(sketches(docs, id_col, text_col, num, den, n), "sketches")
     # keys of one set only find no partner; their number decides which sets may have any
     lone = lone_sums(sk.filter("n_shingles is null"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, discard, refuse_clash, small, stash
+from .common import attach, discard, refuse_clash, small, stash, text_batches, trimmed
 from .jaccard_join import _Words, shingles, texts_of
 
 SEED = 42  # of Spark's xxhash64
@@ -60,6 +60,7 @@ ADDED = ["n_lines", "n_spread", "copy_like", "cleaned"]
 def clean(docs: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, copy_lines: int = 3, broadcast_lines: int = 1_000_000, num: int = 80, den: int = 100, n: int = 5, prefix: str = "") -> DataFrame:
     """All columns of `docs`, and, with `prefix`, n_lines, n_spread (distinct spread lines), copy_like, cleaned (the text that stays)."""
     refuse_clash(docs, [prefix + c for c in ADDED])
+    text_batches(docs.sparkSession)
     few = spread.limit(broadcast_lines + 1).count() <= broadcast_lines
     copies = near_copies(docs, spread, few, id_col, text_col, min_chars, copy_lines, num, den, n)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in _row_key(id_col, text_col).items()])
@@ -98,7 +99,7 @@ def near_copies(docs: DataFrame, spread: DataFrame, few: bool, id_col: str, text
                 sets = [shingles(x, words, n).tobytes() for x in texts_of(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], [*row, "_set"])
 
-    sets = stash(texts.mapInArrow(run, "_k string, _t1 long, _t2 long, _set binary").dropDuplicates(row), "line-origin-sets")
+    sets = stash(texts.mapInArrow(trimmed(run), "_k string, _t1 long, _t2 long, _set binary").dropDuplicates(row), "line-origin-sets")
     pairs = shared.filter("_first <> _k").join(sets, row)
     uses = shared.filter("_first <> _k").groupBy("_first").agg(F.count(F.lit(1)).alias("uses"))
     firsts = shared.filter("_first = _k").join(sets, row).groupBy("_first").agg(F.min_by("_set", F.struct("_t1", "_t2")).alias("_other"))
@@ -115,7 +116,7 @@ def near_copies(docs: DataFrame, spread: DataFrame, few: bool, id_col: str, text
                 ok.append(common > 0 and den * common >= num * (len(u) + len(v) - common))
             yield b.select(row).filter(pa.array(ok, pa.bool_()))
 
-    found = pairs.select(*row, "_set", "_other").mapInArrow(linked, "_k string, _t1 long, _t2 long")
+    found = pairs.select(*row, "_set", "_other").mapInArrow(trimmed(linked), "_k string, _t1 long, _t2 long")
     out = stash(found.distinct().withColumn("_copy", F.lit(True)), "line-copies")
     discard(shared, wanted, sets, firsts)
     return out
@@ -156,7 +157,7 @@ def _clean_by_set(rows: DataFrame, spread: DataFrame, id_at: int, text_at: int,
             yield pa.RecordBatch.from_arrays([row, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["row", *ADDED])
 
     added = [T.StructField(c, t) for c, t in zip(ADDED, (T.LongType(), T.LongType(), T.BooleanType(), T.StringType()), strict=True)]
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *added]))
+    return rows.mapInArrow(trimmed(run), T.StructType([rows.schema["row"], *added]))
 
 
 def _clean_by_join(rows: DataFrame, spread: DataFrame, id_at: int, text_at: int, min_chars: int) -> DataFrame:

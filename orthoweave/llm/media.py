@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, trimmed
+
 UNIT, WIDE, HIGH = 576, 576, 8191
 #: Zigzag is not needed for DC; these are JPEG's markers (fixed values).
 SOI, EOI, SOS, DQT, DHT, DRI, SOF0 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xC0
@@ -331,6 +333,7 @@ def average_hash(planes: list[np.ndarray]) -> str:
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media: every whole text as JPEG bytes."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for x in batches:
@@ -338,7 +341,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([x.column(0), media], [id_col, "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_b")).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+    return docs.select(F.col(id_col), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_b")).mapInArrow(trimmed(run), f"`{id_col}` {kind}, media binary")
 
 
 FEATURES = "width int, height long, frames int, payload_bytes long, payload_sha256 string, tail_crc32 long, n_bytes long, media_bytes long, media_sha256 string, feature string"
@@ -370,7 +373,7 @@ def thumbnails(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             yield pa.RecordBatch.from_arrays([x.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [id_col, *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, {FEATURES}")
+    return df.select(id_col, media_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, {FEATURES}")
 
 
 def op1_media(spark, sf_dir):

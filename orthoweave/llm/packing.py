@@ -1,7 +1,7 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 A document is cut into pieces of at most the largest length (units are the text's code points; every unit goes into
-exactly one piece). Pieces are dealt by hash over shards of about `shard_pieces`; a shard is packed by best-fit decreasing: a piece
+exactly one piece). Pieces are dealt by hash over shards of about `shard_pieces` pieces or `shard_units` units; a shard is packed by best-fit decreasing: a piece
 goes into the open bin, of whatever length, that it leaves the least room in, or else opens a bin. Which length to open is
 chosen for cost: the lengths are optimised jointly, as each policy "open the smallest permitted length that holds the piece and is
 at least m", for every permitted m, and a policy that opens the length of least cost a unit that the pieces still to come can
@@ -87,13 +87,13 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return alone.unionByName(again.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("_copy")))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = 8192, overhead: float = 32.0, square: float = 65536.0, carry_text: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = 8192, shard_units: int = 12 << 20, overhead: float = 32.0, square: float = 65536.0, carry_text: bool = False) -> DataFrame:
     """One row per piece: shard, bin_id (unique), bin_length, bin_offset, id, piece, start, n_units, and its text if asked for."""
     top = max(lengths)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.length(text).cast("long").alias("_n"), *([text.alias("_text")] if carry_text else [])).filter("_n > 0")
-    n = rows.agg(F.sum(F.ceil(F.col("_n") / top))).first()[0] or 0
-    shards = max(1, -(-n // shard_pieces))
+    size = rows.agg(F.sum(F.ceil(F.col("_n") / top)).alias("pieces"), F.sum("_n").alias("units")).first()
+    shards = max(1, -(-(size["pieces"] or 0) // shard_pieces), -(-(size["units"] or 0) // shard_units))
     rows = _numbered(rows)
     if carry_text:  # cut in one pass over the text
         parts = F.when(F.col("_n") <= top, F.array("_text")).otherwise(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{top}}}"), F.lit(0)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hashed_share, stash
+from .common import discard, hashed_share, stash, text_batches, trimmed
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -279,10 +279,11 @@ def neighbours(g: Graph, y: np.ndarray) -> np.ndarray:
 
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = 2000, max_train_tokens: int = 60_000) -> Field:
     """A field learned from at most `max_train_tokens` tokens of at most `max_train_docs` documents with candidate tokens."""
+    text_batches(docs.sparkSession)
     text = F.col(text_col)
     found = docs.filter(text.rlike("[0-9@]")).select(F.col(id_col).alias("i"), text.alias("t"))
     few = hashed_share(found, ["i", "t"], max_train_docs).select(F.xxhash64("t").alias("h"), "t").dropDuplicates(["h"])
-    tokens = stash(few.mapInArrow(_tokens_of, "h long, at long, x array<float>"), "pii-tokens")
+    tokens = stash(few.mapInArrow(trimmed(_tokens_of), "h long, at long, x array<float>"), "pii-tokens")
     rows = hashed_share(tokens, ["h", "at"], max_train_tokens).toPandas().sort_values(["h", "at"], kind="stable")
     discard(tokens)
     if rows.empty:
@@ -317,7 +318,7 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
             cols = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f[i]] for f in found], span) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "base", "added"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -334,7 +335,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", threshold: flo
                 out.append(text if not base and not added else replaced(text, base + added))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def replaced(text: str, spans: list[Span]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share, refuse_clash, unused
+from .common import hashed_share, refuse_clash, text_batches, trimmed, unused
 
 NAMES = ["log_bytes", "log_words", "word_length", "unique_words", "top_word", "repeats", "upper", "digits", "punctuation", "spaces", "newlines", "bars", "high_bytes", "unique_lines", "line_length", "loud", "symbol_runs", "single_letters", "angle", "top_byte"]
 _PUNCT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
@@ -124,6 +124,7 @@ def with_held_out(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 20000, **options) -> Forest:
     """A forest from at most `max_train_rows` labelled rows that are not held out."""
+    text_batches(docs.sparkSession)
     known = with_held_out(labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")), id_col).filter("not held_out")
     chosen = hashed_share(known, [id_col], max_train_rows).select(id_col, "_y")
 
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.col(text_col).alias("_t")
     joined = docs.select(F.col(id_col).alias("_i"), text).join(F.broadcast(chosen.withColumnRenamed(id_col, "_i")), "_i").select("_y", F.xxhash64("_i", "_t").alias("_h"), "_t")
     sample = hashed_share(joined, ["_h"], max_train_rows)
-    got = sample.mapInArrow(run, "y int, h long, x array<double>").toPandas().sort_values(["h", "y"], kind="stable")
+    got = sample.mapInArrow(trimmed(run), "y int, h long, x array<double>").toPandas().sort_values(["h", "y"], kind="stable")
     if got.empty:
         return fit_forest(np.zeros((0, len(NAMES))), np.zeros(0), **options)
     return fit_forest(np.array(got["x"].tolist()), got["y"].to_numpy(float), **options)
@@ -144,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """The columns `keep` (default: the id), and the score; every whole text is read."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)  # a few kB whatever the corpus
     keep = keep or [id_col]
     kept = docs.select(*keep)
@@ -157,7 +159,7 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, f"{schema}, `{score_col}` double")
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(trimmed(run), f"{schema}, `{score_col}` double")
 
 
 def op10_quality(spark, sf_dir):

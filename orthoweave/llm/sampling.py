@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, trimmed
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MARK = SPACE.encode()
@@ -662,7 +664,8 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(arrays, [key_col, "rank", "n_pieces", "logp", "perturbed", "inclusion", "ids_crc32", "decoded", *(["ids"] if with_ids else [])])
 
     rows = docs.select(F.col(key_col), F.xxhash64(F.lit("segmentation"), F.coalesce(F.col(key_col), F.lit(0))).alias("_seed"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"`{key_col}` {kind}, {OUT}, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else ""))
+    text_batches(docs.sparkSession)
+    return rows.mapInArrow(trimmed(run), f"`{key_col}` {kind}, {OUT}, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else ""))
 
 
 def op5_gumbel_segmentation(spark, sf_dir):
