@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .collocations import SQL as PHRASE_SQL
+from .collocations import op13_collocations
 from .common import table
+from .decontamination import SQL as WINDOW_SQL
+from .decontamination import op11_decontamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import SQL as JACCARD_SQL
 from .jaccard_join import op6_jaccard_join
+from .lexical_search import SQL as SEARCH_SQL
+from .lexical_search import op12_lexical_search
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op9_line_dedup
 from .media import op1_media
@@ -30,6 +36,12 @@ QUERIES["op8_packing"] = op8_packing
 QUERIES["op9_line_dedup"] = op9_line_dedup
 ORACLES["op9_line_dedup"] = LINE_SQL
 QUERIES["op10_quality"] = op10_quality
+QUERIES["op11_decontamination"] = op11_decontamination
+ORACLES["op11_decontamination"] = WINDOW_SQL
+QUERIES["op12_lexical_search"] = op12_lexical_search
+ORACLES["op12_lexical_search"] = SEARCH_SQL
+QUERIES["op13_collocations"] = op13_collocations
+ORACLES["op13_collocations"] = PHRASE_SQL
 
 
 def op3_exact_dedup(spark, sf_dir):
