@@ -19,6 +19,8 @@ an empty result; other columns are ignored. Hashes only propose places: what is
 
 from __future__ import annotations
 
+from itertools import chain, repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import discard, stash, table, text_batches, trimmed
 from .jaccard_join import _Words
 from .line_dedup import _row_key
-from .words import alnum_words, gram_hashes, hashes, room, text_blocks
+from .words import alnum_words, gram_hashes, grams_at, hashes, room, text_blocks
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -55,9 +57,10 @@ def window_shingles(win: bytes, known: _Words, n: int) -> np.ndarray:
 
 
 class _Tokens:
-    """Sorted shingle hashes by their number of words, with a table that rules out most others in one lookup."""
+    """Sorted shingle hashes by their number of words, with a table that rules out most others in one lookup, and the hashes of the windows' words."""
 
-    def __init__(self, found: dict[int, np.ndarray]):
+    def __init__(self, found: dict[int, np.ndarray], words: dict[bytes, int]):
+        self.words = words
         self.of = {k: np.unique(v) for k, v in found.items() if len(v)}
         self.live = {}
         for k, v in self.of.items():
@@ -67,18 +70,24 @@ class _Tokens:
     def find(self, h: np.ndarray, left: np.ndarray):
         """(k, places of words, numbers of shingles) of the known shingles that lie within their text."""
         for k, v in self.of.items():
-            g = gram_hashes(h, k)
-            at = np.nonzero(self.live[k][g & np.uint64((1 << 20) - 1)] & (left[: len(g)] >= k))[0]
-            no = np.minimum(np.searchsorted(v, g[at]), len(v) - 1)
-            same = v[no] == g[at]
+            on = h != 0  # words of windows
+            full = on[: max(0, len(h) - k + 1)]
+            for i in range(1, k):
+                full = full & on[i : len(full) + i]
+            at = np.nonzero(full & (left[: len(full)] >= k))[0]
+            g = grams_at(h, k, at)
+            maybe = np.nonzero(self.live[k][g & np.uint64((1 << 20) - 1)])[0]
+            at, g = at[maybe], g[maybe]
+            no = np.minimum(np.searchsorted(v, g), len(v) - 1)
+            same = v[no] == g
             yield k, at[same], no[same]
 
-
-def _block_words(texts: list, known: _Words):
-    words = [alnum_words(x) for x in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = [x for w in words for x in w]
-    return flat, sizes, hashes(flat, known), room(sizes)
+    def block(self, texts: list):
+        """Of texts: their words, their numbers of words, the words' hashes (0: in no window), and the words left from each on."""
+        words = [alnum_words(x) for x in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = list(chain.from_iterable(words))
+        return flat, sizes, np.fromiter(map(self.words.get, flat, repeat(0)), np.uint64, len(flat)), room(sizes)
 
 
 def document_frequencies(docs: DataFrame, tokens: _Tokens) -> DataFrame:
@@ -86,12 +95,12 @@ def document_frequencies(docs: DataFrame, tokens: _Tokens) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches):
-        known, t = _Words(), held.value
+        t = held.value
         seen = {k: np.zeros(len(v), np.int64) for k, v in t.of.items()}
         with np.errstate(over="ignore"):
             for b in batches:
                 for _, texts in text_blocks(b, 0):
-                    _, sizes, h, left = _block_words(texts, known)
+                    _, sizes, h, left = t.block(texts)
                     doc = np.repeat(np.arange(len(sizes)), sizes)
                     for k, at, no in t.find(h, left):
                         pairs = np.unique(doc[at] * len(t.of[k]) + no)
@@ -122,7 +131,7 @@ class _Prefixes:
                 if len(order):
                     rows.setdefault(k, []).extend((g[o], len(self.wins), o) for o in order)
                     self.wins.append(words), self.items.append(ids), self.need.append(need)
-        self.tokens = _Tokens({k: np.array([r[0] for r in v], np.uint64) for k, v in rows.items()})
+        self.tokens = _Tokens({k: np.array([r[0] for r in v], np.uint64) for k, v in rows.items()}, {w: known[w] for words in self.wins for w in words} if num == den else tokens.words)
         self.first, self.win, self.off = {}, {}, {}
         for k, v in rows.items():
             v.sort(key=lambda r: r[0])
@@ -195,7 +204,7 @@ def _shard(docs: DataFrame, mine: pa.Table, id_col: str, text_col: str, kind: st
     with np.errstate(over="ignore"):
         for w in wins:
             found.setdefault(min(n, w.count(b" ") + 1), []).append(window_shingles(w, known, n))
-    tokens = _Tokens({k: np.concatenate(v) for k, v in found.items()})
+    tokens = _Tokens({k: np.concatenate(v) for k, v in found.items()}, {x: known[x] for w in wins for x in w.split(b" ")})
     df = {k: np.zeros(len(v), np.int64) for k, v in tokens.of.items()}
     if wins:
         counted = document_frequencies(docs.select(F.col(text_col).alias("text")), tokens).toArrow()  # at most a row for each shingle
@@ -205,13 +214,13 @@ def _shard(docs: DataFrame, mine: pa.Table, id_col: str, text_col: str, kind: st
     prefixes = docs.sparkSession.sparkContext.broadcast(_Prefixes(wins, mine.column("items").to_pylist(), tokens, df, n, num, den))
 
     def run(batches):
-        words, p = _Words(), prefixes.value
+        p = prefixes.value
         with np.errstate(over="ignore"):
             for b in batches:
                 at = b.schema.get_field_index("_text")
                 item_type = b.schema.field("_none").type
                 for lo, texts in text_blocks(b, at):
-                    flat, sizes, h, left = _block_words(texts, words)
+                    flat, sizes, h, left = p.tokens.block(texts)
                     ends = np.cumsum(sizes)
                     spans, ids = [[] for _ in texts], [set() for _ in texts]
                     for start, w in p.places(flat, h, left, sizes):

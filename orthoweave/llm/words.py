@@ -68,6 +68,14 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def grams_at(h: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """`gram_hashes` at some places."""
+    acc = h[at] + np.uint64(k)
+    for i in range(1, k):
+        acc = acc * _M + h[at + i]
+    return mix(acc)
+
+
 def room(sizes: np.ndarray) -> np.ndarray:
     """For each word of concatenated texts, how many words of its text there are from it on."""
     return np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))
