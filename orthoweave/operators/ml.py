@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .procrustes import vectors
+from ..sources.shared import stored
+from . import logistic
 
 #: The ten compartments of the location task.
 COMPARTMENTS = ["Cytoplasm", "Nucleus", "Extracellular", "Cell membrane", "Mitochondrion", "Plastid", "Endoplasmic reticulum", "Lysosome/Vacuole", "Golgi apparatus", "Peroxisome"]
@@ -34,21 +34,18 @@ def available(*tables: DataFrame) -> DataFrame:
 
 
 def fold_scores(data: DataFrame, fold: str, c: float = 1.0) -> DataFrame:
-    """(fold, class, id, y, score): for each value of `fold`, classifiers trained on the other folds score it. data is (id, class, y, x) with the
-    fold; a class of a fold is one task."""
-    names = data.select(fold).distinct().collect()  # a few folds
-    out = None
-    for r in names:
-        held = r[fold]
-        train, test = data.filter(F.col(fold) != held), data.filter(F.col(fold) == held)
-        scored = one_vs_rest(train, test, c).join(test.select("id", "class", "y"), ["id", "class"]).withColumn("fold", F.lit(held))
-        out = scored if out is None else out.unionByName(scored)
-    return out.select("fold", "class", "id", "y", "score")
+    """(fold, class, id, y, score): for each value of `fold`, classifiers trained on the other folds score it. data is (id, class, y, x) with
+    the fold, a gene's x being the same in all its rows. All fits advance together (`logistic`)."""
+    rows = data.groupBy("id", F.col(fold).alias("fold")).agg(F.first("x").alias("x"), F.collect_list(F.struct("class", F.col("y").cast("double").alias("y"))).alias("labels"))
+    rows = stored(rows, "fold-rows")
+    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a few folds
+    scored = logistic.scores(rows, logistic.fits(rows, folds, c)).withColumn("y", F.col("y").cast(data.schema["y"].dataType))
+    return scored.select("fold", "class", "id", "y", "score")
 
 
 def cross_validated(data: DataFrame, fold: str, c: float = 1.0, cut: float = 0.5) -> DataFrame:
     """(fold, n_test, f1_micro, f1_macro, jaccard_micro, accuracy) of `fold_scores` at a cut: homology partitions, or a species left out each."""
-    scored = fold_scores(data, fold, c).withColumn("yhat", (F.col("score") >= cut).cast("int"))
+    scored = stored(fold_scores(data, fold, c).withColumn("yhat", (F.col("score") >= cut).cast("int")), "fold-scores")
     out = None
     for r in scored.select("fold").distinct().collect():
         part = scored.filter(F.col("fold") == r["fold"])
@@ -166,26 +163,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50)
 
 
 def one_vs_rest(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
-    """(id, class, score): one classifier a class, each fitted in its own task. train is (class, y, x), test (class, id, x), a group being
-    one class of one fold; a class without both values scores its constant."""
-    id_type = test.schema["id"].dataType.simpleString()
-    class_type = test.schema["class"].dataType.simpleString()
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.rename_columns(["class", "id", "x"])
-        if not right.num_rows:
-            return right.select(["id", "class"]).append_column("score", pa.array([], pa.float64()))
-        y = left.column("y").to_numpy().astype(float)
-        xt = vectors(right.column("x"))
-        if not len(y) or y.min() == y.max():
-            score = np.full(len(xt), y[0] if len(y) else 0.0)
-        else:
-            w = fit_logistic(vectors(left.column("x")), y, c)
-            score = 1 / (1 + np.exp(-(xt @ w[:-1] + w[-1])))
-        return right.select(["id", "class"]).append_column("score", pa.array(score))
-
-    renamed = test.select(F.col("class").alias("_class"), F.col("id").alias("_id"), F.col("x").alias("_x"))  # both sides may stem from one table
-    return train.select("class", "y", "x").groupBy("class").cogroup(renamed.groupBy("_class")).applyInArrow(run, f"id {id_type}, class {class_type}, score double")
+    """(id, class, score): one classifier a class, all fitted together over the whole cluster. train is (class, y, x), test (class, id, x); a class
+    without both values scores its constant, one without training rows 0."""
+    labels = lambda y: F.array(F.struct("class", y.cast("double").alias("y")))
+    rows = stored(train.select(F.lit(0).alias("fold"), "x", labels(F.col("y")).alias("labels")), "train-rows")
+    asked = test.select("id", F.lit(0).alias("fold"), "x", labels(F.lit(0.0)).alias("labels"))
+    return logistic.scores(asked, logistic.fits(rows, None, c)).select("id", "class", "score")
 
 
 def clusters(points: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, pvalues
 from ..functions import vectors as vec
-from ..operators import curves, evaluation, graph, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
+from ..operators import curves, evaluation, graph, logistic, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
 from ..sources.shared import stored
 from . import roles
 
@@ -287,21 +287,22 @@ def _knn01(spark, sf, k=50):
     return vector.knn(*_two(spark, sf), k)
 
 
-@query("SELECT q, CAST(rank AS INT) AS rank, nbr, round(sim, 6) AS sim FROM knn01 WHERE rank <= 10")
+@query("SELECT q, CAST(rank AS INT) AS rank, nbr, sim FROM knn01 WHERE rank <= 10")
 def knn_topk(spark, sf):
-    return r6(_knn01(spark, sf, 10), "sim")
+    return _knn01(spark, sf, 10)
 
 
-@query("SELECT a.q AS src, a.nbr AS ref, round(round(2 * a.sim - ra - rb, 9), 6) AS score FROM knn01 a JOIN (SELECT q, avg(sim) AS ra FROM knn01 WHERE rank <= 10 GROUP BY 1) x ON x.q = a.q JOIN (SELECT q, avg(sim) AS rb FROM knn10 GROUP BY 1) y ON y.q = a.nbr WHERE a.rank = 1")
+@query("SELECT a.q AS src, a.nbr AS ref, round(2 * a.sim - ra - rb, 10) AS score FROM knn01 a JOIN (SELECT q, avg(sim) AS ra FROM knn01 WHERE rank <= 10 GROUP BY 1) x ON x.q = a.q JOIN (SELECT q, avg(sim) AS rb FROM knn10 GROUP BY 1) y ON y.q = a.nbr WHERE a.rank = 1")
 def csls_scores(spark, sf):
+    """Similarities have nine digits and a mean of ten of them has ten, so rounding to ten meets no ties."""
     a, b = _two(spark, sf)
-    return r6(vector.csls(*vector.nearest_both(a, b, 10)).withColumn("score", F.round("score", 9)), "score")
+    return vector.csls(*vector.nearest_both(a, b, 10)).withColumn("score", F.round("score", 10))
 
 
-@query("SELECT a.q AS src, a.nbr AS ref, round(a.sim, 6) AS sim FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1")
+@query("SELECT a.q AS src, a.nbr AS ref, a.sim FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1")
 def mutual_nn(spark, sf):
     a, b = _two(spark, sf)
-    return r6(vector.mutual(*vector.nearest_both(a, b, 1)), "sim")
+    return vector.mutual(*vector.nearest_both(a, b, 1))
 
 
 @query("SELECT a.q AS src, a.nbr AS ref FROM knn01 a JOIN knn10 b ON a.nbr = b.q AND b.nbr = a.q WHERE a.rank = 1 AND b.rank = 1 AND NOT EXISTS (SELECT 1 FROM genes2 x JOIN genes2 y ON x.og = y.og WHERE x.id = a.q AND y.id = a.nbr)")
@@ -432,9 +433,9 @@ def all_pairs_evaluation(spark, sf):
     return r6(retrieval.evaluated_pairs(_species_truth(spark, sf), near, 20), "hits", "mrr")
 
 
-@query("SELECT g_q, g_c, q, CAST(rank AS INT) AS rank, nbr, round(sim, 6) AS sim FROM (SELECT q.species AS g_q, c.species AS g_c, q.id AS q, c.id AS nbr, round(list_dot_product(q.v, c.v), 9) AS sim, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 5")
+@query("SELECT g_q, g_c, q, CAST(rank AS INT) AS rank, nbr, sim FROM (SELECT q.species AS g_q, c.species AS g_c, q.id AS q, c.id AS nbr, round(list_dot_product(q.v, c.v), 9) AS sim, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 5")
 def knn_all_species(spark, sf):
-    return r6(vector.knn_by(roles.genes(spark, sf).select("species", "id", "v"), 5), "sim")
+    return vector.knn_by(roles.genes(spark, sf).select("species", "id", "v"), 5)
 
 
 @query("SELECT u, v, round(s, 6) AS s FROM slice_truth ORDER BY round(s, 9) DESC, u, v LIMIT 100")
@@ -699,6 +700,17 @@ def ovr_logreg(spark, sf):
     return ml.one_vs_rest(train, test)
 
 
+@query("SELECT CAST(f.k AS VARCHAR) AS fold, CAST(c.k AS VARCHAR) AS class, count(*) AS n_train, CAST(sum(CASE WHEN g.og = c.k THEN 1 ELSE 0 END) AS BIGINT) AS n_pos, TRUE AS optimal FROM genes g JOIN range(0, 5) f(k) ON g.species <> f.k CROSS JOIN range(0, 10) c(k) GROUP BY f.k, c.k HAVING count(DISTINCT g.og = c.k) = 2")
+def ovr_optimality(spark, sf):
+    """Fifty fits, each class with each species left out: whether the gradient, summed again by DataFrame operations, vanishes at the weights."""
+    rows = roles.genes(spark, sf).select("id", F.col("species").alias("fold"), vec.as_double("v").alias("x"), F.expr("transform(sequence(0, 9), k -> struct(k as class, cast(og = k as double) as y))").alias("labels"))
+    res = logistic.residuals(rows, logistic.fits(rows, list(range(5))))
+    folds = spark.range(5).select(F.col("id").alias("f"))
+    n = rows.select(F.col("fold").alias("own"), F.explode("labels").alias("l")).join(F.broadcast(folds), F.col("own") != F.col("f"))
+    n = n.groupBy(F.col("f").cast("string").alias("fold"), F.col("l.class").cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n_train"), F.sum("l.y").cast("long").alias("n_pos"))
+    return res.join(n, ["fold", "class"]).select("fold", "class", "n_train", "n_pos", (F.col("residual") < 1e-5).alias("optimal"))
+
+
 @query()
 def kmeans_clusters(spark, sf):
     return ml.clusters(roles.genes(spark, sf).select("id", F.col("v").alias("x")), 12).select("id", "cluster")
