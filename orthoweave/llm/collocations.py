@@ -54,7 +54,7 @@ def _group_blocks(batch: pa.RecordBatch):
 
 
 def _columns(group: str, words: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([group] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["grp", "word", "c"])
+    return pa.RecordBatch.from_arrays([pa.array([group] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["grp", "word", "c"])
 
 
 def word_counts(texts: DataFrame, held_words: int = 300_000) -> DataFrame:
@@ -162,7 +162,7 @@ def _trie(group: str, h: np.ndarray, words: dict, runs: list[np.ndarray], depth:
     last = signed[np.arange(len(signed)), length - 1].view(np.uint64)
     names, back = np.unique(last, return_inverse=True)
     text = pa.array([words[int(x)] for x in names], pa.binary()).cast(pa.string()).take(pa.array(back))
-    return pa.RecordBatch.from_arrays([pa.array([group] * len(c)), *[pa.array(signed[:, i]) for i in range(depth)], text, pa.array(c)], ["grp", *_path(depth), "word", "c"])
+    return pa.RecordBatch.from_arrays([pa.array([group] * len(c), pa.string()), *[pa.array(signed[:, i]) for i in range(depth)], text, pa.array(c)], ["grp", *_path(depth), "word", "c"])
 
 
 def _path_hash(path: np.ndarray) -> np.ndarray:
