@@ -13,12 +13,10 @@ def cumulative(df: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     `weight` a row counts that often."""
     y, times = F.col("y").cast("long"), F.lit(1) if weight is None else F.col(weight)
     g = df.groupBy(*by, "score").agg(F.sum(y * times).alias("tp_at"), F.sum((1 - y) * times).alias("fp_at"))
-    if by:
-        up, whole = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-        return g.select(*by, "score", "tp_at", "fp_at", F.sum("tp_at").over(up).alias("tp"), F.sum("fp_at").over(up).alias("fp"), F.sum("tp_at").over(whole).alias("p"), F.sum("fp_at").over(whole).alias("n"))
-    total = g.agg(F.sum("tp_at").alias("p"), F.sum("fp_at").alias("n"))  # one row
-    c = sums_below(g, "score", ["tp_at", "fp_at"]).join(F.broadcast(total))
-    return c.select("score", "tp_at", "fp_at", (F.col("p") - F.col("below_tp_at")).alias("tp"), (F.col("n") - F.col("below_fp_at")).alias("fp"), "p", "n")
+    total = g.groupBy(*by).agg(F.sum("tp_at").alias("p"), F.sum("fp_at").alias("n"))
+    below = sums_below(g, "score", ["tp_at", "fp_at"], *by)
+    c = below.join(total, list(by)) if by else below.join(F.broadcast(total))  # one row
+    return c.select(*by, "score", "tp_at", "fp_at", (F.col("p") - F.col("below_tp_at")).alias("tp"), (F.col("n") - F.col("below_fp_at")).alias("fp"), "p", "n")
 
 
 def _trapezoids():

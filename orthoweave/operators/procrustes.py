@@ -52,17 +52,38 @@ class Sums:
         return Sums(self.n + o.n, self.w + o.w, self.sx + o.sx, self.sy + o.sy, self.m + o.m, self.xx + o.xx)
 
 
-def vectors(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
-    """A list column of equally long vectors as a matrix of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+vectors = vector.vectors_of
 
 
-def sums_by(anchors: DataFrame, by: str, merged: int = 16) -> dict:
-    """Sums for each value of `by`. A task keeps one sum a group, and partial sums of a group are merged on the cluster."""
-    kind = anchors.schema[by].dataType.simpleString()
+def sums_by(anchors: DataFrame, by: str) -> dict:
+    """Sums of anchors (x, y, w) for each value of `by`."""
+
+    def of(b: pa.RecordBatch, at: np.ndarray) -> Sums:
+        x, y, w = vectors(b.column("x")), vectors(b.column("y")), b.column("w").to_numpy(zero_copy_only=False).astype(float)
+        return Sums.of(x[at], y[at], w[at])
+
+    return _summed(anchors.select(F.col(by).alias("g"), "x", "y", F.col("w").cast("double").alias("w")), of, anchors.schema[by].dataType.simpleString())
+
+
+def orthogroup_sums(src: DataFrame, ref: DataFrame, by: str | None = None, vanilla: bool = False) -> dict:
+    """The same sums over all pairs of a gene of `src` and one of `ref` (og, v, and the group `by` in both) in one orthogroup, without any pair: a pair weighs 1 / (n_src n_ref) of
+    its orthogroup (1 if vanilla), so sums over pairs are products of sums over genes, which are made map-side."""
+    key = [*([by] if by else []), "og"]
+    a, b = vector.element_sums(src, *key), vector.element_sums(ref, *key)
+    rows = a.select(*key, F.col("n").alias("na"), F.col("s").alias("x"), "q").join(b.select(*key, F.col("n").alias("nb"), F.col("s").alias("y")), key)
+    rows = rows.select((F.col(by) if by else F.lit(0)).alias("g"), "na", "nb", "x", "y", "q")
+
+    def of(b: pa.RecordBatch, at: np.ndarray) -> Sums:
+        na, nb, q = (b.column(c).to_numpy(zero_copy_only=False)[at].astype(float) for c in ("na", "nb", "q"))
+        x, y = vectors(b.column("x"))[at], vectors(b.column("y"))[at]
+        w = np.ones(len(na)) if vanilla else 1 / (na * nb)
+        return Sums(int((na * nb).sum()), float((w * na * nb).sum()), (w * nb) @ x, (w * na) @ y, (x * w[:, None]).T @ y, float((w * nb * q).sum()))
+
+    return _summed(rows, of, rows.schema["g"].dataType.simpleString())
+
+
+def _summed(rows: DataFrame, of: Callable, kind: str, merged: int = 16) -> dict:
+    """Sums by g. A task keeps one sum a group, and partial sums of a group are merged on the cluster."""
     schema = f"g {kind}, n long, w double, xx double, sx array<double>, sy array<double>, m array<double>"
 
     def emit(acc: dict, g_type):
@@ -81,11 +102,9 @@ def sums_by(anchors: DataFrame, by: str, merged: int = 16) -> dict:
             kind = b.schema.field("g").type
             if b.num_rows:
                 groups = b.column("g").dictionary_encode()
-                x, y, w = vectors(b.column("x")), vectors(b.column("y")), b.column("w").to_numpy(zero_copy_only=False).astype(float)
                 codes = groups.indices.to_numpy()
                 for i, g in enumerate(groups.dictionary.to_pylist()):
-                    at = codes == i
-                    add(acc, g, Sums.of(x[at], y[at], w[at]))
+                    add(acc, g, of(b, np.flatnonzero(codes == i)))
         yield from emit(acc, kind)
 
     def merge(batches):
@@ -96,8 +115,8 @@ def sums_by(anchors: DataFrame, by: str, merged: int = 16) -> dict:
                 add(acc, g, Sums(n, w, np.array(sx), np.array(sy), np.array(m).reshape(len(sx), len(sy)), xx))
         yield from emit(acc, kind)
 
-    rows = anchors.select(F.col(by).alias("g"), "x", "y", F.col("w").cast("double").alias("w")).mapInArrow(run, schema).repartition(merged, "g").mapInArrow(merge, schema).collect()
-    return {r["g"]: Sums(r["n"], r["w"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["m"]).reshape(len(r["sx"]), len(r["sy"])), r["xx"]) for r in rows}
+    found = rows.mapInArrow(run, schema).repartition(merged, "g").mapInArrow(merge, schema).collect()
+    return {r["g"]: Sums(r["n"], r["w"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["m"]).reshape(len(r["sx"]), len(r["sy"])), r["xx"]) for r in found}
 
 
 def solve(s: Sums | None, allow_reflection: bool = False, center: bool = False, scale: bool = False) -> Rotation:
@@ -128,8 +147,13 @@ def fit(anchors: DataFrame, vanilla: bool = False, **options) -> Rotation:
 
 def fit_each(anchors: DataFrame, by: str, vanilla: bool = False, **options) -> tuple[dict, dict]:
     """(maps, reasons why there is none) by group, all groups in one pass."""
+    return solve_each(sums_by(_weighted(anchors, vanilla), by), **options)
+
+
+def solve_each(sums: dict, **options) -> tuple[dict, dict]:
+    """(maps, reasons why there is none) by group."""
     maps, failed = {}, {}
-    for g, s in sums_by(_weighted(anchors, vanilla), by).items():
+    for g, s in sums.items():
         try:
             maps[g] = solve(s, **options)
         except ValueError as e:
@@ -316,6 +340,34 @@ def _tables(anchors: DataFrame, a: DataFrame, b: DataFrame, base: Sums | None, r
 # ---- all species --------------------------------------------------------------------------------
 
 
+def fit_orthogroups(src: DataFrame, ref: DataFrame, vanilla: bool = False, **options) -> Rotation:
+    """The map whose anchors are all pairs of an orthogroup; src and ref are (og, v)."""
+    return solve(orthogroup_sums(src, ref, vanilla=vanilla).get(0), **options)
+
+
+def two_stage_orthogroups(emb: DataFrame, reference, seeds: list, groups: DataFrame, vanilla: bool = False, **options) -> DataFrame:
+    """`two_stage` without refinement, the anchors being all pairs of an orthogroup: emb is (species, id, idx, og, v). No pair is made."""
+    vec_type = emb.withColumn("v", F.col("v").cast("array<float>"))
+    of = vec_type.filter(F.col("species") == reference)
+    first = [s for s in seeds if s != reference]
+    own = vec_type.filter(F.col("species").isin(first))
+    each = of.withColumn("species", F.explode(F.array(*[F.lit(s) for s in first]).cast(f"array<{emb.schema['species'].dataType.simpleString()}>")))
+    sums = orthogroup_sums(own, each, "species", vanilla)
+    maps = {s: solve(sums.get(s), **options) for s in first}  # seeds fail loudly
+    done = of.withColumn("status", F.lit("reference")).unionByName(transform_each(own, "species", maps).withColumn("status", F.lit("seed")))
+    aligned = stored(done.select("species", "id", "idx", "og", "v", "status"), "aligned-seeds")
+    rest = vec_type.join(groups.select("species"), "species", "left_semi")
+    theirs = groups.join(aligned.withColumnRenamed("species", "seed"), "seed").select("species", "og", "v")
+    maps, failed = solve_each(orthogroup_sums(rest, theirs, "species", vanilla), **options)
+    moved = transform_each(rest.select("species", "id", "idx", "og", "v"), "species", maps)
+    return aligned.unionByName(moved.withColumn("status", _status(failed))).drop("og")
+
+
+def _status(failed: dict):
+    why = F.create_map(*[F.lit(x) for kv in failed.items() for x in kv])[F.col("species")] if failed else F.lit(None).cast("string")
+    return F.when(F.col("v").isNotNull(), "aligned").otherwise(F.coalesce(why, F.lit("fewer than 2 anchor pairs")))
+
+
 def two_stage(emb: DataFrame, pairs: DataFrame, reference, seeds: list, groups: DataFrame, refinement: dict | None = None, local_genes: int = 200_000, **options) -> DataFrame:
     """(species, id, idx, v, status): the reference as it is, seeds aligned to it, the others to their nearest aligned seed.
 
@@ -343,9 +395,7 @@ def two_stage(emb: DataFrame, pairs: DataFrame, reference, seeds: list, groups:
     else:
         maps, failed = _refined_each(emb, aligned, groups, a, refinement, local_genes, options)
     moved = transform_each(rest.select("species", "id", "idx", "v"), "species", maps)
-    why = F.create_map(*[F.lit(x) for kv in failed.items() for x in kv])[F.col("species")] if failed else F.lit(None).cast("string")
-    status = F.when(F.col("v").isNotNull(), "aligned").otherwise(F.coalesce(why, F.lit("fewer than 2 anchor pairs")))
-    return aligned.unionByName(moved.withColumn("status", status))
+    return aligned.unionByName(moved.withColumn("status", _status(failed)))
 
 
 def _refined_each(emb: DataFrame, aligned: DataFrame, groups: DataFrame, anchors: DataFrame, refinement: dict, local_genes: int, options: dict) -> tuple[dict, dict]:

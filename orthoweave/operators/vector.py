@@ -40,6 +40,14 @@ def norm_stats(emb: DataFrame, *by: str) -> DataFrame:
     return n.groupBy(*by).agg(F.min("n").alias("min_norm"), F.median("n").alias("median_norm"), F.max("n").alias("max_norm"), F.avg("n").alias("mean_norm"), F.stddev_pop("n").alias("std_norm"))
 
 
+def vectors_of(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """A list column of equally long vectors as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def _matrix(ids: pa.Array, v: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = x.reshape(len(v), -1) if len(v) else np.zeros((0, 0))
@@ -138,8 +146,6 @@ def mutual(ab: DataFrame, ba: DataFrame) -> DataFrame:
 
 def moments(pairs: DataFrame, *by: str) -> DataFrame:
     """(i, j, m): entries of the weighted cross-covariance sum of pairs (x, y, w), summed as matrices in each task."""
-    from .procrustes import vectors
-
     dims = pairs.select(F.max(F.size("x")).alias("d"), F.max(F.size("y")).alias("e")).first()
     d, e = dims["d"] or 0, dims["e"] or 0
 
@@ -149,7 +155,7 @@ def moments(pairs: DataFrame, *by: str) -> DataFrame:
         for b in batches:
             types = [b.schema.field(c).type for c in by]
             if b.num_rows:
-                x, y, w = vectors(b.column("x")), vectors(b.column("y")), b.column("w").to_numpy(zero_copy_only=False).astype(float)
+                x, y, w = vectors_of(b.column("x")), vectors_of(b.column("y")), b.column("w").to_numpy(zero_copy_only=False).astype(float)
                 keys = list(zip(*[b.column(c).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
                 places: dict[tuple, list[int]] = {}
                 for i, key in enumerate(keys):
@@ -193,13 +199,67 @@ def centroid(emb: DataFrame, weight: Column | None = None, *by: str) -> DataFram
     return rows.groupBy(*by, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mu"))
 
 
-def group_cosines(emb: DataFrame, least_species: int = 2, largest: int = 10_000) -> DataFrame:
-    """Per orthogroup of (id, species, og, v): mean, median and least cosine of its cross-species pairs."""
+def element_sums(emb: DataFrame, *by: str) -> DataFrame:
+    """(by, n, s, q): number, vector sum and summed squared norm of the rows of each group, combined map-side. A null group is none."""
+    d = emb.agg(F.max(F.size("v"))).first()[0] or 0
+    rows = emb.dropna(subset=list(by)).select(*by, vec.as_double("v").alias("v"))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(vec.dot(F.col("v"), F.col("v"))).alias("q"), *[F.sum(F.col("v")[i]).alias(f"_s{i}") for i in range(d)])
+    return sums.select(*by, "n", F.array(*[F.col(f"_s{i}") for i in range(d)]).alias("s"), "q")
+
+
+def group_cosines(emb: DataFrame, least_species: int = 2, largest: int = 10_000, block: int = 1024, bits: int = 10) -> DataFrame:
+    """Per orthogroup of (id, species, og, v): mean, median and least cosine of its cross-species pairs.
+
+    The mean is closed: from the sums of unit vectors by group and by group and species. For median and least the members of a group are cut into blocks of about `block`, and
+    pairs of blocks multiplied: a first pass counts cosines in 2^bits buckets a group, a second one keeps only those of the one or two buckets that hold the
+    middle ranks. No row holds a pair of vectors, and no task more than two blocks of a group."""
     n = emb.groupBy("og").agg(F.countDistinct("species").alias("n_species"), F.count(F.lit(1)).alias("size")).filter((F.col("n_species") >= least_species) & (F.col("size") <= largest))
-    m = normalised(emb, "unit").join(n, "og")
-    a, b = m.select("og", "n_species", "size", "id", "species", "v"), m.select("og", F.col("id").alias("id2"), F.col("species").alias("species2"), F.col("v").alias("v2"))
-    cos = a.join(b, "og").filter("id < id2 and species <> species2").select("og", "n_species", "size", vec.dot(F.col("v"), F.col("v2")).alias("c"))
-    return cos.groupBy("og", "n_species", "size").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("c"), 6).alias("mean_cos"), F.round(F.median("c"), 6).alias("median_cos"), F.round(F.min("c"), 6).alias("min_cos"))
+    m = stored(normalised(emb, "unit").join(n, "og").select("og", "n_species", "size", "id", "species", "v"), "group-units")
+    own = element_sums(m, "og", "species").withColumn("sq", vec.dot(F.col("s"), F.col("s")))
+    inner = own.groupBy("og").agg(F.sum("sq").alias("sq_own"), F.sum(F.col("n") * F.col("n")).alias("n_own"))
+    every = element_sums(m, "og").select("og", "n", vec.dot(F.col("s"), F.col("s")).alias("sq_all"))
+    mean = every.join(inner, "og").select("og", ((F.col("n") * F.col("n") - F.col("n_own")) / 2).cast("long").alias("n_pairs"), ((F.col("sq_all") - F.col("sq_own")) / (F.col("n") * F.col("n") - F.col("n_own"))).alias("mean"))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
+    dealt = m.withColumns({"blk": mine, "nb": blocks}).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("og", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "blk", "id", F.col("species").cast("string").alias("species"), "v")
+    og = m.schema["og"].dataType.simpleString()
+    wide = 2.000001 / (1 << bits)
+
+    def cosines(t: pa.Table) -> np.ndarray:
+        blk, ids, sp = (t.column(c).to_numpy() for c in ("blk", "id", "species"))
+        x, lo, hi = vectors_of(t.column("v")), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        a, b = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        use = sp[a][:, None] != sp[b][None, :]
+        if lo == hi:
+            use &= ids[a][:, None] < ids[b][None, :]
+        return (x[a] @ x[b].T)[use]
+
+    def counted(t: pa.Table) -> pa.Table:
+        c = cosines(t)
+        at, k = np.unique(np.floor((c + 1.0000005) / wide).astype(np.int32), return_counts=True)
+        least = np.full(len(at), c.min(initial=2.0))
+        return pa.table({"og": t.column("og").slice(0, 1).take(pa.array(np.zeros(len(at), np.int64))), "bucket": at, "k": k, "least": least})
+
+    groups = ["og", "lo", "hi"]
+    hist = stored(dealt.groupBy(*groups).applyInArrow(counted, f"og {og}, bucket int, k long, least double").groupBy("og", "bucket").agg(F.sum("k").alias("k"), F.min("least").alias("least")), "group-buckets")
+    upto = F.sum("k").over(Window.partitionBy("og").orderBy("bucket"))  # 2^bits rows a group at most
+    total = F.sum("k").over(Window.partitionBy("og"))
+    ranked = hist.withColumns({"to": upto, "total": total}).withColumns({"r1": F.floor((F.col("total") + 1) / 2).cast("long"), "r2": F.floor(F.col("total") / 2 + 1).cast("long"), "from": F.col("to") - F.col("k")})
+    middle = ranked.filter(((F.col("r1") > F.col("from")) & (F.col("r1") <= F.col("to"))) | ((F.col("r2") > F.col("from")) & (F.col("r2") <= F.col("to"))))
+    middle = stored(middle.groupBy("og").agg(F.min("bucket").alias("b1"), F.max("bucket").alias("b2"), F.min("from").alias("before"), F.min("r1").alias("r1"), F.min("r2").alias("r2")), "group-middles")
+
+    def near(t: pa.Table) -> pa.Table:
+        c = cosines(t)
+        at = np.floor((c + 1.0000005) / wide).astype(np.int32)
+        c = c[(at == t.column("b1")[0].as_py()) | (at == t.column("b2")[0].as_py())]
+        return pa.table({"og": t.column("og").slice(0, 1).take(pa.array(np.zeros(len(c), np.int64))), "c": c})
+
+    values = dealt.join(middle.select("og", "b1", "b2"), "og").groupBy(*groups).applyInArrow(near, f"og {og}, c double")
+    place = F.row_number().over(Window.partitionBy("og").orderBy("c"))
+    median = values.withColumn("place", place).join(middle, "og").filter((F.col("place") + F.col("before") == F.col("r1")) | (F.col("place") + F.col("before") == F.col("r2"))).groupBy("og").agg(F.avg("c").alias("median"))
+    out = n.join(mean, "og").join(median, "og").join(hist.groupBy("og").agg(F.min("least").alias("least")), "og")
+    return out.select("og", "n_species", "size", "n_pairs", F.round("mean", 6).alias("mean_cos"), F.round("median", 6).alias("median_cos"), F.round("least", 6).alias("min_cos"))
 
 
 def stability(runs: DataFrame) -> DataFrame:

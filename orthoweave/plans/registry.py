@@ -326,7 +326,8 @@ _GROUPS = "x AS (SELECT og, i, sum(v[i + 1]) AS s FROM genes2 CROSS JOIN range(0
 @query(f"WITH {_GROUPS} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(x.s * y.s / n.n), 6) AS m FROM x JOIN y ON x.og = y.og JOIN n ON n.og = x.og GROUP BY i, j")
 def cross_covariance(spark, sf):
     a, b = _two(spark, sf)
-    return r6(vector.moments(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b).select("x", "y", "w")), "m")
+    m = procrustes.orthogroup_sums(a, b)[0].m
+    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, row in enumerate(m) for j, x in enumerate(row)], "i int, j int, m double")  # d by d
 
 
 @query("SELECT species, CAST(i AS INT) AS i, round(sum((og + 1) * v[i + 1]) / sum(og + 1), 6) AS mu FROM genes CROSS JOIN range(0, 64) t(i) GROUP BY species, i")
@@ -482,7 +483,7 @@ _ENTRY = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(x[i + 1][j + 1]
 @query(f"WITH {_GROUPS}, m AS (SELECT 0 AS key, i, j, sum(x.s * y.s) AS m FROM x JOIN y ON x.og = y.og GROUP BY i, j) " + _ENTRY.format(p=_POLAR.format(m="m")))
 def procrustes_basic(spark, sf):
     a, b = _two(spark, sf)
-    return _entries(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), allow_reflection=True, vanilla=True))
+    return _entries(spark, procrustes.fit_orthogroups(a, b, allow_reflection=True, vanilla=True))
 
 
 _CENTRED = _GROUPS + """, w AS (SELECT count(*) AS w FROM n), mx AS (SELECT i, sum(x.s * n.nb / n.n) / any_value(w) AS mu FROM x JOIN n ON n.og = x.og CROSS JOIN w GROUP BY i), my AS (SELECT j, sum(y.s * n.na / n.n) / any_value(w) AS mu FROM y JOIN n ON n.og = y.og CROSS JOIN w GROUP BY j),
@@ -492,7 +493,7 @@ _CENTRED = _GROUPS + """, w AS (SELECT count(*) AS w FROM n), mx AS (SELECT i, s
 @query(f"WITH {_CENTRED} " + _ENTRY.format(p=_POLAR.format(m="m")))
 def procrustes_weighted(spark, sf):
     a, b = _two(spark, sf)
-    return _entries(spark, procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), center=True, allow_reflection=True))
+    return _entries(spark, procrustes.fit_orthogroups(a, b, center=True, allow_reflection=True))
 
 
 @query(f"""WITH {_CENTRED}, r AS ({_ENTRY.format(p=_POLAR.format(m="m")).replace(", 3) + 0.0 AS r", ", 15) AS r")}),
@@ -500,7 +501,7 @@ def procrustes_weighted(spark, sf):
     SELECT round(sum(r.r * m.m) / (any_value(xx) - (SELECT sum(mu * mu) FROM mx)), 4) AS scale FROM r JOIN m ON m.i = r.i AND m.j = r.j CROSS JOIN v""")
 def procrustes_scale(spark, sf):
     a, b = _two(spark, sf)
-    rot = procrustes.fit(procrustes.anchors_of(_anchor_pairs(spark, sf), a, b), center=True, scale=True, allow_reflection=True)
+    rot = procrustes.fit_orthogroups(a, b, center=True, scale=True, allow_reflection=True)
     return spark.createDataFrame([(round(rot.scale, 4),)], "scale double")
 
 
@@ -536,8 +537,9 @@ _MOVED = "SELECT g.species, g.id, g.idx, list_transform(range(1, 65), lambda j:
     rest AS ({_MOVED.format(p=_POLAR.format(m=_moment("genes", "aligned", "a.species > 1 AND b.species = a.species % 2")))})
     SELECT species, id, status, CAST(i AS INT) AS dim, round(v[i + 1], 2) + 0.0 AS x FROM (SELECT species, id, v, CASE WHEN species = 0 THEN 'reference' ELSE 'seed' END AS status FROM aligned UNION ALL SELECT species, id, v, 'aligned' FROM rest) CROSS JOIN range(0, 64) t(i)""")
 def two_stage_align(spark, sf):
-    emb, pairs, groups = _stages(spark, sf)
-    return _coordinates(procrustes.two_stage(emb, pairs, 0, [0, 1], groups, allow_reflection=True))
+    emb, _, groups = _stages(spark, sf)
+    emb = emb.withColumn("og", F.col("idx") % 100)
+    return _coordinates(procrustes.two_stage_orthogroups(emb, 0, [0, 1], groups, vanilla=True, allow_reflection=True))
 
 
 @query()
@@ -803,8 +805,7 @@ _PAIRS = """s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v),
 @query(f"WITH {_PAIRS} SELECT round(sum(fp_at * (2 * tp - tp_at) / 2.0) / ((SELECT sum(y) FROM s) * (SELECT sum(1 - y) FROM s)), 6) AS auc FROM c")
 def pathway_roc(spark, sf):
     g = roles.genes(spark, sf)
-    counts = evaluation.gene_pair_counts(g.select("id", "v"), g.select(F.col("id").alias("gene"), F.col("og").alias("term")))
-    return r6(curves.roc_auc(counts, weight="n"), "auc")
+    return r6(evaluation.pathway_auc(g.select("id", "v"), g.select(F.col("id").alias("gene"), F.col("og").alias("term"))).select("auc"), "auc")
 
 
 @query("""WITH pos AS (SELECT list_dot_product(a.v, b.v) AS c FROM unit2 a JOIN unit2 b ON a.og = b.og WHERE a.species = 0 AND b.species = 1),
