@@ -1,13 +1,14 @@
 """Phrase collocation mining by merged count tries.
 
 Texts are cut at punctuation and line ends into pieces, and those into words; phrases of up to `depth` words are counted by group
-(language). A phrase that occurs `least` times has only parts that occur as often, so three passes over the texts suffice:
+(language). A phrase that occurs `least` times has only parts that occur as often, so passes over the texts go from short phrases to long ones:
 
-1. Words are counted in each task, then by group and word. Frequent words go into a sieve (a Bloom filter of fixed size, whatever their number: a false
-   positive costs a row, never a phrase).
-2. Pairs of such words are counted as 64-bit hashes; the hashes of frequent pairs go into a second sieve.
-3. Each shard (a run of texts with at most `shard_words` words that the sieves let through) builds a count trie of depth `depth` over runs of frequent words whose pairs
-   are frequent. It is serialised in the order of paths, a node as one row: the hashes of its words, its last word, its count.
+1. Words, the first level of the tries, are counted in each task, then by group and word. Frequent words go into a sieve (a Bloom filter of fixed size,
+   whatever their number: a false positive costs rows, never a phrase).
+2. Pairs of such words, then triples of frequent pairs, and so on below `depth`, are counted by 32 bits of their hash, packed by ranges of these; cells that reach `least`
+   go into a sieve for each length. Phrases that share a cell only let more through.
+3. Each shard (a run of texts with at most `shard_words` words) builds a count trie of depth `depth` over the paths that the sieves admit. It is serialised in the order of
+   paths, a node as one row: the hashes of its words, its last word, its count.
 
 The shards' tries are merged by prefix ranges: paths are range-partitioned on all their words, so that a frequent first word spans many ranges; within a range
 the sorted runs are merged, equal paths are summed, and nodes below `least` are dropped. A walk over the merged trie in the order of paths, in ranges of the first two words, gives
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, discard, small, stash, table, text_batches, trimmed
 from .jaccard_join import _Words, mix
-from .words import _M, Sieve, byte_table, first_of, gram_hashes, hashes, sieve_of, text_blocks
+from .words import _M, Sieve, byte_table, first_of, grams_at, hashes, sieve_of, text_blocks
 
 PIECES = byte_table(b".,;:!?\n\x0b\x0c\r")
 STOP = b"."
@@ -47,10 +48,12 @@ def _group_blocks(batch: pa.RecordBatch):
     """(group, words of its texts, each text ended by a full stop) of slices of a batch of (grp, text)."""
     groups = batch.column(0).to_pylist()
     for lo, texts in text_blocks(batch, 1):
-        flat: dict[str, list] = {}
+        of: dict[str, list] = {}
         for i, raw in enumerate(texts):
-            flat.setdefault(groups[lo + i], []).extend([*piece_words(raw), STOP])
-        yield from flat.items()
+            if raw:
+                of.setdefault(groups[lo + i], []).append(raw)
+        for group, raws in of.items():
+            yield group, [*piece_words(b".".join(raws)), STOP]
 
 
 def _columns(group: str, words: list[bytes], counts: list[int]) -> pa.RecordBatch:
@@ -103,49 +106,87 @@ def _word_keys(words: DataFrame) -> DataFrame:
     return words.select("grp", "word").mapInArrow(run, "key long")
 
 
-class _Runs:
-    """Words of a block that the sieve of words lets through, and where runs of them lie."""
+def _cells(h: np.ndarray, at: np.ndarray, k: int, group: str) -> np.ndarray:
+    """The 32-bit cells of the phrases of k words at some places."""
+    return _keys(grams_at(h, k, at), group) >> np.uint64(32)
 
-    def __init__(self, group: str, words: list[bytes], known: _Words, sieve: Sieve):
-        self.h = hashes(words, known)
-        stop = self.h == np.uint64(known[STOP])
-        self.on = sieve.has(_keys(self.h, group)) & ~stop
-        self.pair_on = self.on[:-1] & self.on[1:]
-        self.pairs = _keys(gram_hashes(self.h, 2), group)
 
+def _admitted(h: np.ndarray, stop: np.uint64, group: str, sieves: list[Sieve]) -> list[np.ndarray]:
+    """For 1, 2, .. words, where phrases begin that the sieves of their and all shorter lengths admit; one length more than there are sieves."""
+    on = sieves[0].has(_keys(h, group)) & (h != stop)
+    out = [np.flatnonzero(on)]
+    for k in range(2, len(sieves) + 2):
+        on = on[:-1] & on[1:]
+        at = np.flatnonzero(on)
+        if k <= len(sieves) and len(at):
+            ok = sieves[k - 1].has(_cells(h, at, k, group))
+            on[at[~ok]] = False
+            at = at[ok]
+        out.append(at)
+    return out
+
+
+#: Cells are dealt into so many ranges, of 2^22 cells each.
+RANGES = 1024
 
-def pair_counts(texts: DataFrame, words: Sieve, least: int, held_pairs: int = 2_000_000) -> DataFrame:
-    """(key) of pairs of the sieve's words that occur `least` times; a task holds at most about `held_pairs` pairs."""
-    held = texts.sparkSession.sparkContext.broadcast(words)
 
-    def counted(parts):
-        keys, c = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], ["key", "c"])
+def frequent_cells(texts: DataFrame, sieves: list[Sieve], least: int, held_grams: int = 2_000_000) -> DataFrame:
+    """(key) of the cells that phrases with one word more than there are sieves fill `least` times; a task holds at most about `held_grams` of them."""
+    held, k = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves) + 1
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def packed(parts):
+        cells, c = np.unique(np.concatenate(parts), return_counts=True)
+        c = np.minimum(c, least).astype(kind)
+        cells = cells.astype(np.int64)
+        edges = np.searchsorted(cells, np.arange(RANGES + 1) * (2**32 // RANGES))
+        full = np.flatnonzero(np.diff(edges))
+        # differences as planes of bytes, of which the upper ones are mostly zeros
+        gaps = [np.diff(cells[edges[r] : edges[r + 1]], prepend=r * (2**32 // RANGES)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for r in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(gaps, pa.binary()), pa.array([c[edges[r] : edges[r + 1]].tobytes() for r in full], pa.binary())], ["rng", "gaps", "c"])
 
     def run(batches):
         known, parts, n = _Words(), [], 0
         with np.errstate(over="ignore"):
             for b in batches:
                 for group, flat in _group_blocks(b):
-                    r = _Runs(group, flat, known, held.value)
-                    parts.append(r.pairs[r.pair_on])
+                    h = hashes(flat, known)
+                    parts.append(_cells(h, _admitted(h, np.uint64(known[STOP]), group, held.value)[-1], k, group))
                     n += len(parts[-1])
-                    if n > held_pairs:
-                        yield counted(parts)
+                    if n > held_grams:
+                        yield packed(parts)
                         parts, n = [], 0
-        if parts:
-            yield counted(parts)
+        if n:
+            yield packed(parts)
+
+    def live(rng: int, count: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count >= least) + rng * (2**32 // RANGES))], ["key"])
 
-    return texts.mapInArrow(trimmed(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("key")
+    def summed(batches):
+        last, count = None, np.zeros(0, np.uint32)
+        for b in batches:
+            for rng, gaps, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if rng != last:
+                    if last is not None:
+                        yield live(last, count)
+                    last, count = rng, np.zeros(2**32 // RANGES, np.uint32)
+                at = np.frombuffer(gaps.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64).cumsum()
+                count[at] = np.minimum(count[at] + np.frombuffer(c.as_buffer(), kind), 2**31)
+        if last is not None:
+            yield live(last, count)
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(trimmed(run), "rng int, gaps binary, c binary").repartition(parts, "rng").sortWithinPartitions("rng")
+    return rows.mapInArrow(trimmed(summed), "key long")
 
 
 def _trie(group: str, h: np.ndarray, words: dict, runs: list[np.ndarray], depth: int) -> pa.RecordBatch:
-    """The serialised trie: runs[d] are the places where a path of d + 1 words begins."""
+    """The serialised trie below its first level: runs[d] are the places where a path of d + 2 words begins."""
     out = [np.zeros((0, depth), np.uint64)]
     counts = []
     for d, at in enumerate(runs):
         path = np.zeros((len(at), depth), np.uint64)
-        for i in range(d + 1):
+        for i in range(d + 2):
             path[:, i] = h[at + i] >> np.uint64(1)  # no negative number as a long, so that a path comes before those below it
         if len(at):
             # equal paths are found by one hash of their words
@@ -176,43 +217,50 @@ def _path(depth: int) -> list[str]:
     return [f"w{i + 1}" for i in range(depth)]
 
 
-def shard_tries(texts: DataFrame, words: Sieve, pairs: Sieve, depth: int, shard_words: int = 4_000_000) -> DataFrame:
-    """(grp, w1.., word, c): the nodes of the tries of all shards, each in the order of paths."""
-    held = texts.sparkSession.sparkContext.broadcast((words, pairs))
+def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_000) -> DataFrame:
+    """(grp, w1.., word, c): the nodes of two or more words of the tries of all shards, each in the order of paths."""
+    held, depth = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves) + 1
+
+    def serialised(shards):
+        for g, s in shards.items():
+            yield _trie(g, np.concatenate(s["h"]), s["words"], [np.concatenate(x) for x in s["runs"]], depth)
 
     def run(batches):
         known, shards = _Words(), {}
-        sieve, two = held.value
         with np.errstate(over="ignore"):
             for b in batches:
                 for group, flat in _group_blocks(b):
-                    r = _Runs(group, flat, known, sieve)
-                    pair_on = r.pair_on.copy()
-                    pair_on[pair_on] = two.has(r.pairs[pair_on])
-                    runs = [np.nonzero(r.on)[0], np.nonzero(pair_on)[0]]
-                    on = pair_on
-                    for _ in range(2, depth):
-                        on = on[:-1] & pair_on[len(pair_on) - len(on) + 1 :] if len(on) else on
-                        runs.append(np.nonzero(on)[0])
-                    runs = runs[:depth]
-                    # a shard keeps the words that its paths use, renumbered into one array
-                    s = shards.setdefault(group, {"h": [], "runs": [[] for _ in range(depth)], "n": 0, "used": 0, "words": {}})
+                    h = hashes(flat, known)
+                    runs = _admitted(h, np.uint64(known[STOP]), group, held.value)[1:]
+                    s = shards.setdefault(group, {"h": [], "runs": [[] for _ in runs], "n": 0, "words": {}})
                     for d, at in enumerate(runs):
                         s["runs"][d].append(at + s["n"])
-                    s["h"].append(r.h)
-                    s["n"] += len(r.h)
-                    s["used"] += len(r.h)
-                    s["words"].update((int(r.h[i]) >> 1, flat[i]) for i in np.unique(r.h[runs[0]], return_index=True)[1] for i in (runs[0][i],))
-                if sum(s["used"] for s in shards.values()) > shard_words:
-                    for g, s in shards.items():
-                        yield _trie(g, np.concatenate(s["h"]), s["words"], [np.concatenate(x) for x in s["runs"]], depth)
+                        # a node is labelled with its last word
+                        last, first = np.unique(h[at + d + 1], return_index=True)
+                        s["words"].update((int(x) >> 1, flat[at[i] + d + 1]) for x, i in zip(last, first, strict=True))
+                    s["h"].append(h)
+                    s["n"] += len(h)
+                if sum(s["n"] for s in shards.values()) > shard_words:
+                    yield from serialised(shards)
                     shards = {}
-        for g, s in shards.items():
-            yield _trie(g, np.concatenate(s["h"]), s["words"], [np.concatenate(x) for x in s["runs"]], depth)
+        yield from serialised(shards)
 
     return texts.mapInArrow(trimmed(run), f"grp string, {', '.join(f'{w} long' for w in _path(depth))}, word string, c long")
 
 
+def first_level(words: DataFrame, depth: int) -> DataFrame:
+    """The nodes of one word, of (grp, word, c)."""
+
+    def run(batches):
+        known = _Words()
+        for b in batches:
+            h = (hashes(b.column(1).cast(pa.binary()).to_pylist(), known) >> np.uint64(1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), b.column(2), b.column(1)], ["grp", "w1", "f", "word"])
+
+    rows = words.select("grp", "word", "c").mapInArrow(run, "grp string, w1 long, f long, word string")
+    return rows.select("grp", "w1", *[F.lit(0).cast("long").alias(w) for w in _path(depth)[1:]], "f", "word")
+
+
 def merged(tries: DataFrame, depth: int, least: int) -> DataFrame:
     """The nodes that all shards together count `least` times or more, merged by ranges of paths."""
     path = _path(depth)
@@ -282,12 +330,13 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     texts = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("grp"), F.col(text_col).alias("text"))
     counts = stash(word_counts(texts), "word-counts")
     totals = stash(counts.groupBy("grp").agg(F.sum("c").alias("n")), "group-words")
-    words = sieve_of(_word_keys(counts.filter(F.col("c") >= least)), sieve_bits)
-    discard(counts)
-    pairs = sieve_of(pair_counts(texts, words, least), sieve_bits)
-    tries = stash(shard_tries(texts, words, pairs, depth), "shard-tries", "zstd")
-    nodes = stash(merged(tries, depth, least), "trie")
-    discard(tries)
+    often = counts.filter(F.col("c") >= least)
+    sieves = [sieve_of(_word_keys(often), sieve_bits)]
+    for _ in range(2, depth):
+        sieves.append(sieve_of(frequent_cells(texts, sieves, least), sieve_bits))
+    tries = stash(shard_tries(texts, sieves), "shard-tries", "zstd")
+    nodes = stash(merged(tries, depth, least).unionByName(first_level(often, depth)), "trie")
+    discard(counts, tries)
     walk = walked(nodes, depth)
     rows = linked(nodes, walk, depth)
     # the longest count of a longer candidate that holds a phrase: every longer one names its inner paths
