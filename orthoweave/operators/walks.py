@@ -1,51 +1,298 @@
-"""Second-order biased random walks and skip-gram embeddings.
+"""Second-order biased random walks and skip-gram embeddings with negative sampling.
 
-Walks advance together, one step a round, as a join of the walkers' frontier with adjacency: no task holds the whole graph. The
-next node is drawn by exponential races on hashed uniforms, so walks are reproducible. Embeddings use Spark's skip-gram, which
-trains by hierarchical softmax, not negative sampling; compare neighbourhoods, not vectors.
+A step draws a neighbour by edge weight and accepts it with probability bias / largest bias (return 1/p, common neighbour 1, else 1/q), which gives the
+second-order distribution without ever weighing all neighbours of a node. Draws come from alias tables, which are plain rows (cur,
+part, slot, nxt, prob, other): the neighbours of a node are dealt by hash into parts of about `part`, a part is picked by its weight, then a slot of
+its table. So neither building nor using a table brings the neighbours of a hub together. Uniform numbers are hashes of walk, step and attempt:
+walks are reproducible, and both ways of walking give the same ones.
+
+Skip-gram parameters lie in blocks of nodes. Pairs of centre and context are dealt to cells (block of the centre, block of the context), a round trains
+the cells of one diagonal, each task with its two blocks to itself, and writes the blocks back; after as many rounds as there are blocks every
+pair has been used. Negative samples are drawn from the cell's context block by count^0.75, from hashed numbers. A cell with more
+than `cell_pairs` pairs (a hub's) is cut into slices, which train copies whose changes are averaged.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import dropped, stored
+from .ordered import positions
+from .procrustes import vectors
+
+_M1, _M2, _ADD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def uniforms(seed: int, which: int, *keys) -> np.ndarray:
+    """Hashed numbers in [0, 1), one for each row of the keys (whole numbers or arrays of them)."""
+    with np.errstate(over="ignore"):
+        h = np.uint64(seed) * _M1 + np.uint64(which) * _ADD + _ADD
+        for k in keys:
+            h = _mix(np.atleast_1d(h) + _ADD + np.asarray(k).astype(np.int64).view(np.uint64) * _M2)
+    return (h >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def alias_table(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of the slot's own item, the other item) by Vose's method."""
+    n = len(w)
+    scaled = (w * n / w.sum()).tolist()
+    prob, other = [1.0] * n, list(range(n))
+    less, more = [i for i in range(n) if scaled[i] < 1], [i for i in range(n) if scaled[i] >= 1]
+    while less and more:
+        i, j = less.pop(), more[-1]
+        prob[i], other[i] = scaled[i], j
+        scaled[j] -= 1 - scaled[i]
+        if scaled[j] < 1:
+            less.append(more.pop())
+    return np.array(prob), np.array(other)
+
+
+def alias_rows(adj: DataFrame, part: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(alias rows; nodes with their parts) of adj (cur, nxt, w), w > 0. A task never has more than a part of a node's neighbours."""
+    degree = adj.groupBy("cur").agg(F.count(F.lit(1)).alias("n"))
+    dealt = adj.join(degree, "cur").withColumn("part", F.pmod(F.xxhash64("nxt"), F.ceil(F.col("n") / part).cast("long")).cast("int"))
+    kept = dealt.groupBy("cur", "part").agg(F.array_sort(F.collect_list(F.struct("nxt", F.col("w").cast("double").alias("w")))).alias("to"))
+
+    def run(batches):
+        for b in batches:
+            cur, at, to = b.column("cur").to_pylist(), b.column("part").to_pylist(), b.column("to")
+            for i in range(b.num_rows):
+                each = to[i].values
+                nxt, w = each.field("nxt"), each.field("w").to_numpy(zero_copy_only=False)
+                prob, other = alias_table(w)
+                k = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array([cur[i]] * k, pa.int64()), pa.array([at[i]] * k, pa.int32()), pa.array(np.arange(k, dtype=np.int32)), nxt, pa.array(prob), nxt.take(pa.array(other)), pa.array(np.full(k, w.sum()))], ["cur", "part", "slot", "nxt", "prob", "other", "whole"])
+
+    slots = stored(kept.mapInArrow(run, "cur long, part int, slot int, nxt long, prob double, other long, whole double"), "alias-rows")
+    nodes = slots.groupBy("cur", "part").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("whole").alias("whole"))
+    nodes = nodes.groupBy("cur").agg(F.array_sort(F.collect_list(F.struct("part", "n", "whole"))).alias("parts"))
+    return slots.drop("whole"), stored(nodes, "alias-nodes")
+
+
+def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float = 1.0, q: float = 0.7, seed: int = 42, part: int = 1024, held_edges: int = 2_000_000, tries: int = 4, cut: int = 4) -> DataFrame:
+    """(walk, nodes): `walks` walks of `length` nodes from every node of the undirected graph (a, b, w), w > 0; edges with a null end or weight are left out.
+
+    While the graph has at most `held_edges` edges (counted both ways) its alias tables are broadcast and a walk is one task's work; beyond, walkers
+    advance by joins with the tables, `tries` draws a round, and what they have walked is stored every `cut` rounds.
+    """
+    given = edges.dropna(subset=["a", "b", "w"]).filter("w > 0")
+    whole = isinstance(given.schema["a"].dataType, (T.IntegerType, T.LongType, T.ShortType))
+    if whole:
+        coded = given.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "w")
+    else:
+        names = stored(positions(given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct(), "node"), "walk-names")
+        coded = given.join(names.select(F.col("node").alias("a"), F.col("idx").cast("long").alias("_a")), "a").join(names.select(F.col("node").alias("b"), F.col("idx").cast("long").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "w")
+    adj = stored(coded.select(F.col("a").alias("cur"), F.col("b").alias("nxt"), "w").unionByName(coded.select(F.col("b").alias("cur"), F.col("a").alias("nxt"), "w")), "walk-edges")
+    slots, nodes = alias_rows(adj, part)
+    start = nodes.select("cur", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("_r")).select((F.col("cur") * walks + F.col("_r")).alias("walk"), "cur")
+    if adj.count() <= held_edges:
+        out = _held_walks(start, adj, slots, nodes, length, p, q, seed)
+    else:
+        out = _joined_walks(start, adj, slots, nodes, length, p, q, seed, tries, cut)
+    if whole:
+        return out.withColumn("nodes", F.col("nodes").cast(T.ArrayType(given.schema["a"].dataType)))
+    each = out.select("walk", F.posexplode("nodes").alias("at", "idx")).join(names, "idx")
+    return each.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("_n")).select("walk", F.transform("_n", lambda x: x["node"]).alias("nodes"))
+
+
+def _held_walks(start: DataFrame, adj: DataFrame, slots: DataFrame, nodes: DataFrame, length: int, p: float, q: float, seed: int) -> DataFrame:
+    t = slots.toArrow()  # at most held_edges rows
+    cur, at, slot, nxt, prob, other = (t.column(c).to_numpy() for c in ("cur", "part", "slot", "nxt", "prob", "other"))
+    order = np.lexsort((slot, at, cur))
+    cur, at, nxt, prob, other = (x[order] for x in (cur, at, nxt, prob, other))
+    ids = np.unique(cur)
+    pairs = adj.select("cur", "nxt").toArrow()
+    known = np.unique(np.searchsorted(ids, pairs.column("cur").to_numpy()) * len(ids) + np.searchsorted(ids, pairs.column("nxt").to_numpy()))
+    first = np.flatnonzero(np.append(True, (cur[1:] != cur[:-1]) | (at[1:] != at[:-1]))) if len(cur) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(cur)))
+    weights = {(r["cur"], x["part"]): x["whole"] for r in nodes.toLocalIterator() for x in r["parts"]}
+    whole = np.array([weights[c, a] for c, a in zip(cur[first].tolist(), at[first].tolist(), strict=True)])
+    owner = np.searchsorted(ids, cur[first])
+    begin = np.searchsorted(owner, np.arange(len(ids) + 1))
+    graph = adj.sparkSession.sparkContext.broadcast((ids, np.searchsorted(ids, nxt), prob, np.searchsorted(ids, other), first, size, whole, begin, known))
+    most = max(1.0, 1 / p, 1 / q)
 
-from ..sources.shared import stored
-
-
-def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float = 1.0, q: float = 0.7, seed: int = 42, cut: int = 8) -> DataFrame:
-    """(walk, nodes): `walks` walks from every node of (a, b, w); return bias 1/p, 1 to a common neighbour, else 1/q.
-
-    A walker carries at most `cut` nodes through the joins: what it has walked is stored every `cut` steps and put together at the end."""
-    adj = stored(edges.select(F.col("a").alias("cur"), F.col("b").alias("nxt"), "w").unionByName(edges.select(F.col("b").alias("cur"), F.col("a").alias("nxt"), "w")), "walk-edges")
-    kind = adj.schema["cur"].dataType
-    start = adj.select("cur").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    front = start.select(F.xxhash64("cur", "walk").alias("walk"), "cur", F.lit(None).cast(kind).alias("prev"), F.array("cur").alias("tail"))
-    near = adj.select(F.col("cur").alias("prev"), F.col("nxt"), F.lit(True).alias("common")).distinct()
-    done = None
-    for step in range(1, length):
-        options = front.join(adj, "cur").join(near, ["prev", "nxt"], "left")
-        bias = F.when(F.col("prev").isNull(), 1.0).when(F.col("nxt") == F.col("prev"), 1.0 / p).when(F.col("common"), 1.0).otherwise(1.0 / q)
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walk", "nxt"), F.lit(2**52)) + 0.5) / float(2**52)
-        race = -F.log(u) / (F.col("w") * bias)
-        front = options.groupBy("walk", "cur").agg(F.min_by("nxt", race).alias("nxt"), F.first("tail").alias("tail"))
-        front = front.select("walk", F.col("nxt").alias("cur"), F.col("cur").alias("prev"), F.concat("tail", F.array("nxt")).alias("tail"))
-        if step % cut == 0 or step == length - 1:
+    def run(batches):
+        ids, nxt, prob, other, first, size, whole, begin, known = graph.value
+        cum = whole.cumsum()
+        for b in batches:
+            walk = b.column("walk").to_numpy()
+            path = np.zeros((len(walk), length), np.int64)
+            path[:, 0] = np.searchsorted(ids, b.column("cur").to_numpy())
+            for step in range(1, length):
+                todo, attempt = np.arange(len(walk)), 0
+                while len(todo):
+                    c, w = path[todo, step - 1], walk[todo]
+                    u, v, x, y = (uniforms(seed, k, w, step, attempt) for k in range(4))
+                    low = np.where(begin[c] > 0, cum[begin[c] - 1], 0.0)
+                    one = np.minimum(np.maximum(np.searchsorted(cum, low + u * (cum[begin[c + 1] - 1] - low), "right"), begin[c]), begin[c + 1] - 1)
+                    place = first[one] + np.minimum((v * size[one]).astype(np.int64), size[one] - 1)
+                    to = np.where(x < prob[place], nxt[place], other[place])
+                    if step == 1:
+                        bias = np.full(len(to), most)
+                    else:
+                        prev = path[todo, step - 2]
+                        code = prev * len(ids) + to
+                        near = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+                        bias = np.where(to == prev, 1 / p, np.where(near, 1.0, 1 / q))
+                    ok = y * most < bias
+                    path[todo[ok], step] = to[ok]
+                    todo, attempt = todo[~ok], attempt + 1
+            yield pa.RecordBatch.from_arrays([pa.array(walk), pa.ListArray.from_arrays(pa.array(np.arange(len(walk) + 1, dtype=np.int32) * length), pa.array(ids[path].ravel()))], ["walk", "nodes"])
+
+    return start.repartition("walk").mapInArrow(run, "walk long, nodes array<long>")
+
+
+def _joined_walks(start: DataFrame, adj: DataFrame, slots: DataFrame, nodes: DataFrame, length: int, p: float, q: float, seed: int, tries: int, cut: int) -> DataFrame:
+    most = max(1.0, 1 / p, 1 / q)
+    near = adj.select(F.col("cur").alias("prev"), "nxt", F.lit(True).alias("common")).distinct()
+    front = start.select("walk", "cur", F.lit(None).cast("long").alias("prev"), F.lit(1).alias("step"), F.lit(0).alias("attempt"), F.array("cur").alias("tail"))
+
+    def drawn(batches):
+        for b in batches:
+            cols = {c: b.column(c) for c in b.schema.names}
+            walk, step, attempt = (cols[c].to_numpy(zero_copy_only=False) for c in ("walk", "step", "attempt"))
+            for k in range(tries):
+                us = [pa.array(uniforms(seed, i, walk, step, attempt + k)) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(np.full(len(walk), k, np.int32)), *us], [*cols, "k", "u", "v", "x", "y"])
+
+    total = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["whole"])
+    sums = F.aggregate("parts", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x["whole"])))
+    done, n = None, 0
+    while True:
+        active = front.filter(F.col("step") < length)
+        c = active.mapInArrow(drawn, "walk long, cur long, prev long, step int, attempt int, tail array<long>, k int, u double, v double, x double, y double")
+        c = c.join(nodes, "cur").withColumn("_cum", sums).withColumn("_at", F.least(F.size(F.filter("_cum", lambda s: s <= F.col("u") * total)), F.size("parts") - 1))
+        c = c.withColumn("_part", F.col("parts")[F.col("_at")]).withColumns({"part": F.col("_part.part"), "slot": F.least(F.floor(F.col("v") * F.col("_part.n")).cast("int"), F.col("_part.n") - 1)})
+        c = c.drop("parts", "_cum", "_at", "_part", "u", "v").join(slots, ["cur", "part", "slot"]).withColumn("nxt", F.when(F.col("x") < F.col("prob"), F.col("nxt")).otherwise(F.col("other")))
+        c = c.join(near, ["prev", "nxt"], "left")
+        bias = F.when(F.col("prev").isNull(), most).when(F.col("nxt") == F.col("prev"), 1.0 / p).when(F.col("common"), 1.0).otherwise(1.0 / q)
+        first = F.min(F.when(F.col("y") * most < bias, F.struct("k", "nxt")))
+        moved = c.groupBy("walk", "cur", "prev", "step", "attempt").agg(first.alias("_to"), F.first("tail").alias("tail"))
+        ok = F.col("_to").isNotNull()
+        moved = moved.select("walk", F.when(ok, F.col("_to.nxt")).otherwise(F.col("cur")).alias("cur"), F.when(ok, F.col("cur")).otherwise(F.col("prev")).alias("prev"), F.when(ok, F.col("step") + 1).otherwise(F.col("step")).alias("step"), F.when(ok, 0).otherwise(F.col("attempt") + tries).alias("attempt"), F.when(ok, F.concat("tail", F.array("_to.nxt"))).otherwise(F.col("tail")).alias("tail"))
+        front = moved.unionByName(front.filter(F.col("step") >= length))
+        n += 1
+        if n % cut == 0 or n >= length - 1:
             front = stored(front, "walk-front")
-            part = front.select("walk", F.lit(step).alias("step"), "tail")
+            part = front.select("walk", F.lit(n).alias("leg"), "tail")
             done = part if done is None else done.unionByName(part)
-            front = front.withColumn("tail", F.array().cast(front.schema["tail"].dataType))
-    if done is None:
-        done = front.select("walk", F.lit(0).alias("step"), "tail")
-    parts = done.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "tail"))).alias("parts"))
+            front = front.filter(F.col("step") < length).withColumn("tail", F.array().cast("array<long>"))
+            if not front.take(1):
+                break
+    parts = done.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("leg", "tail"))).alias("parts"))
     return parts.select("walk", F.flatten(F.transform("parts", lambda x: x["tail"])).alias("nodes"))
 
 
-def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 10, seed: int = 42) -> DataFrame:
-    """(gene, v) from walks of nodes."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+# ---- skip-gram ----------------------------------------------------------------------------------
+
+
+def _train(centre: np.ndarray, context: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, rate: float, negative: int, seed: int, batch: int = 512, shared: int = 64) -> None:
+    """Steps of the negative-sampling loss over pairs (places in a and b), in place. Each batch shares `shared` negatives, which count as `negative` a pair."""
+    cum = weight.cumsum()
+    for lo in range(0, len(centre), batch):
+        i, j = centre[lo : lo + batch], context[lo : lo + batch]
+        neg = np.minimum(np.searchsorted(cum, uniforms(seed, 7, np.arange(shared), lo) * cum[-1], "right"), len(cum) - 1)
+        x, y, z = a[i], b[j], b[neg]
+        g = rate * (1 - 1 / (1 + np.exp(-np.clip((x * y).sum(1), -30, 30))))[:, None]
+        h = -rate * negative / shared / (1 + np.exp(-np.clip(x @ z.T, -30, 30)))
+        h[j[:, None] == neg[None, :]] = 0.0  # a context is no negative of itself
+        np.add.at(a, i, g * y + h @ z)
+        np.add.at(b, j, g * x)
+        np.add.at(b, neg, h.T @ x)
+
+
+def _cell_step(at: int, rate: float, negative: int, seed: int):
+    """The function that trains one slice of a cell: left its pairs, right its two blocks of parameters."""
+
+    def trained(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        side, no, c = (right.column(x).to_numpy() for x in ("side", "no", "c"))
+        v = vectors(right.column("v"))
+        parts = []
+        for s in (0, 1):
+            on = np.flatnonzero(side == s)
+            parts.append(on[np.argsort(no[on])])
+        a, b = v[parts[0]], v[parts[1]]
+        if left.num_rows:
+            ci, xi, w = (left.column(x).to_numpy() for x in ("ci", "xi", "walk"))
+            order = np.lexsort((w, xi, ci, uniforms(seed, 5, ci, xi, w, np.full(len(ci), at))))
+            _train(np.searchsorted(no[parts[0]], ci[order]), np.searchsorted(no[parts[1]], xi[order]), a, b, c[parts[1]] ** 0.75, rate, negative, seed + at)
+        return pa.table({"side": np.repeat([0, 1], [len(a), len(b)]).astype(np.int32), "no": np.concatenate([no[parts[0]], no[parts[1]]]), "v": pa.array([*a.tolist(), *b.tolist()], pa.list_(pa.float64()))})
+
+    return trained
+
+
+def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 10, negative: int = 5, seed: int = 42, rate: float = 0.025, cell_pairs: int = 2_000_000, block_nodes: int = 100_000) -> DataFrame:
+    """(gene, v) from walks of nodes (walk, nodes), deterministic by seed."""
+    kind = walks.schema["nodes"].dataType.elementType
+    counts = stored(walks.select(F.explode("nodes").alias("gene")).groupBy("gene").agg(F.count(F.lit(1)).alias("c")), "gram-counts")
+    genes = counts.count()
+    blocks = max(1, -(-genes // block_nodes))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = stored(positions(counts, "gene").withColumn("blk", block(F.col("gene"))), "gram-nodes").withColumnRenamed("idx", "no")
+    tokens = walks.select("walk", F.posexplode("nodes").alias("at", "gene")).join(placed.select("gene", "no"), "gene")
+    coded = tokens.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("at", "no"))).alias("t")).select("walk", F.transform("t", lambda x: x["no"].cast("long")).alias("t"))
+
+    def paired(batches):
+        for b in batches:
+            for w, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.values.to_numpy(zero_copy_only=False)
+                i, j = [], []
+                for d in range(1, window + 1):
+                    # the window of a centre is drawn from 1 to `window`, as is usual
+                    for s, o in ((np.arange(len(t) - d), d), (np.arange(d, len(t)), -d)):
+                        on = 1 + np.floor(uniforms(seed, 3, w, s) * window) >= d
+                        i.append(t[s[on]]), j.append(t[s[on] + o])
+                i, j = np.concatenate(i), np.concatenate(j)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), w)), pa.array(i), pa.array(j)], ["walk", "ci", "xi"])
+
+    pairs = coded.select(F.xxhash64("walk").alias("walk"), "t").mapInArrow(paired, "walk long, ci long, xi long")
+    where = placed.select("no", "blk")
+    pairs = pairs.join(where.select(F.col("no").alias("ci"), F.col("blk").alias("bi")), "ci").join(where.select(F.col("no").alias("xi"), F.col("blk").alias("bj")), "xi") if blocks > 1 else pairs.withColumns({"bi": F.lit(0), "bj": F.lit(0)})
+    pairs = stored(pairs.select("walk", "ci", "xi", "bi", "bj"), "gram-pairs")
+    cells = {(r["bi"], r["bj"]): r["n"] for r in pairs.groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("n")).collect()}  # blocks^2
+    slices = {k: max(1, -(-n // cell_pairs)) for k, n in cells.items()}
+    most = max(slices.values(), default=1)
+    n_slices = F.coalesce(*[F.when((F.col("bi") == i) & (F.col("bj") == j), F.lit(s)) for (i, j), s in slices.items() if s > 1], F.lit(1)) if most > 1 else F.lit(1)
+    pairs = pairs.withColumn("slice", F.pmod(F.xxhash64("walk"), n_slices.cast("long")).cast("int"))
+
+    def begun(batches):
+        for b in batches:
+            no = b.column("no").to_numpy()
+            a = np.stack([uniforms(seed, 11, no, i) for i in range(dim)], 1) - 0.5 if len(no) else np.zeros((0, dim))
+            yield pa.RecordBatch.from_arrays([b.column("no"), b.column("blk"), b.column("c"), pa.array((a / dim).tolist(), pa.list_(pa.float64())), pa.array(np.zeros((len(no), dim)).tolist(), pa.list_(pa.float64()))], ["no", "blk", "c", "a", "b"])
+
+    params = stored(placed.select(F.col("no").cast("long").alias("no"), "blk", "c").mapInArrow(begun, "no long, blk int, c long, a array<double>, b array<double>"), "gram-params")
+    kinds = "side int, no long, v array<double>"
+    for epoch in range(epochs):
+        for shift in range(blocks):
+            at = epoch * blocks + shift
+            lr = max(rate * 1e-2, rate * (1 - at / (epochs * blocks)))
+            mine = pairs.filter(F.pmod(F.col("bj") - F.col("bi"), F.lit(blocks)) == shift)
+            copies = F.explode(F.sequence(F.lit(0), n_slices - 1))
+            ins = params.select(F.col("blk").alias("bi"), F.pmod(F.col("blk") + shift, F.lit(blocks)).alias("bj"), F.lit(0).alias("side"), "no", "c", F.col("a").alias("v"))
+            outs = params.select(F.pmod(F.col("blk") - shift, F.lit(blocks)).alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), "no", "c", F.col("b").alias("v"))
+            both = ins.unionByName(outs).withColumn("slice", copies)
 
-    words = walks.select(F.col("nodes").cast("array<string>").alias("nodes"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, maxIter=epochs, minCount=0, seed=seed, inputCol="nodes", outputCol="v").fit(words)
-    return model.getVectors().select(F.col("word").alias("gene"), vector_to_array("vector").cast("array<float>").alias("v"))
+            keys = ["bi", "bj", "slice"]
+            new = mine.select(*keys, "ci", "xi", "walk").groupBy(*keys).cogroup(both.groupBy(*keys)).applyInArrow(_cell_step(at, lr, negative, seed), kinds)
+            if most > 1:
+                new = new.groupBy("side", "no").agg(*[F.avg(F.col("v")[i]).alias(f"_v{i}") for i in range(dim)]).select("side", "no", F.array(*[f"_v{i}" for i in range(dim)]).alias("v"))
+            new = stored(new, "gram-new")
+            a, b = new.filter("side = 0").select("no", F.col("v").alias("a")), new.filter("side = 1").select("no", F.col("v").alias("b"))
+            nxt = stored(params.drop("a", "b").join(a, "no").join(b, "no"), "gram-params")
+            dropped(params, new)
+            params = nxt
+    out = params.select("no", F.col("a").cast("array<float>").alias("v")).join(placed.select(F.col("no").cast("long").alias("no"), F.col("gene").cast(kind).alias("gene")), "no").select("gene", "v")
+    return out
