@@ -5,7 +5,7 @@ Texts are cut at punctuation and line ends into pieces, and those into words; ph
 
 1. Words, the first level of the tries, are counted in each task, then by group and word. Frequent words go into a sieve (a Bloom filter of fixed size,
    whatever their number: a false positive costs rows, never a phrase).
-2. Pairs of such words, then triples of frequent pairs, and so on below `depth`, are counted by 32 bits of their hash, packed by ranges of these; cells that reach `least`
+2. Pairs of such words, then triples of frequent pairs, and so on up to `depth`, are counted by 32 bits of their hash, packed by ranges of these; cells that reach `least`
    go into a sieve for each length. Phrases that share a cell only let more through.
 3. Each shard (a run of texts with at most `shard_words` words) builds a count trie of depth `depth` over the paths that the sieves admit. It is serialised in the order of
    paths, a node as one row: the hashes of its words, its last word, its count.
@@ -219,7 +219,7 @@ def _path(depth: int) -> list[str]:
 
 def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_000) -> DataFrame:
     """(grp, w1.., word, c): the nodes of two or more words of the tries of all shards, each in the order of paths."""
-    held, depth = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves) + 1
+    held, depth = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves)
 
     def serialised(shards):
         for g, s in shards.items():
@@ -231,7 +231,7 @@ def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_
             for b in batches:
                 for group, flat in _group_blocks(b):
                     h = hashes(flat, known)
-                    runs = _admitted(h, np.uint64(known[STOP]), group, held.value)[1:]
+                    runs = _admitted(h, np.uint64(known[STOP]), group, held.value)[1:depth]
                     s = shards.setdefault(group, {"h": [], "runs": [[] for _ in runs], "n": 0, "words": {}})
                     for d, at in enumerate(runs):
                         s["runs"][d].append(at + s["n"])
@@ -332,7 +332,7 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     totals = stash(counts.groupBy("grp").agg(F.sum("c").alias("n")), "group-words")
     often = counts.filter(F.col("c") >= least)
     sieves = [sieve_of(_word_keys(often), sieve_bits)]
-    for _ in range(2, depth):
+    for _ in range(2, depth + 1):
         sieves.append(sieve_of(frequent_cells(texts, sieves, least), sieve_bits))
     tries = stash(shard_tries(texts, sieves), "shard-tries", "zstd")
     nodes = stash(merged(tries, depth, least).unionByName(first_level(often, depth)), "trie")
