@@ -87,6 +87,16 @@ def unused(df: DataFrame, name: str) -> str:
     return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(held) + 2))) if x.lower() not in held)
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands in an expression or schema, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def refuse_clash(df: DataFrame, names: list[str]) -> None:
     """ValueError if `df` has columns of these names, which an operator adds beside the columns it carries along."""
     if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:

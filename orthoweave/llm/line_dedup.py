@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, discard, refuse_clash, small, stash, text_batches, trimmed
+from .common import attach, columns, discard, refuse_clash, small, stash, text_batches, trimmed
 from .jaccard_join import _Words, shingles, texts_of
 
 SEED = 42  # of Spark's xxhash64
@@ -63,7 +63,7 @@ def clean(docs: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col:
     text_batches(docs.sparkSession)
     few = spread.limit(broadcast_lines + 1).count() <= broadcast_lines
     copies = near_copies(docs, spread, few, id_col, text_col, min_chars, copy_lines, num, den, n)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in _row_key(id_col, text_col).items()])
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), *[c.alias(k) for k, c in _row_key(id_col, text_col).items()])
     marked = rows.join(small(copies), ["_k", "_t1", "_t2"], "left").select("row", F.coalesce("_copy", F.lit(False)).alias("copy"))
     out = (_clean_by_set if few else _clean_by_join)(marked, spread, docs.columns.index(id_col), docs.columns.index(text_col), min_chars)
     return out.select("row.*", *[F.col(c).alias(prefix + c) for c in ADDED])
@@ -124,31 +124,40 @@ def near_copies(docs: DataFrame, spread: DataFrame, few: bool, id_col: str, text
 
 def _clean_by_set(rows: DataFrame, spread: DataFrame, id_at: int, text_at: int, min_chars: int) -> DataFrame:
     """row and ADDED of rows (row, copy)."""
-    held = rows.sparkSession.sparkContext.broadcast({(r["h1"], r["h2"]): r["first_id"] for r in spread.toLocalIterator()})
+    found = spread.select("h1", "h2", "first_id").toArrow()  # at most broadcast_lines rows, held as two sorted arrays of numbers and one of ids
+    h1, h2 = (found.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2"))
+    order = np.lexsort((h2, h1))
+    held = rows.sparkSession.sparkContext.broadcast((h1[order], h2[order], found.column("first_id").combine_chunks().take(pa.array(order))))
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
+    def place(raw: bytes) -> int:
+        """Where a line stands among the spread ones, or -1."""
+        one, two, _ = held.value
+        key = signed(xxhash.xxh64_intdigest(raw, SEED))
+        lo = int(one.searchsorted(key))
+        if lo == len(one) or one[lo] != key:
+            return -1
+        other = signed(xxhash.xxh64_intdigest(b"2:" + raw, SEED))
+        while lo < len(one) and one[lo] == key:
+            if two[lo] == other:
+                return lo
+            lo += 1
+        return -1
+
     def one(doc, text, copy):
         lines = (text or "").split("\n")
-        keys = {}
+        keys: dict[int, list] = {}
         for i, line in enumerate(lines):
-            if len(line) >= min_chars:
-                raw = line.encode("utf-8", "surrogatepass")
-                h1 = signed(xxhash.xxh64_intdigest(raw, SEED))
-                if h1 in firsts:
-                    key = (h1, signed(xxhash.xxh64_intdigest(b"2:" + raw, SEED)))
-                    if key in held.value:
-                        keys.setdefault(key, []).append(i)
+            if len(line) >= min_chars and (at := place(line.encode("utf-8", "surrogatepass"))) >= 0:
+                keys.setdefault(at, []).append(i)
         if not keys or copy:
             return len(lines), len(keys), copy, text
-        gone = {i for key, places in keys.items() for i in (places[1:] if held.value[key] == doc else places)}
+        gone = {i for at, places in keys.items() for i in (places[1:] if held.value[2][at].as_py() == doc else places)}
         return len(lines), len(keys), copy, "\n".join(x for i, x in enumerate(lines) if i not in gone)
 
-    firsts: set = set()
-
     def run(batches):
-        firsts.update(k[0] for k in held.value)
         for b in batches:
             row = b.column(0)
             found = [one(*x) for x in zip(row.field(id_at).to_pylist(), row.field(text_at).to_pylist(), b.column(1).to_pylist(), strict=True)]

@@ -2,14 +2,16 @@
 
 Base spans are the leftmost non-overlapping matches of the four patterns, found in time linear in the text. The field labels the
 candidate tokens of a document (white-space tokens with a digit or an @) as email, ip, card, phone or other. Tokens that stand
-side by side share a chain potential; distant tokens of equal or similar content (same characters without punctuation and case, or
-same digits) share a skip potential, linking each occurrence to the one before it and to the first one, so a token repeated k times
+side by side share a chain potential; distant tokens of equal or similar content (same characters without punctuation and case, same
+digits, same last seven or first twelve digits, or same part before an @) share a skip potential, linking each occurrence to the one before it and to the first one, so a token repeated k times
 has fewer than 2k links, all of them two steps apart at most. Loopy sum-product message passing runs over all documents of an Arrow
 batch as one graph in numpy; each document stops by its own change, so that its result does not depend on its neighbours. A token whose
 marginal for a kind reaches `threshold` and that overlaps no base span becomes a further span; base spans always stay.
 
 Weights are learned by pseudo-likelihood, which is a sum over tokens given the labels of their neighbours: whole documents are
-labelled by their base spans, and of all their tokens at most `max_train_tokens` are used, chosen by a hash of text and place, from at most
+labelled by their base spans. Base spans alone would teach the pair weights nothing, as node features give them away; so every base span is
+also shown damaged (without plus sign or separators, a digit changed, a domain cut): linked to an intact mention it has that
+mention's label, alone or linked to others like it it is other. Tokens of base spans are given when messages are passed. What decides about a damaged mention at a distance from an intact one is therefore the skip potential. Of all their tokens at most `max_train_tokens` are used, chosen by a hash of text and place, from at most
 `max_train_docs` documents that hold candidates, chosen by a hash of id and text (both documented parameters).
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; equal texts give equal spans; an
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hashed_share, stash, text_batches, trimmed
+from .common import discard, hashed_share, quoted, stash, text_batches, trimmed
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -84,6 +86,35 @@ def base_spans(text: str) -> list[Span]:
 N_FEATURES = 25
 
 
+def similar(tok: str, run: str = "") -> set[str]:
+    """The keys that link a token with others; run: the digits of the tokens beside each other up to and with it."""
+    digits, local = DIGITS.sub("", tok), tok.lower().partition("@")[0] if "@" in tok else ""
+    keys = {"t" + CORE.sub("", tok.lower())}
+    if len(digits) >= 6:
+        keys.add("d" + digits)
+    for d in (digits, run if digits else ""):
+        if len(d) >= 7:
+            keys.add("e" + d[-7:])
+        if 13 <= len(d) <= 19:
+            keys.add("c" + d[:12])
+    if len(local) >= 4:
+        keys.add("m" + local)
+    return {k for k in keys if len(k) > 3}
+
+
+def damaged(mention: str, kind: str, way: int) -> str:
+    """A mention as it may stand elsewhere, outside the patterns."""
+    digits = DIGITS.sub("", mention)
+    if kind == "email":
+        local, _, domain = mention.partition("@")
+        return f"{local}@{domain.partition('.')[0]}" if way else f"{local}@{domain.replace('.', '(dot)')}"
+    if kind == "ip":
+        return mention.replace(".", "-" if way else "_")
+    if kind == "card":
+        return digits[:-1] + (str((int(digits[-1]) + 1) % 10) if way else "")
+    return digits if way else mention.lstrip("+")
+
+
 def _features(tok: str) -> list[float]:
     n, d = len(tok), sum(c.isdigit() for c in tok)
     a = sum(c.isalpha() for c in tok)
@@ -104,7 +135,7 @@ class Graph:
                 continue
             seen: dict[str, int] = {}
             firsts: dict[str, int] = {}
-            before = -1
+            before, run = -1, ""
             for m in TOKEN.finditer(text):
                 tok = m[0]
                 if not ANY.search(tok):
@@ -117,15 +148,14 @@ class Graph:
                 if beside:
                     chain.append((before, i))
                 before = i
-                digits = DIGITS.sub("", tok)
-                keys = {"t" + CORE.sub("", tok.lower())} | ({"d" + digits} if len(digits) >= 6 else set())
+                run = (run if beside else "")[-19:] + DIGITS.sub("", tok)
+                keys = similar(tok, run)
                 for last in sorted({at[key] for key in keys for at in (seen, firsts) if key in at}):
                     if last != i - 1 or not beside:
                         skip.append((last, i))
                 for key in keys:
-                    if len(key) > 3:
-                        seen[key] = i
-                        firsts.setdefault(key, i)
+                    seen[key] = i
+                    firsts.setdefault(key, i)
         self.x = np.array(feats, float).reshape(-1, N_FEATURES)
         self.edges = np.array(chain + skip, np.int64).reshape(-1, 2)
         self.kind = np.array([0] * len(chain) + [1] * len(skip), np.int64)
@@ -148,17 +178,25 @@ class Graph:
         return out
 
 
+#: The score of a label that is known.
+GIVEN = 50.0
+
+
 class Field:
     """Weights: node [features, labels], pair [chain or skip, label, label]."""
 
     def __init__(self):
         self.node, self.pair, self.trained = np.zeros((N_FEATURES, 5)), np.zeros((2, 5, 5)), False
 
-    def marginals(self, g: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product beliefs of the tokens. Sums run in one order for a document, whatever stands beside it."""
+    def marginals(self, g: Graph, known: np.ndarray | None = None, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+        """Loopy sum-product beliefs of the tokens; tokens of base spans (`known` > 0, a label) are given. Sums run in one order for a
+        document, whatever stands beside it."""
         phi = np.zeros((len(g.x), 5))
         for j in range(N_FEATURES):
             phi += g.x[:, j : j + 1] * self.node[j]
+        if known is not None:
+            given = np.flatnonzero(known)
+            phi[given] = GIVEN * (np.arange(5) == known[given, None])
         if len(g.edges):
             src = np.concatenate([g.edges[:, 0], g.edges[:, 1]])
             dst = np.concatenate([g.edges[:, 1], g.edges[:, 0]])
@@ -186,7 +224,7 @@ class Field:
         p = np.exp(phi - phi.max(1, keepdims=True)) if len(phi) else phi
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, near: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> Field:
+    def fit(self, x: np.ndarray, y: np.ndarray, near: np.ndarray, steps: int = 1000, rate: float = 0.5, l2: float = 1e-4) -> Field:
         """Pseudo-likelihood of tokens (features x, labels y) given `near`, the labels of their neighbours counted [link, token, label]."""
         if not len(y):
             return self
@@ -211,7 +249,7 @@ def all_spans(texts: list[str | None], field: Field, threshold: float = 0.7) ->
     if field.trained:
         g = Graph(texts)
         if len(g.doc):
-            p = field.marginals(g)
+            p = field.marginals(g, g.labels(base))
             best = p.argmax(1)
             taken: dict[int, list] = {}
             for i in np.flatnonzero((best > 0) & (p.max(1) >= threshold)).tolist():
@@ -298,9 +336,24 @@ def _tokens_of(batches):
     for b in batches:
         for h, t in zip(b.column("h").to_pylist(), b.column("t").to_pylist(), strict=True):
             g = Graph([t])
-            y = g.labels([base_spans(t)])
-            flat = np.concatenate([y[:, None], g.x, neighbours(g, y).transpose(1, 0, 2).reshape(len(y), 10)], 1).astype(np.float32)
-            for lo in range(0, len(y), 20_000):
+            spans = base_spans(t)
+            y = g.labels([spans])
+            near = neighbours(g, y).transpose(1, 0, 2).reshape(len(y), 10)
+            shown = []
+            for kind, start, end in spans:
+                k = 1 + KINDS.index(kind)
+                for n in range(6):
+                    for m in TOKEN.finditer(damaged(t[start:end], kind, n % 2)):
+                        if ANY.search(m[0]):
+                            x, link, none = _features(m[0]), np.zeros(10), np.zeros(10)
+                            # linked with the mention before, and perhaps the first one, beside none, its own or other tokens; or with no mention
+                            link[5 + k], link[k if n % 3 == 1 else 0], none[0] = 1 + n // 3, n % 3, n % 3
+                            like = none.copy()
+                            like[5] = link[5 + k]  # by another one like it
+                            shown += [[k, *x, *link], [0, *x, *none], [0, *x, *like]]
+            own = np.concatenate([y[:, None], g.x, near], 1)
+            flat = np.concatenate([own, np.array(shown).reshape(-1, own.shape[1])]).astype(np.float32)
+            for lo in range(0, len(flat), 20_000):
                 part = flat[lo : lo + 20_000]
                 x = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), part.ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), h)), pa.array(np.arange(lo, lo + len(part))), x], ["h", "at", "x"])
@@ -324,18 +377,20 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 def redact(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The same rows and columns, with every span of `text_col` replaced by its kind in angle brackets."""
     held = docs.sparkSession.sparkContext.broadcast(field)
-    names = list(docs.columns)
-    at = names.index(text_col)
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(quoted(c)) for c in others]) if others else F.struct(F.lit(0))
+    rows = docs.select(rest.alias("rest"), F.col(quoted(text_col)).alias("text"))  # one column, whatever names there are
 
     def run(batches):
         for b in batches:
-            texts = b.column(at).to_pylist()
+            texts = b.column(1).to_pylist()
             out = []
             for text, (base, added) in zip(texts, all_spans(texts, held.value, threshold), strict=True):
                 out.append(text if not base and not added else replaced(text, base + added))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rest", "text"])
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    out = rows.mapInArrow(trimmed(run), rows.schema)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def replaced(text: str, spans: list[Span]) -> str:

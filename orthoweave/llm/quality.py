@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hashed_share, refuse_clash, text_batches, trimmed, unused
+from .common import hashed_share, quoted, refuse_clash, text_batches, trimmed
 
 NAMES = ["log_bytes", "log_words", "word_length", "unique_words", "top_word", "repeats", "upper", "digits", "punctuation", "spaces", "newlines", "bars", "high_bytes", "unique_lines", "line_length", "loud", "symbol_runs", "single_letters", "angle", "top_byte"]
 _PUNCT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
@@ -148,18 +149,18 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)  # a few kB whatever the corpus
     keep = keep or [id_col]
-    kept = docs.select(*keep)
+    kept = docs.select(*[quoted(c) for c in keep])
     refuse_clash(kept, [score_col])
-    text = unused(kept, "_text")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), F.col(quoted(text_col)).alias("text"))  # one column, whatever names there are
 
     def run(batches):
         for b in batches:
-            texts = b.column(text).to_pylist()
+            texts = b.column(1).to_pylist()
             s = held.value.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, score_col])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["row", "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(trimmed(run), f"{schema}, `{score_col}` double")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(trimmed(run), schema).select("row.*", F.col("score").alias(score_col))
 
 
 def op10_quality(spark, sf_dir):

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -661,7 +662,10 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
                     arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(cols[8]) if cols[8] else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays(arrays, [key_col, "rank", "n_pieces", "logp", "perturbed", "inclusion", "ids_crc32", "decoded", *(["ids"] if with_ids else [])])
 
-    rows = docs.select(F.col(key_col), F.xxhash64(F.lit("segmentation"), F.coalesce(F.col(key_col), F.lit(0))).alias("_seed"), F.col(text_col).alias("_text"))
+    key = F.col(key_col)
+    if isinstance(docs.schema[key_col].dataType, NumericType):  # a null key counts as 0; xxhash64 passes over one of another type
+        key = F.coalesce(key, F.lit(0))
+    rows = docs.select(F.col(key_col), F.xxhash64(F.lit("segmentation"), key).alias("_seed"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, f"`{key_col}` {kind}, {OUT}, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else ""))
 
 

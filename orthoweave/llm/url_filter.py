@@ -165,11 +165,12 @@ JUDGED = "host string, path string, rule string, verdict string, rule_host int"
 
 
 def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20, max_shapes: int = 64) -> DataFrame:
-    """id, host, path, rule (host and path, or null), verdict (allow or block)."""
+    """id, host, path, rule (host and path, or null), verdict (allow or block). A rule that lacks its action, host or path (null) is none."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "action string, host string, path string") if rules else spark.createDataFrame([], "action string, host string, path string")
     low = F.translate("host", UPPER, LOWER)
+    rules = rules.dropna(subset=["action", "host", "path"])
     rules = rules.select(F.concat(low, F.lit("\t"), "path").alias("key"), "action", (F.length(low) - F.length(F.replace(low, F.lit("."), F.lit(""))) + 1).alias("k"), F.length("path").alias("n"))
     shapes = sorted((r["k"], r["n"]) for r in rules.select("k", "n").distinct().collect())  # the shapes of rules, not rules
     kind = pages.schema[id_col].dataType.simpleString()
