@@ -7,7 +7,7 @@ Defined results of every stage: null and empty texts are documents like others (
 leave them as they are; they link with nothing, so the near-duplicate stage keeps them; they have no piece, so packing returns no
 row); null and repeated ids are rows of their own: decisions return to rows by id and text, never by id alone, and of rows that agree in
 both the near-duplicate stage keeps one; whole texts of any length are read; an empty table gives an empty result; further columns are
-carried along, whatever their names, up to packing, which returns its own.
+carried along, whatever their names and types, up to packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoweave.llm import jaccard_join, line_dedup, packing, pii, quality
-from orthoweave.llm.common import discard, small, stash, table, unused
+from orthoweave.llm.common import columns, discard, quoted, small, stash, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the boosted trees, trained on the labelled ones that are not held out, score at 0.5 or more."""
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     score = unused(docs, "score")
-    return quality.score(docs, forest, keep=docs.columns, score_col=score).filter(F.col(score) >= 0.5).select(*docs.columns)
+    return quality.score(docs, forest, keep=docs.columns, score_col=score).filter(F.col(score) >= 0.5).select(*columns(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +39,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id (and text hash), of each component of near-duplicate links."""
-    row = unused(docs, "row")
+    row, mark = unused(docs, "row"), unused(docs, "mark")
     keyed = docs.withColumn(row, F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")))
-    found = stash(jaccard_join.near_components(keyed, id_col=row).select(F.col(row).alias("_row"), F.col("component_id").eqNullSafe(F.col(row)).alias("_stays"), (F.col("n_shingles") > 0).alias("_any")), "near-rows")
-    gone = small(stash(found.filter("not _stays").select("_row").distinct(), "near-dropped"))
-    kept = keyed.join(gone, F.col(row) == F.col("_row"), "left_anti")
-    # rows that agree in id and text are copies of each other
-    twice = stash(found.filter("_stays and _any").groupBy("_row").count().filter("count > 1").select("_row"), "near-repeated")
+    near = jaccard_join.near_components(keyed, id_col=row)
+    found = stash(near.select(F.col(row).alias(mark), F.col("component_id").eqNullSafe(F.col(row)).alias("stays"), (F.col("n_shingles") > 0).alias("any")), "near-rows")
+    gone = small(stash(found.filter("not stays").select(mark).distinct(), "near-dropped"))
+    kept = keyed.join(gone, F.col(row) == F.col(mark), "left_anti")
+    # rows that agree in id and text are copies of each other; their further columns are compared as JSON, which any type has
+    twice = stash(found.filter("stays and any").groupBy(mark).count().filter("count > 1").select(mark), "near-repeated")
     if twice.take(1):
-        again = kept.join(small(twice), F.col(row) == F.col("_row"), "left_semi").groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("_whole")).select("_whole.*")
-        kept = kept.join(small(twice), F.col(row) == F.col("_row"), "left_anti").select(*docs.columns).unionByName(again)
+        whole = F.struct(*columns(docs))
+        again = kept.join(small(twice), F.col(row) == F.col(mark), "left_semi").groupBy(row).agg(F.min_by(whole, F.to_json(whole)).alias(mark)).select(f"{mark}.*")
+        kept = kept.join(small(twice), F.col(row) == F.col(mark), "left_anti").select(*columns(docs)).unionByName(again)
     discard(found)
-    return kept.select(*docs.columns)
+    return kept.select(*columns(docs))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +66,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The columns of `docs`, the text being `text` and n_chars its length."""
-    n_chars = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[F.col(text).alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """The columns of `docs`, the text being `text` and n_chars, if there is one, its length."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return rows.select(*[F.col(text).alias("text") if c == "text" else F.length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
 STAGES = [("quality", quality_stage), ("line dedup", line_stage), ("near duplicates", near_stage), ("personal data", pii_stage), ("packing", packing_stage)]
