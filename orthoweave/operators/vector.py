@@ -78,8 +78,8 @@ def best_of(q: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int):
 def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, broadcast_bytes: int = 64 << 20, block: int | None = None) -> DataFrame:
     """(q, rank, nbr, sim): exact cosine neighbours of the queries in the corpus, k being clamped to its size.
 
-    A corpus of up to `broadcast_bytes` is broadcast; a larger one is cut into blocks of that size (or of `block` vectors), every
-    slice of as many queries meets every corpus block, and the best of each are merged. Similarities are made for a few million pairs at a time.
+    A corpus of up to `broadcast_bytes` is broadcast; a larger one is searched by pivots (`pivot_search`) in blocks of that size (or of
+    `block` vectors). Similarities are made for a few million pairs at a time.
     """
     spark = queries.sparkSession
     size = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -102,30 +102,111 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fals
 
         best = queries.select(F.col("id").cast("long"), "v").mapInArrow(run, "q long, nbr long, sim double")
     else:
-        block = block or max(1024, broadcast_bytes // (8 * max(1, d)))
-        blocks = max(1, -(-n // block))
-        tagged = corpus.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("is_q"), F.col("id").cast("long").alias("id"), "v")
-        asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("is_q"), F.col("id").cast("long").alias("id"), "v")
-
-        def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            q, x = _matrix(left.column("id").combine_chunks(), left.column("v").combine_chunks())
-            c, y = _matrix(right.column("id").combine_chunks(), right.column("v").combine_chunks())
-            step = rows_at_once(len(c))
-            parts = [best_of(q[lo : lo + step], c, x[lo : lo + step] @ y.T, kk) for lo in range(0, len(q), step) if len(c)]
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, float))]
-            return pa.table({"q": cols[0], "nbr": cols[1], "sim": cols[2]})
-
-        # query slices keep the groups small: a group is one slice of queries with one corpus block
-        slices = max(1, -(-queries.count() // block))
-        sliced = asked.withColumn("slice", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(slices)))
-        spread = tagged.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-        best = sliced.groupBy("slice", "block").cogroup(spread.groupBy("slice", "block")).applyInArrow(meet, "q long, nbr long, sim double")
+        best, _ = pivot_search(queries, corpus, kk, n, block or max(1024, broadcast_bytes // (8 * max(1, d))))
     if exclude_self:
         best = best.filter("q <> nbr")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "nbr")))
     return ranked.filter(F.col("rank") <= k).select("q", "rank", "nbr", "sim")
 
 
+#: A cell is skipped only if its bound lies this far beyond the k-th neighbour: more than any rounding of distances.
+SLACK = 1e-6
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
+
+
+def pivot_search(queries: DataFrame, corpus: DataFrame, k: int, n: int, block: int, cells_a_block: int = 4, most_pivots: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """((q, nbr, sim) that hold each query's k best; (q, cells, visited): how many cells there are, and how many it had to visit.)
+
+    Vectors lie on the unit sphere, so the best are the nearest. Corpus vectors belong to the cell of their nearest pivot (at most `most_pivots` of
+    the corpus, by a hash; they are broadcast), of which least and largest distance are known. A query first meets its nearest cells that have k vectors together, which bounds the distance of its k-th
+    neighbour; then it visits those cells only that the triangle inequality cannot rule out: |d(q, pivot) - d(x, pivot)| <= d(q, x). Cells are cut into parts, and the queries that visit
+    a part into slices, of about `block` rows, and a task takes one part with one slice."""
+    spark = corpus.sparkSession
+    want = max(1, min(most_pivots, n, cells_a_block * -(-n // block)))
+    share = corpus.select(F.col("id").cast("long").alias("id"), "v")
+    chosen = share.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(want).toArrow()
+    _, pivots = _matrix(chosen.column("id").combine_chunks(), chosen.column("v").combine_chunks()) if n else (None, np.zeros((0, 0)))
+    held = spark.sparkContext.broadcast(pivots)
+
+    def placed(batches):
+        for b in batches:
+            ids, x = _matrix(b.column(0), b.column(1))
+            for lo in range(0, len(ids), step := rows_at_once(len(held.value))):
+                far = _distances(x[lo : lo + step], held.value)
+                at = far.argmin(1)
+                part = b.slice(lo, len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), part.column(0), part.column(1), pa.array(far[np.arange(len(at)), at])], ["cell", "id", "v", "far"])
+
+    kind = corpus.schema["v"].dataType.simpleString()
+    schema = f"cell int, id long, v {kind}, far double"
+    own = stored(share.mapInArrow(placed, schema), "pivot-cells")
+    asked = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast(kind).alias("v"))
+    sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).toArrow()  # a row a pivot
+    cell, many, lo, hi = (sizes.column(c).to_numpy() for c in ("cell", "n", "lo", "hi"))
+    order = np.argsort(cell)
+    bounds = spark.sparkContext.broadcast((cell[order], lo[order], hi[order], many[order]))
+    parts = spark.createDataFrame([(int(c), max(1, -(-int(m) // block))) for c, m in zip(cell, many, strict=True)], "cell int, parts int")
+    corpus_parts = own.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")).drop("parts", "far")
+
+    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        q, x = _matrix(left.column("id").combine_chunks(), left.column("v").combine_chunks())
+        c, y = _matrix(right.column("id").combine_chunks(), right.column("v").combine_chunks())
+        step = rows_at_once(len(c))
+        found = [best_of(q[lo : lo + step], c, x[lo : lo + step] @ y.T, k) for lo in range(0, len(q), step) if len(c)]
+        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, float))]
+        return pa.table({"q": cols[0], "nbr": cols[1], "sim": cols[2]})
+
+    def searched(visits: DataFrame) -> DataFrame:
+        """visits: (cell, id, v). Slices follow from how many queries visit a cell; the parts of a cell are copied to each slice."""
+        load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("slices")).join(F.broadcast(parts), "cell")
+        load = stored(load, "pivot-load")  # a row a pivot
+        left = visits.join(F.broadcast(load), "cell").withColumn("slice", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("slices").cast("long")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = corpus_parts.join(F.broadcast(load.select("cell", "slices")), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        keys = ["cell", "part", "slice"]
+        return left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(meet, "q long, nbr long, sim double")
+
+    def nearby(far: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The nearest cells of each row that hold k vectors together."""
+        order = np.argsort(far, axis=1, kind="stable")
+        before = many[order].cumsum(1) - many[order]
+        out = np.zeros(far.shape, bool)
+        np.put_along_axis(out, order, before < k, 1)
+        return out
+
+    def visiting(batches, again: bool):
+        cells, lo, hi, many = bounds.value
+        for b in batches:
+            ids, x = _matrix(b.column("id"), b.column("v"))
+            if again:
+                sim = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
+                reach = np.where(np.isnan(sim), np.inf, np.sqrt(np.maximum(2 - 2 * sim, 0))) + SLACK
+            for at in range(0, len(ids), step := rows_at_once(len(cells))):
+                if not len(cells):
+                    break
+                far = _distances(x[at : at + step], held.value[cells])
+                open_ = nearby(far, many)
+                if again:
+                    r = reach[at : at + step, None]
+                    open_ = ~open_ & (far - hi <= r) & (lo - far <= r)
+                r, c = np.nonzero(open_)
+                take = pa.array(r + at)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[c]), b.column("id").take(take), b.column("v").take(take)], ["cell", "id", "v"])
+
+    visit = f"cell int, id long, v {kind}"
+    before = stored(asked.mapInArrow(lambda batches: visiting(batches, False), visit), "pivot-first-visits")
+    first = stored(searched(before), "pivot-first")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "nbr"))
+    kth = first.withColumn("_r", place).filter(F.col("_r") == k).select(F.col("q").alias("id"), F.col("sim").alias("kth"))
+    bounded = asked.join(kth, "id", "left").select("id", "v", "kth")
+    visits = stored(bounded.mapInArrow(lambda batches: visiting(batches, True), visit), "pivot-visits")
+    seen = before.select("id").unionByName(visits.select("id")).groupBy(F.col("id").alias("q")).agg(F.count(F.lit(1)).alias("visited"))
+    report = asked.select(F.col("id").alias("q")).join(seen, "q", "left").select("q", F.lit(len(cell)).alias("cells"), F.coalesce("visited", F.lit(0)).alias("visited"))
+    return first.unionByName(searched(visits)), report
+
+
 def nearest_both(a: DataFrame, b: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """kNN of a in b and of b in a."""
     return knn(a, b, k), knn(b, a, k)

@@ -292,6 +292,19 @@ def knn_topk(spark, sf):
     return _knn01(spark, sf, 10)
 
 
+@query("SELECT q, CAST(rank AS INT) AS rank, nbr, sim FROM knn01 WHERE rank <= 10")
+def knn_by_pivots(spark, sf):
+    """The same neighbours by pivot cells, as beyond the broadcast bound."""
+    return vector.knn(*_two(spark, sf), 10, broadcast_bytes=0, block=64)
+
+
+@query()
+def knn_pivot_visits(spark, sf):
+    """How many of the cells each query had to visit."""
+    a, b = _two(spark, sf)
+    return vector.pivot_search(a, b, 10, b.count(), 64)[1]
+
+
 @query("SELECT a.q AS src, a.nbr AS ref, round(2 * a.sim - ra - rb, 10) AS score FROM knn01 a JOIN (SELECT q, avg(sim) AS ra FROM knn01 WHERE rank <= 10 GROUP BY 1) x ON x.q = a.q JOIN (SELECT q, avg(sim) AS rb FROM knn10 GROUP BY 1) y ON y.q = a.nbr WHERE a.rank = 1")
 def csls_scores(spark, sf):
     """Similarities have nine digits and a mean of ten of them has ten, so rounding to ten meets no ties."""

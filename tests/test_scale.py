@@ -199,3 +199,24 @@ def test_skip_gram_recovers_planted_communities(spark, options):
     if not options:
         again = fit()
         assert all(v[g] == again[g] for g in v)
+
+
+# ---- exact neighbours by pivots -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("k", "block"), [(3, 7), (60, 20), (1, 1)])
+def test_pivot_search_skips_cells_and_loses_no_neighbour(spark, k, block):
+    centres = procrustes.unit(rng.normal(size=(6, 5)))
+    make = lambda n: np.concatenate([centres[rng.integers(0, 6, n)] + 0.02 * rng.normal(size=(n, 5)), np.zeros((1, 5))])
+    c, q = make(80), make(30)
+    c[3] = c[4] = c[5]  # ties
+    frame = lambda x, at: spark.createDataFrame([(at + i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    corpus, queries = frame(c, 1000), frame(q, 0)
+    got = {(r["q"], r["rank"]): (r["nbr"], r["sim"]) for r in vector.knn(queries, corpus, k, broadcast_bytes=0, block=block).collect()}
+    want = {(r["q"], r["rank"]): (r["nbr"], r["sim"]) for r in vector.knn(queries, corpus, k).collect()}
+    assert got == want and len(got) == 31 * min(k, 81)
+    visits = vector.pivot_search(queries, corpus, k, 81, block)[1].collect()
+    assert len(visits) == 31
+    if k < 10:  # tight clusters: most cells cannot hold a neighbour
+        assert sum(r["visited"] for r in visits) < 0.6 * sum(r["cells"] for r in visits)
+    assert vector.knn(queries, corpus.limit(0), k, broadcast_bytes=-1).count() == 0
