@@ -256,6 +256,13 @@ def greedy_seeds(spark, sf):
     return spark.createDataFrame(list(enumerate(seeds)), "position int, species int")
 
 
+@query("SELECT CAST(k AS INT) AS k, CAST(least(k, (SELECT count(*) FROM (SELECT DISTINCT species FROM present))) AS INT) AS n_seeds FROM range(2, 8) t(k) WHERE k <= (SELECT count(*) FROM (SELECT DISTINCT species FROM present)) AND EXISTS (SELECT 1 FROM density WHERE sp_i < sp_j AND shared >= 5)")
+def seed_sweep(spark, sf):
+    """Seeds for two to seven of them: here every k that the species allow is reached."""
+    found = species.sweep(_present(spark, sf), _dist(spark, sf), _density(spark, sf), range(2, 8), 5)
+    return spark.createDataFrame([(k, len(s)) for k, s in found.items()], "k int, n_seeds int")
+
+
 # ---- vectors ------------------------------------------------------------------------------------
 
 
@@ -407,14 +414,18 @@ def _within_near(both):
     return a.unionByName(b)
 
 
-@query("""WITH a AS (SELECT species, id, row_number() OVER (PARTITION BY species ORDER BY id) AS i FROM unit2), b AS (SELECT species, v, row_number() OVER (PARTITION BY species ORDER BY md5(CAST(id AS VARCHAR) || ':0') || ':' || id) AS i FROM unit2),
-    s AS (SELECT a.species, a.id, b.v FROM a JOIN b ON a.species = b.species AND a.i = b.i),
-    k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM s q JOIN s c ON q.species = c.species AND q.id <> c.id) WHERE rank <= 20),
-    d AS (SELECT gene, count(*) AS deg FROM slice_nbrs GROUP BY gene), h AS (SELECT k.q, count(*) AS hits FROM k JOIN slice_nbrs n ON n.gene = k.q AND n.nbr = k.nbr GROUP BY k.q)
-    SELECT count(*) AS n_eval, round(avg(coalesce(hits, 0) / 20), 6) AS precision_at_k, round(avg(coalesce(hits, 0) / least(deg, 20)), 6) AS recall_at_k FROM (SELECT DISTINCT q FROM k) x JOIN d ON d.gene = x.q LEFT JOIN h ON h.q = x.q""")
+@query("""WITH k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit2 q JOIN unit2 c ON q.species = c.species AND q.id <> c.id) WHERE rank <= 20),
+    e AS (SELECT species, id, rep FROM genes2 CROSS JOIN range(0, 5) r(rep)), a AS (SELECT species, id, rep, row_number() OVER (PARTITION BY species, rep ORDER BY id) AS i FROM e), b AS (SELECT species, id, rep, row_number() OVER (PARTITION BY species, rep ORDER BY md5(id || ':' || rep) || ':' || id) AS i FROM e),
+    p AS (SELECT a.rep, a.id AS holder, b.id AS vector FROM a JOIN b ON a.species = b.species AND a.rep = b.rep AND a.i = b.i), m AS (SELECT p.rep, p.holder AS q, o.holder AS nbr FROM k JOIN p ON p.vector = k.q JOIN p o ON o.vector = k.nbr AND o.rep = p.rep),
+    d AS (SELECT gene, count(*) AS deg FROM slice_nbrs GROUP BY gene), h AS (SELECT m.rep, m.q, count(*) AS hits FROM m JOIN slice_nbrs n ON n.gene = m.q AND n.nbr = m.nbr GROUP BY 1, 2),
+    z AS (SELECT x.rep, count(*) AS n, avg(coalesce(hits, 0) / 20) AS p, avg(coalesce(hits, 0) / least(deg, 20)) AS r FROM (SELECT DISTINCT rep, q FROM m) x JOIN d ON d.gene = x.q LEFT JOIN h ON h.q = x.q AND h.rep = x.rep GROUP BY x.rep)
+    SELECT max(n) AS n_eval, round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k FROM z""")
 def within_shuffle(spark, sf):
-    near = _within_near([retrieval.shuffled_vectors(x, 0) for x in _two(spark, sf)])
-    return r6(retrieval.within(near, graph.symmetric(roles.slice_edges(spark, sf)), 20), "precision_at_k", "recall_at_k")
+    """Five replicates from one search."""
+    both = _two(spark, sf)
+    genes = both[0].select("species", "id").unionByName(both[1].select("species", "id"))
+    out = retrieval.within_shuffled(_within_near(both), graph.symmetric(roles.slice_edges(spark, sf)), genes, 20)
+    return r6(out, "precision_at_k", "recall_at_k")
 
 
 @query("""WITH c AS (SELECT t.u, t.v, t.s, round(list_dot_product(a.v, b.v), 9) AS c FROM slice_truth t JOIN unit2 a ON a.id = t.u JOIN unit2 b ON b.id = t.v),
@@ -439,12 +450,22 @@ def _species_truth(spark, sf):
 
 @query("""WITH g AS (SELECT CAST(gene % 5 AS INT) AS sp, gene, og FROM slice_og), z AS (SELECT gene, count(*) AS n FROM slice_sets GROUP BY 1),
     t AS (SELECT a.sp AS sp_a, b.sp AS sp_b, a.gene AS u, b.gene AS v, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM g a JOIN g b ON a.og = b.og AND a.sp < b.sp JOIN slice_sets l ON l.gene = a.gene JOIN slice_sets r ON r.gene = b.gene AND r.og = l.og JOIN z x ON x.gene = a.gene JOIN z y ON y.gene = b.gene GROUP BY 1, 2, 3, 4),
-    best AS (SELECT sp_a, sp_b, u, v FROM (SELECT *, row_number() OVER (PARTITION BY sp_a, sp_b, u ORDER BY s DESC, v) AS r FROM t) WHERE r = 1),
-    k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 20)
-    SELECT sp_a, sp_b, count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM best LEFT JOIN k ON k.q = best.u AND k.nbr = best.v GROUP BY 1, 2""")
+    w AS (SELECT *, row_number() OVER (PARTITION BY sp_a, sp_b, u ORDER BY s DESC, v) AS r FROM t), best AS (SELECT sp_a, sp_b, u, v FROM w WHERE r = 1),
+    k AS (SELECT * FROM (SELECT q.id AS q, c.id AS nbr, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 20),
+    a AS (SELECT sp_a, sp_b, count(*) AS n, avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END) AS hits, avg(coalesce(1.0 / k.rank, 0)) AS mrr FROM best LEFT JOIN k ON k.q = best.u AND k.nbr = best.v GROUP BY 1, 2),
+    b AS (SELECT sp_a, sp_b, avg(hit) AS top_hits FROM (SELECT sp_a, sp_b, u, max(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM w LEFT JOIN k ON k.q = w.u AND k.nbr = w.v WHERE r <= 10 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    c AS (SELECT sp_a, sp_b, avg(hi - lo) AS gap FROM (SELECT sp_a, sp_b, u, max(s) AS hi, min(s) AS lo FROM w WHERE r <= 2 GROUP BY 1, 2, 3 HAVING count(*) = 2) GROUP BY 1, 2),
+    x AS (SELECT w.sp_a, w.sp_b, w.s, round(list_dot_product(p.v, q.v), 9) AS c FROM w JOIN unit p ON p.id = w.u JOIN unit q ON q.id = w.v),
+    y AS (SELECT sp_a, sp_b, rank() OVER (PARTITION BY sp_a, sp_b ORDER BY s) + (count(*) OVER (PARTITION BY sp_a, sp_b, s) - 1) / 2.0 AS p, rank() OVER (PARTITION BY sp_a, sp_b ORDER BY c) + (count(*) OVER (PARTITION BY sp_a, sp_b, c) - 1) / 2.0 AS q FROM x),
+    d AS (SELECT sp_a, sp_b, corr(p, q) AS rho FROM y GROUP BY 1, 2), e AS (SELECT * FROM best CROSS JOIN range(0, 5) r(rep)),
+    f AS (SELECT sp_a, sp_b, rep, u, row_number() OVER (PARTITION BY sp_a, sp_b, rep ORDER BY u) AS i FROM e), h AS (SELECT sp_a, sp_b, rep, v, row_number() OVER (PARTITION BY sp_a, sp_b, rep ORDER BY md5(u || ':' || rep)) AS i FROM e),
+    o AS (SELECT f.sp_a, f.sp_b, avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END) AS shuffled_hits, avg(coalesce(1.0 / k.rank, 0)) AS shuffled_mrr FROM f JOIN h ON h.sp_a = f.sp_a AND h.sp_b = f.sp_b AND h.rep = f.rep AND h.i = f.i LEFT JOIN k ON k.q = f.u AND k.nbr = h.v GROUP BY 1, 2)
+    SELECT a.sp_a, a.sp_b, n, round(hits, 6) AS hits, round(mrr, 6) AS mrr, round(top_hits, 6) AS top_hits, round(gap, 6) AS gap, round(rho, 6) AS rho, round(shuffled_hits, 6) AS shuffled_hits, round(shuffled_mrr, 6) AS shuffled_mrr
+    FROM a JOIN b ON a.sp_a = b.sp_a AND a.sp_b = b.sp_b JOIN d ON a.sp_a = d.sp_a AND a.sp_b = d.sp_b JOIN o ON a.sp_a = o.sp_a AND a.sp_b = o.sp_b LEFT JOIN c ON a.sp_a = c.sp_a AND a.sp_b = c.sp_b""")
 def all_pairs_evaluation(spark, sf):
-    near = vector.knn_by(roles.genes(spark, sf).select("species", "id", "v"), 20)
-    return r6(retrieval.evaluated_pairs(_species_truth(spark, sf), near, 20), "hits", "mrr")
+    g = roles.genes(spark, sf)
+    out = retrieval.evaluated_pairs(_species_truth(spark, sf), vector.knn_by(g.select("species", "id", "v"), 20), g.select("id", "v"), 20)
+    return r6(out, "hits", "mrr", "top_hits", "gap", "rho", "shuffled_hits", "shuffled_mrr")
 
 
 @query("SELECT g_q, g_c, q, CAST(rank AS INT) AS rank, nbr, sim FROM (SELECT q.species AS g_q, c.species AS g_c, q.id AS q, c.id AS nbr, round(list_dot_product(q.v, c.v), 9) AS sim, row_number() OVER (PARTITION BY q.id, c.species ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.id) AS rank FROM unit q JOIN unit c ON q.species <> c.species) WHERE rank <= 5")
@@ -470,11 +491,11 @@ def available_genes(spark, sf):
     return ml.available(t("lineitem", "l_partkey"), t("part", "p_partkey"), t("embeddings", "vec_id"))
 
 
-@query("""WITH best AS (SELECT u, v, s FROM ranked_truth WHERE place = 1), a AS (SELECT u, row_number() OVER (ORDER BY u) AS i FROM best), b AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(u AS VARCHAR) || ':0')) AS i FROM best)
-    SELECT count(*) AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM a JOIN b ON a.i = b.i LEFT JOIN knn01 k ON k.q = a.u AND k.nbr = b.v""")
+@query("""WITH best AS (SELECT u, v, rep FROM ranked_truth CROSS JOIN range(0, 5) r(rep) WHERE place = 1), a AS (SELECT u, rep, row_number() OVER (PARTITION BY rep ORDER BY u) AS i FROM best), b AS (SELECT v, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(u || ':' || rep)) AS i FROM best)
+    SELECT count(*) // 5 AS n, round(avg(CASE WHEN k.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hits, round(avg(coalesce(1.0 / k.rank, 0)), 6) AS mrr FROM a JOIN b ON a.i = b.i AND a.rep = b.rep LEFT JOIN knn01 k ON k.q = a.u AND k.nbr = b.v""")
 def shuffle_baseline_md5(spark, sf):
-    dealt = retrieval.shuffled_best(_slice_truth(spark, sf), 0)
-    return r6(retrieval.hits_mrr(dealt, _knn01(spark, sf), 50), "hits", "mrr")
+    """Five replicates."""
+    return r6(retrieval.shuffle_baseline(_slice_truth(spark, sf), _knn01(spark, sf), 50), "hits", "mrr")
 
 
 # ---- alignment ----------------------------------------------------------------------------------
