@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 from . import logistic
+from .procrustes import vectors
 
 #: The ten compartments of the location task.
 COMPARTMENTS = ["Cytoplasm", "Nucleus", "Extracellular", "Cell membrane", "Mitochondrion", "Plastid", "Endoplasmic reticulum", "Lysosome/Vacuole", "Golgi apparatus", "Peroxisome"]
@@ -171,13 +173,68 @@ def one_vs_rest(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     return logistic.scores(asked, logistic.fits(rows, None, c)).select("id", "class", "score")
 
 
-def clusters(points: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:
-    """(id, x, cluster) by k-means on the array column x."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def clusters(points: DataFrame, k: int = 12, seed: int = 42, batches: int = 40, batch_rows: int = 50_000) -> DataFrame:
+    """(columns of points, cluster) by mini-batch k-means on the array column x.
+
+    A batch holds about `batch_rows` points, chosen by a hash of id and step. Tasks assign their points to the nearest centre and sum them by centre; the sums, k by d
+    numbers, move each centre by its own learning rate, one over the points it has got so far. Centres start far apart among a bounded sample."""
+    spark = points.sparkSession
+    n = points.count()
+    rows = points.select(F.col("id"), F.col("x").cast("array<double>").alias("x"))
+    pick = lambda step, want: F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "id"), F.lit(1 << 30)) < int(min(1.0, want / max(1, n)) * (1 << 30))
+    some = rows.filter(pick(-1, 64 * k)).limit(256 * k).orderBy("id").toArrow()
+    x = vectors(some.column("x"))
+    if not len(x):
+        return points.withColumn("cluster", F.lit(0))
+    chosen = [0]
+    near = ((x - x[0]) ** 2).sum(1)
+    rng = np.random.default_rng(seed)
+    while len(chosen) < min(k, len(x)) and near.max() > 0:
+        tries = rng.choice(len(x), 8, p=near / near.sum())  # k-means++: of a few draws that which lowers the cost most
+        best = min(tries, key=lambda i: np.minimum(near, ((x - x[i]) ** 2).sum(1)).sum())
+        chosen.append(int(best))
+        near = np.minimum(near, ((x - x[best]) ** 2).sum(1))
+    centres, seen = x[chosen], np.zeros(len(chosen))
+
+    def nearest(c: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return ((c * c).sum(1)[None, :] - 2 * v @ c.T).argmin(1)
+
+    for step in range(batches):
+        held = spark.sparkContext.broadcast(centres)
+
+        def summed(parts, held=held):
+            c = held.value
+            total, count = np.zeros_like(c), np.zeros(len(c), np.int64)
+            for b in parts:
+                v = vectors(b.column("x"))
+                if len(v):
+                    at = nearest(c, v)
+                    np.add.at(total, at, v)
+                    count += np.bincount(at, minlength=len(c))
+            on = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(count[on]), pa.array(total[on].tolist(), pa.list_(pa.float64()))], ["c", "n", "s"])
+
+        d = centres.shape[1]
+        got = rows.filter(pick(step, batch_rows)).mapInArrow(summed, "c long, n long, s array<double>").groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d)]).toArrow()
+        held.destroy()
+        c, m = got.column("c").to_numpy(), got.column("n").to_numpy()
+        total = np.stack([got.column(f"s{i}").to_numpy() for i in range(d)], 1) if len(c) else np.zeros((0, d))
+        centres = centres.copy()
+        seen[c] += m
+        moved = (m / seen[c])[:, None] * (total / m[:, None] - centres[c])
+        centres[c] += moved
+        if step and np.abs(moved).max(initial=0.0) < 1e-9:
+            break
+    last = spark.sparkContext.broadcast(centres)
+
+    def assigned(parts):
+        for b in parts:
+            v = vectors(b.column("_x"))
+            at = nearest(last.value, v) if len(v) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(at.astype(np.int32))], ["_row", "cluster"])
 
-    feats = points.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(feats).transform(feats).drop("features")
+    packed = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_row"), F.col("x").cast("array<double>").alias("_x"))
+    return packed.mapInArrow(assigned, f"_row {packed.schema['_row'].dataType.simpleString()}, cluster int").select("_row.*", "cluster")
 
 
 def within_box(points: DataFrame, box: DataFrame, pad: float = 0.0) -> DataFrame:

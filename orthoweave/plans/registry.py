@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, pvalues
 from ..functions import vectors as vec
-from ..operators import curves, evaluation, graph, logistic, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
+from ..operators import contrastive, curves, evaluation, graph, logistic, ml, orthologs, procrustes, report, retrieval, species, stats, vector, walks
 from ..sources.shared import stored
 from . import roles
 
@@ -583,6 +584,22 @@ def two_stage_refined(spark, sf):
     return _coordinates(procrustes.two_stage(emb, pairs, 0, [0, 1], groups, refinement={"threshold": 0.2}, center=True, scale=True))
 
 
+@query("SELECT CAST(s.sp AS INT) AS species, TRUE AS loss_fell, TRUE AS closer FROM (SELECT DISTINCT vec_id % 5 AS sp FROM embeddings) s WHERE s.sp > 1")
+def contrastive_alignment(spark, sf):
+    """Encoders of three species into the first one's space by the margin loss: whether the loss falls and the anchors come closer."""
+    g = roles.genes(spark, sf)
+    a = g.filter("species > 1").select("species", F.col("id").alias("src"), "idx", vec.as_double("v").alias("x"))
+    b = g.filter("species = 0").select(F.col("id").alias("ref"), "idx", vec.as_double("v").alias("y"))
+    anchors = stored(a.join(b, "idx").select("species", "src", "ref", "x", "y", F.lit(1.0).alias("w")), "contrastive-anchors")
+    found, losses = contrastive.train_encoders(anchors, steps=40, batch=1.0)
+    maps = {s: procrustes.Rotation(e.a, np.zeros(len(e.a)), e.b) for s, e in found.items()}
+    moved = procrustes.transform_each(anchors.select("species", "ref", "y", F.col("x").alias("v")), "species", maps)
+    far = lambda c: F.sqrt(F.aggregate(F.zip_with(c, "y", lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda s, t: s + t))
+    before = anchors.groupBy("species").agg(F.avg(far("x")).alias("before"))
+    after = moved.groupBy("species").agg(F.avg(far(F.col("v").cast("array<double>"))).alias("after"))
+    return before.join(after, "species").select("species", F.lit(losses[-1] < losses[0]).alias("loss_fell"), (F.col("after") < F.col("before")).alias("closer"))
+
+
 @query()
 def anchor_robustness(spark, sf):
     """Five shares of the anchors, five replicates each: Spearman of set Jaccard with the cosine after alignment."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import vectors as vec
 from ..operators import graph, orthologs, vector
-from ..sources import readers, writers
+from ..sources import manifest, readers, writers
 from ..sources.shared import shared_dir
 from . import roles
 from .registry import query, r6
@@ -190,6 +190,17 @@ def sink_skip_stored(spark, sf):
     return writers.missing(n, n.filter("n_regionkey = 2"), ["n_nationkey"]).select("n_nationkey")
 
 
+@query("SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY 1")
+def sink_incremental(spark, sf):
+    """Totals by supplier in three runs: one of even suppliers, one killed before its commit, one of all, which writes only what is missing."""
+    root = _folder(spark, "incremental")
+    totals = roles.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+    manifest.materialise(totals.filter("l_suppkey % 2 = 0"), root, "l_suppkey")
+    totals.write.parquet(f"{root}/data/killed")
+    manifest.materialise(totals, root, "l_suppkey")
+    return manifest.committed(spark, root, totals.schema, "l_suppkey")
+
+
 # ---- rules without a query of their own ---------------------------------------------------------
 
 

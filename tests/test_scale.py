@@ -220,3 +220,68 @@ def test_pivot_search_skips_cells_and_loses_no_neighbour(spark, k, block):
     if k < 10:  # tight clusters: most cells cannot hold a neighbour
         assert sum(r["visited"] for r in visits) < 0.6 * sum(r["cells"] for r in visits)
     assert vector.knn(queries, corpus.limit(0), k, broadcast_bytes=-1).count() == 0
+
+
+# ---- contrastive encoders, mini-batch k-means, incremental outputs ------------------------------
+
+
+def test_encoders_recover_a_planted_rotation(spark):
+    from orthoweave.operators import contrastive
+
+    d, n = 4, 150
+    turn, _ = np.linalg.qr(rng.normal(size=(d, d)))
+    y = rng.normal(size=(n, d))
+    rows = [(s, i, i, ((v - s) @ turn.T).tolist(), v.tolist(), 1.0 + i % 2) for s in (0, 1) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "species int, src long, ref long, x array<double>, y array<double>, w double").repartition(3)
+    options = {"rate": 0.1, "steps": 120, "batch": 0.5, "patience": 200}
+    found, losses = contrastive.train_encoders(df, **options)
+    assert np.mean(losses[-5:]) < 0.7 * losses[0]
+    for s, e in found.items():
+        assert np.abs(e.a - turn).max() < 0.15 and np.abs(e.apply((y - s) @ turn.T) - y).mean() < 0.1
+    again, _ = contrastive.train_encoders(df, **options)
+    assert all(np.allclose(again[s].a, found[s].a, atol=1e-9) for s in found)
+
+
+def test_gradient_of_the_margin_loss():
+    from orthoweave.operators.contrastive import Encoder, loss_and_gradient
+
+    x, y, w = rng.normal(size=(7, 3)), rng.normal(size=(7, 2)), rng.random(7)
+    e = Encoder(rng.normal(size=(3, 2)), rng.normal(size=2))
+    loss, ga, gb = loss_and_gradient(e, x, y, w, 0.3)
+    assert loss == pytest.approx(sum(-b * np.log(1 / (1 + np.exp(-(0.3 - np.linalg.norm(d))))) for b, d in zip(w, e.apply(x) - y, strict=True)))
+    h = 1e-6
+    for i in range(3):
+        for j in range(2):
+            a = e.a.copy()
+            a[i, j] += h
+            assert (loss_and_gradient(Encoder(a, e.b), x, y, w, 0.3)[0] - loss) / h == pytest.approx(ga[i, j], rel=1e-3, abs=1e-5)
+    assert gb == pytest.approx([(loss_and_gradient(Encoder(e.a, e.b + h * np.eye(2)[j]), x, y, w, 0.3)[0] - loss) / h for j in range(2)], rel=1e-3, abs=1e-5)
+
+
+def test_clusters_find_planted_centres(spark):
+    planted = np.array([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0], [8.0, 8.0], [4.0, 20.0]])
+    at = rng.integers(0, 5, 400)
+    rows = [(i, (planted[c] + 0.3 * rng.normal(size=2)).tolist(), int(c)) for i, c in enumerate(at)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, true int").repartition(4)
+    got = ml.clusters(df, 5, batch_rows=100).collect()
+    names = collections.defaultdict(set)
+    for r in got:
+        names[r["true"]].add(r["cluster"])
+    assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == 5
+    assert sorted(got) == sorted(ml.clusters(df, 5, batch_rows=100).collect())
+    assert ml.clusters(df.limit(0), 5).count() == 0 and {r["cluster"] for r in ml.clusters(df.limit(1), 5).collect()} == {0}
+
+
+def test_outputs_count_when_committed(spark, tmp_path):
+    from orthoweave.sources import manifest
+
+    root = f"file://{tmp_path}/out"
+    df = spark.createDataFrame([(k, i) for k in ("a", "b", "c") for i in range(3)], "k string, v int")
+    assert manifest.committed(spark, root, df.schema, "k").count() == 0
+    assert manifest.materialise(df.filter("k = 'a'"), root, "k") == 1
+    df.write.parquet(f"{root}/data/killed")  # written, never committed
+    assert sorted(tuple(r) for r in manifest.committed(spark, root, df.schema, "k").collect()) == [("a", i) for i in range(3)]
+    assert manifest.materialise(df.withColumn("v", F.col("v") + 10), root, "k") == 2
+    assert sorted(tuple(r) for r in manifest.committed(spark, root, df.schema, "k").collect()) == [("a", i) for i in range(3)] + [(k, 10 + i) for k in "bc" for i in range(3)]
+    assert manifest.materialise(df, root, "k") == 0 and manifest.swept(spark, root) == 1
+    assert manifest.committed(spark, root, df.schema, "k").count() == 9
