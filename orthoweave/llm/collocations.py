@@ -5,13 +5,14 @@ Texts are cut at punctuation and line ends into pieces, and those into words; ph
 
 1. Words, the first level of the tries, are counted in each task, then by group and word. Frequent words go into a sieve (a Bloom filter of fixed size,
    whatever their number: a false positive costs rows, never a phrase).
-2. Pairs of such words, then triples of frequent pairs, and so on up to `depth`, are counted by 32 bits of their hash, packed by ranges of these; cells that reach `least`
+2. Pairs of such words, then triples of frequent pairs, and so on below `depth`, are counted by 32 bits of their hash, packed by ranges of these; cells that reach `least`
    go into a sieve for each length. Phrases that share a cell only let more through.
-3. Each shard (a run of texts with at most `shard_words` words) builds a count trie of depth `depth` over the paths that the sieves admit. It is serialised in the order of
-   paths, a node as one row: the hashes of its words, its last word, its count.
+3. Each shard (a run of texts with at most `shard_words` words) builds a count trie of depth `depth` over the paths that the sieves admit, which is merged with those of its task and
+   serialised in the order of paths: for every prefix range (a hash of the first two words) one row with the hashes of the nodes' words, their last words and
+   counts.
 
-The shards' tries are merged by prefix ranges: paths are range-partitioned on all their words, so that a frequent first word spans many ranges; within a range
-the sorted runs are merged, equal paths are summed, and nodes below `least` are dropped. A walk over the merged trie in the order of paths, in ranges of the first two words, gives
+The serialised runs of a prefix range meet in one task, which merges them and drops nodes below `least`. What lies below a frequent first word spans all
+ranges. A walk over the merged trie in the order of paths, in ranges of the first two words, gives
 each node the counts of its left parts, which are its ancestors, and its text, word by word. Suffix links (the path without its first
 word) give the right parts: the link of a node, the link of that, and so on. A cut after k words has l = the left part, r = the right
 part and score floor(scale a / (l + r)) in exact decimals; the lowest-scoring cut counts, the smallest k among equal ones. A candidate goes if a longer one
@@ -180,32 +181,6 @@ def frequent_cells(texts: DataFrame, sieves: list[Sieve], least: int, held_grams
     return rows.mapInArrow(trimmed(summed), "key long")
 
 
-def _trie(group: str, h: np.ndarray, words: dict, runs: list[np.ndarray], depth: int) -> pa.RecordBatch:
-    """The serialised trie below its first level: runs[d] are the places where a path of d + 2 words begins."""
-    out = [np.zeros((0, depth), np.uint64)]
-    counts = []
-    for d, at in enumerate(runs):
-        path = np.zeros((len(at), depth), np.uint64)
-        for i in range(d + 2):
-            path[:, i] = h[at + i] >> np.uint64(1)  # no negative number as a long, so that a path comes before those below it
-        if len(at):
-            # equal paths are found by one hash of their words
-            order = np.argsort(gram := _path_hash(path), kind="stable")
-            first = np.nonzero(np.append(True, gram[order][1:] != gram[order][:-1]))[0]
-            out.append(path[order[first]])
-            counts.append(np.diff(np.append(first, len(order))))
-    paths = np.concatenate(out)
-    c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    signed = paths.view(np.int64)
-    order = np.lexsort(signed.T[::-1])
-    signed, c = signed[order], c[order]
-    length = (signed != 0).sum(1)
-    last = signed[np.arange(len(signed)), length - 1].view(np.uint64)
-    names, back = np.unique(last, return_inverse=True)
-    text = pa.array([words[int(x)] for x in names], pa.binary()).cast(pa.string()).take(pa.array(back))
-    return pa.RecordBatch.from_arrays([pa.array([group] * len(c), pa.string()), *[pa.array(signed[:, i]) for i in range(depth)], text, pa.array(c)], ["grp", *_path(depth), "word", "c"])
-
-
 def _path_hash(path: np.ndarray) -> np.ndarray:
     acc = path[:, 0].copy()
     for i in range(1, path.shape[1]):
@@ -217,16 +192,75 @@ def _path(depth: int) -> list[str]:
     return [f"w{i + 1}" for i in range(depth)]
 
 
-def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_000) -> DataFrame:
-    """(grp, w1.., word, c): the nodes of two or more words of the tries of all shards, each in the order of paths."""
-    held, depth = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves)
+#: Prefix ranges: by a hash of a path's first two words, so that what lies below a frequent first word spans all of them.
+PREFIXES = 64
+
+
+class _Trie:
+    """Counts of paths of two or more words in the order of (range, path): what a shard adds is sorted and merged with what there is."""
+
+    def __init__(self, depth: int):
+        self.path, self.c, self.words = np.zeros((0, depth), np.uint64), np.zeros(0, np.int64), {}
+
+    def __len__(self) -> int:
+        return len(self.c)
+
+    def merge(self, path: np.ndarray, c: np.ndarray) -> None:
+        path, c = np.concatenate([self.path, path]), np.concatenate([self.c, c])
+        if len(c):
+            order = np.argsort(h := _path_hash(path), kind="stable")  # equal paths are found by one hash of their words
+            first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            self.path, self.c = path[order[first]], np.add.reduceat(c[order], first)
+
+    def add(self, h: np.ndarray, runs: list[np.ndarray]) -> None:
+        """runs[d]: where in h paths of d + 2 words begin."""
+        new = []
+        for d, at in enumerate(runs):
+            path = np.zeros((len(at), self.path.shape[1]), np.uint64)
+            for i in range(d + 2):
+                path[:, i] = h[at + i] >> np.uint64(1)  # no negative number as a long, so that a path comes before those below it
+            new.append(path)
+        every = np.concatenate(new)
+        self.merge(every, np.ones(len(every), np.int64))
+
+    def serialised(self, group: str):
+        """A row for each prefix range: columns of hashes and counts as bytes, in the order of paths, and the last words."""
+        depth = self.path.shape[1]
+        if not len(self.c):
+            return
+        rng = (_path_hash(self.path[:, :2]) % np.uint64(PREFIXES)).astype(np.int64)
+        order = np.lexsort([*self.path.T[::-1], rng])
+        path, c, rng = self.path[order], self.c[order], rng[order]
+        length = (path != 0).sum(1)
+        last = path[np.arange(len(path)), length - 1]
+        names, back = np.unique(last, return_inverse=True)
+        text = pa.array([self.words[int(x)] for x in names], pa.binary()).cast(pa.string()).take(pa.array(back))
+        edges = np.searchsorted(rng, np.arange(PREFIXES + 1))
+        full = np.flatnonzero(np.diff(edges))
+        ends = pa.array(np.append(edges[full], len(c)).astype(np.int32))
+        blobs = [pa.array([path[edges[r] : edges[r + 1], i].tobytes() for r in full], pa.binary()) for i in range(depth)]
+        counts = pa.array([c[edges[r] : edges[r + 1]].tobytes() for r in full], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(full), pa.string()), pa.array(full.astype(np.int32)), *blobs, counts, pa.ListArray.from_arrays(ends, text)], ["grp", "rng", *_path(depth), "c", "words"])
+
 
-    def serialised(shards):
-        for g, s in shards.items():
-            yield _trie(g, np.concatenate(s["h"]), s["words"], [np.concatenate(x) for x in s["runs"]], depth)
+def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_000, held_nodes: int = 2_000_000) -> DataFrame:
+    """(grp, rng, w1.., c, words): the serialised tries, below their first level. A task merges its shards, and gives out what it has at `held_nodes` nodes."""
+    held, depth = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves) + 1
 
     def run(batches):
-        known, shards = _Words(), {}
+        known, tries, shards = _Words(), {}, {}
+
+        def closed():
+            for g, s in shards.items():
+                tries.setdefault(g, _Trie(depth)).add(np.concatenate(s["h"]), [np.concatenate(x) for x in s["runs"]])
+                tries[g].words.update(s["words"])
+            shards.clear()
+
+        def given():
+            for g, t in tries.items():
+                yield from t.serialised(g)
+            tries.clear()
+
         with np.errstate(over="ignore"):
             for b in batches:
                 for group, flat in _group_blocks(b):
@@ -241,11 +275,60 @@ def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_
                     s["h"].append(h)
                     s["n"] += len(h)
                 if sum(s["n"] for s in shards.values()) > shard_words:
-                    yield from serialised(shards)
-                    shards = {}
-        yield from serialised(shards)
+                    closed()
+                    if sum(map(len, tries.values())) > held_nodes:
+                        yield from given()
+            closed()
+            yield from given()
+
+    return texts.mapInArrow(trimmed(run), f"grp string, rng int, {', '.join(f'{w} binary' for w in _path(depth))}, c binary, words array<string>")
+
 
-    return texts.mapInArrow(trimmed(run), f"grp string, {', '.join(f'{w} long' for w in _path(depth))}, word string, c long")
+def merged(tries: DataFrame, depth: int, least: int, held_nodes: int = 1_000_000) -> DataFrame:
+    """(grp, w1.., f, word): the nodes that all shards together count `least` times or more; the runs of a prefix range meet in one task, which sums them as
+    they come and holds the range's different nodes and at most `held_nodes` more."""
+    path = _path(depth)
+
+    def run(batches):
+        def kept(group, trie, names):
+            on = trie.c >= least
+            words = pa.array([names[int(x)] for x in trie.path[on][np.arange(int(on.sum())), (trie.path[on] != 0).sum(1) - 1]], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([group] * len(words), pa.string()), *[pa.array(trie.path[on][:, i].view(np.int64)) for i in range(depth)], pa.array(trie.c[on]), words], ["grp", *path, "f", "word"])
+
+        key, trie, names, parts, n = None, None, {}, [], 0
+
+        def joined():
+            nonlocal parts, n
+            if parts:
+                trie.merge(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+            parts, n = [], 0
+
+        with np.errstate(over="ignore"):
+            for b in batches:
+                groups, rngs = b.column("grp").to_pylist(), b.column("rng").to_pylist()
+                for i in range(b.num_rows):
+                    if (groups[i], rngs[i]) != key:
+                        if key is not None:
+                            joined()
+                            yield kept(key[0], trie, names)
+                        key, trie, names = (groups[i], rngs[i]), _Trie(depth), {}
+                    p = np.stack([np.frombuffer(b.column(w)[i].as_buffer(), np.uint64) for w in path], 1)
+                    last = p[np.arange(len(p)), (p != 0).sum(1) - 1]
+                    words = b.column("words")[i].values
+                    for x, at in zip(*np.unique(last, return_index=True), strict=True):
+                        if int(x) not in names:
+                            names[int(x)] = words[int(at)].as_py()
+                    parts.append((p, np.frombuffer(b.column("c")[i].as_buffer(), np.int64)))
+                    n += len(p)
+                    if n > held_nodes:
+                        joined()
+            if key is not None:
+                joined()
+                yield kept(key[0], trie, names)
+
+    parts = int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tries.repartition(parts, "grp", "rng").sortWithinPartitions("grp", "rng")
+    return rows.mapInArrow(trimmed(run), f"grp string, {', '.join(f'{w} long' for w in path)}, f long, word string")
 
 
 def first_level(words: DataFrame, depth: int) -> DataFrame:
@@ -261,14 +344,6 @@ def first_level(words: DataFrame, depth: int) -> DataFrame:
     return rows.select("grp", "w1", *[F.lit(0).cast("long").alias(w) for w in _path(depth)[1:]], "f", "word")
 
 
-def merged(tries: DataFrame, depth: int, least: int) -> DataFrame:
-    """The nodes that all shards together count `least` times or more, merged by ranges of paths."""
-    path = _path(depth)
-    parts = int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = tries.repartitionByRange(parts, "grp", *path).sortWithinPartitions("grp", *path)
-    return runs.groupBy("grp", *path).agg(F.sum("c").alias("f"), F.min("word").alias("word")).filter(F.col("f") >= least)
-
-
 def walked(nodes: DataFrame, depth: int) -> DataFrame:
     """The nodes of two or more words with `left` (counts of the first 1, 2, .. words) and `phrase`; a stored table.
 
@@ -332,7 +407,7 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     totals = stash(counts.groupBy("grp").agg(F.sum("c").alias("n")), "group-words")
     often = counts.filter(F.col("c") >= least)
     sieves = [sieve_of(_word_keys(often), sieve_bits)]
-    for _ in range(2, depth + 1):
+    for _ in range(2, depth):
         sieves.append(sieve_of(frequent_cells(texts, sieves, least), sieve_bits))
     tries = stash(shard_tries(texts, sieves), "shard-tries", "zstd")
     nodes = stash(merged(tries, depth, least).unionByName(first_level(often, depth)), "trie")

@@ -218,7 +218,8 @@ def test_shards_and_flushes_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame(texts, "lang string, text string").repartition(2)
     monkeypatch.setattr(collocations, "word_counts", lambda t, f=collocations.word_counts: f(t, held_words=5))
     monkeypatch.setattr(collocations, "frequent_cells", lambda t, s, n, f=collocations.frequent_cells: f(t, s, n, held_grams=10))
-    monkeypatch.setattr(collocations, "shard_tries", lambda t, s, f=collocations.shard_tries: f(t, s, shard_words=10))
+    monkeypatch.setattr(collocations, "shard_tries", lambda t, s, f=collocations.shard_tries: f(t, s, shard_words=10, held_nodes=5))
+    monkeypatch.setattr(collocations, "merged", lambda t, d, n, f=collocations.merged: f(t, d, n, held_nodes=3))
     got = {(r["lang"], r["rank"]): (r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in rows(collocations.collocations(df, least=5))}
     assert got == brute_phrases(texts, 5)
 
