@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import sums_below
+from ..sources.shared import stored
+from .ordered import positions, sums_below
 
 
 def cumulative(df: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
@@ -59,3 +60,11 @@ def sampled_points(n: int, dense: int = 200, even: int = 200) -> list[int]:
         return list(range(n))
     geometric = {min(n - 1, round(n ** (i / (dense - 1))) - 1) for i in range(dense)}
     return sorted(geometric | {round(i * (n - 1) / (even - 1)) for i in range(even)})
+
+
+def curve_points(df: DataFrame, dense: int = 200, even: int = 200) -> DataFrame:
+    """(idx, score, tp, fp) of the ROC curve of (score, y) at the places of `sampled_points`, 0 being the highest score."""
+    points = positions(cumulative(df).withColumn("_down", -F.col("score")), "_down")
+    points = stored(points.select("idx", "score", "tp", "fp"), "curve")
+    wanted = df.sparkSession.createDataFrame([(i,) for i in sampled_points(points.count(), dense, even)], "idx long")  # dense + even rows at most
+    return points.join(F.broadcast(wanted), "idx")

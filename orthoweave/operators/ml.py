@@ -73,6 +73,29 @@ def term_transfer(data: DataFrame, group: str = "species", least_train: int = 10
     return out.select("held_out", "n_terms", "fmax", "macro_ap")
 
 
+def transfer(labels: DataFrame, features: dict[str, DataFrame], train, test, group: str = "species", c: float = 1.0, cut: float = 0.5) -> DataFrame:
+    """(condition, n_test, f1_micro, f1_macro, jaccard_micro, accuracy) of classifiers trained on one group and tested on another, for each named
+    feature table (id, x); labels are (group, id, class, y). Genes that a table lacks drop out of its condition."""
+    out = None
+    for name, table in features.items():
+        rows = labels.filter(F.col(group).isin([train, test])).join(table.select("id", "x"), "id")
+        held = rows.filter(F.col(group) == test)
+        scored = one_vs_rest(rows.filter(F.col(group) == train), held, c).join(held.select("id", "class", "y"), ["id", "class"])
+        scored = stored(scored.withColumn("yhat", (F.col("score") >= cut).cast("int")), "transfer")
+        row = label_metrics(scored).crossJoin(scored.agg(F.countDistinct("id").alias("n_test"))).withColumn("condition", F.lit(name))  # single rows
+        out = row if out is None else out.unionByName(row)
+    return out.select("condition", "n_test", "f1_micro", "f1_macro", "jaccard_micro", "accuracy")
+
+
+def term_cross_validation(data: DataFrame, fold: str, least: int = 10, c: float = 1.0) -> DataFrame:
+    """(class, n, fmax, ap) of every term with at least `least` positive genes, from the scores of the folds that did not train on them."""
+    from . import curves
+
+    often = data.filter("y = 1").groupBy("class").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= least)
+    scored = stored(fold_scores(data.join(often.select("class"), "class", "left_semi"), fold, c), "term-scores")
+    return curves.pr_summary(scored.select("class", "score", "y"), "class").join(often, "class").select("class", "n", "fmax", "ap")
+
+
 def dominant_cluster(assigned: DataFrame, label: str) -> DataFrame:
     """(label, cluster, n, share): the cluster that holds most rows of a label; ties to the smaller cluster."""
     n = assigned.groupBy(label, "cluster").agg(F.count(F.lit(1)).alias("n"))

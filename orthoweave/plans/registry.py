@@ -521,6 +521,14 @@ def procrustes_basic(spark, sf):
     return _entries(spark, procrustes.fit_orthogroups(a, b, allow_reflection=True, vanilla=True))
 
 
+@query("WITH m AS (SELECT 0 AS key, i, j, sum(a.v[i + 1] * b.v[j + 1]) AS m FROM genes2 a JOIN genes2 b ON a.species = 0 AND b.species = 1 AND a.idx = b.idx CROSS JOIN range(0, 64) t(i) CROSS JOIN range(0, 64) u(j) GROUP BY i, j) " + _ENTRY.format(p=_POLAR.format(m="m")))
+def procrustes_legacy(spark, sf):
+    """Rows of two factor tables side by side, unweighted."""
+    a, b = _two(spark, sf)
+    pairs = a.select("idx", F.col("id").alias("src")).join(b.select("idx", F.col("id").alias("ref")), "idx").select("src", "ref")
+    return _entries(spark, procrustes.legacy_fit(a, b, pairs))
+
+
 _CENTRED = _GROUPS + """, w AS (SELECT count(*) AS w FROM n), mx AS (SELECT i, sum(x.s * n.nb / n.n) / any_value(w) AS mu FROM x JOIN n ON n.og = x.og CROSS JOIN w GROUP BY i), my AS (SELECT j, sum(y.s * n.na / n.n) / any_value(w) AS mu FROM y JOIN n ON n.og = y.og CROSS JOIN w GROUP BY j),
     m AS (SELECT 0 AS key, c.i, c.j, c.m / w - mx.mu * my.mu AS m FROM (SELECT i, j, sum(x.s * y.s / n.n) AS m FROM x JOIN y ON x.og = y.og JOIN n ON n.og = x.og GROUP BY i, j) c JOIN mx ON mx.i = c.i JOIN my ON my.j = c.j CROSS JOIN w)"""
 
@@ -659,6 +667,13 @@ def fmax_micro(spark, sf):
     return r6(curves.fmax_micro(roles.labelled(spark, sf)).select("fmax"), "fmax")
 
 
+@query("""WITH c AS (SELECT score, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, row_number() OVER w - 1 AS idx FROM labelled GROUP BY score WINDOW w AS (ORDER BY score DESC)), n AS (SELECT count(*) AS n FROM c),
+    i AS (SELECT least(n - 1, CAST(round(n ** (k / 199.0)) AS BIGINT) - 1) AS idx FROM n CROSS JOIN range(0, 200) t(k) UNION SELECT CAST(round(k * (n - 1) / 199.0) AS BIGINT) FROM n CROSS JOIN range(0, 200) t(k) UNION SELECT idx FROM c WHERE (SELECT n FROM n) <= 400)
+    SELECT c.idx, round(score, 6) AS score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM c JOIN i ON i.idx = c.idx""")
+def curve_points(spark, sf):
+    return r6(curves.curve_points(roles.labelled(spark, sf)), "score")
+
+
 @query("WITH " + _CUM.format(rel="labelled") + " SELECT c.grp, CASE WHEN any_value(p) > 0 AND any_value(n) > 0 THEN round(max(2.0 * tp / (tp + fp + p)), 6) ELSE 0.0 END AS fmax FROM c JOIN tot ON tot.grp = c.grp GROUP BY c.grp")
 def fmax_term(spark, sf):
     return r6(curves.pr_summary(roles.labelled(spark, sf), "grp").select("grp", "fmax"), "fmax")
@@ -764,6 +779,21 @@ def ovr_optimality(spark, sf):
     return res.join(n, ["fold", "class"]).select("fold", "class", "n_train", "n_pos", (F.col("residual") < 1e-5).alias("optimal"))
 
 
+@query()
+def species_transfer(spark, sf):
+    """Classifiers of species 0 on species 1 by whole vectors, by their first half, and by both."""
+    g = roles.genes(spark, sf)
+    labels = _classes(spark, sf).select("species", "id", "class", "y")
+    x = g.select("id", vec.as_double("v").alias("x"))
+    half = x.select("id", F.slice("x", 1, 32).alias("x"))
+    return r6(ml.transfer(labels, {"whole": x, "half": half, "both": vector.concatenated(x.withColumnRenamed("x", "v"), half.withColumnRenamed("x", "v")).withColumnRenamed("v", "x")}, 0, 1, cut=0.1), "f1_micro", "f1_macro", "jaccard_micro", "accuracy")
+
+
+@query()
+def term_cross_validation(spark, sf):
+    return r6(ml.term_cross_validation(_classes(spark, sf).withColumn("fold", F.col("id") % 5), "fold"), "fmax", "ap")
+
+
 @query()
 def kmeans_clusters(spark, sf):
     return ml.clusters(roles.genes(spark, sf).select("id", F.col("v").alias("x")), 12).select("id", "cluster")
