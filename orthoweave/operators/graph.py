@@ -112,8 +112,3 @@ def resolve_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 def first_with_prefix(lines: DataFrame, prefix: str) -> DataFrame:
     """The first node, in file order, that equals or starts with `prefix`; lines is (line_no, node)."""
     return lines.filter(F.col("node").startswith(prefix)).agg(F.min_by("node", "line_no").alias("node"))
-
-
-def max_edge_rank(edges: DataFrame) -> DataFrame:
-    """Adds rank: the place of an edge among those of its node `a`, heaviest first."""
-    return edges.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b")))

@@ -34,11 +34,6 @@ def hybrid_pairs(weighted: DataFrame, jaccard: DataFrame, alpha: float = 5.0) ->
     return weighted.join(jaccard, ["ia", "ib"], "left").select("ia", "ib", boosted.alias("w"))
 
 
-def with_default_weight(pairs_: DataFrame) -> DataFrame:
-    """A null weight, or a missing column w, becomes 1."""
-    return pairs_.withColumn("w", F.coalesce("w", F.lit(1.0)) if "w" in pairs_.columns else F.lit(1.0))
-
-
 def two_tier_orthogroups(valid: DataFrame, og_table: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, og) by exact id if that covers at least `least` of the valid ids, else by the text before the first dot on both
     sides; of several rows for a key the last (largest row_no) counts. og_table is (row_no, protein_id, og)."""

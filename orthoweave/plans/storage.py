@@ -141,9 +141,21 @@ def scan_ontology(spark, sf):
 
 @query("SELECT n_name, n_regionkey FROM nation")
 def scan_json(spark, sf):
-    at = _folder(spark, "json")
-    writers.report(roles.table(spark, sf, "nation").select("n_name", "n_regionkey"), at)
-    return spark.read.json(at).select("n_name", "n_regionkey")
+    at = _folder(spark, "json") + ".json"
+    each = F.to_json(F.collect_list(F.struct("n_name", "n_regionkey")))  # one JSON array, as result files are
+    writers.text_file(roles.table(spark, sf, "nation").agg(each.alias("value")), at)
+    return readers.json_records(spark, at).select("n_name", "n_regionkey")
+
+
+@query("""SELECT g.gene, p.p_brand AS og FROM (SELECT DISTINCT CASE WHEN l_partkey % 3 = 0 THEN 'T' || l_partkey WHEN l_partkey % 3 = 1 THEN 'P' || l_partkey ELSE 'T' || l_partkey || '.1' END AS gene, l_partkey FROM lineitem) g JOIN part p ON p.p_partkey = g.l_partkey""")
+def either_id_orthogroups(spark, sf):
+    """Genes named by transcript, by protein, or by transcript with a suffix."""
+    k = F.col("l_partkey").cast("string")
+    gene = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("T"), k)).when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("P"), k)).otherwise(F.concat(F.lit("T"), k, F.lit(".1")))
+    genes = roles.table(spark, sf, "lineitem").select(gene.alias("gene")).distinct()
+    part = roles.table(spark, sf, "part")
+    ogs = part.select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("transcript_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("protein_id"), F.col("p_brand").alias("og"))
+    return orthologs.either_id_orthogroups(genes, ogs)
 
 
 @query("SELECT species, idx, CAST(id AS VARCHAR) AS gene, round(list_sum(v), 4) AS total FROM genes")
