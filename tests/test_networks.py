@@ -157,3 +157,31 @@ def test_seed_errors(toy, k, least, said):
 def test_clustering_joins_close_species_first(toy):
     merges = species.average_linkage(toy[1])
     assert len(merges) == 5 and set(merges[0][0] + merges[0][1]) == {"SP_A", "SP_B"}
+
+
+def test_pairs_of_groups_are_made_in_blocks(spark):
+    """Sets are shuffled, not pairs: all pairs, the best ones and those without common elements, of ids that lie in several groups too."""
+    import random
+
+    rng = random.Random(3)
+    a = [(rng.choice("GH"), i) for i in range(30)] + [("G", 7), ("H", 7)]
+    b = [(rng.choice("GH"), i) for i in range(100, 140)] + [("G", 103), ("H", 103)]
+    sets = {i: set(rng.sample("abcdefghijkl", rng.randint(1, 6))) for i in [*range(28), *range(100, 137)]}
+    grouped = lambda rows: spark.createDataFrame(rows, "grp string, id long")
+    members = spark.createDataFrame([(i, e) for i, s in sets.items() for e in s], "gene long, el string")
+    pairs = {(u, v) for g, u in a for h, v in b if g == h}
+    want = {(u, v): len(sets[u] & sets[v]) / len(sets[u] | sets[v]) for u, v in pairs if sets.get(u, set()) & sets.get(v, set())}
+    df = graph.group_jaccard(grouped(a), grouped(b), members, members, block=8)
+    got = [((r["u"], r["v"]), r["jaccard"]) for r in df.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    best = [((r["u"], r["v"]), r["jaccard"]) for r in graph.group_jaccard(grouped(a), grouped(b), members, members, most=2, block=8).collect()]
+    for u in {u for u, _ in want}:
+        first = sorted(((k, s) for k, s in want.items() if k[0] == u), key=lambda x: (-x[1], x[0]))[:2]
+        assert set(first) <= set(best)
+    assert set(best) <= set(want.items()) and len(best) < len(want)
+    whole = [(r["u"], r["v"], r["jaccard"]) for r in graph.group_jaccard(grouped(a), grouped(b), members, members, every=True, block=8).collect()]
+    assert sorted(whole) == sorted((u, v, want.get((u, v), 0.0)) for g, u in set(a) for h, v in set(b) if g == h)
+    weights = orthologs.hybrid_pairs(*[orthologs.weighted_pairs(*[grouped(x).distinct().withColumnsRenamed({"grp": "og", "id": "idx"}) for x in (a, b)]), df.withColumnsRenamed({"u": "ia", "v": "ib"})])
+    again = orthologs.hybrid_orthogroups(*[grouped(x).withColumnsRenamed({"grp": "og", "id": "idx"}) for x in (a, b)], members.withColumnRenamed("el", "og"), members.withColumnRenamed("el", "og"))
+    assert sorted(tuple(r) for r in weights.collect()) == sorted(tuple(r) for r in again.select("ia", "ib", "w").collect())
