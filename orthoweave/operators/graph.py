@@ -16,10 +16,11 @@ from .ordered import positions
 from .vector import best_of
 
 
-def dedup_max(raw: DataFrame) -> DataFrame:
-    """One row per undirected edge with its largest weight."""
+def dedup_max(raw: DataFrame, parts: int | None = None) -> DataFrame:
+    """One row per undirected edge with its largest weight; in `parts` partitions, so that what a task groups is bounded by whoever knows the size."""
     a, b = ids.edge_key(F.col("src"), F.col("dst"))
-    return raw.groupBy(a.alias("a"), b.alias("b")).agg(F.max("w").alias("w"))
+    rows = raw.select(a.alias("a"), b.alias("b"), "w")
+    return (rows.repartition(parts, "a", "b") if parts else rows).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
 def int_scores(edges: DataFrame, top: int = 1000) -> DataFrame:
@@ -30,19 +31,23 @@ def int_scores(edges: DataFrame, top: int = 1000) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Distinct (gene, nbr) in both directions."""
-    return edges.select(F.col("a").alias("gene"), F.col("b").alias("nbr")).union(edges.select("b", "a")).distinct()
+    """(gene, nbr) in both directions, distinct as edges are; each edge is read once."""
+    both = F.array_distinct(F.array(F.struct(F.col("a").alias("gene"), F.col("b").alias("nbr")), F.struct(F.col("b").alias("gene"), F.col("a").alias("nbr"))))
+    return edges.select(F.explode(both).alias("_e")).select("_e.gene", "_e.nbr")
 
 
-def neighbour_sets(edges: DataFrame) -> DataFrame:
-    """gene, nbrs (sorted set)."""
-    return symmetric(edges).groupBy("gene").agg(F.array_sort(F.collect_set("nbr")).alias("nbrs"))
+def neighbour_sets(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """gene, nbrs (sorted set); grouped in `parts` partitions."""
+    both = symmetric(edges)
+    return (both.repartition(parts, "gene") if parts else both).groupBy("gene").agg(F.array_sort(F.collect_set("nbr")).alias("nbrs"))
 
 
-def og_neighbours(edges: DataFrame, gene_og: DataFrame) -> DataFrame:
-    """Distinct (gene, og) of the orthogroups of a gene's neighbours; genes without any drop out. gene_og is (gene, og)."""
+def og_neighbours(edges: DataFrame, gene_og: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct (gene, og) of the orthogroups of a gene's neighbours; genes without any drop out. gene_og is (gene, og). In `parts` partitions by gene."""
     og = gene_og.filter(F.col("og").isNotNull()).select(F.col("gene").alias("nbr"), "og").distinct()
-    return symmetric(edges).join(og, "nbr").select("gene", "og").distinct()
+    both = symmetric(edges)
+    found = (both.repartition(parts, "nbr") if parts else both).join(og, "nbr").select("gene", "og")
+    return (found.repartition(parts, "gene") if parts else found).distinct()
 
 
 def stats_distinct(edges: DataFrame) -> DataFrame:

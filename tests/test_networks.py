@@ -185,3 +185,20 @@ def test_pairs_of_groups_are_made_in_blocks(spark):
     weights = orthologs.hybrid_pairs(*[orthologs.weighted_pairs(*[grouped(x).distinct().withColumnsRenamed({"grp": "og", "id": "idx"}) for x in (a, b)]), df.withColumnsRenamed({"u": "ia", "v": "ib"})])
     again = orthologs.hybrid_orthogroups(*[grouped(x).withColumnsRenamed({"grp": "og", "id": "idx"}) for x in (a, b)], members.withColumnRenamed("el", "og"), members.withColumnRenamed("el", "og"))
     assert sorted(tuple(r) for r in weights.collect()) == sorted(tuple(r) for r in again.select("ia", "ib", "w").collect())
+
+
+def test_edges_are_grouped_in_parts_of_bounded_size(spark, monkeypatch):
+    from orthoweave.plans import roles
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in graph.dedup_max(roles.raw_edges(spark, sf)).collect())
+    lines = roles.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(roles, "TASK_LINES", 100)
+    e = roles.edges(spark, sf)
+    assert sorted(tuple(r) for r in e.collect()) == want
+    assert e.rdd.getNumPartitions() == roles.edge_parts(spark, sf) == -(-lines // 100)
+    both = graph.symmetric(e)
+    assert "Aggregate [gene" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in both.collect()) == sorted({p for a, b, _ in want for p in ((a, b), (b, a))})
+    loop = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0)], "a long, b long, w double")
+    assert sorted(tuple(r) for r in graph.symmetric(loop).collect()) == [(1, 1), (1, 2), (2, 1)]
