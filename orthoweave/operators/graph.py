@@ -120,7 +120,9 @@ def dealt_blocks(a: DataFrame, b: DataFrame, block: int = 1024) -> tuple[DataFra
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = a.join(sizes, "grp").withColumn("_pa", own("_na")).withColumn("_pb", every("_nb")).drop("_na", "_nb")
     y = b.join(sizes, "grp").withColumn("_pb", own("_nb")).withColumn("_pa", every("_na")).drop("_na", "_nb", "n")
-    return x, y, ["grp", "_pa", "_pb"]
+    keys = ["grp", "_pa", "_pb"]
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given: few bytes make many pairs
+    return x.repartition(parts, *keys), y.select(*[F.col(c).alias(c) for c in y.columns]).repartition(parts, *keys), keys
 
 
 def group_jaccard(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, most: int | None = None, every: bool = False, block: int = 1024) -> DataFrame:

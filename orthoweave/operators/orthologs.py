@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .graph import group_jaccard
+from .graph import dealt_blocks, group_jaccard
 
 
 def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -15,10 +15,10 @@ def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def weighted_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """`pairs` with w = 1/(n_a n_b), counts being taken after restriction to the genes given."""
-    na, nb = a.groupBy("og").agg(F.count(F.lit(1)).alias("na")), b.groupBy("og").agg(F.count(F.lit(1)).alias("nb"))
-    n = na.join(nb, "og").select("og", (1.0 / (F.col("na") * F.col("nb"))).alias("w"))
-    return pairs(a, b).join(n, "og").select("og", "ia", "ib", "w")
+    """`pairs` with w = 1/(n_a n_b), counts being taken after restriction to the genes given. The genes of an orthogroup meet in blocks (`graph.dealt_blocks`)."""
+    own, other = (d.filter(F.col("og").isNotNull()).select(F.col("og").alias("grp"), F.col("idx").alias("id")) for d in (a, b))
+    x, y, keys = dealt_blocks(own, other)
+    return x.withColumnRenamed("id", "ia").join(y.withColumnRenamed("id", "ib"), keys).select(F.col("grp").alias("og"), "ia", "ib", (1.0 / F.col("n")).alias("w"))
 
 
 def jaccard_pairs(a: DataFrame, b: DataFrame, og_nbrs_a: DataFrame, og_nbrs_b: DataFrame, most: int | None = None) -> DataFrame:

@@ -285,3 +285,22 @@ def test_outputs_count_when_committed(spark, tmp_path):
     assert sorted(tuple(r) for r in manifest.committed(spark, root, df.schema, "k").collect()) == [("a", i) for i in range(3)] + [(k, 10 + i) for k in "bc" for i in range(3)]
     assert manifest.materialise(df, root, "k") == 0 and manifest.swept(spark, root) == 1
     assert manifest.committed(spark, root, df.schema, "k").count() == 9
+
+
+def test_orthogroup_pairs_meet_in_blocks(spark):
+    """Weighted pairs and the contrast of cosines equal those of joined pairs, whatever the blocks; pairs come from rows dealt to more than one task a group."""
+    from orthoweave.operators import graph, orthologs
+
+    rng = np.random.default_rng(4)
+    rows = lambda n, at: spark.createDataFrame([(int(i % 3) if i % 11 else None, at + i, at + i, rng.normal(size=5).tolist()) for i in range(n)], "og int, idx long, id long, v array<double>")
+    a, b = rows(60, 0).cache(), rows(50, 1000).cache()
+    pos = a.select(F.col("id").alias("u"), "og").join(b.select(F.col("id").alias("v"), "og"), "og").select("u", "v")
+    neg = vector.pair_cosine(evaluation.hashed_pairs(a, b), a, b)
+    want = evaluation.similarity_contrast(vector.pair_cosine(pos, a, b), neg).first().asDict()
+    got = evaluation.orthogroup_contrast(a, b, neg, block=7).first().asDict()
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    n = {g: (a.filter(F.col("og") == g).count(), b.filter(F.col("og") == g).count()) for g in range(3)}
+    pairs = orthologs.pairs(a, b).collect()
+    assert sorted(map(tuple, orthologs.weighted_pairs(a, b).collect())) == sorted((r["og"], r["ia"], r["ib"], 1.0 / (n[r["og"]][0] * n[r["og"]][1])) for r in pairs)
+    x, y, keys = graph.dealt_blocks(a.dropna().select(F.col("og").alias("grp"), "id"), b.dropna().select(F.col("og").alias("grp"), "id"), 7)
+    assert x.select(keys).distinct().count() > 3 * 4
