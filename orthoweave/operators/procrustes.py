@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,9 +230,9 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int) -> Near:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _rounds(x: np.ndarray, y: np.ndarray, base: Sums, known: np.ndarray, both: Callable, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, vanilla: bool = False, **options) -> tuple[Rotation, list[dict]]:
-    """The rounds of `refine` over two matrices in order of ids; `known` holds sorted codes i * len(y) + j of the anchors, and both(a, b, k)
-    gives the neighbours of a in b and of b in a."""
+def _rounds(x: np.ndarray, y: np.ndarray, base: Sums, known: np.ndarray | Callable, both: Callable, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, vanilla: bool = False, **options) -> tuple[Rotation, list[dict]]:
+    """The rounds of `refine` over two matrices in order of ids; `known` holds sorted codes i * len(y) + j of the anchors, or is a function of i and j
+    that tells anchors, and both(a, b, k) gives the neighbours of a in b and of b in a."""
     rot, log, ref = solve(base, **options), [], unit(y)
     mean = base.w / base.n
     for i in range(rounds):
@@ -240,7 +241,7 @@ def _rounds(x: np.ndarray, y: np.ndarray, base: Sums, known: np.ndarray, both: C
         at = np.flatnonzero(back[nbr] == np.arange(len(x)))
         score = 2 * sim[at] - ra[at] - rb[nbr[at]] if csls else sim[at]
         at = at[score >= threshold]
-        at = at[~np.isin(at * len(y) + nbr[at], known, assume_unique=False)]
+        at = at[~(known(at, nbr[at]) if callable(known) else np.isin(at * len(y) + nbr[at], known, assume_unique=False))]
         if not len(at):
             log.append({"round": i + 1, "new": 0, "moved": 0.0})
             break
@@ -275,11 +276,39 @@ def refine(pairs: DataFrame, src: DataFrame, ref: DataFrame, held_bytes: int = 6
         dropped(anchors)
 
 
-def _held(anchors: DataFrame, a: DataFrame, b: DataFrame, base: Sums, **options) -> tuple[Rotation, list[dict]]:
+def refine_orthogroups(src: DataFrame, ref: DataFrame, held_bytes: int = 64 << 20, **options) -> tuple[Rotation, list[dict]]:
+    """`refine` with all pairs of an orthogroup as anchors; src and ref are (og, id, v), an id in one row. Their sums come from `orthogroup_sums`, and a pair is
+    known if its orthogroups are the same, so no anchor is ever a row."""
+    base = orthogroup_sums(src, ref, vanilla=options.get("vanilla", False)).get(0)
+    a, b = (d.select(F.col("id").cast("long").alias("id"), "v", "og") for d in (src, ref))
+    sizes = [d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first() for d in (a, b)]
+    if base is not None and all(s["n"] * (s["d"] or 0) * 8 <= held_bytes for s in sizes):
+        return _held(None, a, b, base, **options)
+    return _tables(None, a, b, base, **options)
+
+
+def _group_codes(p: pa.ChunkedArray, q: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the orthogroups of both sides, -1 for null."""
+    codes = pa.chunked_array([*p.chunks, *q.chunks], p.type).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    return codes[: len(p)], codes[len(p) :]
+
+
+def _same_group(p: pa.ChunkedArray, q: pa.ChunkedArray) -> Callable:
+    """Whether the i-th of p and the j-th of q are one orthogroup; null is none."""
+    of_p, of_q = _group_codes(p, q)
+    return lambda i, j: (of_p[i] == of_q[j]) & (of_p[i] >= 0)
+
+
+def _held(anchors: DataFrame | None, a: DataFrame, b: DataFrame, base: Sums, **options) -> tuple[Rotation, list[dict]]:
+    """Without `anchors` they are all pairs with one `og`."""
     spark = a.sparkSession
-    (ia, x), (ib, y) = (_in_order(d.toArrow()) for d in (a, b))
-    known = anchors.select(F.col("src").cast("long").alias("src"), F.col("ref").cast("long").alias("ref")).toArrow()
-    known = np.unique(np.searchsorted(ia, known.column("src").to_numpy()) * len(ib) + np.searchsorted(ib, known.column("ref").to_numpy()))
+    ta, tb = (t.take(pa.compute.sort_indices(t, [("id", "ascending")])) for t in (d.toArrow() for d in (a, b)))
+    (ia, x), (ib, y) = _in_order(ta), _in_order(tb)
+    if anchors is None:
+        known = _same_group(ta.column("og"), tb.column("og"))
+    else:
+        known = anchors.select(F.col("src").cast("long").alias("src"), F.col("ref").cast("long").alias("ref")).toArrow()
+        known = np.unique(np.searchsorted(ia, known.column("src").to_numpy()) * len(ib) + np.searchsorted(ib, known.column("ref").to_numpy()))
     cores = spark.sparkContext.defaultParallelism
 
     def both(p: np.ndarray, q: np.ndarray, k: int) -> tuple[Near, Near]:
@@ -314,15 +343,20 @@ def _in_order(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], v[order]
 
 
-def _tables(anchors: DataFrame, a: DataFrame, b: DataFrame, base: Sums | None, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, vanilla: bool = False, **options) -> tuple[Rotation, list[dict]]:
+def _tables(anchors: DataFrame | None, a: DataFrame, b: DataFrame, base: Sums | None, rounds: int = 5, threshold: float = 0.5, csls: bool = True, k: int = 10, new_weight: float = 1.0, tol: float = 1e-5, vanilla: bool = False, **options) -> tuple[Rotation, list[dict]]:
     rot, log = solve(base, **options), []
     weight = 1.0 if vanilla else base.w / base.n * new_weight
     for i in range(rounds):
-        moved = stored(transform(a, rot), "refine-moved")
-        ab, ba = (stored(d, "refine-near") for d in vector.nearest_both(moved, b, k if csls else 1))
+        moved = stored(transform(a.select("id", "v"), rot), "refine-moved")
+        ab, ba = (stored(d, "refine-near") for d in vector.nearest_both(moved, b.select("id", "v"), k if csls else 1))
         scores = vector.csls(ab, ba) if csls else ab.filter("rank = 1").select(F.col("q").alias("src"), F.col("nbr").alias("ref"), F.col("sim").alias("score"))
         found = vector.mutual(ab, ba).join(scores, ["src", "ref"]).filter(F.col("score") >= threshold).select("src", "ref")
-        new = stored(anchors_of(found.join(anchors.select("src", "ref"), ["src", "ref"], "left_anti").withColumn("w", F.lit(weight)), a, b).withColumn("all", F.lit(0)), "refine-new")
+        if anchors is None:
+            own = [d.select(F.col("id").alias(c), F.col("og").alias(f"_{c}")) for d, c in ((a, "src"), (b, "ref"))]
+            found = found.join(own[0], "src").join(own[1], "ref").filter(~F.coalesce(F.col("_src") == F.col("_ref"), F.lit(False))).select("src", "ref")
+        else:
+            found = found.join(anchors.select("src", "ref"), ["src", "ref"], "left_anti")
+        new = stored(anchors_of(found.withColumn("w", F.lit(weight)), a, b).withColumn("all", F.lit(0)), "refine-new")
         more = sums_by(new, "all").get(0)
         dropped(moved, ab, ba, new)
         if more is None:
@@ -368,66 +402,104 @@ def _status(failed: dict):
     return F.when(F.col("v").isNotNull(), "aligned").otherwise(F.coalesce(why, F.lit("fewer than 2 anchor pairs")))
 
 
-def two_stage(emb: DataFrame, pairs: DataFrame, reference, seeds: list, groups: DataFrame, refinement: dict | None = None, local_genes: int = 200_000, **options) -> DataFrame:
+def two_stage(emb: DataFrame, pairs: DataFrame | None, reference, seeds: list, groups: DataFrame, refinement: dict | None = None, local_genes: int = 200_000, **options) -> DataFrame:
     """(species, id, idx, v, status): the reference as it is, seeds aligned to it, the others to their nearest aligned seed.
 
-    emb is (species, id, idx, v); pairs (sp_src, sp_ref, src, ref, w); groups (species, seed). `options` (vanilla, center, scale,
+    emb is (species, id, idx, v); pairs (sp_src, sp_ref, src, ref, w), or None: all pairs of an orthogroup, emb having og, without any pair
+    as a row; groups (species, seed). `options` (vanilla, center, scale,
     allow_reflection) and `refinement` (the options of `refine`; None: no refinement) hold for seeds and all other species alike. Seeds
     fail loudly; another species that cannot be fitted keeps no vectors and says why. Without refinement all species of the second
     stage are fitted from grouped sums in one pass. With it each of them is a task of its own while it and its seed have at most
     `local_genes` genes; larger ones are refined one after another on the whole cluster, with the same result.
     """
+    if pairs is None and refinement is None:
+        return two_stage_orthogroups(emb, reference, seeds, groups, **options)
     own = lambda s: emb.filter(F.col("species") == s)
+    og = ["og"] if pairs is None else []
     vec_type = emb.withColumn("v", F.col("v").cast("array<float>"))
     out = vec_type.filter(F.col("species") == reference).withColumn("status", F.lit("reference"))
     for s in seeds:
-        if s != reference:
+        if s != reference and pairs is None:
+            rot = refine_orthogroups(own(s), own(reference), **options, **refinement)[0]
+            out = out.unionByName(transform(vec_type.filter(F.col("species") == s), rot).withColumn("status", F.lit("seed")))
+        elif s != reference:
             p = pairs.filter((F.col("sp_src") == s) & (F.col("sp_ref") == reference)).select("src", "ref", "w")
             rot = fit(anchors_of(p, own(s), own(reference)), **options) if refinement is None else refine(p, own(s), own(reference), **options, **refinement)[0]
             out = out.unionByName(transform(vec_type.filter(F.col("species") == s), rot).withColumn("status", F.lit("seed")))
-    aligned = stored(out.select("species", "id", "idx", "v", "status"), "aligned-seeds")
-    p = pairs.join(groups.select(F.col("species").alias("sp_src"), F.col("seed").alias("sp_ref")), ["sp_src", "sp_ref"])
-    a = p.join(emb.select(F.col("species").alias("sp_src"), F.col("id").alias("src"), F.col("v").alias("x")), ["sp_src", "src"])
-    a = a.join(aligned.select(F.col("species").alias("sp_ref"), F.col("id").alias("ref"), F.col("v").alias("y")), ["sp_ref", "ref"]).select(F.col("sp_src").alias("species"), "src", "ref", "x", "y", "w")
+    aligned = stored(out.select("species", "id", "idx", *og, "v", "status"), "aligned-seeds")
+    a = None
+    if pairs is not None:
+        p = pairs.join(groups.select(F.col("species").alias("sp_src"), F.col("seed").alias("sp_ref")), ["sp_src", "sp_ref"])
+        a = p.join(emb.select(F.col("species").alias("sp_src"), F.col("id").alias("src"), F.col("v").alias("x")), ["sp_src", "src"])
+        a = a.join(aligned.select(F.col("species").alias("sp_ref"), F.col("id").alias("ref"), F.col("v").alias("y")), ["sp_ref", "ref"]).select(F.col("sp_src").alias("species"), "src", "ref", "x", "y", "w")
     rest = vec_type.join(groups.select("species"), "species", "left_semi")
     if refinement is None:
         maps, failed = fit_each(a, "species", **options)
     else:
         maps, failed = _refined_each(emb, aligned, groups, a, refinement, local_genes, options)
     moved = transform_each(rest.select("species", "id", "idx", "v"), "species", maps)
-    return aligned.unionByName(moved.withColumn("status", _status(failed)))
+    return aligned.drop(*og).unionByName(moved.withColumn("status", _status(failed)))
+
+
+def _sums_of_groups(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, vanilla: bool) -> Sums:
+    """`orthogroup_sums` of two matrices and the numbers of their rows' groups (below 0: none)."""
+    n = max(of_x.max(initial=-1), of_y.max(initial=-1)) + 1
+    sums = []
+    for m, of in ((x, of_x), (y, of_y)):
+        on = of >= 0
+        s = np.zeros((n, m.shape[1]))
+        np.add.at(s, of[on], m[on])
+        sums.append((s, np.bincount(of[on], minlength=n).astype(float)))
+    (sx, na), (sy, nb) = sums
+    w = np.ones(n) if vanilla else 1 / np.maximum(na * nb, 1)
+    q = np.bincount(of_x[of_x >= 0], (x[of_x >= 0] ** 2).sum(1), minlength=n)
+    return Sums(int((na * nb).sum()), float((w * na * nb).sum()), (w * nb) @ sx, (w * na) @ sy, (sx * w[:, None]).T @ sy, float((w * nb * q).sum()))
 
 
 def _refined_each(emb: DataFrame, aligned: DataFrame, groups: DataFrame, anchors: DataFrame, refinement: dict, local_genes: int, options: dict) -> tuple[dict, dict]:
     """(maps, reasons) of the species in `groups` (species, seed), refined against their aligned seeds."""
-    own = emb.join(groups, "species").select("species", F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("w"), F.col("v").cast("array<float>").alias("v"))
-    seed = aligned.withColumnRenamed("species", "seed").join(groups, "seed").select("species", F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("w"), "v")
-    links = anchors.select("species", F.lit(2).alias("kind"), F.col("src").cast("long").alias("id"), F.col("ref").cast("long").alias("other"), F.col("w").cast("double").alias("w"), F.lit(None).cast("array<float>").alias("v"))
+    og = F.col("og") if anchors is None else F.lit(None).cast("string")
+    none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("w")]
+    own = emb.join(groups, "species").select("species", F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), *none, F.col("v").cast("array<float>").alias("v"), og.alias("og"))
+    seed = aligned.withColumnRenamed("species", "seed").join(groups, "seed").select("species", F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), *none, "v", og.alias("og"))
+    links = None
+    if anchors is not None:
+        links = anchors.select("species", F.lit(2).alias("kind"), F.col("src").cast("long").alias("id"), F.col("ref").cast("long").alias("other"), F.col("w").cast("double").alias("w"), F.lit(None).cast("array<float>").alias("v"), og.alias("og"))
     sizes = own.unionByName(seed).groupBy("species").agg(F.max(F.col("kind")).alias("_k"), F.sum((F.col("kind") == 0).cast("long")).alias("mine"), F.sum((F.col("kind") == 1).cast("long")).alias("theirs")).collect()  # a row a species
     large = [r["species"] for r in sizes if max(r["mine"], r["theirs"]) > local_genes]
     kind = emb.schema["species"].dataType
-    local = [c for c in (own, seed, links)]
+    local = [c for c in (own, seed, links) if c is not None]
     if large:
         local = [c.filter(~F.col("species").isin(large)) for c in local]
 
+    anchors_given = anchors is not None
+
     def one(t: pa.Table) -> pa.Table:
         kinds = t.column("kind").to_numpy()
         x, y, pairs = (t.filter(pa.array(kinds == i)) for i in range(3))
         flat, why = None, None
         try:
-            if pairs.num_rows < 2:
+            if anchors_given and pairs.num_rows < 2:
                 raise ValueError("fewer than 2 anchor pairs")
+            vanilla = options.get("vanilla", False)
+            both = lambda p, q, k: (nearest(p, q, k), nearest(q, p, k))
+            x, y = (t.take(pa.compute.sort_indices(t, [("id", "ascending")])) for t in (x, y))
             (ia, a), (ib, b) = _in_order(x), _in_order(y)
-            i, j = np.searchsorted(ia, pairs.column("id").to_numpy()), np.searchsorted(ib, pairs.column("other").to_numpy())
-            w = np.ones(len(i)) if options.get("vanilla") else pairs.column("w").to_numpy()
-            rot, _ = _rounds(a, b, Sums.of(a[i], b[j], w), np.unique(i * len(ib) + j), lambda p, q, k: (nearest(p, q, k), nearest(q, p, k)), **options, **refinement)
+            if anchors_given:
+                i, j = np.searchsorted(ia, pairs.column("id").to_numpy()), np.searchsorted(ib, pairs.column("other").to_numpy())
+                base, known = Sums.of(a[i], b[j], np.ones(len(i)) if vanilla else pairs.column("w").to_numpy()), np.unique(i * len(ib) + j)
+            else:
+                codes = _group_codes(x.column("og"), y.column("og"))
+                base, known = _sums_of_groups(a, codes[0], b, codes[1], vanilla), _same_group(x.column("og"), y.column("og"))
+            rot, _ = _rounds(a, b, base, known, both, **options, **refinement)
             flat = np.concatenate([[len(rot.mu_src), len(rot.mu_ref), rot.scale], rot.mu_src, rot.mu_ref, rot.r.ravel()]).tolist()
         except ValueError as e:
             why = str(e)
         return pa.table({"species": t.column("species").slice(0, 1), "map": pa.array([flat], pa.list_(pa.float64())), "why": pa.array([why], pa.string())})
 
     schema = T.StructType([T.StructField("species", kind), T.StructField("map", T.ArrayType(T.DoubleType())), T.StructField("why", T.StringType())])
-    rows = local[0].unionByName(local[1]).unionByName(local[2]).groupBy("species").applyInArrow(one, schema).collect()
+    every = local[0].unionByName(local[1])
+    rows = (every.unionByName(local[2]) if anchors_given else every).groupBy("species").applyInArrow(one, schema).collect()
     maps, failed = {}, {}
     for r in rows:
         if r["map"] is None:
@@ -439,6 +511,9 @@ def _refined_each(emb: DataFrame, aligned: DataFrame, groups: DataFrame, anchors
     for s in large:
         seed_of = groups.filter(F.col("species") == s).first()["seed"]
         try:
+            if not anchors_given:
+                maps[s] = refine_orthogroups(emb.filter(F.col("species") == s), aligned.filter(F.col("species") == seed_of), **options, **refinement)[0]
+                continue
             maps[s] = refine(anchors.filter(F.col("species") == s).select("src", "ref", "w"), emb.filter(F.col("species") == s), aligned.filter(F.col("species") == seed_of), **options, **refinement)[0]
         except ValueError as e:
             failed[s] = str(e)

@@ -193,3 +193,31 @@ def test_shuffled_vectors_are_a_permutation(spark):
     x = rng.normal(size=(40, 3))
     got = {r["id"]: tuple(np.round(r["v"], 9)) for r in retrieval.shuffled_vectors(frame(spark, x), 0).collect()}
     assert sorted(got) == list(range(40)) and sorted(got.values()) == sorted(tuple(np.round(v, 9)) for v in x) and got[0] != tuple(np.round(x[0], 9)) or got[1] != tuple(np.round(x[1], 9))
+
+
+@pytest.mark.parametrize("vanilla", [False, True])
+def test_refinement_with_orthogroups_needs_no_pairs(spark, vanilla):
+    """All pairs of an orthogroup as anchors: the same map with and without rows for them, in a task, on the driver and by tables."""
+    from orthoweave.operators import orthologs
+
+    rng = np.random.default_rng(8)
+    r = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    x = rng.normal(size=(80, 6))
+    y = x @ r + 0.05 * rng.normal(size=x.shape)
+    rows = lambda s, m, at: [(s, at + i, at + i, None if i % 9 == 0 else f"g{i % 20}", v.tolist()) for i, v in enumerate(m)]
+    emb = spark.createDataFrame(rows(0, y, 0) + rows(1, x, 1000) + rows(2, x @ r.T + 0.01, 2000), "species int, id long, idx long, og string, v array<float>").cache()
+    a, b = emb.filter("species = 1"), emb.filter("species = 0")
+    options = {"threshold": 0.0, "k": 3, "vanilla": vanilla}
+    every = lambda s, t: orthologs.weighted_pairs(emb.filter(f"species = {s}"), emb.filter(f"species = {t}")).select(F.lit(s).alias("sp_src"), F.lit(t).alias("sp_ref"), F.col("ia").alias("src"), F.col("ib").alias("ref"), "w")
+    want, log = procrustes.refine(every(1, 0).select("src", "ref", "w"), a.select("id", "v"), b.select("id", "v"), **options)
+    assert log[0]["new"] > 0
+    for held in (64 << 20, 0):
+        rot, again = procrustes.refine_orthogroups(a, b, held_bytes=held, **options)
+        assert np.allclose(rot.r, want.r, atol=1e-5) and [e["new"] for e in again] == [e["new"] for e in log]
+    groups = spark.createDataFrame([(2, 0)], "species int, seed int")
+    pairs = every(1, 0).unionByName(every(2, 0))
+    kw = {"refinement": {"threshold": 0.0, "k": 3}, "vanilla": vanilla, "center": True, "scale": True}
+    vectors = lambda df: np.array([row["v"] for row in df.orderBy("species", "id").collect()])
+    plain = vectors(procrustes.two_stage(emb.drop("og"), pairs, 0, [0, 1], groups, **kw))
+    for genes in (200_000, 10):
+        assert np.allclose(vectors(procrustes.two_stage(emb, None, 0, [0, 1], groups, local_genes=genes, **kw)), plain, atol=1e-4)
