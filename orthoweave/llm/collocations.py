@@ -192,8 +192,14 @@ def _path(depth: int) -> list[str]:
     return [f"w{i + 1}" for i in range(depth)]
 
 
-#: Prefix ranges: by a hash of a path's first two words, so that what lies below a frequent first word spans all of them.
+#: Prefix ranges, at least: by a hash of a path's first two words, so that what lies below a frequent first word spans all of them.
 PREFIXES = 64
+#: Words of the corpus for each range, at most, so that what a range holds does not grow with the corpus.
+RANGE_WORDS = 1 << 20
+
+
+def prefix_ranges(words: int) -> int:
+    return max(PREFIXES, -(-words // RANGE_WORDS))
 
 
 class _Trie:
@@ -223,19 +229,19 @@ class _Trie:
         every = np.concatenate(new)
         self.merge(every, np.ones(len(every), np.int64))
 
-    def serialised(self, group: str):
+    def serialised(self, group: str, prefixes: int):
         """A row for each prefix range: columns of hashes and counts as bytes, in the order of paths, and the last words."""
         depth = self.path.shape[1]
         if not len(self.c):
             return
-        rng = (_path_hash(self.path[:, :2]) % np.uint64(PREFIXES)).astype(np.int64)
+        rng = (_path_hash(self.path[:, :2]) % np.uint64(prefixes)).astype(np.int64)
         order = np.lexsort([*self.path.T[::-1], rng])
         path, c, rng = self.path[order], self.c[order], rng[order]
         length = (path != 0).sum(1)
         last = path[np.arange(len(path)), length - 1]
         names, back = np.unique(last, return_inverse=True)
         text = pa.array([self.words[int(x)] for x in names], pa.binary()).cast(pa.string()).take(pa.array(back))
-        edges = np.searchsorted(rng, np.arange(PREFIXES + 1))
+        edges = np.searchsorted(rng, np.arange(prefixes + 1))
         full = np.flatnonzero(np.diff(edges))
         ends = pa.array(np.append(edges[full], len(c)).astype(np.int32))
         blobs = [pa.array([path[edges[r] : edges[r + 1], i].tobytes() for r in full], pa.binary()) for i in range(depth)]
@@ -243,7 +249,7 @@ class _Trie:
         yield pa.RecordBatch.from_arrays([pa.array([group] * len(full), pa.string()), pa.array(full.astype(np.int32)), *blobs, counts, pa.ListArray.from_arrays(ends, text)], ["grp", "rng", *_path(depth), "c", "words"])
 
 
-def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_000, held_nodes: int = 2_000_000) -> DataFrame:
+def shard_tries(texts: DataFrame, sieves: list[Sieve], prefixes: int = PREFIXES, shard_words: int = 500_000, held_nodes: int = 2_000_000) -> DataFrame:
     """(grp, rng, w1.., c, words): the serialised tries, below their first level. A task merges its shards, and gives out what it has at `held_nodes` nodes."""
     held, depth = texts.sparkSession.sparkContext.broadcast(sieves), len(sieves) + 1
 
@@ -258,7 +264,7 @@ def shard_tries(texts: DataFrame, sieves: list[Sieve], shard_words: int = 2_000_
 
         def given():
             for g, t in tries.items():
-                yield from t.serialised(g)
+                yield from t.serialised(g, prefixes)
             tries.clear()
 
         with np.errstate(over="ignore"):
@@ -405,11 +411,12 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     texts = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("grp"), F.col(text_col).alias("text"))
     counts = stash(word_counts(texts), "word-counts")
     totals = stash(counts.groupBy("grp").agg(F.sum("c").alias("n")), "group-words")
+    words = totals.agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("c") >= least)
     sieves = [sieve_of(_word_keys(often), sieve_bits)]
     for _ in range(2, depth):
         sieves.append(sieve_of(frequent_cells(texts, sieves, least), sieve_bits))
-    tries = stash(shard_tries(texts, sieves), "shard-tries", "zstd")
+    tries = stash(shard_tries(texts, sieves, prefix_ranges(words)), "shard-tries", "zstd")
     nodes = stash(merged(tries, depth, least).unionByName(first_level(often, depth)), "trie")
     discard(counts, tries)
     walk = walked(nodes, depth)

@@ -229,3 +229,19 @@ def test_collocations_of_few_rows(spark):
     assert collocations.collocations(df).count() == 0
     assert collocations.collocations(df.limit(0)).count() == 0
     assert rows(collocations.collocations(df, least=1))[0]["score"] == 1_000_000
+
+
+def test_prefix_ranges_follow_the_corpus(spark, monkeypatch):
+    """A larger corpus is merged in more ranges, with the same phrases."""
+    from orthoweave.llm import collocations as c
+
+    rows = [(i, "und", f"alpha beta gamma delta w{i % 7} v{i % 3}. alpha beta") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = sorted(map(tuple, c.collocations(docs).collect()))
+    assert want and c.prefix_ranges(100) == c.PREFIXES and c.prefix_ranges(600 << 20) == 600
+    seen = []
+    plain = c.shard_tries
+    monkeypatch.setattr(c, "RANGE_WORDS", 16)
+    monkeypatch.setattr(c, "shard_tries", lambda texts, sieves, prefixes: seen.append(prefixes) or plain(texts, sieves, prefixes, shard_words=50, held_nodes=20))
+    assert sorted(map(tuple, c.collocations(docs).collect())) == want
+    assert seen == [-(-200 * 8 // 16)]
