@@ -9,7 +9,8 @@ walks are reproducible, and both ways of walking give the same ones.
 Skip-gram parameters lie in blocks of nodes. Pairs of centre and context are dealt to cells (block of the centre, block of the context), a round trains
 the cells of one diagonal, each task with its two blocks to itself, and writes the blocks back; after as many rounds as there are blocks every
 pair has been used. Negative samples are drawn from the cell's context block by count^0.75, from hashed numbers. A cell with more
-than `cell_pairs` pairs (a hub's) is cut into slices, which train copies whose changes are averaged.
+than `cell_pairs` pairs (a hub's) is cut into slices of walks, which train copies whose changes are averaged. Pairs are made from the walks where they are used, and the
+slices of a cell share a bounded number of tasks, so neither pairs nor a copy for each slice are rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from ..sources.shared import dropped, stored
 from .ordered import positions
 from .procrustes import vectors
+from .ranked import grown, shrunk
 
 _M1, _M2, _ADD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,14 +79,15 @@ def alias_rows(adj: DataFrame, part: int = 1024) -> tuple[DataFrame, DataFrame]:
     slots = stored(kept.mapInArrow(run, "cur long, part int, slot int, nxt long, prob double, other long, whole double"), "alias-rows")
     nodes = slots.groupBy("cur", "part").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("whole").alias("whole"))
     nodes = nodes.groupBy("cur").agg(F.array_sort(F.collect_list(F.struct("part", "n", "whole"))).alias("parts"))
-    return slots.drop("whole"), stored(nodes, "alias-nodes")
+    return slots, stored(nodes, "alias-nodes")
 
 
-def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float = 1.0, q: float = 0.7, seed: int = 42, part: int = 1024, held_edges: int = 2_000_000, tries: int = 4, cut: int = 4) -> DataFrame:
+def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float = 1.0, q: float = 0.7, seed: int = 42, part: int = 1024, held_edges: int = 2_000_000, tries: int = 4, cut: int = 4, block_edges: int = 1_000_000, hub_edges: int = 4_000_000) -> DataFrame:
     """(walk, nodes): `walks` walks of `length` nodes from every node of the undirected graph (a, b, w), w > 0; edges with a null end or weight are left out.
 
-    While the graph has at most `held_edges` edges (counted both ways) its alias tables are broadcast and a walk is one task's work; beyond, walkers
-    advance by joins with the tables, `tries` draws a round, and what they have walked is stored every `cut` rounds.
+    While the graph has at most `held_edges` edges (counted both ways) its alias tables are broadcast and a walk is one task's work. Beyond, nodes lie in
+    blocks of about `block_edges` edges, whose tables are packed once, and walkers move between the blocks (`_moved_walks`). Where a node has more than `hub_edges` neighbours, walkers
+    advance by joins with the tables instead, `tries` draws a round, and what they have walked is stored every `cut` rounds.
     """
     given = edges.dropna(subset=["a", "b", "w"]).filter("w > 0")
     whole = isinstance(given.schema["a"].dataType, (T.IntegerType, T.LongType, T.ShortType))
@@ -96,8 +99,11 @@ def biased_walks(edges: DataFrame, walks: int = 20, length: int = 50, p: float =
     adj = stored(coded.select(F.col("a").alias("cur"), F.col("b").alias("nxt"), "w").unionByName(coded.select(F.col("b").alias("cur"), F.col("a").alias("nxt"), "w")), "walk-edges")
     slots, nodes = alias_rows(adj, part)
     start = nodes.select("cur", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("_r")).select((F.col("cur") * walks + F.col("_r")).alias("walk"), "cur")
-    if adj.count() <= held_edges:
+    n = adj.count()
+    if n <= held_edges:
         out = _held_walks(start, adj, slots, nodes, length, p, q, seed)
+    elif nodes.agg(F.max(F.aggregate("parts", F.lit(0), lambda s, x: s + x["n"]))).first()[0] <= hub_edges:
+        out = _moved_walks(start, slots, n, length, p, q, seed, block_edges)
     else:
         out = _joined_walks(start, adj, slots, nodes, length, p, q, seed, tries, cut)
     if whole:
@@ -154,6 +160,111 @@ def _held_walks(start: DataFrame, adj: DataFrame, slots: DataFrame, nodes: DataF
     return start.repartition("walk").mapInArrow(run, "walk long, nodes array<long>")
 
 
+def _block_tables(slots: DataFrame, blocks: int) -> DataFrame:
+    """(blk, and packed arrays): the alias tables of a block of nodes in one row. Nodes, their first part; parts, their first slot and weight; slots."""
+    names = ["ids", "begin", "first", "whole", "nxt", "prob", "apart"]
+
+    def run(t: pa.Table) -> pa.Table:
+        cur, at, slot, nxt, prob, other, whole = (t.column(c).to_numpy() for c in ("cur", "part", "slot", "nxt", "prob", "other", "whole"))
+        order = np.lexsort((slot, at, cur))
+        cur, at, nxt, prob, other, whole = (x[order] for x in (cur, at, nxt, prob, other, whole))
+        first = np.flatnonzero(np.append(True, (cur[1:] != cur[:-1]) | (at[1:] != at[:-1])))
+        ids = np.unique(cur)
+        begin = np.searchsorted(np.searchsorted(ids, cur[first]), np.arange(len(ids) + 1))
+        cols = [ids, begin, np.append(first, len(cur)), whole[first], nxt, prob, other - nxt]
+        return pa.table({"blk": t.column("blk").slice(0, 1), **{n: pa.array([shrunk(x)], pa.binary()) for n, x in zip(names, cols, strict=True)}, "n": pa.array([[len(x) for x in cols]], pa.list_(pa.int64()))})
+
+    dealt = slots.withColumn("blk", F.pmod(F.xxhash64("cur"), F.lit(blocks)).cast("int"))
+    return stored(dealt.groupBy("blk").applyInArrow(run, f"blk int, {', '.join(f'{n} binary' for n in names)}, n array<bigint>"), "walk-blocks")
+
+
+def _moved_walks(start: DataFrame, slots: DataFrame, edges: int, length: int, p: float, q: float, seed: int, block_edges: int) -> DataFrame:
+    """A walker goes on in a block until it leaves it. Whether a draw is a neighbour of the node before is asked only if acceptance depends on it, and where the
+    draw lies, as edges run both ways: if it is turned down, the walker goes back for its next attempt. So a round moves each walker once, with six numbers."""
+    spark = start.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as given: walkers are few bytes
+    blocks = max(-(-edges // block_edges), min(parts, 2 * spark.sparkContext.defaultParallelism, edges))
+    tables = _block_tables(slots, blocks)
+    most, least, larger = max(1.0, 1 / p, 1 / q), min(1.0, 1 / q), max(1.0, 1 / q)
+    state = ["walk", "at", "cur", "prev", "step", "attempt", "pending"]
+
+    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        walk, at, cur, prev, step, attempt, pending = (left.column(c).to_numpy().copy() for c in state)
+        names = ("ids", "begin", "first", "whole", "nxt", "prob", "apart")
+        kinds = (np.int64, np.int64, np.int64, float, np.int64, float, np.int64)
+        sizes = right.column("n")[0].as_py() if right.num_rows else [0] * 7
+        ids, begin, first, whole, nxt, prob, apart = (grown(right.column(c)[0].as_py(), n, 8).view(k) if right.num_rows else np.zeros(0, k) for c, n, k in zip(names, sizes, kinds, strict=True))
+        cum = whole.cumsum()
+        found = []
+
+        def here(i):
+            return ids[np.minimum(np.searchsorted(ids, at[i]), len(ids) - 1)] == at[i]
+
+        def accept(i, to):
+            found.append((i, step[i].copy(), to))
+            prev[i], cur[i], at[i] = cur[i], to, to
+            step[i] += 1
+            attempt[i], pending[i] = 0, False
+
+        def neighbours(node, other):
+            """Whether `other` is among the neighbours of each node; they are sorted within a part."""
+            n, out = np.searchsorted(ids, node), np.zeros(len(node), bool)
+            one, last = begin[n], begin[n + 1]
+            while (todo := np.flatnonzero((one < last) & ~out)).size:
+                lo, hi = first[one[todo]], first[one[todo] + 1]
+                end = hi
+                while (lo < hi).any():
+                    mid = (lo + hi) // 2
+                    less = (lo < hi) & (nxt[np.minimum(mid, len(nxt) - 1)] < other[todo])
+                    lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+                out[todo] = (lo < end) & (nxt[np.minimum(lo, len(nxt) - 1)] == other[todo])
+                one = one + 1
+            return out
+
+        live = np.arange(len(walk))
+        while len(live):
+            asked = live[pending[live]]
+            if len(asked):
+                ok = neighbours(at[asked], prev[asked]) == (1.0 > 1 / q)
+                accept(asked[ok], at[asked[ok]])
+                back = asked[~ok]
+                at[back], pending[back] = cur[back], False
+                attempt[back] += 1
+            live = live[(step[live] < length) & here(live)]
+            c = np.searchsorted(ids, at[live])
+            u, v, x, y = (uniforms(seed, k, walk[live], step[live], attempt[live]) if len(live) else np.zeros(0) for k in range(4))
+            low = np.where(begin[c] > 0, cum[begin[c] - 1], 0.0)
+            one = np.minimum(np.maximum(np.searchsorted(cum, low + u * (cum[begin[c + 1] - 1] - low), "right"), begin[c]), begin[c + 1] - 1)
+            size = first[one + 1] - first[one]
+            place = first[one] + np.minimum((v * size).astype(np.int64), size - 1)
+            to = np.where(x < prob[place], nxt[place], nxt[place] + apart[place])
+            level = y * most
+            back = (to == prev[live]) & (step[live] > 1)
+            ok = np.where(step[live] == 1, True, np.where(back, level < 1 / p, level < least))
+            ask = ~ok & ~back & (level < larger)
+            attempt[live[~ok & ~ask]] += 1
+            at[live[ask]], pending[live[ask]] = to[ask], True
+            accept(live[ok], to[ok])
+            live = live[(step[live] < length) & here(live)]
+        i, s, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        order = np.lexsort((s, i))
+        tail = pa.ListArray.from_arrays(np.append(0, np.bincount(i, minlength=len(walk)).cumsum()).astype(np.int32), pa.array(n[order], pa.int64()))
+        return pa.table({**dict(zip(state, (walk, at, cur, prev, step, attempt, pending), strict=True)), "tail": tail})
+
+    kinds = "walk long, at long, cur long, prev long, step int, attempt int, pending boolean"
+    front = start.select("walk", F.col("cur").alias("at"), "cur", F.lit(0).cast("long").alias("prev"), F.lit(1).alias("step"), F.lit(0).alias("attempt"), F.lit(False).alias("pending"))
+    done, n = start.select("walk", F.lit(0).alias("leg"), F.array("cur").alias("tail")), 0
+    right = tables.repartition(parts, "blk")
+    while front.take(1):
+        n += 1
+        left = front.withColumn("blk", F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int")).repartition(parts, "blk")
+        moved = stored(left.groupBy("blk").cogroup(right.groupBy("blk")).applyInArrow(meet, f"{kinds}, tail array<bigint>"), "walk-front")
+        done = done.unionByName(moved.filter(F.size("tail") > 0).select("walk", F.lit(n).alias("leg"), "tail"))
+        front = moved.filter(F.col("step") < length).drop("tail")
+    legs = done.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("leg", "tail"))).alias("parts"))
+    return legs.select("walk", F.flatten(F.transform("parts", lambda x: x["tail"])).alias("nodes"))
+
+
 def _joined_walks(start: DataFrame, adj: DataFrame, slots: DataFrame, nodes: DataFrame, length: int, p: float, q: float, seed: int, tries: int, cut: int) -> DataFrame:
     most = max(1.0, 1 / p, 1 / q)
     near = adj.select(F.col("cur").alias("prev"), "nxt", F.lit(True).alias("common")).distinct()
@@ -198,6 +309,14 @@ def _joined_walks(start: DataFrame, adj: DataFrame, slots: DataFrame, nodes: Dat
 # ---- skip-gram ----------------------------------------------------------------------------------
 
 
+def _add_at(m: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to m at places that may repeat."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    m[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def _train(centre: np.ndarray, context: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, rate: float, negative: int, seed: int, batch: int = 512, shared: int = 64) -> None:
     """Steps of the negative-sampling loss over pairs (places in a and b), in place. Each batch shares `shared` negatives, which count as `negative` a pair."""
     cum = weight.cumsum()
@@ -208,15 +327,38 @@ def _train(centre: np.ndarray, context: np.ndarray, a: np.ndarray, b: np.ndarray
         g = rate * (1 - 1 / (1 + np.exp(-np.clip((x * y).sum(1), -30, 30))))[:, None]
         h = -rate * negative / shared / (1 + np.exp(-np.clip(x @ z.T, -30, 30)))
         h[j[:, None] == neg[None, :]] = 0.0  # a context is no negative of itself
-        np.add.at(a, i, g * y + h @ z)
-        np.add.at(b, j, g * x)
-        np.add.at(b, neg, h.T @ x)
+        _add_at(a, i, g * y + h @ z)
+        _add_at(b, j, g * x)
+        _add_at(b, neg, h.T @ x)
 
 
-def _cell_step(at: int, rate: float, negative: int, seed: int):
-    """The function that trains one slice of a cell: left its pairs, right its two blocks of parameters."""
+def _window_pairs(walk: pa.Array, t: pa.ListArray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(walk, centre, context) of all tokens of all walks; the window of a centre is drawn from 1 to `window`, as is usual."""
+    n = t.value_lengths().to_numpy(zero_copy_only=False)
+    token, w = t.flatten().to_numpy(zero_copy_only=False), np.repeat(walk.to_numpy(zero_copy_only=False), n)
+    size = np.repeat(n, n)
+    at = np.arange(len(token)) - np.repeat(n.cumsum() - n, n)
+    reach = 1 + np.floor(uniforms(seed, 3, w, at) * window) if len(token) else at
+    ends = [(np.flatnonzero((reach >= d) & on), o) for d in range(1, window + 1) for on, o in ((at + d < size, d), (at >= d, -d))]
+    s, other = (np.concatenate(x) for x in zip(*[(i, i + o) for i, o in ends], strict=True))
+    return w[s], token[s], token[other]
+
+
+def _in_hashed_order(ci: np.ndarray, xi: np.ndarray, w: np.ndarray, seed: int, at: int) -> np.ndarray:
+    """The order of pairs by a hash; equal hashes of different pairs, which are rare, go by the pairs themselves."""
+    u = uniforms(seed, 5, ci, xi, w, np.full(len(ci), at))
+    order = np.argsort(u, kind="stable")
+    same = np.flatnonzero(u[order[1:]] == u[order[:-1]])
+    p, q = order[same], order[same + 1]
+    return np.lexsort((w, xi, ci, u)) if ((ci[p] != ci[q]) | (xi[p] != xi[q]) | (w[p] != w[q])).any() else order
+
+
+def _cell_step(at: int, rate: float, negative: int, seed: int, window: int, blocks: int, bundles: int):
+    """The function that trains a bundle of slices of a cell: left their walks, right the two blocks of parameters. Every slice trains a copy; the bundle gives
+    its share of the mean over all slices."""
 
     def trained(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        bi, bj, bundle = (k.as_py() for k in key)
         side, no, c = (right.column(x).to_numpy() for x in ("side", "no", "c"))
         v = vectors(right.column("v"))
         parts = []
@@ -224,11 +366,21 @@ def _cell_step(at: int, rate: float, negative: int, seed: int):
             on = np.flatnonzero(side == s)
             parts.append(on[np.argsort(no[on])])
         a, b = v[parts[0]], v[parts[1]]
-        if left.num_rows:
-            ci, xi, w = (left.column(x).to_numpy() for x in ("ci", "xi", "walk"))
-            order = np.lexsort((w, xi, ci, uniforms(seed, 5, ci, xi, w, np.full(len(ci), at))))
-            _train(np.searchsorted(no[parts[0]], ci[order]), np.searchsorted(no[parts[1]], xi[order]), a, b, c[parts[1]] ** 0.75, rate, negative, seed + at)
-        return pa.table({"side": np.repeat([0, 1], [len(a), len(b)]).astype(np.int32), "no": np.concatenate([no[parts[0]], no[parts[1]]]), "v": pa.array([*a.tolist(), *b.tolist()], pa.list_(pa.float64()))})
+        n_slices = right.column("n_slices")[0].as_py() if right.num_rows else 1
+        slices, mean = left.column("slice").to_numpy(), [np.zeros_like(a), np.zeros_like(b)]
+        for s in range(bundle, n_slices, bundles):
+            x, y, mine = a.copy(), b.copy(), left.take(pa.array(np.flatnonzero(slices == s))).combine_chunks()
+            if mine.num_rows:
+                w, ci, xi = _window_pairs(mine.column("walk").combine_chunks(), mine.column("t").combine_chunks(), window, seed)
+                on = np.flatnonzero((ci % blocks == bi) & (xi % blocks == bj))
+                w, ci, xi = w[on], ci[on] // blocks, xi[on] // blocks
+                order = _in_hashed_order(ci, xi, w, seed, at)
+                _train(np.searchsorted(no[parts[0]], ci[order]), np.searchsorted(no[parts[1]], xi[order]), x, y, c[parts[1]] ** 0.75, rate, negative, seed + at)
+            mean[0] += x / n_slices
+            mean[1] += y / n_slices
+        flat = np.concatenate(mean)
+        listed = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
+        return pa.table({"side": np.repeat([0, 1], [len(a), len(b)]).astype(np.int32), "no": np.concatenate([no[parts[0]], no[parts[1]]]), "v": listed})
 
     return trained
 
@@ -241,31 +393,23 @@ def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 1
     blocks = max(1, -(-genes // block_nodes))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = stored(positions(counts, "gene").withColumn("blk", block(F.col("gene"))), "gram-nodes").withColumnRenamed("idx", "no")
-    tokens = walks.select("walk", F.posexplode("nodes").alias("at", "gene")).join(placed.select("gene", "no"), "gene")
-    coded = tokens.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("at", "no"))).alias("t")).select("walk", F.transform("t", lambda x: x["no"].cast("long")).alias("t"))
+    tokens = walks.select("walk", F.posexplode("nodes").alias("at", "gene")).join(placed.select("gene", (F.col("no") * blocks + F.col("blk")).cast("long").alias("no")), "gene")
+    coded = tokens.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("at", "no"))).alias("t")).select(F.xxhash64("walk").alias("walk"), F.transform("t", lambda x: x["no"]).alias("t"))
+    coded = stored(coded, "gram-walks")
 
-    def paired(batches):
+    def counted(batches):
+        n = np.zeros((blocks, blocks), np.int64)
         for b in batches:
-            for w, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.values.to_numpy(zero_copy_only=False)
-                i, j = [], []
-                for d in range(1, window + 1):
-                    # the window of a centre is drawn from 1 to `window`, as is usual
-                    for s, o in ((np.arange(len(t) - d), d), (np.arange(d, len(t)), -d)):
-                        on = 1 + np.floor(uniforms(seed, 3, w, s) * window) >= d
-                        i.append(t[s[on]]), j.append(t[s[on] + o])
-                i, j = np.concatenate(i), np.concatenate(j)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), w)), pa.array(i), pa.array(j)], ["walk", "ci", "xi"])
-
-    pairs = coded.select(F.xxhash64("walk").alias("walk"), "t").mapInArrow(paired, "walk long, ci long, xi long")
-    where = placed.select("no", "blk")
-    pairs = pairs.join(where.select(F.col("no").alias("ci"), F.col("blk").alias("bi")), "ci").join(where.select(F.col("no").alias("xi"), F.col("blk").alias("bj")), "xi") if blocks > 1 else pairs.withColumns({"bi": F.lit(0), "bj": F.lit(0)})
-    pairs = stored(pairs.select("walk", "ci", "xi", "bi", "bj"), "gram-pairs")
-    cells = {(r["bi"], r["bj"]): r["n"] for r in pairs.groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("n")).collect()}  # blocks^2
+            _, i, j = _window_pairs(b.column("walk"), b.column("t"), window, seed)
+            np.add.at(n, (i % blocks, j % blocks), 1)
+        i, j = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[i, j])], ["bi", "bj", "n"])
+
+    cells = {(r["bi"], r["bj"]): r["n"] for r in coded.mapInArrow(counted, "bi int, bj int, n long").groupBy("bi", "bj").agg(F.sum("n").alias("n")).collect()}  # blocks^2
     slices = {k: max(1, -(-n // cell_pairs)) for k, n in cells.items()}
     most = max(slices.values(), default=1)
     n_slices = F.coalesce(*[F.when((F.col("bi") == i) & (F.col("bj") == j), F.lit(s)) for (i, j), s in slices.items() if s > 1], F.lit(1)) if most > 1 else F.lit(1)
-    pairs = pairs.withColumn("slice", F.pmod(F.xxhash64("walk"), n_slices.cast("long")).cast("int"))
+    bundles = max(1, -(-2 * walks.sparkSession.sparkContext.defaultParallelism // blocks))  # tasks of a cell, each with its slices one after the other
 
     def begun(batches):
         for b in batches:
@@ -279,16 +423,18 @@ def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 1
         for shift in range(blocks):
             at = epoch * blocks + shift
             lr = max(rate * 1e-2, rate * (1 - at / (epochs * blocks)))
-            mine = pairs.filter(F.pmod(F.col("bj") - F.col("bi"), F.lit(blocks)) == shift)
-            copies = F.explode(F.sequence(F.lit(0), n_slices - 1))
+            mine = coded.withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("bj", F.pmod(F.col("bi") + shift, F.lit(blocks)))
+            mine = mine.withColumn("slice", F.pmod(F.xxhash64("walk"), n_slices.cast("long")).cast("int")).withColumn("bundle", F.pmod("slice", F.lit(bundles)))
+            copies = F.explode(F.sequence(F.lit(0), F.least(n_slices, F.lit(bundles)) - 1))
             ins = params.select(F.col("blk").alias("bi"), F.pmod(F.col("blk") + shift, F.lit(blocks)).alias("bj"), F.lit(0).alias("side"), "no", "c", F.col("a").alias("v"))
             outs = params.select(F.pmod(F.col("blk") - shift, F.lit(blocks)).alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), "no", "c", F.col("b").alias("v"))
-            both = ins.unionByName(outs).withColumn("slice", copies)
+            both = ins.unionByName(outs).withColumns({"n_slices": n_slices, "bundle": copies})
 
-            keys = ["bi", "bj", "slice"]
-            new = mine.select(*keys, "ci", "xi", "walk").groupBy(*keys).cogroup(both.groupBy(*keys)).applyInArrow(_cell_step(at, lr, negative, seed), kinds)
+            keys, parts = ["bi", "bj", "bundle"], blocks * bundles
+            left, right = mine.select(*keys, "slice", "walk", "t").repartition(parts, *keys), both.repartition(parts, *keys)
+            new = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cell_step(at, lr, negative, seed, window, blocks, bundles), kinds)
             if most > 1:
-                new = new.groupBy("side", "no").agg(*[F.avg(F.col("v")[i]).alias(f"_v{i}") for i in range(dim)]).select("side", "no", F.array(*[f"_v{i}" for i in range(dim)]).alias("v"))
+                new = new.groupBy("side", "no").agg(*[F.sum(F.col("v")[i]).alias(f"_v{i}") for i in range(dim)]).select("side", "no", F.array(*[f"_v{i}" for i in range(dim)]).alias("v"))
             new = stored(new, "gram-new")
             a, b = new.filter("side = 0").select("no", F.col("v").alias("a")), new.filter("side = 1").select("no", F.col("v").alias("b"))
             nxt = stored(params.drop("a", "b").join(a, "no").join(b, "no"), "gram-params")

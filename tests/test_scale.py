@@ -194,6 +194,14 @@ def test_both_ways_of_walking_agree(spark):
     assert one == two and len(one) == 20 and {len(x) for x in one.values()} == {6}
 
 
+@pytest.mark.parametrize(("p", "q"), [(0.5, 2.0), (1.0, 0.7), (3.0, 0.4), (0.2, 1.0)])
+def test_walkers_that_move_between_blocks_walk_the_same(spark, p, q):
+    df = spark.createDataFrame([*graph(14, 0.5), (20, 21, 1.0)], "a long, b long, w double")
+    ways = ({"held_edges": 10**6}, {"held_edges": 0}, {"held_edges": 0, "block_edges": 6})
+    got = [{r["walk"]: r["nodes"] for r in walks.biased_walks(df, walks=3, length=9, p=p, q=q, part=4, **way).collect()} for way in ways]
+    assert all(g == got[0] for g in got) and {len(x) for x in got[0].values()} == {9}
+
+
 def test_steps_follow_the_second_order_distribution(spark):
     edges = graph(9, 0.5)
     p, q = 0.5, 2.0
@@ -222,6 +230,21 @@ def test_parts_of_a_hub_are_small(spark):
     assert len(nodes.first()["parts"]) == 30
 
 
+def test_window_pairs_of_many_walks_at_once():
+    import pyarrow as pa
+
+    t = [[5, 6, 7, 8], [], [1], [2, 3]]
+    w, i, j = walks._window_pairs(pa.array([11, 12, 13, 14]), pa.array(t, pa.list_(pa.int64())), 3, 42)
+    want = [(k, x[s], x[o]) for k, x in zip((11, 12, 13, 14), t, strict=True) for s in range(len(x)) for o in range(len(x)) if 0 < abs(s - o) <= 1 + np.floor(walks.uniforms(42, 3, k, s) * 3)[0]]
+    assert sorted(zip(w, i, j, strict=True)) == sorted(want)
+
+
+def test_joined_walks_serve_hubs(spark):
+    df = spark.createDataFrame(graph(8, 0.5), "a long, b long, w double")
+    one, two = ({r["walk"]: r["nodes"] for r in walks.biased_walks(df, walks=1, length=4, part=2, **way).collect()} for way in ({}, {"held_edges": 0, "hub_edges": 0}))
+    assert one == two
+
+
 @pytest.mark.parametrize("options", [{}, {"block_nodes": 30, "cell_pairs": 8000, "epochs": 8}])
 def test_skip_gram_recovers_planted_communities(spark, options):
     local = np.random.default_rng(3)
