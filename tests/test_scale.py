@@ -305,6 +305,26 @@ def test_a_query_goes_once_to_a_shelf_of_cells(spark, monkeypatch):
             assert report.agg(F.sum("visited")).first()[0] > rows["pivot-first-visits"] + rows["pivot-visits"]
 
 
+def test_rank_correlation_of_pairs_in_cells(spark, monkeypatch):
+    """Equal to that of joined pairs by group, in many cells and slices; no vector is joined to a pair."""
+    from orthoweave.operators import retrieval
+
+    emb = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "id long, v array<double>")
+    rows = sorted({(int(g), int(u), int(v), float(rng.integers(1, 6)) / 7) for g, u, v in zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300), rng.integers(0, 40, 300), strict=True)})
+    rows = [r for i, r in enumerate(rows) if not i or rows[i - 1][:3] != r[:3]]
+    pairs = spark.createDataFrame(rows, "grp int, u long, v long, s double")
+    cos = vector.pair_cosine(pairs.select("u", "v").distinct(), emb, emb).withColumn("cos", F.round("cos", 9))
+    want = {r["grp"]: (r["n"], r["rho"]) for r in stats.spearman_by(pairs.join(cos, ["u", "v"]), "s", "cos", "grp").collect()}
+    cells = vector.pair_cells
+    monkeypatch.setattr(vector, "pair_cells", lambda p, a, b: cells(p, a, b, block=9, most=5))
+    fewer = emb.filter("id < 30")
+    joined = pairs.filter("u < 30 and v < 30").join(cos, ["u", "v"])
+    less = {r["grp"]: (r["n"], r["rho"]) for r in stats.spearman_by(joined, "s", "cos", "grp").collect()}
+    assert {g: pytest.approx(t) for g, t in less.items()} == retrieval.cosine_ranks(pairs, fewer, fewer)
+    monkeypatch.setattr(vector, "pair_cosine", None)
+    assert {g: pytest.approx(t) for g, t in want.items()} == retrieval.cosine_ranks(pairs, emb, emb)
+
+
 # ---- contrastive encoders, mini-batch k-means, incremental outputs ------------------------------
 
 
