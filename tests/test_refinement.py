@@ -221,3 +221,37 @@ def test_refinement_with_orthogroups_needs_no_pairs(spark, vanilla):
     plain = vectors(procrustes.two_stage(emb.drop("og"), pairs, 0, [0, 1], groups, **kw))
     for genes in (200_000, 10):
         assert np.allclose(vectors(procrustes.two_stage(emb, None, 0, [0, 1], groups, local_genes=genes, **kw)), plain, atol=1e-4)
+
+
+def test_robustness_makes_no_row_for_a_trial(spark, monkeypatch):
+    """Shares as a full sort would give them; fits and correlations as of plain loops, though no pair is stored with vectors or ranked as a row, in many cells."""
+    import hashlib
+
+    from orthoweave.operators import stats
+
+    n, d = 40, 4
+    x, y = rng.normal(size=(n, d)), rng.normal(size=(n, d))
+    anchors = [(i, j, 1.0 + (i + j) % 3) for i in range(n) for j in range(n) if i % 4 == j % 4]
+    pairs = spark.createDataFrame(anchors, "src long, ref long, w double")
+    order = {rep: sorted(anchors, key=lambda p: (hashlib.md5(f"{p[0]}:{p[1]}:{rep}".encode()).hexdigest(), f"{p[0]}:{p[1]}")) for rep in range(2)}
+    assert sorted(tuple(r) for r in procrustes.subsampled(pairs, 0.3, 1).collect()) == sorted(order[1][:120])
+    assert procrustes.subsampled(pairs, 1.0, 0).count() == 400
+    truth = [(j, i, float((i * j) % 5)) for i in range(n + 3) for j in range(n) if (i + j) % 3]
+    cells = vector.pair_cells
+    monkeypatch.setattr(vector, "pair_cells", lambda p, a, b: cells(p, a, b, block=9, most=30))
+    monkeypatch.setattr(procrustes, "stored", None)
+    monkeypatch.setattr(stats, "spearman_by", None)
+    out = procrustes.anchor_robustness(pairs, frame(spark, x), frame(spark, y), spark.createDataFrame(truth, "u long, v long, s double"), rates=(0.25, 1.0, 0.003), replicates=2, center=True).collect()
+    assert sorted((r["rate"], r["n_anchors"]) for r in out) == [(0.003, 2)] * 2 + [(0.25, 100)] * 2 + [(1.0, 400)] * 2
+    known = [t for t in truth if t[1] < n]
+
+    def ranks(v):
+        _, of, c = np.unique(v, return_inverse=True, return_counts=True)
+        return (c.cumsum() - (c - 1) / 2)[of]
+
+    for r in out:
+        i, j, w = (np.array(c) for c in zip(*order[r["replicate"]][: r["n_anchors"]], strict=True))
+        rot = procrustes.solve(procrustes.Sums.of(x[i], y[j], w), center=True)
+        cos = (procrustes.unit(rot.apply(x))[[t[1] for t in known]] * procrustes.unit(y)[[t[0] for t in known]]).sum(1)
+        want = np.corrcoef(ranks(np.round(cos, 9)), ranks(np.array([t[2] for t in known])))[0, 1]
+        assert r["n_anchors"] == 2 or r["rho"] == pytest.approx(want, abs=1e-9)
