@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ids
+from ..sources.shared import stored
 from .ordered import positions
 from .vector import best_of
 
@@ -69,18 +70,25 @@ def dense_index(nodes: DataFrame, column: str = "gene") -> DataFrame:
     return positions(nodes.select(column).distinct(), column).select(column, F.col("idx").cast("long").alias("idx"))
 
 
-def set_jaccard_self(members: DataFrame) -> DataFrame:
-    """All i < j that share an element of (gene, el): inter and jaccard. Candidates come from the elements; the left side of each is dealt
-    over as many parts as an average element has members in it, so that the pairs of a hub are made in many tasks."""
-    size = members.groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
-    m = members.join(size, "gene")
-    spread = members.groupBy("el").agg(F.count(F.lit(1)).alias("_d"))
-    mean = spread.agg(F.greatest(F.ceil(F.avg("_d") * 4), F.lit(64)).alias("_mean"))  # one row
-    parts = spread.join(F.broadcast(mean)).select("el", F.ceil(F.col("_d") / F.col("_mean")).cast("int").alias("_parts"))
-    m = m.join(parts, "el")
-    left = m.select("el", F.pmod(F.xxhash64("gene"), F.col("_parts")).cast("int").alias("_part"), F.col("gene").alias("i"), F.col("n").alias("ni"))
-    right = m.select("el", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("gene").alias("j"), F.col("n").alias("nj"))
-    pairs = left.join(right, ["el", "_part"]).filter("i < j").groupBy("i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("inter"))
+def set_jaccard_self(members: DataFrame, parts: int | None = None, carried: int = 64, hub: int = 2048) -> DataFrame:
+    """All i < j that share an element of (gene, el): inter and jaccard. Sets of at most `carried` elements go whole to each of their elements, and a pair is made once, at its
+    smallest common element: no pair is shuffled. Pairs with a larger set are counted from one row an element. An element of more than `hub` sets (2^20 such at most) is
+    dealt over many tasks. In `parts` partitions by element."""
+    gone = F.max(F.col("el").isNull().cast("int"))  # counts as an element, but is shared with none
+    sets = stored(members.groupBy("gene").agg(F.array_sort(F.collect_set("el")).alias("els"), gone.alias("_gone")).filter(F.size("els") > 0).select("gene", "els", (F.size("els") + F.col("_gone")).cast("long").alias("n")), "element-sets")
+    size = sets.agg(F.coalesce(F.sum(F.size("els")), F.lit(0)).alias("n"), F.coalesce(F.max(F.size("els")), F.lit(0)).alias("most")).first()
+    hub = max(hub, size["n"] >> 20)
+    hubs = sets.select(F.explode("els").alias("el")).groupBy("el").agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > hub).select("el", F.ceil(F.col("_d") / hub).cast("int").alias("_parts"))
+    m = sets.select(F.explode("els").alias("el"), "gene", "n", F.when(F.size("els") <= carried, F.col("els")).alias("els"))
+    m = m.join(F.broadcast(hubs), "el", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = m.select("el", F.pmod(F.xxhash64("gene"), F.col("_parts")).cast("int").alias("_part"), F.col("gene").alias("i"), F.col("n").alias("ni"), F.col("els").alias("_x"))
+    right = m.select("el", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("gene").alias("j"), F.col("n").alias("nj"), F.col("els").alias("_y"))
+    met = lambda a, b: (a.repartition(parts, "el", "_part") if parts else a).join(b.repartition(parts, "el", "_part") if parts else b, ["el", "_part"])
+    small = met(left.filter("_x is not null"), right.filter("_y is not null")).filter("i < j").select("i", "j", "ni", "nj", "el", F.array_intersect("_x", "_y").alias("_both"))
+    pairs = small.filter(F.col("_both")[0] == F.col("el")).select("i", "j", "ni", "nj", F.size("_both").cast("long").alias("inter"))
+    if size["most"] > carried:
+        large = met(left.withColumn("_x", F.col("_x").isNull()), right.withColumn("_y", F.col("_y").isNull())).filter("i < j and (_x or _y)")
+        pairs = pairs.unionByName(large.groupBy("i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("inter")))
     return pairs.select("i", "j", "inter", (F.col("inter") / (F.col("ni") + F.col("nj") - F.col("inter"))).alias("jaccard"))
 
 

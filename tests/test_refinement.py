@@ -255,3 +255,22 @@ def test_robustness_makes_no_row_for_a_trial(spark, monkeypatch):
         cos = (procrustes.unit(rot.apply(x))[[t[1] for t in known]] * procrustes.unit(y)[[t[0] for t in known]]).sum(1)
         want = np.corrcoef(ranks(np.round(cos, 9)), ranks(np.array([t[2] for t in known])))[0, 1]
         assert r["n_anchors"] == 2 or r["rho"] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("options", [{}, {"carried": 3, "hub": 10}, {"carried": 3, "hub": 10, "parts": 3}])
+def test_set_join_shuffles_no_pair(spark, options):
+    """Equal to plain loops, with sets too large to carry, elements of many sets and nulls; between carried sets a pair is neither grouped nor shuffled."""
+    own = np.random.default_rng(5)
+    members = sorted({(int(g), int(e)) for g, e in zip(own.integers(0, 60, 260), own.integers(0, 40, 260), strict=True)} | {(g, 7) for g in range(30)})
+    df = spark.createDataFrame([*members, (3, None), (70, None)], "gene long, el long").repartition(3)
+    sets, n = collections.defaultdict(set), collections.Counter(g for g, _ in members)
+    n[3] += 1
+    for g, e in members:
+        sets[g].add(e)
+    want = {(i, j): (len(sets[i] & sets[j]), len(sets[i] & sets[j]) / (n[i] + n[j] - len(sets[i] & sets[j]))) for i in sets for j in sets if i < j and sets[i] & sets[j]}
+    out = graph.set_jaccard_self(df, **options)
+    got = {(r["i"], r["j"]): (r["inter"], r["jaccard"]) for r in out.collect()}
+    assert out.count() == len(want) and got == {k: (c, pytest.approx(s)) for k, (c, s) in want.items()}
+    if not options:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan.split("Join")[0]
