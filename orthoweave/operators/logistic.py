@@ -160,14 +160,36 @@ def scores(rows: DataFrame, found: Fits) -> DataFrame:
 
 
 def residuals(rows: DataFrame, found: Fits, c: float = 1.0) -> DataFrame:
-    """(fold, class, residual): the largest entry of the gradient at the weights found, summed from the rows once more; 0 where there is nothing to fit."""
+    """(fold, class, residual): the largest entry of the gradient at the weights found, summed from the rows once more, in tasks, with all folds of a class in one product."""
     weights = [(str(f), str(cls), w.tolist()) for (f, cls), w in found.weights.items()]
     table = rows.sparkSession.createDataFrame(weights, "f string, cls string, w array<double>")  # d + 1 numbers a fit
-    each = rows.select(F.col("fold").cast("string").alias("own"), F.concat("x", F.array(F.lit(1.0))).alias("z"), F.explode("labels").alias("l"))
-    both = each.join(F.broadcast(table), (F.col("cls") == F.col("l.class").cast("string")) & ((F.col("f") == "None") | (F.col("f") != F.col("own"))))
-    t = F.aggregate(F.zip_with("z", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    off = 1 / (1 + F.exp(-t)) - F.col("l.y")
-    part = both.select("f", "cls", off.alias("off"), F.posexplode("z").alias("i", "x")).groupBy("f", "cls", "i").agg(F.sum(F.col("off") * F.col("x")).alias("g"))
+    held = rows.sparkSession.sparkContext.broadcast(found.weights)
+    everywhere = found.folds is None
+
+    def summed(batches):
+        by: dict = {}
+        for f, cls in held.value:
+            by.setdefault(cls, []).append(f)
+        acc = {key: np.zeros(len(w)) for key, w in held.value.items()}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z, fold = _design(b), None if everywhere else np.array(b.column("fold").to_pylist(), object)
+            for cls, at, y in _labels(b):
+                own = by.get(cls, [])
+                if own:
+                    zz = z[at]
+                    with np.errstate(over="ignore"):
+                        off = 1 / (1 + np.exp(-(zz @ np.stack([held.value[f, cls] for f in own], 1)))) - y[:, None]
+                    if not everywhere:
+                        off[fold[at][:, None] == np.array(own, object)[None, :]] = 0.0
+                    for f, g in zip(own, (zz.T @ off).T, strict=True):
+                        acc[f, cls] += g
+        if acc:
+            yield pa.RecordBatch.from_arrays([pa.array([str(f) for f, _ in acc]), pa.array([str(cls) for _, cls in acc]), pa.array([g.tolist() for g in acc.values()], pa.list_(pa.float64()))], ["f", "cls", "g"])
+
+    part = rows.select("fold", "x", "labels").mapInArrow(summed, "f string, cls string, g array<double>")  # a row a task and fit
+    part = part.select("f", "cls", F.posexplode("g").alias("i", "x")).groupBy("f", "cls", "i").agg(F.sum("x").alias("g"))
     pull = table.select("f", "cls", F.posexplode("w").alias("i", "wi"), (F.size("w") - 1).alias("last"))
     total = F.abs(c * F.col("g") + F.when(F.col("i") < F.col("last"), F.col("wi")).otherwise(0.0))
     return part.join(F.broadcast(pull), ["f", "cls", "i"]).groupBy(F.col("f").alias("fold"), F.col("cls").alias("class")).agg(F.max(total).alias("residual"))

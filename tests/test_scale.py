@@ -407,3 +407,20 @@ def test_orthogroup_pairs_meet_in_blocks(spark):
     assert sorted(map(tuple, orthologs.weighted_pairs(a, b).collect())) == sorted((r["og"], r["ia"], r["ib"], 1.0 / (n[r["og"]][0] * n[r["og"]][1])) for r in pairs)
     x, y, keys = graph.dealt_blocks(a.dropna().select(F.col("og").alias("grp"), "id"), b.dropna().select(F.col("og").alias("grp"), "id"), 7)
     assert x.select(keys).distinct().count() > 3 * 4
+
+
+def test_residuals_are_summed_in_tasks(spark):
+    """The gradient at any weights, as a plain sum; a row without a fold trains every fit. No coordinate of a row is a row."""
+    own = np.random.default_rng(3)
+    x, fold = own.normal(size=(60, 3)), [None if i % 9 == 0 else i % 2 for i in range(60)]
+    y = (x[:, 0] + own.normal(size=60) > 0).astype(float)
+    df = spark.createDataFrame([(i, fold[i], x[i].tolist(), [(5, float(y[i]))]) for i in range(60)], "id long, fold int, x array<double>, labels array<struct<class:int,y:double>>").repartition(4)
+    found = logistic.fits(df, [0, 1])
+    assert len(found.weights) == 2 and all(r["residual"] < 1e-6 for r in logistic.residuals(df, found).collect())
+    found.weights = {k: w + 0.1 for k, w in found.weights.items()}
+    out = logistic.residuals(df, found, 0.5)
+    z = np.c_[x, np.ones(60)]
+    got = {r["fold"]: r["residual"] for r in out.collect()}
+    for (f, _), w in found.weights.items():
+        use = np.array([g != f for g in fold])
+        assert got[str(f)] == pytest.approx(np.abs(0.5 * z[use].T @ (logistic.sigmoid(z[use] @ w) - y[use]) + np.append(w[:-1], 0)).max())
