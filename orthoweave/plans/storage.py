@@ -33,7 +33,7 @@ def scan_raw_network(spark, sf):
 @query("SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(w AS DOUBLE) AS w FROM edges")
 def sink_clean_network(spark, sf):
     at = _folder(spark, "clean")
-    writers.network(roles.edges(spark, sf), at)
+    writers.network(roles.edges(spark, sf), at, roles.edge_parts(spark, sf))
     return readers.network(spark, at)
 
 

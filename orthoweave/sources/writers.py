@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.graph import int_scores
 
 
-def network(edges: DataFrame, path: str) -> None:
-    """Tab separated, sorted by key, no header."""
-    edges.orderBy("a", "b").select("a", "b", "w").write.mode("overwrite").csv(path, sep="\t")
+def network(edges: DataFrame, path: str, parts: int | None = None) -> None:
+    """Tab separated, sorted by key over all files, no header; in `parts` files, so that what a task sorts is bounded by whoever knows the size."""
+    ordered = edges.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b") if parts else edges.orderBy("a", "b")
+    ordered.select("a", "b", "w").write.mode("overwrite").csv(path, sep="\t")
 
 
 def scored_network(edges: DataFrame, path: str) -> None:

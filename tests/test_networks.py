@@ -202,3 +202,15 @@ def test_edges_are_grouped_in_parts_of_bounded_size(spark, monkeypatch):
     assert sorted(tuple(r) for r in both.collect()) == sorted({p for a, b, _ in want for p in ((a, b), (b, a))})
     loop = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0)], "a long, b long, w double")
     assert sorted(tuple(r) for r in graph.symmetric(loop).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_clean_network_is_sorted_over_the_given_number_of_files(spark, tmp_path):
+    import glob
+
+    from orthoweave.sources import writers
+
+    edges = spark.createDataFrame([(i * 37 % 101, 200 + i, float(i)) for i in range(300)], "a long, b long, w double").repartition(5)
+    writers.network(edges, f"{tmp_path}/net", 7)
+    files = sorted(glob.glob(f"{tmp_path}/net/part-*.csv"))
+    rows = [tuple(int(x) for x in line.split("\t")[:2]) for f in files for line in open(f)]
+    assert 5 <= len(files) <= 7 and rows == sorted((i * 37 % 101, 200 + i) for i in range(300))
