@@ -10,7 +10,8 @@ Skip-gram parameters lie in blocks of nodes. Pairs of centre and context are dea
 the cells of one diagonal, each task with its two blocks to itself, and writes the blocks back; after as many rounds as there are blocks every
 pair has been used. Negative samples are drawn from the cell's context block by count^0.75, from hashed numbers. A cell with more
 than `cell_pairs` pairs (a hub's) is cut into slices of walks, which train copies whose changes are averaged. Pairs are made from the walks where they are used, and the
-slices of a cell share a bounded number of tasks, so neither pairs nor a copy for each slice are rows.
+slices of a cell share a bounded number of tasks, so neither pairs nor a copy for each slice are rows. Centres that follow each other in walks are multiplied with all
+their contexts at once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import dropped, stored
 from .ordered import positions
-from .procrustes import vectors
+from .procrustes import _listed, vectors
 from .ranked import grown, shrunk
 
 _M1, _M2, _ADD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -309,99 +310,174 @@ def _joined_walks(start: DataFrame, adj: DataFrame, slots: DataFrame, nodes: Dat
 # ---- skip-gram ----------------------------------------------------------------------------------
 
 
-def _add_at(m: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds rows to m at places that may repeat."""
+def _add_at(m: np.ndarray, at: np.ndarray, rows: np.ndarray, rounds: int = 24) -> None:
+    """Adds rows to m at places that may repeat: first comers, then second ones; where a place comes often, sums by place."""
     order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    m[at[first]] += np.add.reduceat(rows[order], first, axis=0)
-
-
-def _train(centre: np.ndarray, context: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, rate: float, negative: int, seed: int, batch: int = 512, shared: int = 64) -> None:
-    """Steps of the negative-sampling loss over pairs (places in a and b), in place. Each batch shares `shared` negatives, which count as `negative` a pair."""
-    cum = weight.cumsum()
-    for lo in range(0, len(centre), batch):
-        i, j = centre[lo : lo + batch], context[lo : lo + batch]
-        neg = np.minimum(np.searchsorted(cum, uniforms(seed, 7, np.arange(shared), lo) * cum[-1], "right"), len(cum) - 1)
-        x, y, z = a[i], b[j], b[neg]
-        g = rate * (1 - 1 / (1 + np.exp(-np.clip((x * y).sum(1), -30, 30))))[:, None]
-        h = -rate * negative / shared / (1 + np.exp(-np.clip(x @ z.T, -30, 30)))
-        h[j[:, None] == neg[None, :]] = 0.0  # a context is no negative of itself
-        _add_at(a, i, g * y + h @ z)
-        _add_at(b, j, g * x)
-        _add_at(b, neg, h.T @ x)
-
-
-def _window_pairs(walk: pa.Array, t: pa.ListArray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(walk, centre, context) of all tokens of all walks; the window of a centre is drawn from 1 to `window`, as is usual."""
+    of = at[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    times = np.diff(np.append(first, len(of)))
+    if times.max(initial=0) > rounds:
+        m[of[first]] += np.add.reduceat(rows[order], first, axis=0)
+        return
+    for r in range(times.max(initial=0)):
+        mine = order[first[times > r] + r]
+        m[at[mine]] += rows.take(mine, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.tanh(x * x.dtype.type(0.5))
+    x += 1
+    x *= x.dtype.type(0.5)
+    return x
+
+
+def _train(centre: np.ndarray, context: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, weight: np.ndarray, rate: float, negative: int, seed: int, batch: int = 4096, shared: int = 64, chunk: int = 64) -> None:
+    """Steps of the negative-sampling loss, in place, over pairs (places in centre, rising, and in context) of tokens (places in a and b). `chunk`
+    centres share `shared` negatives, which count as `negative` a pair, and are multiplied with all contexts that one of them has, so a token's row is read and added to once
+    a chunk, whatever its pairs. Where a token is frequent, batches have fewer pairs."""
+    if not len(pairs[0]):
+        return
+    one, other = pairs
+    cum, kind = weight.cumsum(), a.dtype.type
+    batch = int(min(batch, max(128, 4 * len(one) / max(np.bincount(centre[one]).max(), np.bincount(context[other]).max()))))
+    many = np.bincount(one, minlength=len(centre))
+    upto = many.cumsum()
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1], batch), "right"), len(centre)))
+    is_neg = np.zeros(len(b), bool)
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        begin, end = upto[lo] - many[lo], upto[hi - 1]
+        if begin == end:
+            continue
+        p, q = one[begin:end], other[begin:end]
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        i, m = centre[p[first]], np.diff(np.append(first, len(p)))
+        p = np.repeat(np.arange(len(first)), m)
+        part, row = p // chunk, p % chunk
+        key = part * len(context) + q
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        starts = np.flatnonzero(new)
+        own, j = key[starts] // len(context), context[key[starts] % len(context)]  # contexts by chunk
+        place = np.arange(len(own)) - np.searchsorted(own, np.arange(part[-1] + 1))[own]
+        col = np.empty(len(p), np.int64)
+        col[order] = place[new.cumsum() - 1]
+        x, y = np.zeros((part[-1] + 1, chunk, a.shape[1]), a.dtype), np.zeros((part[-1] + 1, place.max() + 1, a.shape[1]), a.dtype)
+        flat = x.reshape(-1, a.shape[1])[: len(i)]
+        flat[:] = a.take(i, axis=0)
+        y[own, place] = b.take(j, axis=0)
+        score = x @ y.transpose(0, 2, 1)
+        g = np.zeros_like(score)
+        g[part, row, col] = _sigmoid(-score[part, row, col]) * kind(rate)
+        parts = len(x)
+        neg = np.minimum(np.searchsorted(cum, uniforms(seed, 7, np.arange(parts * shared), begin) * cum[-1], "right"), len(cum) - 1).reshape(parts, shared)
+        z = b.take(neg, axis=0)
+        h = _sigmoid(x @ z.transpose(0, 2, 1))
+        each = h.reshape(-1, shared)
+        each[: len(i)] *= (m * (-rate * negative / shared)).astype(a.dtype)[:, None]
+        is_neg[neg] = True
+        same = np.flatnonzero(is_neg[context[q]])  # a context is no negative of itself
+        is_neg[neg] = False
+        if len(same):
+            rows, of = np.unique(p[same], return_inverse=True)
+            met = np.zeros((len(rows), shared))
+            np.add.at(met, of, context[q[same], None] == neg[p[same] // chunk])
+            each[rows] *= (1 - met / m[rows, None]).astype(a.dtype)
+        da, db, dz = g @ y + h @ z, (g.transpose(0, 2, 1) @ x)[own, place], h.transpose(0, 2, 1) @ x
+        _add_at(a, i, da.reshape(-1, a.shape[1])[: len(i)])
+        _add_at(b, np.append(j, neg), np.concatenate([db, dz.reshape(-1, a.shape[1])]))
+
+
+def _window_places(walk: pa.Array, t: pa.ListArray, window: int, seed: int, blocks: int = 1, bi: int = 0, bj: int = 0) -> tuple[np.ndarray, ...]:
+    """(walk, token, s, other, one, two): of all tokens of all walks, the places s of those in block bi that have contexts and the places `other` of those in block bj, and the
+    pairs of centre and context as places in these two, by rising centre; the window of a centre is drawn from 1 to `window`, as is usual."""
     n = t.value_lengths().to_numpy(zero_copy_only=False)
     token, w = t.flatten().to_numpy(zero_copy_only=False), np.repeat(walk.to_numpy(zero_copy_only=False), n)
-    size = np.repeat(n, n)
     at = np.arange(len(token)) - np.repeat(n.cumsum() - n, n)
-    reach = 1 + np.floor(uniforms(seed, 3, w, at) * window) if len(token) else at
-    ends = [(np.flatnonzero((reach >= d) & on), o) for d in range(1, window + 1) for on, o in ((at + d < size, d), (at >= d, -d))]
-    s, other = (np.concatenate(x) for x in zip(*[(i, i + o) for i, o in ends], strict=True))
-    return w[s], token[s], token[other]
+    left = np.repeat(n, n) - at
+    s, on = np.flatnonzero(token % blocks == bi), token % blocks == bj
+    reach = 1 + np.floor(uniforms(seed, 3, w[s], at[s]) * window).astype(np.int64) if len(s) else s
+    far, back = np.minimum(reach, left[s] - 1), np.minimum(reach, at[s])
+    offsets = [o for d in range(1, window + 1) for o in (d, -d)]
+    mask = np.empty((len(s), len(offsets)), bool)
+    for k, o in enumerate(offsets):
+        mask[:, k] = ((far if o > 0 else back) >= abs(o)) & on[np.clip(s + o, 0, max(0, len(on) - 1))] if len(s) else False
+    one, k = np.nonzero(mask)
+    return w, token, s, np.flatnonzero(on), one, (on.cumsum() - 1)[s[one] + np.array(offsets)[k]]
 
 
-def _in_hashed_order(ci: np.ndarray, xi: np.ndarray, w: np.ndarray, seed: int, at: int) -> np.ndarray:
-    """The order of pairs by a hash; equal hashes of different pairs, which are rare, go by the pairs themselves."""
-    u = uniforms(seed, 5, ci, xi, w, np.full(len(ci), at))
-    order = np.argsort(u, kind="stable")
-    same = np.flatnonzero(u[order[1:]] == u[order[:-1]])
-    p, q = order[same], order[same + 1]
-    return np.lexsort((w, xi, ci, u)) if ((ci[p] != ci[q]) | (xi[p] != xi[q]) | (w[p] != w[q])).any() else order
+def _window_pairs(walk: pa.Array, t: pa.ListArray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(walk, centre, context) of all pairs of all walks."""
+    w, token, s, other, one, two = _window_places(walk, t, window, seed)
+    return w[s[one]], token[s[one]], token[other[two]]
 
 
 def _cell_step(at: int, rate: float, negative: int, seed: int, window: int, blocks: int, bundles: int):
-    """The function that trains a bundle of slices of a cell: left their walks, right the two blocks of parameters. Every slice trains a copy; the bundle gives
+    """The function that trains a bundle of slices of a cell, walks in hashed order: left their walks, right the two blocks of parameters. Every slice trains a copy; the bundle gives
     its share of the mean over all slices."""
 
     def trained(key, left: pa.Table, right: pa.Table) -> pa.Table:
         bi, bj, bundle = (k.as_py() for k in key)
         side, no, c = (right.column(x).to_numpy() for x in ("side", "no", "c"))
-        v = vectors(right.column("v"))
+        v = vectors(right.column("v")).astype(np.float32)
         parts = []
         for s in (0, 1):
             on = np.flatnonzero(side == s)
             parts.append(on[np.argsort(no[on])])
-        a, b = v[parts[0]], v[parts[1]]
+        a, b, place = v[parts[0]], v[parts[1]], np.zeros((2, no.max(initial=0) + 1), np.int64)
+        for s in (0, 1):
+            place[s, no[parts[s]]] = np.arange(len(parts[s]))
         n_slices = right.column("n_slices")[0].as_py() if right.num_rows else 1
         slices, mean = left.column("slice").to_numpy(), [np.zeros_like(a), np.zeros_like(b)]
         for s in range(bundle, n_slices, bundles):
             x, y, mine = a.copy(), b.copy(), left.take(pa.array(np.flatnonzero(slices == s))).combine_chunks()
             if mine.num_rows:
-                w, ci, xi = _window_pairs(mine.column("walk").combine_chunks(), mine.column("t").combine_chunks(), window, seed)
-                on = np.flatnonzero((ci % blocks == bi) & (xi % blocks == bj))
-                w, ci, xi = w[on], ci[on] // blocks, xi[on] // blocks
-                order = _in_hashed_order(ci, xi, w, seed, at)
-                _train(np.searchsorted(no[parts[0]], ci[order]), np.searchsorted(no[parts[1]], xi[order]), x, y, c[parts[1]] ** 0.75, rate, negative, seed + at)
+                walk = mine.column("walk").to_numpy()
+                mine = mine.take(pa.array(np.lexsort((walk, uniforms(seed, 5, walk, at))))).combine_chunks()
+                _, token, ones, others, one, two = _window_places(mine.column("walk").combine_chunks(), mine.column("t").combine_chunks(), window, seed, blocks, bi, bj)
+                _train(place[0, token[ones] // blocks], place[1, token[others] // blocks], (one, two), x, y, c[parts[1]] ** 0.75, rate, negative, seed + at)
             mean[0] += x / n_slices
             mean[1] += y / n_slices
-        flat = np.concatenate(mean)
-        listed = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
-        return pa.table({"side": np.repeat([0, 1], [len(a), len(b)]).astype(np.int32), "no": np.concatenate([no[parts[0]], no[parts[1]]]), "v": listed})
+        return pa.table({"side": np.repeat([0, 1], [len(a), len(b)]).astype(np.int32), "no": np.concatenate([no[parts[0]], no[parts[1]]]), "v": _listed(np.concatenate(mean))})
 
     return trained
 
 
-def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 10, negative: int = 5, seed: int = 42, rate: float = 0.025, cell_pairs: int = 2_000_000, block_nodes: int = 100_000) -> DataFrame:
-    """(gene, v) from walks of nodes (walk, nodes), deterministic by seed."""
+def _coded_walks(walks: DataFrame, code: DataFrame, most: int) -> DataFrame:
+    """(walk, t): walks by the codes (gene, no) of their nodes, which are below `most`."""
+    t = code.toArrow().sort_by("gene")
+    known = walks.sparkSession.sparkContext.broadcast((t.column("gene").to_numpy(), t.column("no").to_numpy().astype(np.int32 if most < 1 << 31 else np.int64)))
+
+    def run(batches):
+        genes, no = known.value
+        for b in batches:
+            t = b.column("nodes")
+            yield pa.RecordBatch.from_arrays([b.column("walk"), pa.ListArray.from_arrays(np.append(0, t.value_lengths().to_numpy().cumsum()).astype(np.int32), pa.array(no[np.searchsorted(genes, t.flatten().to_numpy())]))], ["walk", "t"])
+
+    return walks.select(F.xxhash64("walk").alias("walk"), F.filter("nodes", lambda x: x.isNotNull()).alias("nodes")).mapInArrow(run, f"walk long, t array<{'int' if most < 1 << 31 else 'bigint'}>")
+
+
+def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 10, negative: int = 5, seed: int = 42, rate: float = 0.025, cell_pairs: int = 2_000_000, block_nodes: int = 100_000, held_bytes: int = 64 << 20) -> DataFrame:
+    """(gene, v) from walks of nodes (walk, nodes), deterministic by seed. Whole-number nodes of up to `held_bytes` are coded by a broadcast table, others by a join."""
     kind = walks.schema["nodes"].dataType.elementType
     counts = stored(walks.select(F.explode("nodes").alias("gene")).groupBy("gene").agg(F.count(F.lit(1)).alias("c")), "gram-counts")
     genes = counts.count()
     blocks = max(1, -(-genes // block_nodes))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = stored(positions(counts, "gene").withColumn("blk", block(F.col("gene"))), "gram-nodes").withColumnRenamed("idx", "no")
-    tokens = walks.select("walk", F.posexplode("nodes").alias("at", "gene")).join(placed.select("gene", (F.col("no") * blocks + F.col("blk")).cast("long").alias("no")), "gene")
-    coded = tokens.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("at", "no"))).alias("t")).select(F.xxhash64("walk").alias("walk"), F.transform("t", lambda x: x["no"]).alias("t"))
+    code = placed.select("gene", (F.col("no") * blocks + F.col("blk")).cast("long").alias("no"))
+    if 16 * genes <= held_bytes and isinstance(kind, (T.IntegerType, T.LongType, T.ShortType)):
+        coded = _coded_walks(walks, code, genes * blocks)
+    else:
+        tokens = walks.select("walk", F.posexplode("nodes").alias("at", "gene")).join(code, "gene")
+        coded = tokens.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("at", "no"))).alias("t")).select(F.xxhash64("walk").alias("walk"), F.transform("t", lambda x: x["no"]).alias("t"))
     coded = stored(coded, "gram-walks")
 
     def counted(batches):
         n = np.zeros((blocks, blocks), np.int64)
         for b in batches:
             _, i, j = _window_pairs(b.column("walk"), b.column("t"), window, seed)
-            np.add.at(n, (i % blocks, j % blocks), 1)
+            n += np.bincount(i % blocks * blocks + j % blocks, minlength=blocks**2).reshape(blocks, blocks)
         i, j = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[i, j])], ["bi", "bj", "n"])
 
@@ -415,10 +491,10 @@ def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 1
         for b in batches:
             no = b.column("no").to_numpy()
             a = np.stack([uniforms(seed, 11, no, i) for i in range(dim)], 1) - 0.5 if len(no) else np.zeros((0, dim))
-            yield pa.RecordBatch.from_arrays([b.column("no"), b.column("blk"), b.column("c"), pa.array((a / dim).tolist(), pa.list_(pa.float64())), pa.array(np.zeros((len(no), dim)).tolist(), pa.list_(pa.float64()))], ["no", "blk", "c", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("no"), b.column("blk"), b.column("c"), _listed(a / dim), _listed(np.zeros((len(no), dim)))], ["no", "blk", "c", "a", "b"])
 
-    params = stored(placed.select(F.col("no").cast("long").alias("no"), "blk", "c").mapInArrow(begun, "no long, blk int, c long, a array<double>, b array<double>"), "gram-params")
-    kinds = "side int, no long, v array<double>"
+    params = stored(placed.select(F.col("no").cast("long").alias("no"), "blk", "c").mapInArrow(begun, "no long, blk int, c long, a array<float>, b array<float>"), "gram-params")
+    kinds = "side int, no long, v array<float>"
     for epoch in range(epochs):
         for shift in range(blocks):
             at = epoch * blocks + shift
@@ -430,11 +506,11 @@ def skip_gram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 1
             outs = params.select(F.pmod(F.col("blk") - shift, F.lit(blocks)).alias("bi"), F.col("blk").alias("bj"), F.lit(1).alias("side"), "no", "c", F.col("b").alias("v"))
             both = ins.unionByName(outs).withColumns({"n_slices": n_slices, "bundle": copies})
 
-            keys, parts = ["bi", "bj", "bundle"], blocks * bundles
+            keys, parts = ["bi", "bj", "bundle"], 4 * blocks * bundles  # more than keys, so that few share a task
             left, right = mine.select(*keys, "slice", "walk", "t").repartition(parts, *keys), both.repartition(parts, *keys)
             new = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cell_step(at, lr, negative, seed, window, blocks, bundles), kinds)
             if most > 1:
-                new = new.groupBy("side", "no").agg(*[F.sum(F.col("v")[i]).alias(f"_v{i}") for i in range(dim)]).select("side", "no", F.array(*[f"_v{i}" for i in range(dim)]).alias("v"))
+                new = new.groupBy("side", "no").agg(*[F.sum(F.col("v")[i]).alias(f"_v{i}") for i in range(dim)]).select("side", "no", F.array(*[f"_v{i}" for i in range(dim)]).cast("array<float>").alias("v"))
             new = stored(new, "gram-new")
             a, b = new.filter("side = 0").select("no", F.col("v").alias("a")), new.filter("side = 1").select("no", F.col("v").alias("b"))
             nxt = stored(params.drop("a", "b").join(a, "no").join(b, "no"), "gram-params")

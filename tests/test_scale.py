@@ -261,6 +261,29 @@ def test_skip_gram_recovers_planted_communities(spark, options):
         assert all(v[g] == again[g] for g in v)
 
 
+def test_a_batch_is_the_sum_over_its_pairs():
+    """Tokens are read and added to once a chunk, whatever their pairs; the step is that of all pairs one by one."""
+    import pyarrow as pa
+
+    local = np.random.default_rng(4)
+    t = pa.array([local.integers(0, 24, 30).tolist() for _ in range(3)], pa.list_(pa.int64()))
+    w, token, s, other, one, two = walks._window_places(pa.array([5, 6, 7]), t, 4, 42, 2, 0, 1)
+    ci, xi = token[s] // 2, token[other] // 2
+    a, b, weight = local.normal(size=(12, 5)), local.normal(size=(12, 5)), np.ones(12)
+    x, y = a.copy(), b.copy()
+    walks._train(ci, xi, (one, two), x, y, weight, 0.1, 5, 9, shared=8, chunk=len(ci))
+    neg = np.minimum((walks.uniforms(9, 7, np.arange(8), 0) * 12).astype(int), 11)
+    p, q, sig = a.copy(), b.copy(), lambda v: 1 / (1 + np.exp(-v))
+    assert len(one) > 40 and (ci[one] * 2 == token[s[one]]).all()
+    for i, j in zip(ci[one], xi[two], strict=True):
+        p[i] += 0.1 * (1 - sig(a[i] @ b[j])) * b[j]
+        q[j] += 0.1 * (1 - sig(a[i] @ b[j])) * a[i]
+        for k in neg[neg != j]:
+            p[i] -= 0.1 * 5 / 8 * sig(a[i] @ b[k]) * b[k]
+            q[k] -= 0.1 * 5 / 8 * sig(a[i] @ b[k]) * a[i]
+    assert np.allclose(x, p) and np.allclose(y, q)
+
+
 # ---- exact neighbours by pivots -----------------------------------------------------------------
 
 
