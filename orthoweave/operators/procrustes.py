@@ -269,7 +269,7 @@ def refine(pairs: DataFrame, src: DataFrame, ref: DataFrame, held_bytes: int = 6
     Neighbours are chosen by cosine; CSLS only scores them. New pairs weigh `new_weight` times the mean anchor weight. Ends when
     no pair is new or the rotation moves by less than `tol`. Returns the map and a log of rounds. While both tables have at
     most `held_bytes` and the anchors at most `held_pairs` rows, the driver holds them, and a round is one job that searches blocks of
-    both sides against broadcast matrices; beyond, neighbours and new pairs are tables. Both ways give the same map.
+    both sides against broadcast matrices; beyond, neighbours and new pairs are tables, and two blocks meet once for both ways. Both ways give the same map.
     """
     vanilla = options.get("vanilla", False)
     pairs = pairs.select("src", "ref", F.col("w").cast("double").alias("w"))
@@ -357,7 +357,8 @@ def _tables(anchors: DataFrame | None, a: DataFrame, b: DataFrame, base: Sums |
     weight = 1.0 if vanilla else base.w / base.n * new_weight
     for i in range(rounds):
         moved = stored(transform(a.select("id", "v"), rot), "refine-moved")
-        ab, ba = (stored(d, "refine-near") for d in vector.nearest_both(moved, b.select("id", "v"), k if csls else 1))
+        near = stored(vector.nearest_cells(moved, b.select("id", "v"), k if csls else 1), "refine-near")
+        ab, ba = (near.filter(F.col("side") == side).drop("side") for side in (0, 1))
         scores = vector.csls(ab, ba) if csls else ab.filter("rank = 1").select(F.col("q").alias("src"), F.col("nbr").alias("ref"), F.col("sim").alias("score"))
         found = vector.mutual(ab, ba).join(scores, ["src", "ref"]).filter(F.col("score") >= threshold).select("src", "ref")
         if anchors is None:
@@ -367,7 +368,7 @@ def _tables(anchors: DataFrame | None, a: DataFrame, b: DataFrame, base: Sums |
             found = found.join(anchors.select("src", "ref"), ["src", "ref"], "left_anti")
         new = stored(anchors_of(found.withColumn("w", F.lit(weight)), a, b).withColumn("all", F.lit(0)), "refine-new")
         more = sums_by(new, "all").get(0)
-        dropped(moved, ab, ba, new)
+        dropped(moved, near, new)
         if more is None:
             log.append({"round": i + 1, "new": 0, "moved": 0.0})
             break

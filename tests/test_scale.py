@@ -309,6 +309,38 @@ def test_a_batch_is_the_sum_over_its_pairs():
     assert np.allclose(x, p) and np.allclose(y, q)
 
 
+@pytest.mark.parametrize(("na", "nb", "k", "block"), [(60, 45, 3, 20), (5, 30, 10, 8), (300, 700, 2, 1000)])
+def test_neighbours_both_ways_from_one_product(spark, na, nb, k, block):
+    """Equal to plain loops, with ties, in cells and in strips of a cell; of unequal rounding in single precision nothing is lost."""
+    local = np.random.default_rng(6)
+    x, y = local.normal(size=(na, 5)), local.normal(size=(nb, 5))
+    y[3] = y[4] = x[1]
+    x[2] = x[1] + 1e-8
+    frame = lambda m, at: spark.createDataFrame([(at + i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in vector.nearest_cells(frame(x, 0), frame(y, 1000), k, block).orderBy("side", "q", "rank").collect():
+        got[r["side"], r["q"]].append((r["nbr"], r["sim"]))
+    sim = np.round(procrustes.unit(x) @ procrustes.unit(y).T, 9)
+    want = {(0, i): sorted(((1000 + j, sim[i, j]) for j in range(nb)), key=lambda t: (-t[1], t[0]))[:k] for i in range(na)}
+    want |= {(1, 1000 + j): sorted(((i, sim[i, j]) for i in range(na)), key=lambda t: (-t[1], t[0]))[:k] for j in range(nb)}
+    assert dict(got) == {key: [(n, pytest.approx(s, abs=1.1e-9)) for n, s in v] for key, v in want.items()}
+    for rows, columns in ((7, 50), (128, 8192)):
+        one, two = vector.best_each_way(procrustes.unit(x), procrustes.unit(y), k, rows, columns)
+        assert [(i, 1000 + j) for i, j in zip(one[0], one[1], strict=True)] == [(i, n) for i in range(na) for n, _ in want[0, i]]
+        assert [(j, i) for j, i in zip(two[0], two[1], strict=True)] == [(j, n) for j in range(nb) for n, _ in want[1, 1000 + j]]
+
+
+def test_refinement_by_tables_searches_once_for_both_ways(spark, monkeypatch):
+    local = np.random.default_rng(7)
+    x = local.normal(size=(50, 4))
+    y = x @ np.linalg.qr(local.normal(size=(4, 4)))[0] + 0.05 * local.normal(size=x.shape)
+    side = lambda m, at: spark.createDataFrame([(f"g{i % 10}", at + i, v.tolist()) for i, v in enumerate(m)], "og string, id long, v array<float>")
+    want, log = procrustes.refine_orthogroups(side(x, 0), side(y, 1000), threshold=0.0, k=3)
+    monkeypatch.setattr(vector, "knn", None)
+    rot, again = procrustes.refine_orthogroups(side(x, 0), side(y, 1000), held_bytes=0, threshold=0.0, k=3)
+    assert np.allclose(rot.r, want.r, atol=1e-5) and [e["new"] for e in again] == [e["new"] for e in log]
+
+
 # ---- exact neighbours by pivots -----------------------------------------------------------------
 
 
