@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthoweave.operators import curves, evaluation, logistic, ml, ordered, procrustes, ranked, stats, vector, walks
+from orthoweave.operators import curves, evaluation, logistic, ml, ordered, procrustes, ranked, retrieval, stats, vector, walks
 
 rng = np.random.default_rng(23)
 
@@ -341,6 +341,36 @@ def test_refinement_by_tables_searches_once_for_both_ways(spark, monkeypatch):
     assert np.allclose(rot.r, want.r, atol=1e-5) and [e["new"] for e in again] == [e["new"] for e in log]
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bin_pairs": 50, "cell": 7, "cell_pairs": 20}])
+def test_dealt_pairs_are_no_rows(spark, monkeypatch, sizes):
+    """Equal to plain loops and to pairs as rows, in one bin and cell and in many; no pair is placed as a row."""
+    import hashlib
+
+    local = np.random.default_rng(11)
+    x, y = local.normal(size=(40, 3)), local.normal(size=(50, 3))
+    truth = [(2 * i, 2 * j + 1, float(local.integers(1, 5)) / 4) for i in range(40) for j in range(50) if (i + j) % 3 == 0]
+    frame = lambda m, odd: spark.createDataFrame([(2 * i + odd, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>").repartition(3)
+    pairs = spark.createDataFrame(truth, "u long, v long, s double").repartition(5).cache()
+
+    def ranks(v):
+        _, of, c = np.unique(v, return_inverse=True, return_counts=True)
+        return (c.cumsum() - (c - 1) / 2)[of]
+
+    s = ranks(np.array([t[2] for t in truth]))
+    cos = lambda u, v: np.round((procrustes.unit(x)[np.array(u) // 2] * procrustes.unit(y)[np.array(v) // 2]).sum(1), 9)
+    dealt = [t[1] for t in sorted(truth, key=lambda t: (hashlib.md5(f"{t[0]}_{t[1]}:1".encode()).hexdigest(), f"{t[0]}_{t[1]}"))]
+    u, v = [t[0] for t in truth], [t[1] for t in truth]  # in order
+    want = [np.corrcoef(ranks(cos(u, w)), s)[0, 1] for w in (v, dealt)]
+    rows = retrieval.jaccard_spearman(pairs, frame(x, 0), frame(y, 1), 1, most_values=0).first()
+    monkeypatch.setattr(retrieval, "positions", None)
+    if sizes:
+        boxed = retrieval._boxed_spearman
+        monkeypatch.setattr(retrieval, "_boxed_spearman", lambda *a: boxed(*a, **sizes))
+    got = retrieval.jaccard_spearman(pairs, frame(x, 0), frame(y, 1), 1).first()
+    assert got["n"] == rows["n"] == len(truth)
+    assert [got["rho"], got["rho_shuffled"]] == pytest.approx(want, abs=1e-9) == [rows["rho"], rows["rho_shuffled"]]
+
+
 # ---- exact neighbours by pivots -----------------------------------------------------------------
 
 
